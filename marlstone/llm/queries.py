@@ -8,10 +8,49 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import read_table
+from marlstone.llm import compression_classifier, language_id
+from marlstone.llm.common import held_out, read_table
 from marlstone.llm.decontamination import scan_documents
 from marlstone.llm.ngram_join import ngram_jaccard_join
+from marlstone.llm.packing import pack, token_pieces
+from marlstone.llm.pii import find_pii
 from marlstone.llm.quality_rules import BIT, ledger, verdict
+from marlstone.llm.resharding import reshard
+from marlstone.llm.secret_scan import scan_secrets
+from marlstone.llm.url_filter import judge_urls
+
+#: op1: the documents lie in so many shards, dealt by the checksum of their id, and go to so many.
+OLD_SHARDS, NEW_SHARDS = 6, 8
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op1_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    old = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % OLD_SHARDS
+    placed = reshard(docs, old, NEW_SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_pieces(read_table(spark, sf_dir, "documents")))
+
+
+def op3_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_bayes_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~held_out(F.col("doc_id"))), F.col("lang"))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op5_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = compression_classifier.train(docs, labels.where(~held_out(F.col("doc_id"))))
+    found = compression_classifier.score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +61,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = ngram_jaccard_join(read_table(spark, sf_dir, "documents"), n=4, threshold=Fraction(85, 100))
     return members.select("doc_id", "n_shingles", "component_id")
@@ -33,10 +77,21 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"), path_col="source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_flow_resharding": op1_flow_resharding,
+    "op2_swap_packing": op2_swap_packing,
+    "op3_redirect_equivalence": op3_redirect_equivalence,
+    "op4_bayes_language_id": op4_bayes_language_id,
+    "op5_compression_classifier": op5_compression_classifier,
     "op6_quality_rules": op6_quality_rules,
+    "op7_boosted_pii": op7_boosted_pii,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_secret_forest": op10_secret_forest,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -49,7 +104,7 @@ l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_li
 p AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
 t AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM p),
 c AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM t, (VALUES (0), (1), (2)) AS o(j) WHERE n > 1 GROUP BY r),
-m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_lines, 0)::BIGINT AS n_lines,
       coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
       FROM d LEFT JOIN l USING (r) LEFT JOIN c USING (r)),

@@ -2,26 +2,35 @@
 
 A document's tokens are the 64-bit hashes of its distinct word n-grams. Tokens
 are put in one global order, rare ones before frequent ones, and each document
-indexes a prefix of its ordered set:
-
-* rare tokens of the prefix of length p = |x| - ceil(t|x|) + 1 one by one: two
-  documents with Jaccard >= t whose first common token is rare share one;
-* frequent tokens in combinations of two. When the first common token is
-  frequent, so are all; the first m + 1 common tokens lie in both prefixes
-  once these are extended by m, and of m + 1 tokens in m hash classes two
-  share a class. So the pairs of frequent tokens within a class are indexed,
-  about two for each prefix token.
+indexes a prefix of its ordered set. Let x be the larger and y the smaller of
+two documents with Jaccard >= t. Their overlap is at least ceil(t|x|) and at
+least ceil(2t/(1+t) |y|), so x indexes its first |x| - ceil(t|x|) + 1 tokens,
+and the shorter prefix that y needs is marked as leading: a candidate pair is
+one whose smaller document leads.
+
+* Rare tokens of the prefix are indexed one by one: two documents whose first
+  common token is rare share one.
+* Frequent tokens are indexed in combinations of two. When the first common
+  token is frequent, so are all; the first m + 1 common tokens lie in both
+  prefixes once these are extended by m, and of m + 1 tokens in m hash classes
+  two share a class. So the pairs of frequent tokens within a class are
+  indexed, about two for each prefix token.
 
 m depends on the size band (floor of log2 |x|) that two documents share, and
 a document near the upper end of its band is indexed for the next band too.
 Any order and any choice of "frequent" gives the same links; they only decide
-how many candidates there are. Candidates are verified on the texts.
+how many candidates there are. Candidates whose parity sketches differ in more
+bits than their sets may differ are refused (the sketch of a symmetric
+difference never has more bits than it has tokens); the others are verified on
+the texts.
 
 Links are needed only for classes of linked documents. So equal sets are first
 reduced to a representative, candidates then link each key's documents with
-the key's smallest one (a star), and after the components of the verified
-links only pairs from different components under one key remain to be
-verified. No group of copies is expanded into all of its pairs.
+one of them (a star), the one whose tokens are the most frequent: in a group
+of near copies that is the text they were copied from, or the one closest to
+it. After the components of the verified links only pairs from different
+components under one key remain, and of those only the ones that the sketches
+let pass leave the join. No group of copies is expanded into all of its pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +40,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import maybe_broadcast, written
@@ -41,7 +50,7 @@ from marlstone.llm.tokens import NOT_SPACE, Words, mix, scan_column
 #: The frequent class holds at most so many tokens, the most frequent ones (8 MB). The rest count as rare.
 MAX_FREQUENT = 1 << 20
 #: A token is frequent from so many repetitions within batches on.
-MIN_FREQUENT = 8
+MIN_FREQUENT = 4
 
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -116,73 +125,120 @@ def _ceil(t: Fraction, x: int) -> int:
     return -(-t.numerator * x // t.denominator)
 
 
-def prefix_keys(tokens: np.ndarray, t: Fraction, frequent: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The index keys of one document (see the module's text)."""
+def token_levels(tokens: np.ndarray, frequent: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(tokens), np.uint8)
+    place = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+    return np.where(frequent[place] == tokens, levels[place], 0)
+
+
+def prefix_keys(tokens: np.ndarray, t: Fraction, level: np.ndarray) -> tuple[np.ndarray, int]:
+    """The index keys of one document, leading ones first, and the number of those (see the module's text)."""
     size = len(tokens)
     if not size:
-        return tokens
-    if len(frequent):
-        place = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        level = np.where(frequent[place] == tokens, levels[place], 0)
-    else:
-        level = np.zeros(size, np.uint8)
+        return tokens, 0
     prefix = size - _ceil(t, size) + 1
+    lead = size - _ceil(2 * t / (1 + t), size) + 1
+    if size <= int(1 / t):  # such sets may share a single token only
+        return tokens, size
     rare = tokens[level == 0][:prefix]
-    if size * t <= 1 and size <= int(1 / t):  # such sets may share a single token only
-        return tokens
     if len(rare) >= prefix:
-        return rare
+        return rare, lead
     own = size.bit_length() - 1
     bands = [own] + [own + 1] * (size >= t * (1 << (own + 1)))
-    keys, often = [rare], level > 0
+    leading, others, often = [rare[:lead]], [rare[lead:]], level > 0
     order = np.lexsort((tokens[often], level[often]))
     ordered = tokens[often][order]
     for band in bands:
         m = min(_ceil(1 - t, 1 << band), _ceil(t, 1 << band) - 1)
-        some = ordered[: prefix + max(m, 0) - len(rare)]
+        some = ordered[: max(0, prefix + max(m, 0) - len(rare))]
+        first = np.arange(len(some)) < lead + max(m, 0) - len(rare)
         if m < 1:
-            keys.append(some)
+            leading.append(some[first])
+            others.append(some[~first])
             continue
         group = ((some * _K1) >> np.uint64(33)) % np.uint64(m)
         by = np.lexsort((some, group))
-        some, group = some[by], group[by]
+        some, group, first = some[by], group[by], first[by]
         gap = 1
         while gap < len(some):
             same = group[gap:] == group[:-gap]
             if not same.any():
                 break
             a, b = some[:-gap][same], some[gap:][same]
-            keys.append(mix((mix(a * _K1) + b) * _K2 + np.uint64(band)))
+            keys = mix((mix(a * _K1) + b) * _K2 + np.uint64(band))
+            both = (first[:-gap] & first[gap:])[same]
+            leading.append(keys[both])
+            others.append(keys[~both])
             gap += 1
-    return np.unique(np.concatenate(keys))
+    leading, others = np.unique(np.concatenate(leading)), np.unique(np.concatenate(others))
+    return np.concatenate([leading, np.setdiff1d(others, leading, assume_unique=True)]), len(leading)
+
+
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Bit b says whether an odd number of tokens fall on b; about one to two bits a token."""
+    bits = max(64, 1 << (max(1, len(tokens) - 1)).bit_length()) << (len(tokens) <= 256)
+    place = (mix(tokens * _K2 + _K1) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
 def index_documents(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """``(doc_id, n_shingles, s1, s2, keys)``; s1 and s2 sign the set."""
+    """``(doc_id, n_shingles, s1, s2, centre, sketch, n_lead, keys)``; s1 and s2 sign the set, centre is its tokens' mean level."""
     sc = docs.sparkSession.sparkContext
     common = sc.broadcast(frequent_tokens(docs, n))
 
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, levels = common.value
         for batch in batches:
-            size, s1, s2, keys = [], [], [], []
+            size, s1, s2, centre, sketch, n_lead, keys = [], [], [], [], [], [], []
             for one in _sets_of(batch.column(1), n):
                 size.append(len(one))
                 s1.append(int(np.bitwise_xor.reduce(mix(one * _K1)).view(np.int64)) if len(one) else 0)
                 s2.append(int(np.add.reduce(mix(one * _K2 + _K1)).view(np.int64)) if len(one) else 0)
-                keys.append(prefix_keys(one, t, frequent, levels).view(np.int64))
-            bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                sketch.append(parity_sketch(one))
+                level = token_levels(one, frequent, levels)
+                centre.append(int(1000 * level.mean()) if len(one) else 0)
+                found, leading = prefix_keys(one, t, level)
+                keys.append(found)
+                n_lead.append(leading)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, pa.int64()))],
-                names=["doc_id", "n_shingles", "s1", "s2", "keys"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(centre, pa.int32()), lists(sketch), pa.array(n_lead, pa.int32()), lists(keys)],
+                names=["doc_id", "n_shingles", "s1", "s2", "centre", "sketch", "n_lead", "keys"],
             )
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "index")
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, centre int, sketch array<long>, n_lead int, keys array<long>"
+    return written(docs.select("doc_id", "text").mapInArrow(run, schema), "index")
+
 
+def may_link(s_a: Column, s_b: Column, n_a: Column, n_b: Column, t: Fraction) -> Column:
+    """False where two documents' sizes and parity sketches rule out a link."""
 
-def verify(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFrame:
+    def fold(s: Column) -> Column:
+        half = (F.size(s) / 2).cast("int")
+        return F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+    to = lambda s, other: F.when(F.size(s) == 2 * F.size(other), fold(s)).otherwise(s)
+    odd = F.aggregate(F.zip_with(to(s_a, s_b), to(s_b, s_a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + F.coalesce(v, F.lit(0)))
+    total = n_a + n_b
+    return odd <= total - 2 * F.ceil(total * t.numerator / (t.numerator + t.denominator) - 1e-6)
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) that may link."""
+    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return written(both.where(may_link(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), t)).select("a", "b"), "possible")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     """The pairs (a, b) whose texts' shingle sets have Jaccard >= t, with ``common`` and ``total``."""
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    texts = written(docs.join(maybe_broadcast(ids), "doc_id", "left_semi").where("text is not null"), "texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -225,37 +281,42 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float | Fraction
     copied = classes.where("last > rep")
     others = written(sets.select("doc_id", "s1", "s2", "n_shingles").join(maybe_broadcast(copied), ["s1", "s2", "n_shingles"]).where("doc_id > rep").select("doc_id", "rep"), "copies")
     first = sets.join(maybe_broadcast(others.select("doc_id").distinct()), "doc_id", "left_anti")
-    entries = first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("size"))
-
-    stars = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("key", "pivot")
-    shared = written(entries.join(stars, "key"), "shared")
-    fits = lambda x, y: F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator
-    sizes = shared.select("rep", "size").distinct()
-    need = written(sizes.select("rep").distinct(), "needed")
-    texts = written(docs.join(maybe_broadcast(need.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi").where("text is not null"), "texts")
-
-    near = shared.where("rep > pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "size").distinct()
-    near = near.join(sizes.select(F.col("rep").alias("b"), F.col("size").alias("size_b")), "b").where(fits(F.col("size"), F.col("size_b"))).select("a", "b").distinct()
+    entries = first.select(F.posexplode("keys").alias("pos", "key"), F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("size"), "n_lead", "centre")
+    entries = entries.select("key", "rep", "size", (F.col("pos") < F.col("n_lead")).alias("lead"), "centre")
+    sketches = first.select("doc_id", "n_shingles", "sketch")
+
+    middle = F.max(F.struct("centre", -F.col("rep"), "size", "lead")).alias("p")
+    stars = entries.groupBy("key").agg(F.count("*").alias("n"), F.max("lead").alias("any_lead"), middle).where("n > 1 and any_lead")
+    stars = stars.select("key", (-F.col("p.col2")).alias("p_rep"), F.col("p.size").alias("p_size"), F.col("p.lead").alias("p_lead"))
+    shared = written(entries.drop("centre").join(stars, "key"), "shared")
+    fits = lambda small, large: small * t.denominator >= large * t.numerator
+    smaller = F.struct("size", "rep") < F.struct(F.col("p_size").alias("size"), F.col("p_rep").alias("rep"))
+    meets = F.when(smaller, F.col("lead") & fits(F.col("size"), F.col("p_size"))).otherwise(F.col("p_lead") & fits(F.col("p_size"), F.col("size")))
+    near = shared.where((F.col("rep") != F.col("p_rep")) & meets).select(F.greatest("rep", "p_rep").alias("a"), F.least("rep", "p_rep").alias("b")).distinct()
     near = written(near, "near")
-    links = verify(near, texts, n, t)
+    links = verify(possible(near, sketches, t), docs, n, t)
     found = connected_components(links, "a", "b")
 
     label = F.coalesce(F.col("component"), F.col("rep"))
-    labelled = shared.join(found, shared["rep"] == found["node"], "left").select("key", "rep", "size", label.alias("c"))
+    labelled = shared.join(found, shared["rep"] == found["node"], "left").select("key", "rep", "size", "lead", label.alias("c"))
     mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rest = written(labelled.join(mixed, "key", "left_semi"), "mixed")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") > F.col("y.c")) & fits(F.col("x.size"), F.col("y.size")))
+    rest = labelled.join(mixed, "key", "left_semi").join(sketches.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
+    rest = written(rest, "mixed")
+    x, y = rest.alias("x"), rest.where("lead").alias("y")
+    larger = F.struct("x.size", "x.rep") > F.struct("y.size", "y.rep")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & larger & (F.col("x.c") != F.col("y.c")) & fits(F.col("y.size"), F.col("x.size")) & may_link(F.col("x.sketch"), F.col("y.sketch"), F.col("x.size"), F.col("y.size"), t))
     across = across.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
     across = written(across.join(near, ["a", "b"], "left_anti"), "across")
-    more = verify(across, texts, n, t)
+    more = verify(across, docs, n, t)
     links = links.unionByName(more)
     found = connected_components(links, "a", "b")
 
     copies = others.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    ties = links.select("a", "b").unionByName(others.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    if others.select("doc_id").distinct().count() != others.count():  # one id with several texts ties their classes
-        found = connected_components(ties, "a", "b")
+    again = others.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    ties = others.join(maybe_broadcast(again), "doc_id", "left_semi")
+    ties = written(ties.unionByName(maybe_broadcast(others).join(classes.select("rep").withColumnRenamed("rep", "own"), F.col("doc_id") == F.col("own")).select("doc_id", "rep")), "ties")
+    if not ties.isEmpty():  # an id with several texts ties their classes
+        found = connected_components(links.select("a", "b").unionByName(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "a", "b")
     rows = index.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("representative", F.coalesce("rep", "doc_id")).drop("rep")
     members = rows.join(found, rows["representative"] == found["node"], "left").select("doc_id", "n_shingles", "representative", F.coalesce("component", "representative").alias("component_id"))
     return members, links

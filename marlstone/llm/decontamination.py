@@ -13,7 +13,6 @@ of an item once; an empty benchmark hits nothing; documents may repeat.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import written
 from marlstone.llm.tokens import ALNUM, Words, scan_column
 
-#: Windows of the benchmark that may be broadcast (about 100 bytes each); larger benchmarks take several passes of so many.
+#: Windows of the benchmark that may be broadcast at once (about 100 bytes each); larger benchmarks take several passes of so many.
 MAX_WINDOWS = 2_000_000
 
 WINDOW_SCHEMA = "item string, k int, h long, words binary"
@@ -96,46 +96,65 @@ def load_window_sets(items: DataFrame, n: int, max_windows: int = MAX_WINDOWS) -
     return [WindowSet.of(windows.where(part == p).toLocalIterator()) for p in range(parts)]
 
 
-def _covered(w: Words, sets: list[WindowSet]) -> tuple[np.ndarray, dict[int, set[str]]]:
+def _covered(w: Words, one: WindowSet) -> tuple[np.ndarray, dict[int, set[str]]]:
     """Flags of hit words, and the items that occur in each document."""
     edge = np.zeros(len(w.hashes) + 1, np.int32)
     by_doc: dict[int, set[str]] = {}
     doc = w.doc
-    for one in sets:
-        for a, k, items in one.hits(w):
-            edge[a] += 1
-            edge[a + k] -= 1
-            by_doc.setdefault(int(doc[a]), set()).update(items)
+    for a, k, items in one.hits(w):
+        edge[a] += 1
+        edge[a + k] -= 1
+        by_doc.setdefault(int(doc[a]), set()).update(items)
     return np.cumsum(edge[:-1]) > 0, by_doc
 
 
-def scan_documents(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def _slim_items(items: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    return items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
+
+
+def scan_documents(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """One row a document: id, n_words, n_hit, the sorted ids of the items that occur in it, and hit spans.
 
     ``spans`` are (start, end) byte offsets of the UTF-8 text, one for each
-    maximal run of hit words.
+    maximal run of hit words. Each pass over a part of the benchmark adds to
+    what the passes before it found.
     """
-    sets = docs.sparkSession.sparkContext.broadcast(load_window_sets(items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")), n))
-
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    none = F.array().cast("array<struct<start:long,end:long>>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), none.alias("spans"))
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+    sets = load_window_sets(_slim_items(items, item_col, item_text), n, max_windows)
+    for k, one in enumerate(sets):
+        rows = rows.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(one), span, keep_text=k < len(sets) - 1), schema)
+        if k < len(sets) - 1:
+            rows = written(rows, "scanned")
+    return rows.drop("text").withColumnRenamed("id", id_col)
+
+
+def _scanner(shared, span: pa.DataType, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            before = batch.select(["items", "spans"]).to_pydict()
             n_words, n_hit, names, spans = [], [], [], []
-            for _, _, w in scan_column(batch.column(1), ALNUM, lower=True):
-                hit, by_doc = _covered(w, sets.value)
+            for first, _, w in scan_column(batch.column(1), ALNUM, lower=True):
+                hit, by_doc = _covered(w, shared.value)
+                for d in range(len(w.first) - 1):
+                    for s in before["spans"][first + d]:
+                        a, b = np.searchsorted(w.start, [w.doc_start[d] + s["start"], w.doc_start[d] + s["end"]])
+                        hit[a:b] = True
                 total = np.concatenate([[0], np.cumsum(hit)])
                 n_words.append(np.diff(w.first))
                 n_hit.append(total[w.first[1:]] - total[w.first[:-1]])
-                names += [sorted(by_doc.get(d, ())) for d in range(len(w.first) - 1)]
-                spans += [_runs(w, hit, d) if d in by_doc else [] for d in range(len(w.first) - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(n_words or [[]]), pa.int64()), pa.array(np.concatenate(n_hit or [[]]), pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["id", "n_words", "n_hit", "items", "spans"],
-            )
+                for d in range(len(w.first) - 1):
+                    old = before["items"][first + d]
+                    names.append(sorted({*old, *by_doc[d]}) if d in by_doc else old)
+                    spans.append(_runs(w, hit, d) if d in by_doc or old else [])
+            text = batch.column(1) if keep_text else pa.nulls(batch.num_rows, batch.column(1).type)
+            counts = [pa.array(np.concatenate(x or [[]]), pa.int64()) for x in (n_words, n_hit)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, *counts, pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(span))], names=["id", "text", "n_words", "n_hit", "items", "spans"])
 
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = slim.schema[0].dataType.simpleString()
-    out = slim.mapInArrow(run, f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
-    return out.withColumnRenamed("id", id_col)
+    return run
 
 
 def _runs(w: Words, hit: np.ndarray, d: int) -> list[dict]:
@@ -146,18 +165,14 @@ def _runs(w: Words, hit: np.ndarray, d: int) -> list[dict]:
     return [{"start": int(w.start[a + x] - base), "end": int(w.end[a + y - 1] - base)} for x, y in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
-def _cut(text: bytes, sets: list[WindowSet]) -> bytes:
+def _cut(text: bytes, one: WindowSet) -> bytes:
     """Remove hit runs until none is left (a cut may join words into a new hit)."""
     while True:
-        data = np.frombuffer(text, np.uint8)
+        runs = []
         for _, _, w in scan_column(pa.array([text.decode()]), ALNUM, lower=True):
-            hit, _ = _covered(w, sets)
+            hit, _ = _covered(w, one)
             runs = _runs(w, hit, 0)
-        if not len(data) or not runs:
+        if not runs:
             return text
         pieces, at = [], 0
         for r in runs:
@@ -166,30 +181,35 @@ def _cut(text: bytes, sets: list[WindowSet]) -> bytes:
         text = b"".join([*pieces, text[at:]])
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, n: int = 10, drop_from: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def remove_contamination(docs: DataFrame, items: DataFrame, n: int = 10, drop_from: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The documents, all columns kept, without the hit passages.
 
     Hit runs of words are cut out of a document; one with at least
-    ``drop_from`` of its words hit is dropped. Clean rows pass unchanged.
+    ``drop_from`` of its words hit is dropped. Clean rows pass unchanged. A
+    benchmark over the bound is removed part by part.
     """
-    sets = docs.sparkSession.sparkContext.broadcast(load_window_sets(items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")), n))
     at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, keep, new = batch.column(at), np.ones(batch.num_rows, bool), {}
-            for first, _, w in scan_column(column, ALNUM, lower=True):
-                hit, by_doc = _covered(w, sets.value)
-                for d in by_doc:
-                    share = hit[w.first[d] : w.first[d + 1]].mean()
-                    keep[first + d] = share < drop_from
-                    if keep[first + d]:
-                        new[first + d] = _cut(column[first + d].as_py().encode(), sets.value).decode()
-            if new:
-                texts = column.to_pylist()
-                for row, text in new.items():
-                    texts[row] = text
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type))
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    def remover(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column, keep, new = batch.column(at), np.ones(batch.num_rows, bool), {}
+                for first, _, w in scan_column(column, ALNUM, lower=True):
+                    hit, by_doc = _covered(w, shared.value)
+                    for d in by_doc:
+                        keep[first + d] = hit[w.first[d] : w.first[d + 1]].mean() < drop_from
+                        if keep[first + d]:
+                            new[first + d] = _cut(column[first + d].as_py().encode(), shared.value).decode()
+                if new:
+                    texts = column.to_pylist()
+                    for row, text in new.items():
+                        texts[row] = text
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type))
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    out = docs
+    for k, one in enumerate(load_window_sets(_slim_items(items, item_col, item_text), n, max_windows)):
+        out = (written(out, "cleaned") if k else out).mapInArrow(remover(docs.sparkSession.sparkContext.broadcast(one)), docs.schema)
+    return out

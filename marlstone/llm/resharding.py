@@ -35,10 +35,10 @@ def minimum_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tupl
         raise ValueError("the capacities are smaller than the sizes")
     left, room = list(supply), list(capacity)
     flow: dict[tuple[int, int], int] = {}
-    up, vp = [0] * n, [min((cost(i, j) for i in range(n)), default=0) for j in range(m)]
-    for i in range(n):  # what is free under the starting potentials needs no search
+    up, vp = [0] * n, [0] * m
+    for i in range(n):  # what costs nothing needs no search
         for j in range(m):
-            if left[i] and room[j] and cost(i, j) == vp[j] == 0:
+            if left[i] and room[j] and cost(i, j) == 0:
                 x = min(left[i], room[j])
                 flow[i, j] = x
                 left[i] -= x
@@ -150,13 +150,14 @@ def reshard(docs: DataFrame, old_shard: Column, capacities: int | list[int], cos
 def rewrite_affected(docs: DataFrame, assignment: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """Write the rows of every shard that gains or loses rows, one folder a shard; shards that stay as they are, are not written.
 
-    ``doc_id`` must be unique. Returns the assignment's affected shards with
-    the bytes that move in.
+    ``doc_id`` must be unique; columns ``shard`` and ``slot`` of ``docs`` give
+    way to the new ones. Returns the affected shards with the bytes that move
+    in.
     """
     moved = F.col("old_shard") != F.col("shard")
     change = assignment.where(moved)
     affected = written(change.select(F.col("old_shard").alias("s")).union(change.select(F.col("shard").alias("s"))).groupBy("s").count().select(F.col("s").alias("shard")), "affected")
     todo = assignment.join(F.broadcast(affected), "shard", "left_semi").select(F.col("doc_id").alias(id_col), "shard", "slot")
-    docs.join(todo, id_col).write.mode("overwrite").partitionBy("shard").parquet(path)
+    docs.drop("shard", "slot").join(todo, id_col).write.mode("overwrite").partitionBy("shard").parquet(path)
     moved_in = change.groupBy("shard").agg(F.sum("size").alias("bytes_in"))
     return affected.join(moved_in, "shard", "left").select("shard", F.coalesce("bytes_in", F.lit(0)).alias("bytes_in"))

@@ -1,0 +1,125 @@
+"""URL rules with aliases, and personal data, against brute force."""
+
+import random
+import re
+
+import pytest
+
+from marlstone.llm import pii, url_filter
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def brute_host_path(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), path
+
+
+def brute_rule(url, rules):
+    host, path = brute_host_path(url)
+    fits = []
+    for verdict, rule in rules:
+        h, _, p = rule.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
+            fits.append((len(rule), len(h), verdict == "allow", rule, verdict))
+    return (host, path, *max(fits)[3:]) if fits else (host, path, None, None)
+
+
+URLS = [
+    None, "", "example.net/en/x", "http://Example.NET/en/a?x=/de/", "https://a.b.example.net/fr/#/en/", "http://notexample.com/de/", "http://example.com/de", "http://m.example.com/de/?q", "x://net", "x://net/",
+    "http://fr.org?y/fr/", "http://fr.org/fr/1", "HTTP://É.ORG/FR/", "http://org/fr/", "http://a://b.net/c", "mailto:x@y.net", "http:///en/", "http://h#a.net/", "http://.net/",
+]
+
+
+@pytest.mark.parametrize("literal", [True, False])
+def test_rules(spark, literal):
+    pages = spark.createDataFrame([(k, u, None, "clash") for k, u in enumerate(URLS)], "page_id long, url string, html string, rule string")
+    rules = RULES if literal else url_filter.rule_table(spark, RULES)
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, rules).collect()}
+    for k, u in enumerate(URLS):
+        host, path, rule, verdict = brute_rule(u, RULES)
+        assert (got[k]["host"], got[k]["path"], got[k]["rule"], got[k]["verdict"]) == (host, path, rule, verdict or "allow"), u
+    assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+    assert url_filter.judge_urls(pages, []).where("verdict = 'block'").count() == 0
+
+
+def test_aliases(spark):
+    html = {
+        1: '<link REL="canonical" href="http://bad.net/x">', 2: '<meta http-equiv=refresh content="0; url=/one">', 3: "<p>canonical</p>", 4: '<link href="//example.net/en/ok" rel=canonical>',
+        5: '<link rel="canonical" href="next">', 6: None, 7: '<link rel="stylesheet" href="http://bad.net/x">canonical',
+    }
+    url = {1: "http://a.com/one#top", 2: "http://a.com/two", 3: "http://a.com/three", 4: "http://bad.net/y", 5: "http://a.com/dir/", 6: "http://a.com/dir/next", 7: "http://c.com/", 8: "http://a.org/fr/1", 9: "http://a.com/one"}
+    pages = spark.createDataFrame([(k, u, html.get(k)) for k, u in url.items()], "page_id long, url string, html string")
+    edges = spark.createDataFrame([("http://a.com/dir/next", "http://a.com/gone"), ("http://a.com/gone", "http://x.net/z"), ("http://a.org/fr/1", "http://x.net/z"), (None, "q")], "src string, dst string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, RULES, edges).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "block"}
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    double = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+    return sum(x - 9 if x > 9 else x for x in double) % 10 == 0
+
+
+def brute_spans(text):
+    out = []
+    for order, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((m.start(), order, m.end(), kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def pii_texts():
+    rnd = random.Random(6)
+    parts = ["a.b@c.d", "x@y@z.org", "@", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "007.0.00.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "5500005555555559", "+1 (171) 555-2028", "+49.30.1234567890123", "+1", "(171) 555-2028", "12", " ", "é", "日本", "card ", "\n", "-", ".", "+", "name [at] host [dot] org", "555 123 4567", "𝒳"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", ", "]) for _ in range(rnd.randrange(1, 14))) for _ in range(150)]
+    return [None, "", "a@b.c_d@e.f", "a@b.c.@d.e", "9" * 3000, "a" * 20000, "a@" + "b." * 3000 + "c", "1 " * 5000, "1." * 4000, "+1" + "(" * 3000 + "1", *texts]
+
+
+def test_pii(spark):
+    texts = pii_texts()
+    docs = spark.createDataFrame([(k, t, "c") for k, t in enumerate(texts)] + [(3, texts[3], "c"), (None, "1.2.3.4", "c"), (0, "mail a@b.cc", "c")], "doc_id long, text string, kind string").repartition(3)
+    rows = pii.find_pii(docs).collect()
+    assert len(rows) == len(texts) + 3
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).append(r)
+    assert got[None][0]["base"] == "ip:0:7" and sorted(r["base"] for r in got[0]) == ["", "email:5:11"] and len(got[3]) == 2
+    for k, t in enumerate(texts):
+        if k == 0:
+            continue
+        r, base = got[k][0], brute_spans(t)
+        assert r["base"] == base, t[:80]
+        kinds = [x.split(":")[0] for x in base.split(",") if x]
+        assert [r[f"n_{x}"] for x in PATTERNS] == [kinds.count(x) for x in PATTERNS]
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert set(filter(None, base.split(","))) <= set(spans)
+    assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_redaction(spark):
+    rows = [(1, "call +1 (171) 555-2028 or a@b.cc.", 3), (2, None, 3), (None, "é 1.2.3.4 𝒳 4111 1111 1111 1111", 3), (4, "clean", 3), (4, "clean", 3)]
+    out = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, start int"))
+    assert out.columns == ["doc_id", "text", "start"]
+    assert sorted((r["text"] or "") for r in out.collect()) == sorted(["call [phone] or [email].", "", "é [ip] 𝒳 [card]", "clean", "clean"])
+
+
+def test_boosted_trees_learn_cells():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    x = np.stack([rnd.integers(0, v, 300) for v in pii.FEATURES.values()], 1)
+    truth = (x[:, 1] >= 4) & (x[:, 3] != 3)
+    n = rnd.integers(1, 20, 300).astype(float)
+    model = pii.boost(x, n * truth, n, n * truth, n)
+    chosen = 1 / (1 + np.exp(-(model.a * model.margin(x) + model.b))) >= model.threshold
+    assert (chosen == truth).mean() > 0.97 and 0.5 <= model.threshold <= 1

@@ -20,7 +20,7 @@ def from_rows(df: DataFrame, row: str, values: str) -> DataFrame:
 
 
 def constant(spark, height: int, width: int, v: float) -> DataFrame:
-    return spark.range(height).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).cast("long").alias("j"), F.lit(float(v)).alias("v"))
+    return spark.range(height).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("j"), F.lit(float(v)).alias("v"))
 
 
 def get(m: DataFrame, i: int, j: int) -> DataFrame:

@@ -110,11 +110,11 @@ SEGMENT_COLUMNS = ["ID", "chrom", "loc.start", "loc.end", "num.mark", "L2norm_ra
 
 
 def save_segments(segments: DataFrame, path: str, tool: str = "marlstone") -> None:
-    """Write segments (chrom, start, end, n, ratio[, threshold, mean]) as a tab-separated file with header."""
+    """Write segments (chrom, start, end, n, ratio[, threshold, mean]) as one tab-separated file with header, largest ratio first."""
     optional = lambda c: number_text(F.col(c)) if c in segments.columns else F.lit("NA")
     values = [F.lit(tool), F.col("chrom"), F.col("start"), F.col("end"), F.col("n"), number_text(F.col("ratio")), optional("threshold"), optional("mean")]
     named = [v.cast("string").alias(c) for v, c in zip(values, SEGMENT_COLUMNS, strict=True)]
-    segments.select(*named).write.mode("overwrite").csv(path, sep="\t", header=True)
+    segments.orderBy(F.desc("ratio")).select(*named).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
 def matrix_text(cells: DataFrame) -> DataFrame:

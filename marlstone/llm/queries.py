@@ -113,6 +113,35 @@ b AS (SELECT *, ((n_words < 50)::BIGINT * {BIT['too_few_words']} + (100 * n_repe
       + (10 * n_symbols > 3 * n_words)::BIGINT * {BIT['symbol_heavy']} + (100 * n_dup_lines > 30 * n_lines)::BIGINT * {BIT['duplicate_lines']}
       + (word_chars < 2 * n_words)::BIGINT * {BIT['short_words']} + (word_chars > 20 * n_words)::BIGINT * {BIT['long_words']}) AS failure_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failure_bits & 3) <> 0 AS base_failed, failure_bits = 0 AS kept, failure_bits FROM b
+""",
+    "op3_redirect_equivalence": r"""
+WITH RECURSIVE rules(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
+p AS (SELECT page_id, url, html, split_part(url, '#', 1) AS node FROM pages),
+tags AS (SELECT url, node, unnest(list_concat(
+    list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b')),
+    list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')))) AS tag FROM p WHERE url IS NOT NULL),
+raw AS (SELECT url, node, trim(replace(regexp_extract(tag, '(?i)(?:\bhref\s*=\s*|\burl\s*=\s*)["'']?([^"''\s>]+)', 1), '&amp;', '&')) AS t,
+    regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS site, split_part(url, '://', 1) AS scheme, regexp_extract(url, '^([^:/?#]+://[^/?#]*(?:/[^?#]*/|/)?)', 1) AS folder FROM tags),
+edges AS (SELECT node AS src, split_part(CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN site || t
+    WHEN ends_with(folder, '/') THEN folder || t ELSE folder || '/' || t END, '#', 1) AS dst FROM raw WHERE t <> ''),
+places AS (SELECT DISTINCT u FROM (SELECT url AS u FROM p UNION ALL SELECT node FROM p UNION ALL SELECT src FROM edges UNION ALL SELECT dst FROM edges)),
+rest AS (SELECT u, CASE WHEN contains(u, '://') THEN substr(u, strpos(u, '://') + 3) ELSE '' END AS r FROM places),
+parts AS (SELECT u, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+best AS (SELECT u, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+    FROM (SELECT parts.*, rules.* FROM parts LEFT JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))) GROUP BY ALL),
+sides AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+reach(u) AS (SELECT a FROM sides JOIN best ON best.u = a WHERE verdict = 'block' UNION SELECT b FROM reach JOIN sides ON a = reach.u)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, CASE WHEN node IN (SELECT u FROM reach) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best ON best.u = p.url
+""",
+    "op8_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, y FROM reach JOIN link ON r = x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.doc_id = d.doc_id GROUP BY ALL
 """,
     "op9_benchmark_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -24,6 +24,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     now = written(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     loops = now.where("u = v").select("u")
     now, seen = now.where("u != v"), None
     while True:

@@ -30,7 +30,7 @@ RULES = {
     "too_few_words": lambda m: m["n_words"] < 50,
     "repeated_windows": lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"],
     "symbol_heavy": lambda m: 10 * m["n_symbols"] > 3 * m["n_words"],
-    "duplicate_lines": lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"],
+    "duplicate_lines": lambda m: 2 * m["n_dup_lines"] > m["n_lines"],
     "short_words": lambda m: m["word_chars"] < 2 * m["n_words"],
     "long_words": lambda m: m["word_chars"] > 20 * m["n_words"],
 }

@@ -110,7 +110,7 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transfo
       coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
       FROM d LEFT JOIN l USING (r) LEFT JOIN c USING (r)),
 b AS (SELECT *, ((n_words < 50)::BIGINT * {BIT['too_few_words']} + (100 * n_repeat_words > 50 * n_words)::BIGINT * {BIT['repeated_windows']}
-      + (10 * n_symbols > 3 * n_words)::BIGINT * {BIT['symbol_heavy']} + (100 * n_dup_lines > 30 * n_lines)::BIGINT * {BIT['duplicate_lines']}
+      + (10 * n_symbols > 3 * n_words)::BIGINT * {BIT['symbol_heavy']} + (2 * n_dup_lines > n_lines)::BIGINT * {BIT['duplicate_lines']}
       + (word_chars < 2 * n_words)::BIGINT * {BIT['short_words']} + (word_chars > 20 * n_words)::BIGINT * {BIT['long_words']}) AS failure_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failure_bits & 3) <> 0 AS base_failed, failure_bits = 0 AS kept, failure_bits FROM b
 """,

@@ -41,7 +41,7 @@ def test_stages(spark, tmp_path):
     expected = {}
     for i, t, *_ in rows:
         m = brute_measures(t)
-        if not (m[0] < 50 or 100 * m[5] > 50 * m[0] or 10 * m[2] > 3 * m[0] or 100 * m[4] > 30 * m[3] or m[1] < 2 * m[0] or m[1] > 20 * m[0]):
+        if not (m[0] < 50 or 100 * m[5] > 50 * m[0] or 10 * m[2] > 3 * m[0] or 2 * m[4] > m[3] or m[1] < 2 * m[0] or m[1] > 20 * m[0]):
             expected[i] = t
     docs = corpus_pipeline.read_table(spark, str(tmp_path), "documents")
     states = []

@@ -68,7 +68,7 @@ def test_ledger(spark):
     for k, t in enumerate(texts):
         m = brute_measures(t)
         assert tuple(rows[k][c] for c in quality_rules.MEASURES) == m
-        fails = (m[0] < 50) * 1 + (100 * m[5] > 50 * m[0]) * 2 + (10 * m[2] > 3 * m[0]) * 4 + (100 * m[4] > 30 * m[3]) * 8 + (m[1] < 2 * m[0]) * 16 + (m[1] > 20 * m[0]) * 32
+        fails = (m[0] < 50) * 1 + (100 * m[5] > 50 * m[0]) * 2 + (10 * m[2] > 3 * m[0]) * 4 + (2 * m[4] > m[3]) * 8 + (m[1] < 2 * m[0]) * 16 + (m[1] > 20 * m[0]) * 32
         assert rows[k]["failure_bits"] == fails
     kept = {r["doc_id"] for r in quality_rules.keep_documents(docs).collect()}
     assert kept == {k for k in rows if rows[k]["failure_bits"] == 0}

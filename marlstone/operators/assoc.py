@@ -23,6 +23,16 @@ def additive_ratio(x: Column, y: Column) -> Column:
     return F.when((n == 0) | (sxx <= 1e-12) | (syy <= 1e-12), F.lit(1.0)).when(left <= 1e-12 * syy, F.lit(float("inf"))).otherwise(F.sqrt(syy / F.when(left > 0, left)))
 
 
+def additive_effect(x: Column, y: Column) -> Column:
+    """|Sxy / Sxx|, the change of y for each allele, as an aggregate; 0 where x does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    n = F.count(F.when(both, 1))
+    sx, sy = F.sum(F.when(both, x)), F.sum(F.when(both, y))
+    sxx = F.sum(F.when(both, x * x)) - sx * sx / F.nullif(n, F.lit(0))
+    sxy = F.sum(F.when(both, x * y)) - sx * sy / F.nullif(n, F.lit(0))
+    return F.when(sxx > 1e-12, F.abs(sxy / F.when(sxx > 1e-12, sxx))).otherwise(F.lit(0.0))
+
+
 def score_bins(counts: DataFrame, by: tuple[str, ...] = ("bin",), dosage: str = "dosage", n: str = "n") -> DataFrame:
     """``(*by, ratio)`` of counts by bin and sample (samples without a count must be present with 0)."""
     return counts.groupBy(*by).agg(additive_ratio(F.col(dosage).cast("double"), F.col(n).cast("double")).alias("ratio"))

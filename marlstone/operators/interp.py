@@ -80,6 +80,14 @@ def parabola(t: Column, t1: Column, y1: Column, t2: Column, y2: Column, t3: Colu
     return y1 + (t - t1) * (d1 + (t - t2) * d2), d1 + d2 * ((t - t1) + (t - t2))
 
 
+def three_point_derivative(knots: DataFrame) -> DataFrame:
+    """``(grp, t, slope)`` at the inner knots, of the parabola through each knot and its neighbours."""
+    order = Window.partitionBy("grp").orderBy("t")
+    side = [F.lag(c).over(order).alias(f"{c}0") for c in ("t", "y")] + [F.lead(c).over(order).alias(f"{c}2") for c in ("t", "y")]
+    _, slope = parabola(F.col("t"), F.col("t0"), F.col("y0"), F.col("t"), F.col("y"), F.col("t2"), F.col("y2"))
+    return knots.select("grp", "t", "y", *side).where("t0 is not null and t2 is not null").select("grp", "t", slope.alias("slope"))
+
+
 # Hermite and PCHIP
 
 

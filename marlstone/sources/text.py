@@ -88,6 +88,13 @@ def scan_gene_sets(spark: SparkSession, path: str, mapping: DataFrame | None = N
     return out.join(mapping.select(F.col("key").alias("member"), "id"), "member").select("set_name", F.col("id").alias("member"))
 
 
+def check_identifiers(sets: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """``(member, n_keys)`` of set members whose key is absent (0) or repeated (2 or more)."""
+    counted = keys.groupBy(F.col(key).alias("member")).agg(F.count("*").alias("n_keys"))
+    found = sets.select("member").distinct().join(counted, "member", "left")
+    return found.select("member", F.coalesce("n_keys", F.lit(0)).alias("n_keys")).where("n_keys != 1")
+
+
 def category_sets(table: DataFrame, category: str, key: str) -> DataFrame:
     """``(set_name, members)``: the sorted distinct keys of each category."""
     return table.where(F.col(category).isNotNull()).groupBy(F.col(category).cast("string").alias("set_name")).agg(F.sort_array(F.collect_set(key)).alias("members"))

@@ -29,12 +29,12 @@ from marlstone.llm.tokens import text_slices
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-#: Words whose ids a worker remembers before it starts anew.
-MEMO_WORDS = 300_000
+#: Words that a generation of a worker's memory holds; there are two generations.
+MEMO_WORDS = 250_000
 #: Buckets into which pieces of one length are dealt for ranking.
 RANK_BUCKETS = 256
 #: Steps of the local search; a search that is cut off leaves a valid packing.
-MAX_STEPS = 20_000
+MAX_STEPS = 2000
 
 _PUNCTUATION = b".,!#$%&*;:?)("
 
@@ -53,44 +53,64 @@ def _tokenizer(path: str | None):
     return Tokenizer.from_file(path)
 
 
+@cache
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it prints, else the next free one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
+
+
+class _Memo(dict):
+    """Ids by word; what is missing is looked up in the generation before, else computed."""
+
+    def __init__(self, compute, old: dict):
+        super().__init__()
+        self.compute, self.old = compute, old
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.compute(word)
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
-    """Ids of texts, word by word: the vocabulary's pieces never cross white space, so a word's ids are its own."""
+    """Ids of texts, word by word: the vocabulary's pieces never cross white space, so a word's ids are its own.
+
+    Closing punctuation is encoded apart from a word that ends in a letter or
+    digit, and a word of plain letters is its own piece for the vocabulary's
+    model; all other words take the whole way through the tokenizer.
+    """
 
     def __init__(self, path: str | None = None):
-        self.tokenizer, self.memo = _tokenizer(path), {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Upper case and closing punctuation are taken off where that cannot change the ids."""
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        for w in words:
-            base = w if b"<|" in w else w.lower()
-            stem = base.rstrip(_PUNCTUATION)
-            if stem and stem is not base and b"<|" not in w and (0x61 <= stem[-1] <= 0x7A or 0x30 <= stem[-1] <= 0x39):
-                parts[w] = stem, base[len(stem) :]
-            else:
-                parts[w] = base, b""
-        unknown = list({p for both in parts.values() for p in both if p} - self.memo.keys())
-        for a in range(0, len(unknown), 20_000):
-            some = unknown[a : a + 20_000]
-            self.memo.update(zip(some, self._encode(some), strict=True))
-        memo = self.memo
-        for w, (stem, tail) in parts.items():
-            memo[w] = memo[stem] + memo[tail] if tail else memo[stem]
+        self.tokenizer = _tokenizer(path)
+        self.model, self.characters = self.tokenizer.model, _byte_characters()
+        self.memo = _Memo(self._encode, {})
+
+    def _encode(self, word: bytes) -> bytes:
+        if b"<|" not in word:
+            word = word.lower()
+            stem = word.rstrip(_PUNCTUATION)
+            if stem and len(stem) < len(word) and (0x61 <= stem[-1] <= 0x7A or 0x30 <= stem[-1] <= 0x39 or stem[-1] >= 0x80 and stem.decode(errors="replace")[-1].isalpha()):
+                return self.memo[stem] + self.memo[word[len(stem) :]]
+        text = word.decode(errors="replace")
+        if text.isalpha():
+            if text.isascii():
+                return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(text))
+            low = text.lower()
+            if max(low) < "\u0250" and len(low) == len(text):
+                return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize("".join(map(self.characters.__getitem__, low.encode()))))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
         if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        if new := set().union(*split) - self.memo.keys():
-            self._learn(new)
+            self.memo = _Memo(self._encode, dict(self.memo))
         of = self.memo.__getitem__
-        for words in split:
-            yield b"".join(map(of, words))
+        for text in texts:
+            yield b"".join(map(of, text.split()))
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -128,15 +148,19 @@ class BinGroups:
 
     def __init__(self, capacity: int):
         self.capacity, self.groups = capacity, Counter()
+        self.underfull: dict[tuple[int, ...], int] = {}
 
     def add(self, items: tuple[int, ...], n: int) -> None:
         if items and n:
             self.groups[items] += n
+            if (fill := sum(items)) < self.capacity:
+                self.underfull[items] = fill
 
     def take(self, items: tuple[int, ...], n: int) -> None:
         self.groups[items] -= n
         if not self.groups[items]:
             del self.groups[items]
+            self.underfull.pop(items, None)
 
     @classmethod
     def best_fit(cls, lengths: dict[int, int], capacity: int) -> BinGroups:
@@ -213,13 +237,19 @@ class BinGroups:
         return without(giver, out, back), without(taker, back, out)
 
     def search(self, max_steps: int = MAX_STEPS) -> int:
-        """Exchange between underfull bins, the emptiest giving to fuller ones, until nothing improves. Returns the steps."""
+        """Exchange between underfull bins, the emptiest giving to fuller ones, until nothing improves.
+
+        It also ends when there are no more bins than the total length needs.
+        Returns the steps.
+        """
         steps, stuck = 0, set()
-        while steps < max_steps:
-            under = sorted((g for g in self.groups if sum(g) < self.capacity), key=lambda g: (sum(g), g))
+        needed = -(-sum(sum(g) * n for g, n in self.groups.items()) // self.capacity)
+        bins = sum(self.groups.values())
+        while steps < max_steps and bins > needed:
+            under = sorted(self.underfull, key=lambda g: (self.underfull[g], g))
             moved = False
             for giver in under[:64]:
-                for taker in [t for t in reversed(under[-256:]) if sum(t) >= sum(giver)]:
+                for taker in [t for t in reversed(under[-256:]) if self.underfull[t] >= self.underfull[giver]]:
                     if (giver, taker) in stuck or giver == taker and self.groups[giver] < 2:
                         continue
                     found = self._exchange(giver, taker)
@@ -231,6 +261,7 @@ class BinGroups:
                     self.take(taker, n)
                     for items in found:
                         self.add(items, n)
+                        bins -= 0 if items else n
                     steps, moved = steps + 1, True
                     break
                 if moved:

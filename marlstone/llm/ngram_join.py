@@ -231,7 +231,7 @@ def may_link(s_a: Column, s_b: Column, n_a: Column, n_b: Column, t: Fraction) ->
 def possible(pairs: DataFrame, sketches: DataFrame, t: Fraction) -> DataFrame:
     """The pairs (a, b) that may link."""
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = side("a").join(maybe_broadcast(pairs), "a").join(side("b"), "b")
     return written(both.where(may_link(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), t)).select("a", "b"), "possible")
 
 
@@ -253,7 +253,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
             yes = pa.array((common > 0) & (t.denominator * common >= t.numerator * total))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common), pa.array(total)], names=["a", "b", "common", "total"]).filter(yes)
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    joined = left.join(maybe_broadcast(pairs), "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return written(joined.mapInArrow(run, "a long, b long, common long, total long"), "links")
 
 
@@ -285,23 +285,25 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float | Fraction
     entries = entries.select("key", "rep", "size", (F.col("pos") < F.col("n_lead")).alias("lead"), "centre")
     sketches = first.select("doc_id", "n_shingles", "sketch")
 
-    middle = F.max(F.struct("centre", -F.col("rep"), "size", "lead")).alias("p")
-    stars = entries.groupBy("key").agg(F.count("*").alias("n"), F.max("lead").alias("any_lead"), middle).where("n > 1 and any_lead")
-    stars = stars.select("key", (-F.col("p.col2")).alias("p_rep"), F.col("p.size").alias("p_size"), F.col("p.lead").alias("p_lead"))
-    shared = written(entries.drop("centre").join(stars, "key"), "shared")
+    repeated = entries.groupBy("key").agg(F.count("*").alias("n"), F.max("lead").alias("any_lead")).where("n > 1 and any_lead").select("key")
+    shared = written(entries.join(repeated, "key"), "shared")
+    middle = shared.groupBy("key").agg(F.max(F.struct("centre", (-F.col("rep")).alias("neg"), "size", "lead")).alias("p"))
+    stars = middle.select("key", (-F.col("p.neg")).alias("p_rep"), F.col("p.size").alias("p_size"), F.col("p.lead").alias("p_lead"))
     fits = lambda small, large: small * t.denominator >= large * t.numerator
     smaller = F.struct("size", "rep") < F.struct(F.col("p_size").alias("size"), F.col("p_rep").alias("rep"))
     meets = F.when(smaller, F.col("lead") & fits(F.col("size"), F.col("p_size"))).otherwise(F.col("p_lead") & fits(F.col("p_size"), F.col("size")))
-    near = shared.where((F.col("rep") != F.col("p_rep")) & meets).select(F.greatest("rep", "p_rep").alias("a"), F.least("rep", "p_rep").alias("b")).distinct()
+    near = shared.join(stars, "key").where((F.col("rep") != F.col("p_rep")) & meets).select(F.greatest("rep", "p_rep").alias("a"), F.least("rep", "p_rep").alias("b")).distinct()
     near = written(near, "near")
     links = verify(possible(near, sketches, t), docs, n, t)
     found = connected_components(links, "a", "b")
 
     label = F.coalesce(F.col("component"), F.col("rep"))
-    labelled = shared.join(found, shared["rep"] == found["node"], "left").select("key", "rep", "size", "lead", label.alias("c"))
+    labelled = shared.join(maybe_broadcast(found), shared["rep"] == found["node"], "left").select("key", "rep", "size", "lead", label.alias("c"))
     mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rest = labelled.join(mixed, "key", "left_semi").join(sketches.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
-    rest = written(rest, "mixed")
+    rest = written(labelled.join(mixed, "key", "left_semi"), "mixed")
+    drawn = written(sketches.join(maybe_broadcast(rest.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sketch"), "drawn")
+    longs = drawn.agg(F.coalesce(F.sum(F.size("sketch") + 1), F.lit(0))).first()[0]
+    rest = rest.join(maybe_broadcast(drawn, longs), "rep")
     x, y = rest.alias("x"), rest.where("lead").alias("y")
     larger = F.struct("x.size", "x.rep") > F.struct("y.size", "y.rep")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & larger & (F.col("x.c") != F.col("y.c")) & fits(F.col("y.size"), F.col("x.size")) & may_link(F.col("x.sketch"), F.col("y.sketch"), F.col("x.size"), F.col("y.size"), t))
@@ -318,7 +320,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float | Fraction
     if not ties.isEmpty():  # an id with several texts ties their classes
         found = connected_components(links.select("a", "b").unionByName(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "a", "b")
     rows = index.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("representative", F.coalesce("rep", "doc_id")).drop("rep")
-    members = rows.join(found, rows["representative"] == found["node"], "left").select("doc_id", "n_shingles", "representative", F.coalesce("component", "representative").alias("component_id"))
+    members = rows.join(maybe_broadcast(found), rows["representative"] == found["node"], "left").select("doc_id", "n_shingles", "representative", F.coalesce("component", "representative").alias("component_id"))
     return members, links
 
 

@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -33,9 +33,6 @@ END = b"\0\0\0\0"
 MEMO_WORDS = 250_000
 #: Buckets into which pieces of one length are dealt for ranking.
 RANK_BUCKETS = 256
-#: Steps of the local search; a search that is cut off leaves a valid packing.
-MAX_STEPS = 2000
-
 _PUNCTUATION = b".,!#$%&*;:?)("
 
 
@@ -148,19 +145,76 @@ class BinGroups:
 
     def __init__(self, capacity: int):
         self.capacity, self.groups = capacity, Counter()
-        self.underfull: dict[tuple[int, ...], int] = {}
+        #: Underfull groups, the emptiest first, and by their room.
+        self.underfull: list[tuple[int, tuple[int, ...]]] = []
+        self.by_room: dict[int, list[tuple[int, ...]]] = {}
+        self.rooms: list[int] = []
+        #: When an underfull group of each room last came or grew.
+        self.clock, self.came = 0, {}
+        #: The rooms of the latest of them, in time order.
+        self.late: deque[int] = deque(maxlen=16)
+        self._reached: dict[int, tuple[int, int]] = {}
+        self._keys: dict[tuple[int, ...], tuple[int, int]] = {}
 
     def add(self, items: tuple[int, ...], n: int) -> None:
         if items and n:
             self.groups[items] += n
-            if (fill := sum(items)) < self.capacity:
-                self.underfull[items] = fill
+            if room := self.capacity - sum(items):
+                if self.groups[items] == n:
+                    if room not in self.by_room:
+                        self.by_room[room] = []
+                        bisect.insort(self.rooms, room)
+                    bisect.insort(self.by_room[room], items)
+                    bisect.insort(self.underfull, (self.capacity - room, items))
+                    self._reached.pop(room, None)
+                self.clock += 1
+                self.came[room] = self.clock
+                self.late.append(room)
 
     def take(self, items: tuple[int, ...], n: int) -> None:
         self.groups[items] -= n
         if not self.groups[items]:
             del self.groups[items]
-            self.underfull.pop(items, None)
+            if room := self.capacity - sum(items):
+                some = self.by_room[room]
+                del some[bisect.bisect_left(some, items)]
+                del self.underfull[bisect.bisect_left(self.underfull, (self.capacity - room, items))]
+                self._reached.pop(room, None)
+                if not some:
+                    del self.by_room[room], self.rooms[bisect.bisect_left(self.rooms, room)]
+
+    def _bits(self, items: tuple[int, ...]) -> tuple[int, int]:
+        """The lengths of a group and the sums of its pairs, as bits."""
+        found = self._keys.get(items)
+        if found is None:
+            ones = twos = 0
+            distinct = sorted(set(items))
+            for x in distinct:
+                ones |= 1 << x
+            for k, x in enumerate(distinct):
+                for y in distinct[:k]:
+                    twos |= 1 << x + y
+                if items.count(x) > 1:
+                    twos |= 1 << 2 * x
+            found = self._keys[items] = ones, twos
+        return found
+
+    def _reach(self, room: int, groups: Iterable[tuple[int, ...]]) -> tuple[int, int]:
+        """Lengths, and sums of two, for which one of these groups can give nothing, one or two pieces and become fuller."""
+        ones = twos = 0
+        for items in groups:
+            one, two = self._bits(items)
+            ones, twos = ones | one, twos | two
+
+        def spread(bits: int) -> int:
+            """Every bit at the next ``room`` places, without its own place."""
+            bits, done = bits << 1, 1
+            while done < room:
+                step = min(done, room - done)
+                bits, done = bits | bits << step, done + step
+            return bits
+
+        return spread(1 | ones | twos), spread(ones)
 
     @classmethod
     def best_fit(cls, lengths: dict[int, int], capacity: int) -> BinGroups:
@@ -236,38 +290,56 @@ class BinGroups:
         out, back = best
         return without(giver, out, back), without(taker, back, out)
 
-    def search(self, max_steps: int = MAX_STEPS) -> int:
+    def _partner(self, giver: tuple[int, ...], room: int):
+        """The taker of this room that an exchange with ``giver`` fills, and what becomes of both."""
+        ones, twos = self._bits(giver)
+        groups = self.by_room.get(room, ())
+        if room not in self._reached:
+            self._reached[room] = self._reach(room, groups)
+        one, two = self._reached[room]
+        if not (ones & one or twos & two):
+            return None
+        for taker in reversed(groups):
+            if giver == taker and self.groups[giver] < 2:
+                continue
+            one, two = self._reach(room, [taker])
+            if (ones & one or twos & two) and (found := self._exchange(giver, taker)):
+                return taker, found
+        return None
+
+    def search(self, max_steps: int | None = None) -> int:
         """Exchange between underfull bins, the emptiest giving to fuller ones, until nothing improves.
 
-        It also ends when there are no more bins than the total length needs.
-        Returns the steps.
+        Every pair of groups counts: a giver asks each room at once, by bits of
+        lengths, and later only the rooms where groups came since. It also ends
+        when there are no more bins than the total length needs. Returns the
+        steps.
         """
-        steps, stuck = 0, set()
+        steps, asked = 0, {}
         needed = -(-sum(sum(g) * n for g, n in self.groups.items()) // self.capacity)
         bins = sum(self.groups.values())
-        while steps < max_steps and bins > needed:
-            under = sorted(self.underfull, key=lambda g: (self.underfull[g], g))
-            moved = False
-            for giver in under[:64]:
-                for taker in [t for t in reversed(under[-256:]) if self.underfull[t] >= self.underfull[giver]]:
-                    if (giver, taker) in stuck or giver == taker and self.groups[giver] < 2:
-                        continue
-                    found = self._exchange(giver, taker)
-                    if found is None:
-                        stuck.add((giver, taker))
-                        continue
-                    n = self.groups[giver] // 2 if giver == taker else min(self.groups[giver], self.groups[taker])
-                    self.take(giver, n)
-                    self.take(taker, n)
-                    for items in found:
-                        self.add(items, n)
-                        bins -= 0 if items else n
-                    steps, moved = steps + 1, True
-                    break
-                if moved:
+        while bins > needed and (max_steps is None or steps < max_steps):
+            late = [*self.late]
+            for fill, giver in self.underfull:
+                own, since = self.capacity - fill, asked.get(giver, 0)
+                if self.clock - since < len(late):
+                    rooms = sorted({r for r in late[since - self.clock :] if r <= own}) if since < self.clock else ()
+                else:
+                    rooms = [r for r in self.rooms[: bisect.bisect_right(self.rooms, own)] if self.came[r] > since]
+                found = next(filter(None, (self._partner(giver, r) for r in rooms)), None)
+                if found:
                     break
-            if not moved:
+                asked[giver] = self.clock
+            else:
                 break
+            taker, after = found
+            n = self.groups[giver] // 2 if giver == taker else min(self.groups[giver], self.groups[taker])
+            self.take(giver, n)
+            self.take(taker, n)
+            for items in after:
+                self.add(items, n)
+                bins -= 0 if items else n
+            steps += 1
         return steps
 
     def plan(self) -> list[tuple[int, int, int, int, int]]:
@@ -283,7 +355,7 @@ class BinGroups:
         return rows
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, max_steps: int = MAX_STEPS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, max_steps: int | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
 
     Each piece is placed once; a sequence's pieces lie without gaps from 0.

@@ -67,6 +67,19 @@ def test_search_empties_bins():
     assert before == after and sum(groups.groups.values()) == 3 and all(sum(g) <= 10 for g in groups.groups)
 
 
+def test_search_ends_only_when_no_exchange_is_left():
+    rnd = random.Random(3)
+    counts = Counter(rnd.randint(400, 900) for _ in range(3000))
+    groups = packing.BinGroups.best_fit(counts, 2048)
+    before = sum(groups.groups.values())
+    groups.search()
+    assert sum((Counter({x: n * g.count(x) for x in set(g)}) for g, n in groups.groups.items()), Counter()) == counts
+    assert sum(groups.groups.values()) <= before - 25
+    under = sorted((g for g in groups.groups if sum(g) < 2048), key=sum)
+    pairs = [(a, b) for i, a in enumerate(under) for b in under[i:] if a != b or groups.groups[a] > 1]
+    assert all(groups._exchange(*p) is None for p in rnd.sample(pairs, min(len(pairs), 20_000)))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_every_piece_once(seed):
     rnd = random.Random(seed)

@@ -13,7 +13,7 @@ of an item once; an empty benchmark hits nothing; documents may repeat.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import written
+from marlstone.llm.common import maybe_broadcast, written
 from marlstone.llm.tokens import ALNUM, Words, scan_column
 
 #: Windows of the benchmark that may be broadcast at once (about 100 bytes each); larger benchmarks take several passes of so many.
@@ -81,19 +81,25 @@ class WindowSet:
                     yield a, k, items
 
 
+def _window_parts(items: DataFrame, n: int, max_windows: int) -> list[Callable[[], WindowSet]]:
+    """What loads each part of the benchmark's windows; a benchmark within the bound is one part."""
+    windows = benchmark_windows(items, n)
+    total = windows.count()
+    parts = max(1, -(-total // max_windows))
+    if parts == 1:
+        return [lambda: WindowSet.of(windows.toLocalIterator())]
+    windows = written(windows, "windows")
+    part = F.pmod(F.xxhash64("item"), F.lit(parts))
+    return [lambda p=p: WindowSet.of(windows.where(part == p).toLocalIterator()) for p in range(parts)]
+
+
 def load_window_sets(items: DataFrame, n: int, max_windows: int = MAX_WINDOWS) -> list[WindowSet]:
     """The benchmark's windows in sets of at most ``max_windows`` each.
 
     The number of windows is counted first. A benchmark within the bound makes
     one set; a larger one is split by the items' hash, each part a pass.
     """
-    windows = benchmark_windows(items, n)
-    total = windows.count()
-    parts = max(1, -(-total // max_windows))
-    if parts == 1:
-        return [WindowSet.of(windows.toLocalIterator())]
-    part = F.pmod(F.xxhash64("item"), F.lit(parts))
-    return [WindowSet.of(windows.where(part == p).toLocalIterator()) for p in range(parts)]
+    return [load() for load in _window_parts(items, n, max_windows)]
 
 
 def _covered(w: Words, one: WindowSet) -> tuple[np.ndarray, dict[int, set[str]]]:
@@ -119,16 +125,23 @@ def scan_documents(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
     maximal run of hit words. Each pass over a part of the benchmark adds to
     what the passes before it found.
     """
+    parts = _window_parts(_slim_items(items, item_col, item_text), n, max_windows)
+    return _scan(docs, parts, id_col, text_col)
+
+
+def _scan(docs: DataFrame, parts: list[Callable[[], WindowSet]], id_col: str, text_col: str) -> DataFrame:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     none = F.array().cast("array<struct<start:long,end:long>>")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), none.alias("spans"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-    sets = load_window_sets(_slim_items(items, item_col, item_text), n, max_windows)
-    for k, one in enumerate(sets):
-        rows = rows.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(one), span, keep_text=k < len(sets) - 1), schema)
-        if k < len(sets) - 1:
+    for k, load in enumerate(parts):
+        last = k == len(parts) - 1
+        shared = docs.sparkSession.sparkContext.broadcast(load())
+        rows = rows.mapInArrow(_scanner(shared, span, keep_text=not last), schema)
+        if not last:
             rows = written(rows, "scanned")
+            shared.unpersist()
     return rows.drop("text").withColumnRenamed("id", id_col)
 
 
@@ -165,6 +178,14 @@ def _runs(w: Words, hit: np.ndarray, d: int) -> list[dict]:
     return [{"start": int(w.start[a + x] - base), "end": int(w.end[a + y - 1] - base)} for x, y in zip(edges[::2], edges[1::2], strict=True)]
 
 
+def _without(text: bytes, spans: list[dict]) -> bytes:
+    pieces, at = [], 0
+    for r in spans:
+        pieces.append(text[at : r["start"]])
+        at = r["end"]
+    return b"".join([*pieces, text[at:]])
+
+
 def _cut(text: bytes, one: WindowSet) -> bytes:
     """Remove hit runs until none is left (a cut may join words into a new hit)."""
     while True:
@@ -174,11 +195,36 @@ def _cut(text: bytes, one: WindowSet) -> bytes:
             runs = _runs(w, hit, 0)
         if not runs:
             return text
-        pieces, at = [], 0
-        for r in runs:
-            pieces.append(text[at : r["start"]])
-            at = r["end"]
-        text = b"".join([*pieces, text[at:]])
+        text = _without(text, runs)
+
+
+def _remove_by_parts(docs: DataFrame, parts: list[Callable[[], WindowSet]], drop_from: float, text_col: str) -> DataFrame:
+    """The removal for several parts of a benchmark, with the results of one pass.
+
+    All parts are scanned before anything is cut, so drops and cuts see the
+    whole benchmark's hits on one text. The changed rows are scanned and cut
+    again until no part hits them.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_without(t.encode(), s).decode() for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_row", "_new"])
+
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    now, gone, changed = rows.select("_row", F.col(text_col).alias("_new")), None, None
+    while True:
+        hit = written(_scan(now, parts, "_row", "_new").where("n_hit > 0").select("_row", "spans", (F.col("n_hit") / F.col("n_words")).alias("share")), "hit")
+        if not (n := hit.count()):
+            break
+        if gone is None:
+            gone, hit = hit.where(F.col("share") >= drop_from).select("_row"), hit.where(F.col("share") < drop_from)
+        now = written(now.join(maybe_broadcast(hit, n), "_row").select("_row", "_new", "spans").mapInArrow(cut, "_row long, _new string"), "cut")
+        changed = now if changed is None else written(changed.join(maybe_broadcast(now.select("_row"), n), "_row", "left_anti").unionByName(now), "changed")
+    if gone is None:
+        return rows.drop("_row")
+    left = rows.join(maybe_broadcast(gone), "_row", "left_anti").join(changed, "_row", "left")
+    return left.select(*(F.coalesce("_new", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
 def remove_contamination(docs: DataFrame, items: DataFrame, n: int = 10, drop_from: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -186,7 +232,7 @@ def remove_contamination(docs: DataFrame, items: DataFrame, n: int = 10, drop_fr
 
     Hit runs of words are cut out of a document; one with at least
     ``drop_from`` of its words hit is dropped. Clean rows pass unchanged. A
-    benchmark over the bound is removed part by part.
+    benchmark over the bound is scanned part by part with the same results.
     """
     at = docs.columns.index(text_col)
 
@@ -209,7 +255,7 @@ def remove_contamination(docs: DataFrame, items: DataFrame, n: int = 10, drop_fr
 
         return run
 
-    out = docs
-    for k, one in enumerate(load_window_sets(_slim_items(items, item_col, item_text), n, max_windows)):
-        out = (written(out, "cleaned") if k else out).mapInArrow(remover(docs.sparkSession.sparkContext.broadcast(one)), docs.schema)
-    return out
+    parts = _window_parts(_slim_items(items, item_col, item_text), n, max_windows)
+    if len(parts) > 1:
+        return _remove_by_parts(docs, parts, drop_from, text_col)
+    return docs.mapInArrow(remover(docs.sparkSession.sparkContext.broadcast(parts[0]())), docs.schema)

@@ -137,6 +137,18 @@ def test_decontamination(spark, contaminated):
     assert all(brute_hits(r["text"], items, 10)[1] == 0 for r in decontamination.remove_contamination(docs, bench, n=10, max_windows=4).collect() if r["doc_id"] % 2 == 0)
 
 
+def test_decontamination_in_parts_is_that_of_one_pass(spark, contaminated):
+    items, texts = contaminated
+    passage = [f"q{k}" for k in range(40)]
+    items = [*items, (20, " ".join(passage[:12])), (21, " ".join(passage[5:17])), (22, " ".join(passage[20:32]))]
+    texts = [*texts, " ".join([f"u{k}" for k in range(30)] + passage[:17]), " ".join(passage[:12] + [f"u{k}" for k in range(15)] + passage[20:32]), None]
+    texts.append(" ".join([f"v{k}" for k in range(30)] + passage[:7] + passage[20:32] + passage[7:12]))
+    docs = spark.createDataFrame([(k if k % 7 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, parts = (sorted(map(str, decontamination.remove_contamination(docs, bench, n=10, max_windows=m).collect())) for m in (2_000_000, 4))
+    assert parts == one
+
+
 def brute_sets(texts, n):
     out = []
     for t in texts:

@@ -257,24 +257,12 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     return written(joined.mapInArrow(run, "a long, b long, common long, total long"), "links")
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float | Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Link documents whose word n-gram sets have Jaccard >= threshold.
+def _join_keyed(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(index, copies, links)`` of documents whose ids differ; null ids are in the index only.
 
-    Returns ``(members, links)``. ``members`` has a row for each input row:
-    doc_id, n_shingles, representative (smallest id with an equal set) and
-    component_id (smallest id reachable by links). ``links`` are verified pairs
-    (a, b) of representatives with ``common`` and ``total`` shingles: enough of
-    them to connect every component, without pairs inside a component that was
-    already connected.
-
-    Defined results: null and word-less texts have no shingles, are linked with
-    nothing and are components of their own; a null id has null representative
-    and component; repeated rows each get a row; rows with one id and different
-    texts count as one document that has the links of each text; an empty table
-    gives empty results; ids must be integers; other columns are not read.
+    ``copies`` have the smallest id with an equal set as ``rep``; ``links`` are
+    the verified pairs of those.
     """
-    t = Fraction(threshold).limit_denominator(10_000)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     index = index_documents(docs, n, t)
     sets = index.where("n_shingles > 0 and doc_id is not null")
     classes = written(sets.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
@@ -311,23 +299,79 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float | Fraction
     across = written(across.join(near, ["a", "b"], "left_anti"), "across")
     more = verify(across, docs, n, t)
     links = links.unionByName(more)
-    found = connected_components(links, "a", "b")
+    return index, others, links
+
+
+def _all_differ(ids: DataFrame, allow_null: bool) -> bool:
+    """Whether no id of the column ``doc_id`` is repeated and, unless allowed, none is null."""
+    counts = ids.groupBy("doc_id").count()
+    return counts.where(F.when(F.col("doc_id").isNull(), F.lit(not allow_null)).otherwise(F.col("count") > 1)).isEmpty()
+
+
+def _row_components(numbered: DataFrame, copies: DataFrame, links: DataFrame) -> DataFrame:
+    """``(_row, component)`` of numbered rows that copies, links or one id tie to others."""
+    first = numbered.where("doc_id is not null").groupBy("doc_id").agg(F.min("_row").alias("b"), F.max("_row").alias("last")).where("b < last")
+    ties = numbered.join(first, "doc_id").where("_row > b").select(F.col("_row").alias("a"), "b")
+    edges = links.select("a", "b").unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))).unionByName(ties)
+    return connected_components(edges, "a", "b").withColumnRenamed("node", "_row")
 
-    copies = others.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    again = others.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    ties = others.join(maybe_broadcast(again), "doc_id", "left_semi")
-    ties = written(ties.unionByName(maybe_broadcast(others).join(classes.select("rep").withColumnRenamed("rep", "own"), F.col("doc_id") == F.col("own")).select("doc_id", "rep")), "ties")
-    if not ties.isEmpty():  # an id with several texts ties their classes
-        found = connected_components(links.select("a", "b").unionByName(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "a", "b")
-    rows = index.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("representative", F.coalesce("rep", "doc_id")).drop("rep")
-    members = rows.join(maybe_broadcast(found), rows["representative"] == found["node"], "left").select("doc_id", "n_shingles", "representative", F.coalesce("component", "representative").alias("component_id"))
-    return members, links
+
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float | Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Link documents whose word n-gram sets have Jaccard >= threshold.
+
+    Returns ``(members, links)``. ``members`` has a row for each input row:
+    doc_id, n_shingles, representative (smallest id with an equal set) and
+    component_id (smallest id reachable by links). ``links`` are verified pairs
+    (a, b) of representatives with ``common`` and ``total`` shingles: enough of
+    them to connect every component, without pairs inside a component that was
+    already connected.
+
+    Defined results: null and word-less texts have no shingles, are linked with
+    nothing and are components of their own; a null id has null representative
+    and component; repeated rows each get a row; rows with one id and different
+    texts count as one document that has the links of each text; an empty table
+    gives empty results; ids must be integers; other columns are not read.
+    """
+    t = Fraction(threshold).limit_denominator(10_000)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if _all_differ(docs, allow_null=True):
+        index, copies, links = _join_keyed(docs, n, t)
+        found = connected_components(links, "a", "b")
+        rows = index.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("representative", F.coalesce("rep", "doc_id")).drop("rep")
+        members = rows.join(maybe_broadcast(found), rows["representative"] == found["node"], "left").select("doc_id", "n_shingles", "representative", F.coalesce("component", "representative").alias("component_id"))
+        return members, links
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    index, copies, links = _join_keyed(numbered.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text"), n, t)
+    rows = index.select(F.col("doc_id").alias("_row"), "n_shingles").join(numbered.where("doc_id is not null").select("_row", "doc_id"), "_row", "left")
+    rows = rows.join(copies.withColumnRenamed("doc_id", "_row"), "_row", "left").join(_row_components(numbered, copies, links), "_row", "left")
+    rows = written(rows.select("doc_id", "n_shingles", F.coalesce("rep", "_row").alias("rep"), F.coalesce("component", "_row").alias("component")), "rows")
+    named = rows.where("doc_id is not null")
+    names = written(named.groupBy("rep").agg(F.min("doc_id").alias("representative")), "names")
+    lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    members = rows.join(names, "rep", "left").join(lowest, "component", "left").select("doc_id", "n_shingles", "representative", "component_id")
+    a, b = (names.select(F.col("rep").alias(x), F.col("representative").alias(f"id_{x}")) for x in ("a", "b"))
+    links = links.join(a, "a").join(b, "b").where("id_a != id_b")
+    return members, links.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"), "common", "total").distinct()
 
 
 def keep_one_per_component(docs: DataFrame, n: int = 5, threshold: float | Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns kept, of the smallest id in each component; repeated rows of that id stay one row."""
-    members, _ = ngram_jaccard_join(docs, n, threshold, id_col, text_col)
-    gone = members.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    gone = written(gone, "gone")
-    left = docs.join(maybe_broadcast(gone), id_col, "left_anti")
-    return left
+    """The documents, all columns kept: one row of each component, the first of its smallest id.
+
+    Rows of one id belong to one component. A row with a null id is a document
+    of its own and goes where its component has a row with an id, or an earlier
+    one.
+    """
+    slim = lambda df, *more: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    if _all_differ(slim(docs), allow_null=False):
+        members, _ = ngram_jaccard_join(docs, n, threshold, id_col, text_col)
+        gone = members.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+        gone = written(gone, "gone")
+        return docs.join(maybe_broadcast(gone), id_col, "left_anti")
+    whole = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    numbered = slim(whole, "_row")
+    _, copies, links = _join_keyed(numbered.select(F.col("_row").alias("doc_id"), "text"), n, Fraction(threshold).limit_denominator(10_000))
+    found = _row_components(numbered, copies, links).join(numbered.select("_row", "doc_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
+    first = found.groupBy("component").agg(F.min(order).alias("first"))
+    gone = written(found.join(first.select("component", F.col("first._row").alias("stays")), "component").where("_row != stays").select("_row"), "gone")
+    return whole.join(maybe_broadcast(gone), "_row", "left_anti").drop("_row")

@@ -241,6 +241,20 @@ def test_join_of_repeated_and_null_ids(spark):
     assert members.count() == 0 and links.count() == 0
 
 
+def test_rows_of_one_id_and_of_none_are_joined_and_kept_once(spark):
+    a, b = ([f"{x}{k}" for k in range(40)] for x in "ab")
+    near = " ".join([*b[:-1], "other"])
+    rows = [(3, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (9, near), (7, "x y"), (7, "x y"), (None, "p q r s t u"), (None, "p q r s t u"), (None, near), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    members, links = ngram_join.ngram_jaccard_join(docs, 5, 0.8)
+    assert {(r["doc_id"], r["component_id"]) for r in members.collect()} == {(3, 3), (5, 3), (9, 3), (7, 7), (None, None)} and members.count() == len(rows)
+    assert [(r["a"], r["b"], r["common"], r["total"]) for r in links.collect()] == [(9, 5, 35, 37)]
+    left = ngram_join.keep_one_per_component(docs, 5, 0.8)
+    assert left.columns == docs.columns
+    got = sorted(r["k"] for r in left.collect())
+    assert len(got) == 4 and got[0] == 0 and got[1] in (4, 5) and got[2] in (6, 7) and got[3] == 9
+
+
 def test_components_of_random_graphs(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(50)] + [(100 + k, 101 + k) for k in range(30)] + [(500, 500), (600, 601), (601, 600), (None, 3)]

@@ -14,6 +14,7 @@ code points, end exclusive.
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections import Counter
@@ -70,9 +71,10 @@ def find(text: bytes) -> list[tuple[int, int, str]]:
         if run and c[0] >= reach:
             best: list[tuple[int, int, str]] = []
             for x in sorted(run, key=lambda c: (rank[c[2]], c[0])):
-                if all(x[1] <= y[0] or x[0] >= y[1] for y in best[-64:]):
-                    best.append(x)
-            kept += sorted(best)
+                k = bisect.bisect_left(best, x)
+                if (k == 0 or best[k - 1][1] <= x[0]) and (k == len(best) or x[1] <= best[k][0]):
+                    best.insert(k, x)
+            kept += best
             run, reach = [], -1
         run.append(c)
         reach = max(reach, c[1])
@@ -86,7 +88,7 @@ def features(value: bytes, before: bytes, path: str | None, rule: str, lexicon:
     share = np.bincount(codes, minlength=256)
     p = share[share > 0] / n
     low, at, known = value.lower(), 0, 0
-    while at < n and n <= 4096:
+    while at < n:
         for size in range(min(12, n - at), 2, -1):
             if low[at : at + size] in lexicon:
                 known, at = known + size, at + size
@@ -105,7 +107,7 @@ def features(value: bytes, before: bytes, path: str | None, rule: str, lexicon:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS) -> frozenset:
-    """The most frequent words of 3 to 12 letters of the corpus; batches report words seen 4 times or more."""
+    """The most frequent words of 3 to 12 letters of the corpus; batches report all their words, Spark sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,9 +116,9 @@ def lexicon(docs: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS)
                 size = w.end - w.start
                 ok = np.flatnonzero((size >= 3) & (size <= 12))
                 _, first, n = np.unique(w.hashes[ok], return_index=True, return_counts=True)
-                for i, c in zip(ok[first[n > 1]].tolist(), n[n > 1].tolist(), strict=True):
+                for i, c in zip(ok[first].tolist(), n.tolist(), strict=True):
                     total[w.data[w.start[i] : w.end[i]].tobytes()] += c
-            rows = [(k, v) for k, v in total.items() if v >= 4 and k.isalpha()]
+            rows = [(k, v) for k, v in total.items() if k.isalpha()]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([v for _, v in rows], pa.int64())], names=["word", "n"])
 
     counts = docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))

@@ -105,3 +105,12 @@ def test_labels_alternate_and_are_reproducible():
     lex = frozenset([b"alpha", b"beta"])
     a, b = secret_scan.labelled_findings(lex, 200), secret_scan.labelled_findings(lex, 200)
     assert a == b and 60 < sum(x[-1] for x in a) < 140
+
+
+def test_dictionary_counts_every_batch_and_any_length(spark):
+    docs = spark.createDataFrame([(f"seldom often often word{chr(97 + k)}",) for k in range(8)], "text string").repartition(8)
+    assert secret_scan.lexicon(docs, words=2) == {b"often", b"seldom"}
+    assert secret_scan.features(b"seldom" * 1000, b"", None, "run", frozenset([b"seldom"]))[6] == 1.0
+    keys = ["AKIA" + f"{k:016d}" for k in range(200)]
+    found = secret_scan.find(("token = " + "/".join(keys)).encode())
+    assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False)) and sum(r == "aws_key_id" for *_, r in found) == 200

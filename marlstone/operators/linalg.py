@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = "i long, j long, v double"
@@ -109,6 +109,28 @@ def gram_of_arrays(df: DataFrame, values: str) -> DataFrame:
     return df.select(values).where(F.col(values).isNotNull()).mapInPandas(run, CELLS).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+def covariance_of_arrays(df: DataFrame, values: str, by: str) -> DataFrame:
+    """Sample covariances ``(by, i, j, v)`` of rows that hold arrays of one width, by group.
+
+    Each batch gives the small product of each group's rows with a leading 1,
+    so that number, sums and products are summed by Spark as one matrix.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for name, part in pdf.groupby(by, dropna=False):
+                x = np.stack([np.asarray(v, float) for v in part[values]])
+                cells = _cells((one := np.column_stack([np.ones(len(x)), x])).T @ one)
+                yield cells.assign(**{by: part[by].iloc[0]})[[by, "i", "j", "v"]]
+
+    kind = df.schema[by].dataType.simpleString()
+    sums = df.select(by, values).where(F.col(values).isNotNull()).mapInPandas(run, f"{by} {kind}, {CELLS}").groupBy(by, "i", "j").agg(F.sum("v").alias("v"))
+    over = lambda cell, *keys: F.max(F.when(cell, F.col("v"))).over(Window.partitionBy(by, *keys))
+    first_i, first_j = F.col("i") == 0, F.col("j") == 0
+    sums = sums.select("*", over(first_i & first_j).alias("n"), over(first_j, "i").alias("si"), over(first_i, "j").alias("sj"))
+    return sums.where("i > 0 and j > 0").select(by, (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), ((F.col("v") - F.col("si") * F.col("sj") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0.0))).alias("v"))
+
+
 def lower(m: DataFrame) -> DataFrame:
     return m.where("i >= j")
 

@@ -424,9 +424,8 @@ def a8_trace_and_norm(spark, sf_dir):
 
 @query()
 def g1_glasso(spark, sf_dir):
-    """Precision of each label's embedding covariance (first eight dimensions) at two levels."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("m"), *(F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(8)))
-    cells = linalg.covariance(rows, [f"x{k}" for k in range(8)], ("m",))
+    """Precision of each label's embedding covariance (all dimensions) at two levels."""
+    cells = linalg.covariance_of_arrays(table(spark, sf_dir, "embeddings").withColumnRenamed("label", "m"), "embedding", "m")
     return glasso.graphical_lasso(cells, [0.001, 0.004]).select("m", "level", "i", "j", F.round("v", 3).alias("v"), (F.col("gap") < 1e-6).alias("solved"))
 
 

@@ -279,3 +279,27 @@ def test_entry_and_names(spark):
 
     known, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(known) and __spark_entry__.entry(spark).count() > 0
+
+
+def test_covariance_of_arrays(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 12)) + 3
+    rows = [(("a", "b", None)[k % 3], v.tolist()) for k, v in enumerate(x)] + [("a", None), ("z", x[0].tolist())]
+    cells = linalg.covariance_of_arrays(spark.createDataFrame(rows, "m string, v array<double>").repartition(5), "v", "m").collect()
+    for k, m in enumerate(("a", "b", None)):
+        got = np.full((12, 12), np.nan)
+        for r in cells:
+            if r["m"] == m:
+                got[r["i"], r["j"]] = r["v"]
+        assert np.allclose(got, np.cov(x[k::3].T))
+    assert {r["v"] for r in cells if r["m"] == "z"} == {None}
+
+
+def test_g1_glasso_has_all_dimensions(spark, tmp_path):
+    from marlstone.plans import catalogue
+
+    rng = np.random.default_rng(5)
+    rows = [(k % 2, v.tolist()) for k, v in enumerate(rng.normal(size=(400, 64)) / 8)]
+    spark.createDataFrame(rows, "label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = catalogue.QUERIES["g1_glasso"](spark, str(tmp_path)).collect()
+    assert len(found) == 2 * 2 * 64 * 64 and all(r["solved"] for r in found)

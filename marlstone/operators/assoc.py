@@ -38,16 +38,30 @@ def score_bins(counts: DataFrame, by: tuple[str, ...] = ("bin",), dosage: str =
     return counts.groupBy(*by).agg(additive_ratio(F.col(dosage).cast("double"), F.col(n).cast("double")).alias("ratio"))
 
 
-def complete(counts: DataFrame, samples: DataFrame, bins: DataFrame, keys: tuple[str, ...] = ("bin", "sample")) -> DataFrame:
-    """Every bin of ``bins`` for every sample, with 0 where nothing was counted.
+def score_counts(counts: DataFrame, samples: DataFrame, bins: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, bin, ratio, effect, mean)`` of every bin over all samples, those without a count being 0.
 
-    The grid bins x samples is the design of the test; samples are few and
-    broadcast as one array after their number was checked.
+    ``counts`` (bin, sample, n) holds what was counted, ``samples`` (*by,
+    sample, dosage) each sample once. Zeros add nothing to the sums of y, y*y
+    and x*y, and n and the sums of x and x*x are the same for all bins, so no
+    grid of bins and samples is made.
     """
-    names = samples.select("sample").distinct().limit(100_001).collect()
-    if len(names) > 100_000:
-        raise ValueError("more than 100,000 samples")
-    grid = bins.select("bin").distinct().withColumn("sample", F.explode(F.array(*(F.lit(r[0]) for r in names))))
+    x, y = F.col("dosage").cast("double"), F.col("n").cast("double")
+    known = samples.where(x.isNotNull()).select(*by, "sample", x.alias("dosage"))
+    totals = known.groupBy(*by).agg(F.count("*").alias("_k"), F.sum(x).alias("_sx"), F.sum(x * x).alias("_sxx")).where("_k > 0")
+    found = counts.join(known, "sample").groupBy(*by, "bin").agg(F.sum(y).alias("_sy"), F.sum(y * y).alias("_syy"), F.sum(x * y).alias("_sxy"))
+    table = bins.select("bin").distinct().join(F.broadcast(totals)).join(found, [*by, "bin"], "left").na.fill(0.0, ["_sy", "_syy", "_sxy"])
+    n, sx, sy = F.col("_k"), F.col("_sx"), F.col("_sy")
+    sxx, syy, sxy = F.col("_sxx") - sx * sx / n, F.col("_syy") - sy * sy / n, F.col("_sxy") - sx * sy / n
+    left = syy - sxy * sxy / F.when(sxx > 1e-12, sxx)
+    ratio = F.when((sxx <= 1e-12) | (syy <= 1e-12), F.lit(1.0)).when(left <= 1e-12 * syy, F.lit(float("inf"))).otherwise(F.sqrt(syy / F.when(left > 0, left)))
+    effect = F.when(sxx > 1e-12, F.abs(sxy / F.when(sxx > 1e-12, sxx))).otherwise(F.lit(0.0))
+    return table.select(*by, "bin", ratio.alias("ratio"), effect.alias("effect"), (sy / n).alias("mean"))
+
+
+def complete(counts: DataFrame, samples: DataFrame, bins: DataFrame, keys: tuple[str, ...] = ("bin", "sample")) -> DataFrame:
+    """Every bin of ``bins`` for every sample, with 0 where nothing was counted: a product, for output only (``score_counts`` needs no grid)."""
+    grid = bins.select("bin").distinct().crossJoin(samples.select("sample").distinct())
     return grid.join(counts, list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"))
 
 

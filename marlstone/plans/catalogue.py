@@ -84,8 +84,7 @@ def t10_association(spark, sf_dir):
     ev = events(spark, sf_dir)
     samples = ev.select(F.col("user_id").alias("sample")).distinct()
     counts = intervals.bin_counts(ev.withColumnRenamed("user_id", "sample"), "minute", 0, HIGH, SPACING, SIZE, by=("sample",))
-    full = assoc.complete(counts, samples, intervals.bin_grid(spark, 0, HIGH, SPACING))
-    scored = assoc.score_bins(full.withColumn("dosage", F.col("sample") % 3))
+    scored = assoc.score_counts(counts, samples.withColumn("dosage", F.col("sample") % 3), intervals.bin_grid(spark, 0, HIGH, SPACING))
     return scored.select("bin", F.round("ratio", 6).alias("ratio"))
 
 

@@ -51,30 +51,28 @@ def parse(arguments: list[str]) -> tuple[list[str], Options]:
     return positional, options
 
 
-def bin_table(genotypes: DataFrame, cuts: DataFrame, o: Options) -> DataFrame:
-    """``(bin, sample, dosage, n)``: counts of both interval ends in every bin, for every sample with a call and a file."""
+def bin_counts(genotypes: DataFrame, cuts: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(counts, calls, grid)``: counts of both interval ends by bin and sample, the samples with a call and a file, all bins."""
     calls = genotypes.where((F.col("rsid") == o.rsid) & F.col("dosage").isNotNull()).select("sample", "dosage")
     calls = calls.join(cuts.select("sample").distinct(), "sample", "left_semi")
     ends = intervals.interval_ends(cuts.where(text.in_region(o.chr, o.minbp, o.maxbp)).select("sample", "start", "end"))
-    counts = intervals.bin_counts(ends.join(F.broadcast(calls.select("sample")), "sample", "left_semi"), "position", o.minbp, o.maxbp, o.binspacing, o.binsize, by=("sample",))
-    grid = intervals.bin_grid(genotypes.sparkSession, o.minbp, o.maxbp, o.binspacing)
-    return assoc.complete(counts, calls, grid).join(F.broadcast(calls), "sample")
+    counts = intervals.bin_counts(ends.join(calls.select("sample"), "sample", "left_semi"), "position", o.minbp, o.maxbp, o.binspacing, o.binsize, by=("sample",))
+    return counts, calls, intervals.bin_grid(genotypes.sparkSession, o.minbp, o.maxbp, o.binspacing)
 
 
-def scored(table: DataFrame) -> DataFrame:
-    x, y = F.col("dosage").cast("double"), F.col("n").cast("double")
-    return table.groupBy("bin").agg(assoc.additive_ratio(x, y).alias("ratio"), assoc.additive_effect(x, y).alias("effect"), F.avg("n").alias("mean"))
+def bin_table(genotypes: DataFrame, cuts: DataFrame, o: Options) -> DataFrame:
+    """``(bin, sample, dosage, n)``: the counts of every bin for every sample, with zeros."""
+    counts, calls, grid = bin_counts(genotypes, cuts, o)
+    return assoc.complete(counts, calls, grid).join(calls, "sample")
 
 
 def find_segments(genotypes: DataFrame, cuts: DataFrame, o: Options) -> DataFrame:
     """``(l1, l2, chrom, start, end, n, ratio, threshold, mean[, p, q])`` for every pair of floors."""
-    table = bin_table(genotypes, cuts, o)
-    bins = scored(table).where((F.col("ratio") >= min(o.l1)) & (F.col("effect") >= min(o.l2)))
+    counts, calls, grid = bin_counts(genotypes, cuts, o)
+    bins = assoc.score_counts(counts, calls.distinct(), grid).where((F.col("ratio") >= min(o.l1)) & (F.col("effect") >= min(o.l2)))
     extra = []
     if o.p:
-        samples = table.select("sample", "dosage").distinct()
-        null = table.drop("dosage").join(F.broadcast(bins.select("bin")), "bin", "left_semi").join(F.broadcast(assoc.permuted(samples, o.p)), "sample")
-        drawn = assoc.score_bins(null, by=("rep", "bin")).select("bin", "ratio")
+        drawn = assoc.score_counts(counts, assoc.permuted(calls.distinct(), o.p), bins, by=("rep",)).select("bin", "ratio")
         tested = assoc.benjamini_hochberg(assoc.permutation_p(bins.select("bin", "ratio"), drawn).select("bin", "p"))
         bins = bins.join(tested, "bin").where(F.col("q") <= o.fdr)
         extra = ["p", "q"]

@@ -281,6 +281,17 @@ def test_entry_and_names(spark):
     assert set(sql) <= set(known) and __spark_entry__.entry(spark).count() > 0
 
 
+def test_scores_of_counts_need_no_grid(spark):
+    samples = spark.createDataFrame([(k, k % 3 if k else None) for k in range(20)], "sample long, dosage int")
+    counts = spark.createDataFrame([(b, s, 1 + (s * b) % 4) for b in range(4) for s in range(b, 20, 2)], "bin long, sample long, n long")
+    bins = spark.range(6).withColumnRenamed("id", "bin")
+    want = {r["bin"]: r["ratio"] for r in assoc.score_bins(assoc.complete(counts, samples, bins).join(samples, "sample")).collect()}
+    got = {r["bin"]: r["ratio"] for r in assoc.score_counts(counts, samples, bins).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[b], want[b]) for b in want)
+    many = spark.range(100_002).select(F.col("id").alias("sample"), (F.col("id") % 3).alias("dosage"))
+    assert assoc.score_counts(counts, many, bins).count() == 6
+
+
 def test_covariance_of_arrays(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 12)) + 3

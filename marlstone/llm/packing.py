@@ -2,18 +2,24 @@
 
 Documents become token ids; only those longer than a sequence are cut. Packing
 depends on lengths alone, so the corpus is reduced to a histogram of piece
-lengths (at most ``capacity`` counts, whatever its size). Best-fit decreasing
-and the local search work on groups of equal bins with a multiplicity; the
-resulting plan places the r-th piece of each length, and pieces get their rank
-by a distributed two-level count.
+lengths (at most ``capacity`` counts, whatever its size). A first packing by
+best fit in no particular order is improved by local search: one-for-one and
+two-for-one exchanges and moves between underfull bins raise the squared fill
+until bins empty. Where no exchange is left, the underfull bins and as many full
+ones are dealt anew and the search goes on. All of this works on groups of equal
+bins with a multiplicity; the resulting plan places the r-th piece of each
+length, and pieces get their rank by a distributed two-level count.
 
 Defined results: null text is empty and gives its end token only; repeated
-rows are packed each; an empty table gives an empty result; null ids stay null.
+rows are packed each; an empty table gives an empty result; null ids stay null;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import bisect
+import random
+import re
 import zlib
 from collections import Counter, deque
 from collections.abc import Iterable, Iterator
@@ -29,11 +35,15 @@ from marlstone.llm.tokens import text_slices
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-#: Words that a generation of a worker's memory holds; there are two generations.
-MEMO_WORDS = 250_000
-#: Buckets into which pieces of one length are dealt for ranking.
-RANK_BUCKETS = 256
-_PUNCTUATION = b".,!#$%&*;:?)("
+#: Words from which on a worker starts a new generation of its memory; there are two generations.
+MEMO_WORDS = 200_000
+#: Words that one call of the library gets.
+WORDS_AT_ONCE = 500
+#: Pieces of one length for which one bucket for ranking is made.
+ROWS_PER_BUCKET = 50_000
+#: Times that underfull bins are dealt anew without fewer bins before the search ends.
+PATIENCE, WORSE = 10, 5
+_BORDER = re.compile("(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,!#$%&*;:?)(]")
 
 
 @cache
@@ -50,64 +60,72 @@ def _tokenizer(path: str | None):
     return Tokenizer.from_file(path)
 
 
-@cache
-def _byte_characters() -> list[str]:
-    """The character that stands for each byte in a byte-level vocabulary: itself where it prints, else the next free one from 256 on."""
-    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
-
-
-class _Memo(dict):
-    """Ids by word; what is missing is looked up in the generation before, else computed."""
-
-    def __init__(self, compute, old: dict):
-        super().__init__()
-        self.compute, self.old = compute, old
+def spaced(text: str) -> str:
+    """A text with the same ids but fewer distinct words.
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.compute(word)
-        self[word] = ids
-        return ids
+    Closing punctuation never joins a Latin letter or digit before it, so a space
+    goes between them. Latin-1 texts without special tokens have nothing to
+    compose, and their letters change case one by one, so they are lower-cased.
+    """
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    return _BORDER.sub(r" \g<0>", text)
 
 
 class WordEncoder:
-    """Ids of texts, word by word: the vocabulary's pieces never cross white space, so a word's ids are its own.
+    """Ids of texts by the library, each distinct word once.
 
-    Closing punctuation is encoded apart from a word that ends in a letter or
-    digit, and a word of plain letters is its own piece for the vocabulary's
-    model; all other words take the whole way through the tokenizer.
+    The vocabulary drops white space, no piece of it crosses white space, and
+    neither normalisation nor composition reaches over a space. So a text's ids
+    are those of its words, one after the other. Words that are new to the memory
+    go to the library many at a time, with a word of one id between them; words
+    that hold this mark go alone.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str | None = None):
         self.tokenizer = _tokenizer(path)
-        self.model, self.characters = self.tokenizer.model, _byte_characters()
-        self.memo = _Memo(self._encode, {})
-
-    def _encode(self, word: bytes) -> bytes:
-        if b"<|" not in word:
-            word = word.lower()
-            stem = word.rstrip(_PUNCTUATION)
-            if stem and len(stem) < len(word) and (0x61 <= stem[-1] <= 0x7A or 0x30 <= stem[-1] <= 0x39 or stem[-1] >= 0x80 and stem.decode(errors="replace")[-1].isalpha()):
-                return self.memo[stem] + self.memo[word[len(stem) :]]
-        text = word.decode(errors="replace")
-        if text.isalpha():
-            if text.isascii():
-                return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(text))
-            low = text.lower()
-            if max(low) < "\u0250" and len(low) == len(text):
-                return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize("".join(map(self.characters.__getitem__, low.encode()))))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        (self.mark,) = self._library(self.MARK)
+
+    def _library(self, text: str) -> np.ndarray:
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, "<u4")
+
+    def _encode(self, words: list[bytes]) -> None:
+        mark = self.MARK.encode()
+        plain = [w for w in words if mark not in w]
+        for k in range(0, len(plain), WORDS_AT_ONCE):
+            some = plain[k : k + WORDS_AT_ONCE]
+            ids = self._library(f" {self.MARK} ".join(w.decode() for w in some))
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if len(ends) != len(some):
+                raise RuntimeError("the vocabulary does not keep words apart")
+            raw = ids.tobytes()
+            for w, a, b in zip(some, [0, *(4 * ends[:-1] + 4).tolist()], (4 * ends).tolist(), strict=True):
+                self.memo[w] = raw[a:b]
+        for w in words:
+            if mark in w:
+                self.memo[w] = self._library(w.decode()).tobytes()
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.memo) > MEMO_WORDS:
-            self.memo = _Memo(self._encode, dict(self.memo))
+            self.memo, self.old = {}, self.memo
+        words = [spaced(text.decode()).encode().split() for text in texts]
+        new = set().union(*words).difference(self.memo)
+        known = [w for w in new if w in self.old]
+        self.memo.update((w, self.old[w]) for w in known)
+        self._encode(list(new.difference(known)))
         of = self.memo.__getitem__
-        for text in texts:
-            yield b"".join(map(of, text.split()))
+        for some in words:
+            yield b"".join(map(of, some))
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -217,8 +235,15 @@ class BinGroups:
         return spread(1 | ones | twos), spread(ones)
 
     @classmethod
-    def best_fit(cls, lengths: dict[int, int], capacity: int) -> BinGroups:
-        """Best-fit decreasing over counts of lengths."""
+    def of(cls, groups: dict[tuple[int, ...], int], capacity: int) -> BinGroups:
+        out = cls(capacity)
+        for items, n in groups.items():
+            out.add(items, n)
+        return out
+
+    @classmethod
+    def best_fit(cls, lengths: dict[int, int], capacity: int, order: Iterable[int] | None = None) -> BinGroups:
+        """Best fit over counts of lengths, one length after the other: the longest first or in the given order."""
         by_room: dict[int, Counter] = {}
         rooms: list[int] = []
 
@@ -229,7 +254,7 @@ class BinGroups:
                 bisect.insort(rooms, room)
             by_room[room][items] += n
 
-        for length in sorted(lengths, reverse=True):
+        for length in order or sorted(lengths, reverse=True):
             left = lengths[length]
             while left:
                 k = bisect.bisect_left(rooms, length)
@@ -251,11 +276,7 @@ class BinGroups:
                     by_room[room][items] -= many
                 put((*items, length), many)
                 left -= many
-        out = cls(capacity)
-        for some in by_room.values():
-            for items, n in some.items():
-                out.add(items, n)
-        return out
+        return cls.of({items: n for some in by_room.values() for items, n in some.items()}, capacity)
 
     def _exchange(self, giver: tuple[int, ...], taker: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
         """The move, one-for-one or two-for-one exchange that fills ``taker`` most; each raises the squared fill."""
@@ -316,8 +337,7 @@ class BinGroups:
         steps.
         """
         steps, asked = 0, {}
-        needed = -(-sum(sum(g) * n for g, n in self.groups.items()) // self.capacity)
-        bins = sum(self.groups.values())
+        needed, bins = self.needed(), self.bins()
         while bins > needed and (max_steps is None or steps < max_steps):
             late = [*self.late]
             for fill, giver in self.underfull:
@@ -342,6 +362,33 @@ class BinGroups:
             steps += 1
         return steps
 
+    def bins(self) -> int:
+        return sum(self.groups.values())
+
+    def needed(self) -> int:
+        """The bins that the total length fills at least."""
+        return -(-sum(sum(g) * n for g, n in self.groups.items()) // self.capacity)
+
+    def shake(self, rnd: random.Random) -> None:
+        """Take the pieces out of all underfull bins and of about as many full ones and deal them anew by best fit."""
+        some = [(items, self.groups[items]) for _, items in self.underfull]
+        left = sum(n for _, n in some)
+        full = [items for items in self.groups if sum(items) == self.capacity]
+        rnd.shuffle(full)
+        share = max(1, left // 8)
+        for items in full:
+            if left <= 0:
+                break
+            some.append((items, min(self.groups[items], share)))
+            left -= some[-1][1]
+        lengths: Counter = Counter()
+        for items, n in some:
+            self.take(items, n)
+            for x in items:
+                lengths[x] += n
+        for items, n in self.best_fit(lengths, self.capacity).groups.items():
+            self.add(items, n)
+
     def plan(self) -> list[tuple[int, int, int, int, int]]:
         """(length, first rank, end rank, first sequence, offset): where the pieces of each length go."""
         used, rows, sequence = Counter(), [], 0
@@ -355,25 +402,57 @@ class BinGroups:
         return rows
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, max_steps: int | None = None) -> DataFrame:
+def packed_groups(lengths: dict[int, int], capacity: int, patience: int = PATIENCE, seed: int = 17) -> tuple[BinGroups, list[int]]:
+    """The packing of counts of lengths, and the number of bins of the first packing and after each search.
+
+    The rounds end at the lower bound, or when ``patience`` of them in a row gave
+    no fewer bins; one that gave more is undone and counts for ``WORSE``. Best-fit decreasing is the yardstick: where it needs fewer
+    bins, it takes the search's place.
+    """
+    rnd = random.Random(seed)
+    order = sorted(lengths)
+    rnd.shuffle(order)
+    groups = BinGroups.best_fit(lengths, capacity, order)
+    history = [groups.bins()]
+    groups.search()
+    history.append(groups.bins())
+    idle = 0
+    while groups.bins() > groups.needed() and idle < patience:
+        before = dict(groups.groups)
+        groups.shake(rnd)
+        groups.search()
+        more = groups.bins() - history[-1]
+        idle = 0 if more < 0 else idle + 1 if more == 0 else idle + WORSE
+        if more > 0:
+            groups = BinGroups.of(before, capacity)
+        history.append(groups.bins())
+    yardstick = BinGroups.best_fit(lengths, capacity)
+    if yardstick.bins() < groups.bins():
+        yardstick.search()
+        groups = yardstick
+    return groups, history
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, patience: int = PATIENCE) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
 
     Each piece is placed once; a sequence's pieces lie without gaps from 0.
+    Pieces of one length are alike, ties go by their place in the table.
     """
     spark = pieces.sparkSession
     pieces = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    bucket = F.pmod(F.xxhash64("_row"), F.lit(RANK_BUCKETS)).alias("_bucket")
-    counts = written(pieces.groupBy("length", bucket).count(), "lengths")
-    lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    groups = BinGroups.best_fit(lengths, capacity)
-    groups.search(max_steps)
+    lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    groups, _ = packed_groups(lengths, capacity, patience)
     plan = groups.plan()
     places = spark.createDataFrame(plan, "length long, first_rank long, end_rank long, first_sequence long, offset long")
+    buckets = {k: -(-n // ROWS_PER_BUCKET) for k, n in lengths.items()}
+    dealt = spark.createDataFrame([*buckets.items()], "length long, _buckets long")  # a row a length: at most ``capacity``
+    ranked = pieces.join(F.broadcast(dealt), "length").withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.col("_buckets"))).drop("_buckets")
     before = F.sum("count").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    starts = ranked.groupBy("length", "_bucket").count().select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_row")) - 1
-    ranked = pieces.withColumn("_bucket", bucket).withColumn("_local", local)
-    ranked = ranked.join(maybe_broadcast(starts, len(lengths) * RANK_BUCKETS), ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_local"))
+    ranked = ranked.withColumn("_local", local)
+    ranked = ranked.join(maybe_broadcast(starts, sum(buckets.values())), ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_local"))
     fits = (ranked["length"] == places["length"]) & (F.col("_rank") >= F.col("first_rank")) & (F.col("_rank") < F.col("end_rank"))
     placed = ranked.join(maybe_broadcast(places, len(plan)), fits).drop(places["length"])
     return placed.withColumn("sequence_id", F.col("first_sequence") + F.col("_rank") - F.col("first_rank")).select(*(c for c in pieces.columns if c != "_row"), "sequence_id", "offset")

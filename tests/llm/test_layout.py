@@ -27,6 +27,49 @@ def test_word_ids_equal_whole_text_ids():
         assert got == b"".join(i.to_bytes(4, "little") for i in ids), t
 
 
+def same_ids(encoder, whole, texts):
+    for t, got, e in zip(texts, encoder.ids([t.encode() for t in texts]), whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got == b"".join(i.to_bytes(4, "little") for i in e.ids), repr(t)
+
+
+def test_word_ids_over_all_of_unicode():
+    encoder, whole = packing.WordEncoder(), packing._tokenizer(None)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(every), 20_000):
+        same_ids(encoder, whole, [f"{c}! A{c}.x {c}B?" for c in every[a : a + 20_000 : 1 if a < 0x3000 else 7]])
+    rnd = random.Random(11)
+    odd = ["\u0130", "!", "'", "s", "'s", "\u0301", "\u0338", "<", "=", "<|endoftext|>", "<|", "|>", "\x01", "\x1c", "\x85", "\u00a0", "\u200b", "\u03a3", "\u00df", "\u01c5", "1", "\u00b2", "\u00e9", "A", "\u65e5", "\u1100", "\u1161", " ", "\n"]
+    same_ids(encoder, whole, ["".join(rnd.choice(odd) if rnd.random() < 0.8 else rnd.choice(every) for _ in range(rnd.randrange(12))) for _ in range(30_000)])
+
+
+def test_search_alone_empties_bins_of_the_first_packing():
+    rnd = random.Random(5)
+    counts = Counter(rnd.choice([2048, rnd.randrange(1, 2049), rnd.randrange(1, 300)]) for _ in range(4000))
+    groups, history = packing.packed_groups(counts, 2048)
+    assert history[1] < history[0] and groups.bins() == min(history) == groups.needed()
+    assert groups.bins() <= packing.BinGroups.best_fit(counts, 2048).bins()
+    assert sum((Counter({x: n * g.count(x) for x in set(g)}) for g, n in groups.groups.items()), Counter()) == counts
+    hard = Counter(rnd.randint(400, 900) for _ in range(800))
+    groups, history = packing.packed_groups(hard, 2048)
+    assert groups.bins() == min(history) <= packing.BinGroups.best_fit(hard, 2048).bins()
+
+
+def test_ranks_over_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_BUCKET", 7)
+    pieces = spark.createDataFrame([(k, 5 + k % 3) for k in range(200)], "doc_id long, length long").repartition(5)
+    fill = defaultdict(list)
+    rows = packing.pack(pieces, 16).collect()
+    for r in rows:
+        fill[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(r["doc_id"] for r in rows) == list(range(200))
+    for some in fill.values():
+        at = 0
+        for offset, length in sorted(some):
+            assert offset == at
+            at += length
+        assert at <= 16
+
+
 def test_packing_round_trip(spark):
     texts = TEXTS + random_texts(9, 40) + ["longer text here. " * 900] * 3
     docs = spark.createDataFrame([(k % 50 if k < 52 else None, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, length int").repartition(3)
@@ -86,6 +129,7 @@ def test_plan_places_every_piece_once(seed):
     counts = Counter(rnd.choice([rnd.randrange(1, 65), 64, 33]) for _ in range(rnd.randrange(1, 400)))
     groups = packing.BinGroups.best_fit(counts, 64)
     groups.search(300)
+    groups.shake(rnd)
     seen, fill = Counter(), Counter()
     for length, first, end, sequence, offset in groups.plan():
         assert first == seen[length]

@@ -8,7 +8,10 @@ hit spans or whole documents are removed.
 
 Defined results: a null text has no words and is clean; items without words
 have no window; equal items are counted under each of their ids, repeated rows
-of an item once; an empty benchmark hits nothing; documents may repeat.
+of an item once; an empty benchmark hits nothing; repeated documents get a row
+each; null ids of documents stay, of items are ignored; a document of exactly
+the limit's share is dropped; other columns are kept by the removal and not read
+by the scan.
 """
 
 from __future__ import annotations
@@ -24,80 +27,112 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import maybe_broadcast, written
 from marlstone.llm.tokens import ALNUM, Words, scan_column
 
-#: Windows of the benchmark that may be broadcast at once (about 100 bytes each); larger benchmarks take several passes of so many.
+#: Words of the benchmark that may be broadcast at once (about 40 bytes each); larger benchmarks take several passes of so many.
 MAX_WINDOWS = 2_000_000
 
-WINDOW_SCHEMA = "item string, k int, h long, words binary"
 
-
-def benchmark_windows(items: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item, k, h, words)``: the distinct windows of every item, with hash and normalised bytes."""
+def normalised_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``(item, words, n_words)``: the distinct items that have words, these joined by single spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for first, _, w in scan_column(batch.column(1), ALNUM, lower=True):
-                sizes = np.diff(w.first)
-                for k in sorted({min(n, int(s)) for s in sizes if s}):
-                    at, h = w.windows(k)
-                    doc = w.doc[at]
-                    ok = sizes[doc] == k if k < n else np.ones(len(at), bool)
-                    rows += [(ids[first + d], k, int(x), w.text(int(a), k)) for a, d, x in zip(at[ok], doc[ok], h[ok].view(np.int64), strict=True)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("item", "k", "h", "words"), r, strict=True)) for r in rows], schema=pa.schema([("item", pa.string()), ("k", pa.int32()), ("h", pa.int64()), ("words", pa.binary())]))
+            words, n = [], []
+            for _, _, w in scan_column(batch.column(1), ALNUM, lower=True):
+                words += [w.text(a, b - a) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+                n += np.diff(w.first).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["item", "words", "n_words"])
+
+    slim = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
+    return slim.mapInArrow(run, "item string, words binary, n_words long").where("n_words > 0").distinct()
+
 
-    return items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null").mapInArrow(run, WINDOW_SCHEMA).distinct()
+@dataclass
+class Windows:
+    """The windows of one size: sorted hashes with the item and the bytes that each stands for, and a filter of hash bits."""
+
+    hashes: np.ndarray
+    item: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    filter: np.ndarray
+
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        return self.filter[(h & np.uint64(len(self.filter) - 1)).astype(np.int64)]
 
 
 @dataclass
 class WindowSet:
-    """The broadcast form: for each window size the sorted hashes, a bit filter, and what each hash stands for."""
+    """The broadcast form of items: their words, and for each window size the sorted hashes of the windows in them."""
 
-    sizes: dict[int, np.ndarray] = field(default_factory=dict)
-    filters: dict[int, np.ndarray] = field(default_factory=dict)
-    items: dict[tuple[int, int], dict[bytes, list[str]]] = field(default_factory=dict)
+    names: list[str]
+    data: np.ndarray
+    sizes: dict[int, Windows]
+    #: What the hashes met so far stand for, and the items with these words.
+    met: dict[tuple[int, int], list[tuple[bytes, list[str]]]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, rows) -> WindowSet:
-        out, by = cls(), {}
-        for item, k, h, words in rows:
-            h &= (1 << 64) - 1
-            by.setdefault(k, set()).add(h)
-            out.items.setdefault((k, h), {}).setdefault(bytes(words), []).append(item)
-        for k, hs in by.items():
-            out.sizes[k] = np.array(sorted(hs), np.uint64)
-            out.filters[k] = np.zeros(1 << 22, bool)
-            out.filters[k][(out.sizes[k] & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+    def of(cls, table: pa.Table, n: int) -> WindowSet:
+        names, by, data, base = table["item"].to_pylist(), {}, [np.zeros(0, np.uint8)], 0
+        words = table["words"].cast(pa.large_binary()).cast(pa.large_string())
+        for first, _, w in scan_column(words, ALNUM):
+            sizes = np.diff(w.first)
+            for k in sorted({min(n, int(s)) for s in sizes if s}):
+                at, h = w.windows(k)
+                doc = w.doc[at]
+                ok = sizes[doc] == k if k < n else np.ones(len(at), bool)
+                at = at[ok]
+                by.setdefault(k, []).append((h[ok], first + doc[ok], base + w.start[at], base + w.end[at + k - 1]))
+            data.append(w.data)
+            base += len(w.data)
+        out = cls(names, np.concatenate(data), {})
+        for k, parts in by.items():
+            h, item, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            bits = np.zeros(1 << max(12, (8 * len(h)).bit_length()), bool)
+            bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+            out.sizes[k] = Windows(h[order], item[order].astype(np.int32), start[order], end[order], bits)
         return out
 
+    def _standing_for(self, k: int, row: int) -> list[tuple[bytes, list[str]]]:
+        """The words behind the hash at ``row`` (more than one where hashes collide), each with its items."""
+        found = self.met.get((k, row))
+        if found is None:
+            one, by = self.sizes[k], {}
+            for r in range(row, int(np.searchsorted(one.hashes, one.hashes[row], "right"))):
+                by.setdefault(self.data[one.start[r] : one.end[r]].tobytes(), set()).add(self.names[one.item[r]])
+            found = self.met[k, row] = [(words, sorted(items)) for words, items in by.items()]
+        return found
+
     def hits(self, w: Words) -> Iterator[tuple[int, int, list[str]]]:
         """(first word, number of words, items) of every verified occurrence, in no order."""
         for k, known in self.sizes.items():
             at, h = w.windows(k)
-            maybe = self.filters[k][(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
-            at, h = at[maybe], h[maybe]
-            found = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-            for a, x in zip(at[found].tolist(), h[found].tolist(), strict=True):
-                if items := self.items[k, x].get(w.text(a, k)):
-                    yield a, k, items
+            ok = known.maybe(h)
+            at, h = at[ok], h[ok]
+            row = np.searchsorted(known.hashes, h)
+            ok = known.hashes[np.minimum(row, len(known.hashes) - 1)] == h
+            for a, r in zip(at[ok].tolist(), row[ok].tolist(), strict=True):
+                text = w.text(a, k)
+                for words, items in self._standing_for(k, r):
+                    if words == text:
+                        yield a, k, items
 
 
 def _window_parts(items: DataFrame, n: int, max_windows: int) -> list[Callable[[], WindowSet]]:
-    """What loads each part of the benchmark's windows; a benchmark within the bound is one part."""
-    windows = benchmark_windows(items, n)
-    total = windows.count()
+    """What loads each part of the benchmark; one within the bound is one part. The benchmark is scanned once."""
+    whole = written(normalised_items(items), "items")
+    total = whole.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     parts = max(1, -(-total // max_windows))
-    if parts == 1:
-        return [lambda: WindowSet.of(windows.toLocalIterator())]
-    windows = written(windows, "windows")
     part = F.pmod(F.xxhash64("item"), F.lit(parts))
-    return [lambda p=p: WindowSet.of(windows.where(part == p).toLocalIterator()) for p in range(parts)]
+    return [lambda p=p: WindowSet.of(whole.where(part == p).select("item", "words").toArrow(), n) for p in range(parts)]
 
 
 def load_window_sets(items: DataFrame, n: int, max_windows: int = MAX_WINDOWS) -> list[WindowSet]:
-    """The benchmark's windows in sets of at most ``max_windows`` each.
+    """The benchmark's windows in sets of about ``max_windows`` words each.
 
-    The number of windows is counted first. A benchmark within the bound makes
-    one set; a larger one is split by the items' hash, each part a pass.
+    The words are counted first. A benchmark within the bound makes one set; a
+    larger one is split by the items' hash, each part a pass. An item is never
+    split.
     """
     return [load() for load in _window_parts(items, n, max_windows)]
 

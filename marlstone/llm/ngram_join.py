@@ -51,6 +51,8 @@ from marlstone.llm.tokens import NOT_SPACE, Words, mix, scan_column
 MAX_FREQUENT = 1 << 20
 #: A token is frequent from so many repetitions within batches on.
 MIN_FREQUENT = 4
+#: Pairs of texts whose shingles a Python worker holds at once.
+PAIRS_AT_ONCE = 500
 
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -96,7 +98,7 @@ def frequent_tokens(docs: DataFrame, n: int, max_frequent: int = MAX_FREQUENT) -
             for one in _sets_of(batch.column(0), n):
                 held.append(one)
                 size += len(one)
-                if size >= 2_000_000:
+                if size >= 1_000_000:
                     yield report(held)
                     held, size = [], 0
             if held:
@@ -195,24 +197,27 @@ def index_documents(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, levels = common.value
         for batch in batches:
-            size, s1, s2, centre, sketch, n_lead, keys = [], [], [], [], [], [], []
-            for one in _sets_of(batch.column(1), n):
-                size.append(len(one))
-                s1.append(int(np.bitwise_xor.reduce(mix(one * _K1)).view(np.int64)) if len(one) else 0)
-                s2.append(int(np.add.reduce(mix(one * _K2 + _K1)).view(np.int64)) if len(one) else 0)
-                sketch.append(parity_sketch(one))
-                level = token_levels(one, frequent, levels)
-                centre.append(int(1000 * level.mean()) if len(one) else 0)
-                found, leading = prefix_keys(one, t, level)
-                keys.append(found)
-                n_lead.append(leading)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(centre, pa.int32()), lists(sketch), pa.array(n_lead, pa.int32()), lists(keys)],
-                names=["doc_id", "n_shingles", "s1", "s2", "centre", "sketch", "n_lead", "keys"],
-            )
+            for first, stop, w in scan_column(batch.column(1), NOT_SPACE, lower=True):
+                size, s1, s2, centre, sketch, n_lead, keys = [], [], [], [], [], [], []
+                for one in shingle_sets(w, n):
+                    size.append(len(one))
+                    s1.append(int(np.bitwise_xor.reduce(mix(one * _K1)).view(np.int64)) if len(one) else 0)
+                    s2.append(int(np.add.reduce(mix(one * _K2 + _K1)).view(np.int64)) if len(one) else 0)
+                    sketch.append(parity_sketch(one))
+                    level = token_levels(one, frequent, levels)
+                    centre.append(int(1000 * level.mean()) if len(one) else 0)
+                    found, leading = prefix_keys(one, t, level)
+                    keys.append(found)
+                    n_lead.append(leading)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, stop - first), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(centre, pa.int32()), lists(sketch), pa.array(n_lead, pa.int32()), lists(keys)],
+                    names=["doc_id", "n_shingles", "s1", "s2", "centre", "sketch", "n_lead", "keys"],
+                )
 
     schema = "doc_id long, n_shingles long, s1 long, s2 long, centre int, sketch array<long>, n_lead int, keys array<long>"
-    return written(docs.select("doc_id", "text").mapInArrow(run, schema), "index")
+    index = written(docs.select("doc_id", "text").mapInArrow(run, schema), "index")
+    common.unpersist()
+    return index
 
 
 def may_link(s_a: Column, s_b: Column, n_a: Column, n_b: Column, t: Fraction) -> Column:
@@ -243,7 +248,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, PAIRS_AT_ONCE) for b in batches for k in range(0, b.num_rows, PAIRS_AT_ONCE)):
             common, total = [], []
             for x, y in zip(_sets_of(batch.column(2), n), _sets_of(batch.column(3), n), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))

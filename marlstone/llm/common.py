@@ -60,6 +60,15 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCA
     return F.broadcast(df) if rows <= limit else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    known = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in known:
+        name = f"_{name}"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's decimal text leaves remainder 1 on division by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))

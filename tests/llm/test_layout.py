@@ -167,6 +167,57 @@ def test_flow_is_cheapest():
         resharding.minimum_cost_flow([5], [4], lambda i, j: 1)
 
 
+def test_plain_price_has_a_closed_form():
+    rnd = random.Random(2)
+    for _ in range(60):
+        supply, n = [rnd.randrange(4) for _ in range(4)], rnd.randrange(1, 6)
+        capacity = resharding.even_capacities(sum(supply) + rnd.randrange(3), n)
+        plain = lambda i, j: int(i != j)
+        flow = resharding.cheapest_moves(supply, capacity, [k if k < n else None for k in range(4)])
+        assert [sum(v for (i, _), v in flow.items() if i == k) for k in range(4)] == supply
+        assert all(sum(v for (_, j), v in flow.items() if j == k) <= capacity[k] for k in range(n))
+        assert sum(v * plain(*e) for e, v in flow.items()) == sum(v * plain(*e) for e, v in resharding.minimum_cost_flow(supply, capacity, plain).items())
+
+
+def test_flow_of_many_shards():
+    rnd = random.Random(4)
+    supply = [rnd.randrange(10**12) for _ in range(300)]
+    capacity = resharding.even_capacities(sum(supply), 310)
+    cost = lambda i, j: 0 if i == j else 1 + (i // 20 != j // 20) * 3
+    flow = resharding.minimum_cost_flow(supply, capacity, cost)
+    assert sum(flow.values()) == sum(supply) and all(v > 0 for v in flow.values())
+    assert sum(v for e, v in flow.items() if cost(*e)) == sum(max(0, s - c) for s, c in zip(supply, capacity, strict=False))
+
+
+def test_rewrite_in_place_keeps_unaffected_shards(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    texts = {0: "x" * 9, 1: "y" * 4, 2: "z" * 4, 3: ""}
+    rows = [(10 * s + k if k else None, texts[s] if s else None if k == 5 else texts[0], 7.5, s) for s in texts for k in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, _rank double, shard int").write.partitionBy("shard").parquet(path)
+    docs = spark.read.parquet(path)
+    before = {f: f.stat().st_mtime_ns for s in (1, 2) for f in (tmp_path / "shards" / f"shard={s}").iterdir()}
+    plan = resharding.reshard(docs, F.col("shard"), [60, 50, 50, 50])
+    plan = resharding.written(plan, "plan")
+    found = {r["shard"]: r["bytes_in"] for r in resharding.rewrite_affected(docs, plan, path).collect()}
+    assert set(found) == {0, 3} and found[0] == 0 < found[3]
+    after = spark.read.parquet(path)
+    assert Counter(map(tuple, after.select("doc_id", "text", "_rank").collect())) == Counter(r[:3] for r in rows)
+    assert {f: f.stat().st_mtime_ns for f in before} == before
+    sizes = {r["shard"]: r["n"] for r in plan.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    assert {r["shard"]: r["count"] for r in after.groupBy("shard").count().collect()} == sizes
+    emptied = resharding.written(resharding.reshard(after, F.col("shard"), [10**6, 0, 0, 0], cost=lambda i, j: int(j != 0)), "plan")
+    resharding.rewrite_affected(after, emptied, path)
+    again = spark.read.parquet(path)
+    assert {r["shard"]: r["count"] for r in again.groupBy("shard").count().collect()} == {0: 40}
+    assert sorted(r["slot"] for r in again.collect()) == list(range(40))
+
+
+def test_resharding_of_long_texts(spark):
+    docs = spark.createDataFrame([(k, "w" * (3_000_000 if k == 3 else k)) for k in range(40)], "doc_id long, text string")
+    got = resharding.reshard(docs, F.lit(1), 3).collect()
+    assert len(got) == 40 and sum(r["size"] for r in got) == sum((3_000_000 if k == 3 else k) + 1 for k in range(40))
+
+
 def test_resharding(spark, tmp_path):
     rnd = random.Random(8)
     rows = [(k, "é" * rnd.randrange(300) if k % 17 else None, 5) for k in range(700)] + [(None, "x", 5), (3, "same", 5), (3, "same", 5)]

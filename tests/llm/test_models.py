@@ -1,7 +1,10 @@
 """Language ID, compression classifier and secret scan: defined cases and held-out accuracy."""
 
+import math
 import os
 import random
+import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,11 +31,76 @@ def test_language_id_defined_cases(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
+def brute_ngrams(text):
+    """Buckets of a text's n-grams, character by character."""
+    words = "".join(c if c.isalpha() or c.isalnum() and not re.match(r"\d", c) and c != "_" else " " for c in text.lower()).split()
+    if not any(c.isalpha() for w in words for c in w):
+        return []
+    line, out = " " + " ".join(words) + " ", []
+    for k in (1, 2, 3):
+        for i in range(len(line) - k + 1):
+            g = line[i : i + k]
+            if (k == 1 and g == " ") or " " in g[1:-1]:
+                continue
+            h = 0
+            for c in g:
+                h = (h * 0x9E3779B1 + ord(c) * 0x85EBCA77) % 2**32
+            h = h ^ (h >> 15) ^ (k * 0x2545)
+            out.append((h * 0xC2B2AE3D) % 2**32 >> 16)
+    return out
+
+
+def brute_bayes(train, texts):
+    counts, docs = defaultdict(Counter), Counter()
+    for label, text in train:
+        if label is not None and text is not None:
+            counts[label].update(brute_ngrams(text))
+            docs[label] += 1
+            counts[label].update([])
+    labels, out = sorted(docs), []
+    for t in texts:
+        grams = brute_ngrams(t or "")
+        if not grams:
+            out.append(("und", 0.0))
+            continue
+        total = [math.log(docs[x] / sum(docs.values())) + sum(math.log((counts[x][g] + 1) / (sum(counts[x].values()) + 65536)) for g in grams) for x in labels]
+        best = max(range(len(labels)), key=lambda k: total[k])
+        out.append((labels[best], 1 / sum(math.exp(v - total[best]) for v in total)))
+    return out
+
+
+def test_language_id_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(12)
+    pools = {"aa": "la le un est d'une", "bb": "der die \u00fcber na\u00efve", "cc": "\u65e5\u672c \u8a9e abc", "dd": "la der \u8a9e"}
+    draw = lambda pool: " ".join(rnd.choice(pools[pool].split()) + rnd.choice(["", "!", " 12", "\u00b2"]) for _ in range(rnd.randrange(6)))
+    train = [(x, draw(x)) for x in pools for _ in range(6)] + [(None, "zz"), ("aa", None)]
+    texts = [draw(rnd.choice([*pools])) for _ in range(60)] + ["", None, "12", "x" * 500, "_ _", "A\u0130"]
+    model = language_id.train(spark.createDataFrame([(k, x, t) for k, (x, t) in enumerate(train)], "doc_id long, lang string, text string").repartition(3), F.col("lang"))
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), model).collect()}
+    for k, (label, score) in enumerate(brute_bayes(train, texts)):
+        assert got[k]["score"] == pytest.approx(score, abs=1e-3), texts[k]
+        assert got[k]["lang_pred"] == label or score < 0.51
+    whole = model.score([t or "" for t in texts])
+    monkeypatch.setattr(language_id, "GATHERED", 64)
+    parts = model.score([t or "" for t in texts])
+    assert (whole[0] == parts[0]).all() and parts[1] == pytest.approx(whole[1], abs=1e-9)
+
+
+def test_language_id_ties_and_too_many_labels(spark, monkeypatch):
+    rows = [(k, x, "same words") for k, x in enumerate(["bb", "aa", "cc"])]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language_id.train(table, F.col("lang"))
+    assert {r["lang_pred"] for r in language_id.predict(table, model).collect()} == {"aa"}
+    monkeypatch.setattr(language_id, "MAX_LABELS", 2)
+    with pytest.raises(ValueError):
+        language_id.train(table, F.col("lang"))
+
+
 def test_ngrams_stay_in_documents_and_words():
-    both, starts = language_id.ngram_buckets(["ab cd", "", "ef"])
-    one, _ = language_id.ngram_buckets(["ab cd"])
-    two, _ = language_id.ngram_buckets(["ef"])
-    assert sorted(both[: starts[1]]) == sorted(one) and sorted(both[starts[2] :]) == sorted(two) and starts[1] == starts[2]
+    both = language_id.ngram_buckets(["ab cd", "", "ef"])
+    one, two = language_id.ngram_buckets(["ab cd"]), language_id.ngram_buckets(["ef"])
+    for (b, starts), (x, _), (y, _) in zip(both, one, two, strict=True):
+        assert list(b[: starts[1]]) == list(x) and list(b[starts[2] :]) == list(y) and starts[1] == starts[2]
 
 
 @needs_data

@@ -2,9 +2,10 @@
 
     rows_where(df, "age > 30 AND city LIKE 'N*'")
 
-Cells are text that may look like a number: a comparison or ``+`` works on
-doubles where both sides are numeric, else on strings where both are; any
-other mix is null in that row (``strict=True`` makes it an error). ``AND`` and
+Cells are text that may look like a number, and cells of numeric columns have a
+text side too: a comparison or ``+`` works on doubles where both sides are
+numeric, else on strings where both are; any other mix is null in that row
+(``strict=True`` makes it an error). ``LIKE``, ``HAS`` and ``IN`` look at texts. ``AND`` and
 ``OR`` have the same precedence and associate to the left, unlike SQL.
 """
 
@@ -34,10 +35,15 @@ class ExpressionError(ValueError):
 
 @dataclass
 class Value:
-    """An operand: its numeric side and its text side; a missing side is None."""
+    """An operand: its numeric side and its text side; a missing side is None.
+
+    A ``typed`` operand is a cell of a numeric column: among such and numbers
+    alone it never counts as text.
+    """
 
     num: Column | None
     text: Column | None
+    typed: bool = False
 
 
 def tokens(source: str) -> list[tuple[str, str]]:
@@ -166,7 +172,7 @@ class _Compiler:
     def either(self, a: Value, b: Value, on_numbers, on_texts, op: str) -> Value:
         """Numbers where both sides are, else texts where both are; a side that is never text has no text case."""
         both_num = a.num is not None and b.num is not None
-        both_text = a.text is not None and b.text is not None
+        both_text = a.text is not None and b.text is not None and not (a.typed and b.typed)
         if both_num and not both_text:
             out = Value(on_numbers(a.num, b.num), None)
         elif both_text and not both_num:
@@ -226,7 +232,7 @@ def ieee_divide(x: Column, y: Column) -> Column:
 def _cell(df: DataFrame, name: str) -> Value:
     kind, c = df.schema[name].dataType, F.col(f"`{name}`")
     if isinstance(kind, T.NumericType | T.BooleanType):
-        return Value(c.cast("double") if isinstance(kind, T.BooleanType) else c.cast("double"), None)
+        return Value(c.cast("double"), F.coalesce(c.cast("string"), F.lit("")), typed=True)
     text = F.coalesce(c.cast("string"), F.lit(""))
     return Value(numeric_text(text), text)
 
@@ -234,7 +240,7 @@ def _cell(df: DataFrame, name: str) -> Value:
 def expression(df: DataFrame, source: str, strict: bool = False) -> Column:
     """The value of an expression over the columns of ``df``: a double, or a string for text results."""
     out = _Compiler(df, source, strict).whole()
-    if out.num is not None and out.text is not None:
+    if out.num is not None and out.text is not None and not out.typed:
         return F.coalesce(out.text, out.num.cast("string"))
     return out.num if out.num is not None else out.text
 

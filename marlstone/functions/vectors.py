@@ -67,6 +67,19 @@ def lcg_between(seed: Column, n: Column, low: Column, high: Column) -> Column:
     return F.transform(lcg_uniforms(seed, n), lambda u: low + (high - low) * u)
 
 
+def random_integers(seed: Column, n: Column) -> Column:
+    """n whole numbers from 1 to 2^31 - 2, the states of the generator behind :func:`lcg_uniforms`."""
+    return F.transform(lcg_uniforms(seed, n), lambda u: F.round(u / LCG_SCALE).cast("long"))
+
+
+def random_tridiagonal(seed: Column, n: int) -> Column:
+    """Rows (i, sub, diag, sup) of an n x n tridiagonal matrix of uniforms; what lies outside the matrix is 0."""
+    u = lcg_uniforms(seed, F.lit(3 * n))
+    at = lambda i, k: F.get(u, 3 * i + k)
+    row = lambda i: F.struct(i.alias("i"), F.when(i == 0, 0.0).otherwise(at(i, 0)).alias("sub"), at(i, 1).alias("diag"), F.when(i == n - 1, 0.0).otherwise(at(i, 2)).alias("sup"))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), row)
+
+
 def trimmed_length(s: Column) -> Column:
     """Length without trailing blanks."""
     return F.length(F.rtrim(s))
@@ -130,6 +143,12 @@ def truncate(a: Column, n: int) -> Column:
     return F.slice(a, 1, n)
 
 
+def first_by_group(df: DataFrame, group: str, order: tuple[str, ...], n: int) -> DataFrame:
+    """The first n rows of each group; a rank that Spark cuts off before and after the shuffle, so no group is gathered."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
 def delete_at(a: Column, k: int) -> Column:
     """Without element k (0 up)."""
     return F.concat(F.slice(a, 1, k), F.slice(a, k + 2, F.greatest(F.size(a) - k - 1, F.lit(0))))

@@ -159,26 +159,45 @@ def count_outside(evaluated: DataFrame) -> DataFrame:
 
 
 def tridiagonal_solve(sub: Column, diag: Column, sup: Column, rhs: Column) -> Column:
-    """Solution of a tridiagonal system without pivoting (arrays of equal length; sub[0] and sup[n-1] unused); null on a zero pivot."""
+    """Solution of a small tridiagonal system without pivoting (arrays of equal length; sub[0] and sup[n-1] unused); null on a zero pivot.
+
+    For systems that fit a row; splines solve theirs by :func:`thomas` in blocks.
+    """
     rows = F.arrays_zip(sub.alias("a"), diag.alias("b"), sup.alias("c"), rhs.alias("d"))
-    none = F.array().cast("array<struct<c:double,d:double>>")
+    pair = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("d"))
+    start = F.struct(F.lit(0).alias("i"), pair.alias("last"), F.array().cast("array<struct<c:double,d:double>>").alias("out"))
 
     def forward(acc: Column, r: Column) -> Column:
-        last = F.element_at(F.concat(F.array(F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("d"))), acc), -1)
-        pivot = F.nullif(r["b"] - F.when(F.size(acc) > 0, r["a"] * last["c"]).otherwise(0.0), F.lit(0.0))
-        over = r["d"] - F.when(F.size(acc) > 0, r["a"] * last["d"]).otherwise(0.0)
-        return F.array_append(acc, F.struct((r["c"] / pivot).alias("c"), (over / pivot).alias("d")))
+        below = F.when(acc["i"] > 0, r["a"]).otherwise(0.0)
+        pivot = F.nullif(r["b"] - below * acc["last"]["c"], F.lit(0.0))
+        now = F.struct((r["c"] / pivot).alias("c"), ((r["d"] - below * acc["last"]["d"]) / pivot).alias("d"))
+        return F.struct((acc["i"] + 1).alias("i"), now.alias("last"), F.array_append(acc["out"], now).alias("out"))
 
-    swept = F.reverse(F.aggregate(rows, none, forward))
+    swept = F.aggregate(rows, start, forward, lambda acc: F.reverse(acc["out"]))
+    end = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("x"), F.array().cast("array<double>").alias("out"))
 
     def back(acc: Column, r: Column) -> Column:
-        x = F.when(F.size(acc) == 0, r["d"]).otherwise(r["d"] - r["c"] * F.element_at(F.concat(F.array(F.lit(0.0)), acc), -1))
-        return F.array_append(acc, x)
+        x = r["d"] - F.when(acc["i"] > 0, r["c"] * acc["x"]).otherwise(0.0)
+        return F.struct((acc["i"] + 1).alias("i"), x.alias("x"), F.array_append(acc["out"], x).alias("out"))
 
-    solved = F.reverse(F.aggregate(swept, F.array().cast("array<double>"), back))
+    solved = F.aggregate(swept, end, back, lambda acc: F.reverse(acc["out"]))
     return F.when(~F.exists(solved, lambda x: x.isNull()), solved)
 
 
+def thomas(sub: np.ndarray, diag: np.ndarray, sup: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """Solution of a tridiagonal system without pivoting; NaN from a zero pivot on."""
+    n = len(diag)
+    c, d = np.zeros(n), np.zeros(n)
+    last_c = last_d = 0.0
+    for i, (a, b, up, r) in enumerate(zip(sub.tolist(), diag.tolist(), sup.tolist(), rhs.tolist(), strict=True)):
+        pivot = (b - a * last_c) or float("nan")
+        c[i] = last_c = up / pivot
+        d[i] = last_d = (r - a * last_d) / pivot
+    for i in range(n - 2, -1, -1):
+        d[i] -= c[i] * d[i + 1]
+    return d
+
+
 def tridiagonal_multiply(df: DataFrame, group: str = "grp") -> DataFrame:
     """``(grp, i, v)``: matrix times vector of rows (grp, i, sub, diag, sup, x)."""
     order = Window.partitionBy(group).orderBy("i")
@@ -192,33 +211,51 @@ def knot_arrays(knots: DataFrame) -> DataFrame:
     return knots.groupBy("grp").agg(k.alias("k")).select("grp", F.col("k.t").alias("ts"), F.col("k.y").alias("ys"))
 
 
-def cubic_second_derivatives(knots: DataFrame, start: tuple[int, float] = (0, 0.0), end: tuple[int, float] = (0, 0.0)) -> DataFrame:
+#: Knots of a group that one task solves, and knots beyond its ends that it sees.
+BLOCK, OVERLAP = 20_000, 64
+
+
+def cubic_second_derivatives(knots: DataFrame, start: tuple[int, float] = (0, 0.0), end: tuple[int, float] = (0, 0.0), block: int = BLOCK) -> DataFrame:
     """``(grp, t, y, ypp)`` of the cubic spline.
 
     An end condition is (0, _) for a quadratic end interval, (1, slope) for a
     given slope, (2, second derivative). Two knots with (0, _) on both sides
-    give a straight line.
+    give a straight line; groups of one knot have no rows.
+
+    A group is solved in blocks of consecutive knots. In every inner row of the
+    system the diagonal is twice the sum of its neighbours, so what happens
+    beyond a block fades by half with each knot; with 64 more knots on either
+    side nothing of it is left in a double.
     """
-    ts, ys = F.col("ts"), F.col("ys")
-    n = F.size(ts)
-    h = lambda i: F.get(ts, i + 1) - F.get(ts, i)
-    d = lambda i: (F.get(ys, i + 1) - F.get(ys, i)) / F.nullif(h(i), F.lit(0.0))
-    each = F.sequence(F.lit(0), n - 1)
-    zero, one = F.lit(0.0), F.lit(1.0)
-    pick = lambda i, a, b, c: F.when(i == 0, a).when(i == n - 1, b).otherwise(c)
-    ends = {0: lambda far: (one, -one, zero), 1: lambda far: (h(far) / 3, h(far) / 6, None), 2: lambda far: (one, zero, None)}
-    s_diag, s_sup, _ = ends[start[0]](F.lit(0))
-    e_diag, e_sub, _ = ends[end[0]](n - 2)
-    s_rhs = {0: zero, 1: d(F.lit(0)) - start[1], 2: F.lit(float(start[1]))}[start[0]]
-    e_rhs = {0: zero, 1: F.lit(float(end[1])) - d(n - 2), 2: F.lit(float(end[1]))}[end[0]]
-    sub = F.transform(each, lambda i: pick(i, zero, e_sub, h(i - 1) / 6))
-    diag = F.transform(each, lambda i: pick(i, s_diag, e_diag, (h(i - 1) + h(i)) / 3))
-    sup = F.transform(each, lambda i: pick(i, s_sup, zero, h(i) / 6))
-    rhs = F.transform(each, lambda i: pick(i, s_rhs, e_rhs, d(i) - d(i - 1)))
-    straight = (n == 2) & F.lit(start[0] == 0 and end[0] == 0)
-    ypp = F.when(straight, F.array(zero, zero)).otherwise(tridiagonal_solve(sub, diag, sup, rhs))
-    solved = knot_arrays(knots).where(n >= 2).select("grp", F.arrays_zip(ts.alias("t"), ys.alias("y"), ypp.alias("ypp")).alias("z"))
-    return solved.select("grp", F.inline("z"))
+    order = Window.partitionBy("grp").orderBy("t")
+    rows = knots.select("grp", F.col("t").cast("double").alias("t"), F.col("y").cast("double").alias("y"))
+    rows = rows.withColumn("i", F.row_number().over(order) - 1).withColumn("first", F.col("i") == 0).withColumn("last", F.lead("t").over(order).isNull())
+    own, rest = F.floor(F.col("i") / block), F.col("i") % block
+    seen = F.array_compact(F.array(own, F.when((rest < OVERLAP) & (own > 0), own - 1), F.when(rest >= block - OVERLAP, own + 1)))
+    rows = rows.withColumn("own", own).withColumn("part", F.explode(seen))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", ignore_index=True)
+        t, y, n = pdf.t.to_numpy(), pdf.y.to_numpy(), len(pdf)
+        mine = (pdf.own == pdf.part).to_numpy()
+        if n == 1 or not mine.any():
+            return pd.DataFrame({"grp": pdf.grp[:0], "t": t[:0], "y": y[:0], "ypp": y[:0]})
+        h = np.diff(t)
+        with np.errstate(all="ignore"):
+            slope = np.diff(y) / h
+        sub, diag, sup, rhs = np.zeros(n), np.ones(n), np.zeros(n), np.zeros(n)
+        sub[1:-1], sup[1:-1] = h[:-1] / 6, h[1:] / 6
+        diag[1:-1], rhs[1:-1] = (h[:-1] + h[1:]) / 3, np.diff(slope)
+        straight = n == 2 and start[0] == 0 and end[0] == 0 and pdf["first"].iloc[0] and pdf["last"].iloc[-1]
+        if pdf["first"].iloc[0] and not straight:
+            diag[0], sup[0], rhs[0] = {0: (1.0, -1.0, 0.0), 1: (h[0] / 3, h[0] / 6, slope[0] - start[1]), 2: (1.0, 0.0, start[1])}[start[0]]
+        if pdf["last"].iloc[-1] and not straight:
+            diag[-1], sub[-1], rhs[-1] = {0: (1.0, -1.0, 0.0), 1: (h[-1] / 3, h[-1] / 6, end[1] - slope[-1]), 2: (1.0, 0.0, end[1])}[end[0]]
+        ypp = thomas(sub, diag, sup, rhs)
+        return pd.DataFrame({"grp": pdf.grp, "t": t, "y": y, "ypp": np.where(np.isfinite(ypp), ypp, np.nan)})[mine]
+
+    kind = knots.schema["grp"].dataType.simpleString()
+    return rows.groupBy("grp", "part").applyInPandas(solve, f"grp {kind}, t double, y double, ypp double")
 
 
 def cubic(knots: DataFrame, queries: DataFrame, start: tuple[int, float] = (0, 0.0), end: tuple[int, float] = (0, 0.0)) -> DataFrame:

@@ -357,8 +357,12 @@ def m8_string_hash(spark, sf_dir):
 
 @query("SELECT o_custkey, list_slice(list(o_orderkey ORDER BY o_orderdate, o_orderkey), 1, 3)::VARCHAR AS first_three, count(*)::INT AS n FROM orders GROUP BY o_custkey")
 def o3_truncate(spark, sf_dir):
-    ordered = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("a"))
-    return ordered.select("o_custkey", F.concat(F.lit("["), F.array_join(F.transform(vectors.truncate(F.col("a"), 3), lambda x: x["o_orderkey"].cast("string")), ", "), F.lit("]")).alias("first_three"), F.size("a").alias("n"))
+    orders = table(spark, sf_dir, "orders")
+    first = vectors.first_by_group(orders, "o_custkey", ("o_orderdate", "o_orderkey"), 3)
+    lists = first.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("a"))
+    counts = orders.groupBy("o_custkey").agg(F.count("*").cast("int").alias("n"))
+    shown = F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["o_orderkey"].cast("string")), ", "), F.lit("]"))
+    return lists.join(counts, "o_custkey").select("o_custkey", shown.alias("first_three"), "n")
 
 
 @query("SELECT p_brand AS set_name, list_sort(list(DISTINCT p_partkey))::VARCHAR AS members FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand")
@@ -456,17 +460,12 @@ def a17_permute(spark, sf_dir):
 @query("SELECT (EXTRACT(EPOCH FROM time_bucket(INTERVAL 10 MINUTE, ts)) / 60 - 10 * g)::BIGINT AS start_minute, count(*) AS n FROM events, range(0, 15) AS r(g) GROUP BY 1")
 def stream_sliding_counts(spark, sf_dir):
     """The events as a stream through sliding windows, run to the end of the input."""
-    import tempfile
-    import uuid
-
+    from marlstone.plans.folders import shared_folder
     from marlstone.streaming import bins
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"sliding_{uuid.uuid4().hex[:8]}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-stream-")
-    bins.run_to_table(bins.sliding_counts(stream), name, f"{folder}/{name}")
-    counts = spark.table(name)
+    counts = bins.run_to_files(bins.sliding_counts(stream), shared_folder(spark))
     zone = F.current_timezone()
     utc = F.to_utc_timestamp("start", zone)
     return counts.select((minute_of(utc) + F.date_diff(F.lit("2024-01-01").cast("date"), F.lit("1970-01-01").cast("date")) * 1440).cast("long").alias("start_minute"), "n")

@@ -107,7 +107,7 @@ def save_gene_sets(sets: DataFrame, path: str) -> None:
 
 
 def number_text(x: Column) -> Column:
-    """A double with at most 6 significant digits, without closing zeros."""
+    """A double with at most 6 significant digits (halves away from zero), without closing zeros."""
     shown = F.format_string("%.6g", x)
     plain = F.regexp_replace(shown, r"(\.[0-9]*?)0+(?=e|$)", "$1")
     return F.regexp_replace(plain, r"\.(?=e|$)", "")

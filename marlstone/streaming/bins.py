@@ -23,8 +23,24 @@ def sliding_counts(events: DataFrame, ts: str = "ts", size: str = "150 minutes",
     return counted.select(F.col("w.start").alias("start"), *by, "n")
 
 
+def run_to_files(counts: DataFrame, folder: str) -> DataFrame:
+    """Process all available input; every batch writes its changed counts as Parquet below ``folder``, the result is each window's last count.
+
+    A batch that is run again replaces its own files.
+    """
+
+    def save(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/counts/batch={batch}")
+
+    query = counts.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    keys = [c for c in counts.columns if c != "n"]
+    rows = counts.sparkSession.read.schema(counts.schema.add("batch", "long")).parquet(f"{folder}/counts")
+    return rows.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+
+
 def run_to_table(counts: DataFrame, name: str, checkpoint: str, mode: str = "complete"):
-    """Process all available input into an in-memory table; returns the finished query."""
+    """Process all available input into an in-memory table (for looking at small results); returns the finished query."""
     query = counts.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

@@ -43,32 +43,27 @@ def interval_ends(intervals: DataFrame, start: str = "start", end: str = "end")
     return intervals.select(*keep, F.explode(F.array(start, end)).alias("position"))
 
 
-def segments(bins: DataFrame, spacing: int, by: tuple[str, ...] = (), start: str = "start", score: str | None = None) -> DataFrame:
-    """Merge adjacent bins: ``(*by, start, end, n[, ratio])``, ``n`` bins each, ``ratio`` the largest score.
+#: Bins of one stretch, the part of a grid that one task merges.
+STRETCH = 1_000_000
 
-    Islands are found with a window by ``by``; without ``by`` the grid is cut
-    into stretches first and the islands of neighbouring stretches are joined,
-    so no task holds all bins.
+
+def segments(bins: DataFrame, spacing: int, by: tuple[str, ...] = (), start: str = "start", score: str | None = None, keep: dict[str, str] | None = None) -> DataFrame:
+    """Merge adjacent bins: ``(*by, start, end, n[, ratio][, ...])``, ``n`` bins each, ``ratio`` the largest score.
+
+    ``keep`` names further columns and how they are merged: max, min or sum. The
+    grid is cut into stretches first and the islands that touch a stretch's
+    border are joined to their neighbours, so no task holds all bins.
     """
-    if by:
-        return _islands(bins, spacing, by, start, score)
-    stretch = spacing * 1_000_000
-    cut = bins.withColumn("_stretch", F.floor(F.col(start) / stretch))
-    parts = _islands(cut, spacing, ("_stretch",), start, score)
-    # an island is whole unless it touches its stretch's border: at most two a stretch do
-    chain = Window.orderBy("start")
-    at_border = (F.col("start") % stretch == 0) | (F.col("end") % stretch == 0)
-    border, inner = parts.where(at_border), parts.where(~at_border)
-    linked = border.withColumn("_new", F.coalesce((F.col("start") != F.lag("end").over(chain)).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(chain))
-    merged = linked.groupBy("_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *([F.max("ratio").alias("ratio")] if score else []))
-    return inner.select(*merged.drop("_run").columns).unionByName(merged.drop("_run"))
-
-
-def _islands(bins: DataFrame, spacing: int, by: tuple[str, ...], start: str, score: str | None) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(start)
-    island = (F.col(start) / spacing).cast("long") - F.row_number().over(order)
-    low = F.min(start)
-    aggs = [low.alias("start"), (F.max(start) + spacing).alias("end"), F.count("*").alias("n")]
-    if score:
-        aggs.append(F.max(score).alias("ratio"))
-    return bins.withColumn("_island", island).groupBy(*by, "_island").agg(*aggs).drop("_island")
+    how = {**({"ratio": "max"} if score else {}), **(keep or {})}
+    number = lambda c: F.floor(F.col(c) / spacing)
+    cells = bins.select(*by, F.col(start).alias("start"), *([F.col(score).alias("ratio")] if score else []), *(keep or {}))
+    cells = cells.withColumn("_stretch", F.floor(number("start") / STRETCH))
+    island = number("start") - F.row_number().over(Window.partitionBy(*by, "_stretch").orderBy("start"))
+    merge = lambda n: [F.min("start").alias("start"), n, *(getattr(F, f)(c).alias(c) for c, f in how.items())]
+    parts = cells.withColumn("_island", island).groupBy(*by, "_stretch", "_island").agg((F.max("start") + spacing).alias("end"), *merge(F.count("*").alias("n"))).drop("_stretch", "_island")
+    at_border = (number("start") % STRETCH == 0) | (number("end") % STRETCH == 0)  # at most two islands a stretch
+    chain = Window.partitionBy(*by).orderBy("start")
+    linked = parts.where(at_border).withColumn("_new", F.coalesce((F.col("start") != F.lag("end").over(chain)).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(chain))
+    merged = linked.groupBy(*by, "_run").agg(F.max("end").alias("end"), *merge(F.sum("n").alias("n"))).drop("_run")
+    out = [*by, "start", "end", "n", *how]
+    return parts.where(~at_border).select(*out).unionByName(merged.select(*out))

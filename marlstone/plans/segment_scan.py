@@ -7,7 +7,8 @@ Statistics are this engine's own definitions (see ``operators.assoc``): a bin
 is kept when its ratio is at least l1 and its effect (change of the count for
 each allele) at least l2; adjacent kept bins make a segment. With ``-p`` each
 kept bin gets a permutation p-value and its Benjamini-Hochberg q-value, and
-``-fdr:x`` keeps bins with q <= x.
+``-fdr:x`` keeps bins with q <= x; ``-fdr`` alone takes 0.05. ``-seg`` writes the
+segments, which is also what happens without it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,11 @@ class Options:
     l2: list[float] = field(default_factory=lambda: [0.0])
     p: int = 0
     fdr: float = 1.0
+    seg: bool = True
+
+
+#: What options mean that stand without a value.
+BARE = {"fdr": 0.05, "seg": True}
 
 
 def parse(arguments: list[str]) -> tuple[list[str], Options]:
@@ -47,6 +53,11 @@ def parse(arguments: list[str]) -> tuple[list[str], Options]:
         if not hasattr(options, name):
             raise ValueError(f"unknown option -{name}")
         old = getattr(options, name)
+        if not value:
+            if name not in BARE:
+                raise ValueError(f"-{name} needs a value")
+            setattr(options, name, BARE[name])
+            continue
         setattr(options, name, [float(x) for x in value.split(",")] if isinstance(old, list) else type(old)(value))
     return positional, options
 
@@ -78,11 +89,9 @@ def find_segments(genotypes: DataFrame, cuts: DataFrame, o: Options) -> DataFram
         extra = ["p", "q"]
     floors = F.array(*(F.struct(F.lit(a).alias("l1"), F.lit(b).alias("l2")) for a in o.l1 for b in o.l2))
     bins = bins.withColumn("start", o.minbp + F.col("bin") * o.binspacing).withColumn("floor", F.explode(floors)).select("*", "floor.*").where("ratio >= l1 and effect >= l2")
-    found = intervals.segments(bins, o.binspacing, by=("l1", "l2"))
-    inside = (found["l1"] == bins["l1"]) & (found["l2"] == bins["l2"]) & (bins["start"] >= found["start"]) & (bins["start"] < found["end"])
-    best = [F.max("ratio").alias("ratio"), F.max("effect").alias("threshold"), F.avg("mean").alias("mean"), *(F.min(c).alias(c) for c in extra)]
-    joined = found.join(bins.drop("bin"), inside).select(found["l1"], found["l2"], found["start"], found["end"], found["n"], "ratio", "effect", "mean", *extra)
-    out = joined.groupBy("l1", "l2", "start", "end", "n").agg(*best).withColumn("chrom", F.lit(o.chr))
+    kept = bins.select("l1", "l2", "start", "ratio", F.col("effect").alias("threshold"), "mean", *extra)
+    out = intervals.segments(kept, o.binspacing, by=("l1", "l2"), keep={"ratio": "max", "threshold": "max", "mean": "sum", **dict.fromkeys(extra, "min")})
+    out = out.withColumn("mean", F.col("mean") / F.col("n")).withColumn("chrom", F.lit(o.chr))
     return out.select("l1", "l2", "chrom", "start", "end", "n", "ratio", "threshold", "mean", *extra)
 
 

@@ -25,7 +25,7 @@ def values(df, source, **more):
         ("d == 5 OR d == 7 AND c == 0", [0, 0, 1, 0]), ("d == 5 OR (d == 7 AND c == 0)", [1, 0, 1, 0]), ("NOT d == 5", [0, 1, 1, 1]), ("NOT NOT d == 5", [1, 0, 0, 0]),
         ("a == 1", [1, 1, None, None]), ("a == '1'", [1, 0, 0, 0]), ("a == 'abc'", [0, 0, 1, 0]), ("a < b", [1, 0, 1, 1]), ("b LIKE 'ab?'", [1, 0, 0, 1]), ("b ~= '*b*'", [1, 0, 0, 1]),
         ("b HAS 'x|'", [0, 0, 1, 0]), ("b IN 'abc|abd'", [1, 0, 0, 1]), ("b == ''", [0, 1, 0, 0]), ("TRUE && FALSE", [0] * 4), ("FALSE || TRUE", [1] * 4), ("b + '!'", ["abc!", "!", "x|y!", "abd!"]),
-        ("@3 >= 5", [1, 0, 1, 0]), ("$d >= 5", [1, 0, 1, 0]), ("3 == 3", [1] * 4), ("1e2 + .5", [100.5] * 4), ("c LIKE 'a'", [None] * 4),
+        ("@3 >= 5", [1, 0, 1, 0]), ("$d >= 5", [1, 0, 1, 0]), ("3 == 3", [1] * 4), ("1e2 + .5", [100.5] * 4), ("c LIKE 'a'", [0] * 4), ("d IN '5|7'", [1, 0, 1, 0]), ("d == '5'", [1, 0, 0, 0]), ("d HAS '5'", [1, 0, 0, 0]), ("b + d", ["abc5", "0", "x|y7", "abd1"]), ("1 LIKE 'a'", [None] * 4),
     ],
 )
 def test_values(df, source, expected):

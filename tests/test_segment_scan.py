@@ -35,11 +35,27 @@ def test_segments(spark, study, tmp_path):
     assert {r["l1"] for r in found} == {1.5, 3.0} and math.isinf(max(r["ratio"] for r in found))
     text.save_segments(segment_scan.find_segments(genotypes, cuts, segment_scan.parse(["-rsid:rs1", "-chr:7", "-minbp:900", "-maxbp:6000", "-l1:1.5"])[1]), str(tmp_path / "o.seg"))
     assert text.scan_lines(spark, str(tmp_path / "o.seg")).first()["fields"] == text.SEGMENT_COLUMNS
-    with pytest.raises(ValueError):
-        segment_scan.parse(["-nosuch:1"])
+    for wrong in ("-nosuch:1", "-p"):
+        with pytest.raises(ValueError):
+            segment_scan.parse([wrong])
+    line = "g c o -rsid:rs1 -chr:7 -minbp:1 -maxbp:9 -binspacing:10 -binsize:150 -l1:1.00,1.025 -l2:0.0316,0.01 -p:200 -seg -fdr"
+    assert segment_scan.parse(line.split())[1].fdr == 0.05 and segment_scan.parse(line.split())[1].seg
     assert segment_scan.find_segments(genotypes, cuts.where("sample = 'other'"), o).count() == 0
 
 
+@pytest.mark.parametrize("offset", [0, 7])
+def test_segments_over_borders_of_stretches(spark, monkeypatch, offset):
+    from marlstone.operators import intervals
+
+    monkeypatch.setattr(intervals, "STRETCH", 4)
+    kept = [0, 1, 2, 3, 4, 5, 8, 11, 12, 15, 16, 17, 18, 19, 20, 23]
+    bins = spark.createDataFrame([(g, offset + 10 * k, float(k), 1.0) for g in ("a", "b") for k in kept if g == "a" or k != 17], "g string, start long, score double, w double")
+    got = {(r["g"], r["start"], r["end"], r["n"], r["ratio"], r["w"]) for r in intervals.segments(bins, 10, by=("g",), score="score", keep={"w": "sum"}).collect()}
+    runs = lambda ks: [[k for k in ks if a <= k <= b] for a, b in zip([k for k in ks if k - 1 not in ks], [k for k in ks if k + 1 not in ks], strict=True)]
+    want = {(g, offset + 10 * r[0], offset + 10 * r[-1] + 10, len(r), float(r[-1]), float(len(r))) for g, ks in (("a", kept), ("b", [k for k in kept if k != 17])) for r in runs(ks)}
+    assert got == want
+
+
 def test_identifiers(spark):
     sets = spark.createDataFrame([("A", "x"), ("A", "y"), ("B", "z")], "set_name string, member string")
     keys = spark.createDataFrame([("x",), ("y",), ("y",)], "key string")

@@ -51,6 +51,11 @@ MORE = {
     "key_id": ("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|[rs]k_live_[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])"),
 }
 GENERATORS = {**{k: (k, p) for k, p in BASE.items()}, **MORE}
+#: A part of a generator's pattern that is fast to look for: no match lacks it.
+PARTS = {
+    "email": "@", "email_spoken": r"(?i)[(\[{]at[)\]}]", "email_words": r"(?i)\x20at\x20[A-Za-z0-9-]+\x20dot\x20", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]",
+    "phone_local": r"[0-9]{3}[\x20.-][0-9]{4}", "phone_trunk": r"0[0-9]{1,4}\)?[\x20/-][0-9]", "assigned": "[:=]", "key_id": "AKIA|gh[pousr]_|[rs]k_live_",
+}
 
 CUES = r"(?i)\b(?:e-?mails?|mail|write|contact|reach|phone|tel|mobile|call|dial|fax|card|visa|credit|account|pay|ip|host|server|address|login|user)\b[^\n]{0,12}$"
 CODES = r"(?i)\b(?:hash|sha1|md5|checksum|version|commit|id|isbn|order|serial|invoice|part|build|example|sample|fingerprint|no|number|page)\b[^\n]{0,12}$"
@@ -115,7 +120,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    found = [F.when(text.rlike(pattern), _matches(text, k, gen, kind, pattern)) for k, (gen, (kind, pattern)) in enumerate(GENERATORS.items())]
+    may = lambda gen, pattern: text.rlike(PARTS[gen]) & text.rlike(pattern) if gen in PARTS else text.rlike(pattern)
+    found = [F.when(may(gen, pattern), _matches(text, k, gen, kind, pattern)) for k, (gen, (kind, pattern)) in enumerate(GENERATORS.items())]
     some = rows.select("doc_id", "text_key", F.explode(F.flatten(F.filter(F.array(*found), lambda a: a.isNotNull()))).alias("c")).select("doc_id", "text_key", "c.*")
     some = some.dropDuplicates(["doc_id", "text_key", "gen", "i"])
     order = Window.partitionBy("doc_id", "text_key", "gen").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)

@@ -39,6 +39,15 @@ def op3_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def linked_pages_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third operator where there are aliases: every page names the first of its three as canonical."""
+    pages = read_table(spark, sf_dir, "pages")
+    first = pages.select(F.col("page_id").alias("first"), F.col("url").alias("target"))
+    link = F.concat(F.lit('<link rel="canonical" href="'), F.col("target"), F.lit('">'))
+    linked = pages.join(first, F.col("page_id") - F.col("page_id") % 3 == F.col("first"), "left").select("page_id", "url", link.alias("html"))
+    return judge_urls(linked, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_bayes_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(~held_out(F.col("doc_id"))), F.col("lang"))
@@ -85,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flow_resharding": op1_flow_resharding,
     "op2_swap_packing": op2_swap_packing,
     "op3_redirect_equivalence": op3_redirect_equivalence,
+    "linked_pages_redirect_equivalence": linked_pages_redirect_equivalence,
     "op4_bayes_language_id": op4_bayes_language_id,
     "op5_compression_classifier": op5_compression_classifier,
     "op6_quality_rules": op6_quality_rules,
@@ -158,3 +168,9 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 """,
 }
+
+SQL["linked_pages_redirect_equivalence"] = SQL["op3_redirect_equivalence"].replace(
+    "p AS (SELECT page_id, url, html, split_part(url, '#', 1) AS node FROM pages)",
+    """linked AS (SELECT a.page_id, a.url, '<link rel="canonical" href="' || b.url || '">' AS html FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id - a.page_id % 3),
+p AS (SELECT page_id, url, html, split_part(url, '#', 1) AS node FROM linked)""",
+)

@@ -1,15 +1,18 @@
 """Secret scan: high-recall candidates and a random forest that removes false positives.
 
 Candidates are matches of known token formats, values assigned to names that
-sound like credentials, and long runs of key characters with a digit. The
-forest is trained from labelled findings on length, character transitions,
-entropy, dictionary coverage, path and neighbouring words; the dictionary is
-the most frequent words of the corpus itself.
+sound like credentials, and runs of 16 or more key characters with a digit
+(hashes, identifiers and long numbers among them). The forest is trained from
+labelled findings on length, character transitions, entropy, dictionary
+coverage, path and neighbouring words (those within 60 bytes before the
+candidate); the dictionary is the most frequent words of the corpus itself.
 
 Defined results: null and empty texts have no candidates; a null id stays null;
 repeated rows are scanned each; an empty table gives an empty result; without a
-path column the path features are 0; other columns are not read. Offsets count
-code points, end exclusive.
+path column the path features are 0; of overlapping candidates the first rule's
+stays, of one rule the leftmost; words of equal count enter the dictionary in
+alphabetical order; other columns are not read. Offsets count code points, end
+exclusive.
 """
 
 from __future__ import annotations
@@ -38,9 +41,9 @@ FORMATS = {
 }
 _NAMES = rb"token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth|credential"
 _ASSIGNED = re.compile(rb"(?i)(?:" + _NAMES + rb")[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{8,})")
-_RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+_RUN = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 _FORMAT = re.compile(b"|".join(b"(?P<%s>%s)" % (k.encode(), v) for k, v in FORMATS.items()))
-_CUE = re.compile(rb"(?i)\b(?:" + _NAMES + rb"|key|private|bearer)\b")
+_CUE = re.compile(rb"(?i)(?<![a-z])(?:" + _NAMES + rb"|key|private|bearer)(?![a-z])")
 _HARMLESS = re.compile(rb"(?i)\b(?:sha\d*|md5|hash|checksum|digest|commit|revision|uuid|guid|id|etag|example|sample|dummy|placeholder|version|isbn|image|data)\b")
 _TEST_PATH = re.compile(r"(?i)test|example|sample|mock|fixture|doc|vendor|\.lock|\.sum|\.svg|\.min\.")
 _CONFIG_PATH = re.compile(r"(?i)\.env|config|settings|\.ya?ml|\.toml|\.ini|\.properties|\.pem|deploy")
@@ -142,9 +145,11 @@ def labelled_findings(lex: frozenset, n: int = LABELLED_FINDINGS, seed: int = 17
         truth = rnd.random() < 0.5
         if truth:
             value = rnd.choice([lambda: draw(hexa, 32, 64), lambda: draw(b64, 20, 64), lambda: "ghp_" + draw(b64[:62], 36, 36), lambda: "AKIA" + draw(b64[:26] + "0123456789", 16, 16), lambda: "sk_live_" + draw(b64[:62], 24, 24)])()
-            name = rnd.choice(["token", "secret", "password", "api_key", "access_key", "auth"])
+            if value[:4] in ("ghp_", "AKIA", "sk_l") and rnd.random() < 0.5:  # known formats are secrets wherever they stand
+                return value, prose() + rnd.choice(["", "", "id ", "the ", "key ", "version "]), "run", 1
+            name = rnd.choice(["", "", "app_", "client-", "my.", "x_"]) + rnd.choice(["token", "secret", "password", "api_key", "access_key", "auth", "credential"])
             return cased(value) if value[:4] not in ("ghp_", "AKIA", "sk_l") else value, cased(prose() + name + rnd.choice([' = "', ": ", "='", '": "', "="])), "assigned", 1
-        case = rnd.randrange(6)
+        case = rnd.randrange(7)
         if case == 0:
             return draw(hexa, 40, 64), prose() + rnd.choice(["commit ", "sha256:", "md5 ", "checksum: ", 'etag = "', "digest "]), "run", 0
         if case == 1:
@@ -153,8 +158,10 @@ def labelled_findings(lex: frozenset, n: int = LABELLED_FINDINGS, seed: int = 17
             return phrase(rnd.choice(["-", "_", "/"])) + draw("0123456789", 1, 4), prose(), "run", 0
         if case == 3:
             return rnd.choice(["your-api-key-here", "changeme123456789", "xxxxxxxxxxxxxxxx", "REPLACE_WITH_TOKEN_1", "0000000000000000"]), prose() + rnd.choice(['token = "', "password: ", 'example key = "']), "assigned", 0
+        if case == 6:
+            return rnd.choice(["", "img-", "ref_"]) + draw(hexa, 16, 40), prose() + rnd.choice(["revision ", "hash ", "guid ", "file ", "checksum ", "build "]), "run", 0
         if case == 4:
-            return draw("0123456789", 20, 30), prose(), "run", 0
+            return draw("0123456789", 12, 30), prose(), "run", 0
         return phrase("_"), prose() + rnd.choice(["token = ", "auth: "]), "assigned", 0
 
     out = []

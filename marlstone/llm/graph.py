@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     repeated edges count once, and an empty edge list gives an empty result.
     Each round is written to the shared folder; nothing is collected but two
     aggregates a round. The smallest neighbour is found with partial
-    aggregation, so a hub's edges are never gathered in one task.
+    aggregation; the join back meets a hub's edges with one row, so adaptive
+    execution may cut a hub into parts.
     """
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     now = written(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")

@@ -98,7 +98,7 @@ def frequent_tokens(docs: DataFrame, n: int, max_frequent: int = MAX_FREQUENT) -
             for one in _sets_of(batch.column(0), n):
                 held.append(one)
                 size += len(one)
-                if size >= 1_000_000:
+                if size >= 250_000:
                     yield report(held)
                     held, size = [], 0
             if held:

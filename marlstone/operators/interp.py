@@ -381,6 +381,21 @@ def overhauser_basis(alpha: float, beta: float) -> list[list[float]]:
     return out.tolist()
 
 
+def overhauser_end_basis(ratio: float, right: bool = False) -> list[list[float]]:
+    """Matrix of the one parabola of an end interval over three knots; ``ratio`` is the other interval's length over this one's."""
+    xs = [-ratio, 0.0, 1.0] if right else [0.0, 1.0, 1.0 + ratio]
+    return [list(row) for row in zip(*(np.poly([x for x in xs if x != k]) / np.prod([k - x for x in xs if x != k]) for k in xs), strict=True)]
+
+
+def overhauser_vectors(knots: DataFrame, queries: DataFrame) -> DataFrame:
+    """``values``, an array: the Overhauser value of each component of knots (grp, t, ys)."""
+    each = knots.select("grp", "t", F.posexplode("ys").alias("_part", "y")).select(F.struct("grp", "_part").alias("grp"), "t", "y")
+    parts = each.select("grp").distinct()
+    wanted = queries.join(parts.select(F.col("grp").alias("_g"), F.col("grp.grp").alias("grp")), "grp").select(F.col("_g").alias("grp"), "t")
+    found = overhauser(each, wanted)
+    return found.groupBy(F.col("grp.grp").alias("grp"), "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("grp._part", "value"))), lambda z: z["value"]).alias("values"))
+
+
 def basis_value(u: Column, matrix: list[list[float]], ys: list[Column]) -> Column:
     """(.., u^2, u, 1) M y by Horner's rule."""
     out = F.lit(0.0)

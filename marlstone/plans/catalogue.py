@@ -278,10 +278,10 @@ def i16_beta_spline(spark, sf_dir):
     return interp.beta_spline(*monthly(spark, sf_dir), bias=2.0, tension=10.0).select("grp", "t", F.round("value", 5).alias("value"))
 
 
-_PARABOLA = lambda a, b, c: f"(y{a} + (t - t{a}) * ((y{b} - y{a}) / (t{b} - t{a}) + (t - t{b}) * ((y{c} - y{a}) / (t{c} - t{a}) - (y{b} - y{a}) / (t{b} - t{a})) / (t{c} - t{b})))"
+PARABOLA = lambda a, b, c: f"(y{a} + (t - t{a}) * ((y{b} - y{a}) / (t{b} - t{a}) + (t - t{b}) * ((y{c} - y{a}) / (t{c} - t{a}) - (y{b} - y{a}) / (t{b} - t{a})) / (t{c} - t{b})))"
 
 
-@query(f"WITH {MONTHLY}, {BRACKET}, {FOUR} SELECT grp, t, round(CASE WHEN t0 IS NULL THEN {_PARABOLA(1, 2, 3)} WHEN t3 IS NULL THEN {_PARABOLA(0, 1, 2)} ELSE (1 - u) * {_PARABOLA(0, 1, 2)} + u * {_PARABOLA(1, 2, 3)} END, 5) AS value FROM r")
+@query(f"WITH {MONTHLY}, {BRACKET}, {FOUR} SELECT grp, t, round(CASE WHEN t0 IS NULL THEN {PARABOLA(1, 2, 3)} WHEN t3 IS NULL THEN {PARABOLA(0, 1, 2)} ELSE (1 - u) * {PARABOLA(0, 1, 2)} + u * {PARABOLA(1, 2, 3)} END, 5) AS value FROM r")
 def i18_overhauser(spark, sf_dir):
     return interp.overhauser(*monthly(spark, sf_dir)).select("grp", "t", F.round("value", 5).alias("value"))
 

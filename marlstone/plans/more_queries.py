@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import expr, vectors
 from marlstone.operators import assoc, glasso, interp, linalg
-from marlstone.plans.catalogue import BRACKET, MONTHLY, monthly, query, table
+from marlstone.plans.catalogue import BRACKET, FOUR, MONTHLY, PARABOLA, monthly, query, table
 from marlstone.plans.folders import shared_folder
 from marlstone.sources import text
 
@@ -256,14 +256,14 @@ SELECT p_partkey, round((a * pow(1 - u, 3) + b * (3 * pow(u, 3) - 6 * u * u + 4)
 round(a * pow(1 - u, 3) + 3 * b * u * pow(1 - u, 2) + 3 * c * u * u * (1 - u) + d * pow(u, 3), 6) AS bezier,
 round(a * (2 * pow(u, 3) - 3 * u * u + 1) + b * (3 * u * u - 2 * pow(u, 3)) + c * (pow(u, 3) - 2 * u * u + u) + d * (pow(u, 3) - u * u), 6) AS hermite,
 round(0.5 * (2 * b + (c - a) * u + (2 * a - 5 * b + 4 * c - d) * u * u + (3 * b - a - 3 * c + d) * pow(u, 3)), 6) AS overhauser, round(0.5 * (2 * b + (c - a) * u + (2 * a - 5 * b + 4 * c - d) * u * u + (3 * b - a - 3 * c + d) * pow(u, 3)), 6) AS overhauser_any,
-round(a + u * (-1.5 * a + 2 * b - 0.5 * c) + u * u * (0.5 * a - b + 0.5 * c), 6) AS overhauser_left, round(b + u * (c - a) / 2 + u * u * (0.5 * a - b + 0.5 * c), 6) AS overhauser_right,
+round(a + u * (-1.5 * a + 2 * b - 0.5 * c) + u * u * (0.5 * a - b + 0.5 * c), 6) AS overhauser_left, round(a + u * (-1.5 * a + 2 * b - 0.5 * c) + u * u * (0.5 * a - b + 0.5 * c), 6) AS overhauser_left_any, round(b + u * (c - a) / 2 + u * u * (0.5 * a - b + 0.5 * c), 6) AS overhauser_right_any, round(b + u * (c - a) / 2 + u * u * (0.5 * a - b + 0.5 * c), 6) AS overhauser_right,
 round((a * 16 * pow(1 - u, 3) + b * (16 * u * (u * u - 3 * u + 3) + 8 * (pow(u, 3) - 3 * u * u + 2) + 4 * (pow(u, 3) - 3 * u + 2) + 10 * (2 * pow(u, 3) - 3 * u * u + 1)) + c * (8 * u * u * (3 - u) + 4 * u * (3 - u * u) + 10 * u * u * (3 - 2 * u) + 2 * (1 - pow(u, 3))) + d * 2 * pow(u, 3)) / 52, 6) AS beta_uniform FROM x""")
 def i28_basis_matrices(spark, sf_dir):
     u, ys = (F.col("p_size") - 1) / 50.0, [F.col("p_size") % k for k in (7, 5, 3, 2)]
     value = lambda m: F.round(interp.basis_value(u, m, ys[: len(m[0])]), 6) + 0.0
     named = {"overhauser_uniform": "overhauser"}
     columns = [value(m).alias(named.get(k, k)) for k, m in interp.BASIS.items()]
-    return table(spark, sf_dir, "part").select("p_partkey", *columns, value(interp.overhauser_basis(0.5, 0.5)).alias("overhauser_any"), value(interp.beta_uniform_basis(2.0, 10.0)).alias("beta_uniform"))
+    return table(spark, sf_dir, "part").select("p_partkey", *columns, value(interp.overhauser_basis(0.5, 0.5)).alias("overhauser_any"), value(interp.overhauser_end_basis(1.0)).alias("overhauser_left_any"), value(interp.overhauser_end_basis(1.0, right=True)).alias("overhauser_right_any"), value(interp.beta_uniform_basis(2.0, 10.0)).alias("beta_uniform"))
 
 
 @query("""WITH x AS (SELECT p_partkey, (p_size - 1) / 50::DOUBLE AS u FROM part) SELECT p_partkey, round(3 * 1.0 * u * pow(1 - u, 2) + 3 * 4.0 * u * u * (1 - u) + 2.0 * pow(u, 3), 8) AS x, round(pow(1 - u, 2) * 5.0 + 2 * u * (1 - u) * -1.0 + u * u * 3.0, 8) AS y FROM x""")
@@ -407,3 +407,25 @@ v AS (SELECT b.grp, b.t, b.t - x.t AS d, y.t - x.t AS h, x.y AS y0, y.y AS y1, g
 SELECT grp, t, round(y0 + d * ((y1 - y0) / h - (p1 / 6 + p0 / 3) * h + d * (p0 / 2 + d * (p1 - p0) / h / 6)), 4) AS value, round((y1 - y0) / h - (p1 / 6 + p0 / 3) * h + d * (p0 + d * (p1 - p0) / h / 2), 4) AS slope, round(p0 + d * (p1 - p0) / h, 4) AS second FROM v""")
 def i7_cubic_value_and_derivatives(spark, sf_dir):
     return interp.cubic(*monthly(spark, sf_dir)).select("grp", "t", F.round("value", 4).alias("value"), F.round("slope", 4).alias("slope"), F.round("second", 4).alias("second"))
+
+
+@query(f"WITH {_PAIR}, y AS (SELECT *, a * d - b * b AS det FROM c) " + " UNION ALL ".join(f"SELECT m, {i}::BIGINT AS i, {j}::BIGINT AS j, round({v} / det, 5) + 0.0 AS v1, round({v} / det, 5) + 0.0 AS v2 FROM y" for i, j, v in ((0, 0, "d"), (0, 1, "-b"), (1, 0, "-b"), (1, 1, "a"))))
+def g6_pair_of_equal_samples(spark, sf_dir):
+    """Two equal samples: nothing is penalised, both precisions are the inverse."""
+    cells = _pair(spark, sf_dir)
+    found = glasso.paired_lasso(cells, cells, 0.3, tol=1e-10)
+    return found.select("m", "i", "j", *((F.round(v, 5) + 0.0).alias(v) for v in ("v1", "v2")))
+
+
+@query(f"WITH {MONTHLY}, {BRACKET}, {FOUR}, o AS (SELECT grp, t, CASE WHEN t0 IS NULL THEN {PARABOLA(1, 2, 3)} WHEN t3 IS NULL THEN {PARABOLA(0, 1, 2)} ELSE (1 - u) * {PARABOLA(0, 1, 2)} + u * {PARABOLA(1, 2, 3)} END AS v FROM r) SELECT grp, t, round(v, 5) AS first, round(1 - 2 * v, 5) AS second FROM o")
+def i20_overhauser_vectors(spark, sf_dir):
+    knots, q = monthly(spark, sf_dir)
+    found = interp.overhauser_vectors(knots.select("grp", "t", F.array("y", 1 - 2 * F.col("y")).alias("ys")), q)
+    return found.select("grp", "t", F.round(F.get("values", F.lit(0)), 5).alias("first"), F.round(F.get("values", F.lit(1)), 5).alias("second"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count_if(l_discount = 0.05)::BIGINT AS n_equal, max(abs(l_tax - 0.04)) AS worst, round(sum(l_tax * l_discount) / sqrt(sum(l_tax * l_tax)) / sqrt(sum(l_discount * l_discount)), 8) AS cosine FROM lineitem GROUP BY ALL")
+def a2_cosine_and_counts(spark, sf_dir):
+    tax, discount = F.col("l_tax"), F.col("l_discount")
+    cosine = F.sum(tax * discount) / F.sqrt(F.sum(tax * tax)) / F.sqrt(F.sum(discount * discount))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count_if(discount == 0.05).alias("n_equal"), F.max(F.abs(tax - 0.04)).alias("worst"), F.round(cosine, 8).alias("cosine"))

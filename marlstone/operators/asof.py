@@ -1,9 +1,10 @@
 """As-of brackets: the knots around each query position, without a range join.
 
 Knots and queries are put in one order and a window carries the last knot at or
-before, and the first knot after, each query. Long groups are cut into buckets
-of the position; a bucket also gets the last knot before it and the first one
-behind it, so the windows stay bounded.
+before, and the first knot after, each query. With ``bucket`` long groups are
+cut into stretches of the position; a stretch also gets the last knot before it
+and the first one behind it. Only the knots' own neighbours come from a window
+over the whole group, which streams through one task in order.
 """
 
 from __future__ import annotations

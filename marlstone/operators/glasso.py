@@ -219,7 +219,7 @@ def paired_lasso(first: DataFrame, second: DataFrame, level: float, name: str =
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         one, two = pdf[pdf.side == 1], pdf[pdf.side == 2]
         if one.empty or two.empty:
-            return pd.DataFrame({name: [], "i": [], "j": [], "v1": [], "v2": [], "iterations": []})
+            return pd.DataFrame({c: np.array([], kind) for c, kind in ((name, object), ("i", int), ("j", int), ("v1", float), ("v2", float), ("iterations", int))})
         p1, p2, k = solve_pair(dense(one), dense(two), level, tol)
         i, j = np.indices(p1.shape).reshape(2, -1)
         return pd.DataFrame({name: pdf[name].iloc[0], "i": i, "j": j, "v1": p1.ravel(), "v2": p2.ravel(), "iterations": k})

@@ -39,7 +39,7 @@ def linear(knots: DataFrame, queries: DataFrame, bucket: float | None = None) ->
     return out.select(*queries.columns, F.coalesce(F.col("lo.y") + d * slope, F.col("lo.y")).alias("value"), slope.alias("slope"))
 
 
-def linear_integral(knots: DataFrame, limits: DataFrame) -> DataFrame:
+def linear_integral(knots: DataFrame, limits: DataFrame, bucket: float | None = None) -> DataFrame:
     """``limits`` (grp, a, b) with the signed ``integral`` of the linear interpolant from a to b.
 
     F(b) - F(a) with F the running trapezoid sum at the bracketing knot plus a
@@ -50,7 +50,7 @@ def linear_integral(knots: DataFrame, limits: DataFrame) -> DataFrame:
     areas = knots.select("grp", "t", "y", F.coalesce(area, F.lit(0.0)).alias("part"))
     areas = areas.withColumn("area", F.sum("part").over(order)).drop("part")
     q = limits.withColumn("_id", F.struct("grp", "a", "b")).select("grp", "_id", F.explode(F.array(F.struct(F.col("a").cast("double").alias("t"), F.lit(-1).alias("sign")), F.struct(F.col("b").cast("double").alias("t"), F.lit(1).alias("sign")))).alias("e")).select("grp", "_id", "e.*")
-    found = bracket(areas, q, values=("y", "area"))
+    found = bracket(areas, q, values=("y", "area"), bucket=bucket)
     d, h = _u()
     slope = (F.col("hi.y") - F.col("lo.y")) / F.nullif(h, F.lit(0.0))
     upto = F.col("lo.area") + d * F.col("lo.y") + slope * d * d / 2
@@ -61,12 +61,12 @@ def linear_integral(knots: DataFrame, limits: DataFrame) -> DataFrame:
 # quadratic
 
 
-def quadratic(knots: DataFrame, queries: DataFrame) -> DataFrame:
+def quadratic(knots: DataFrame, queries: DataFrame, bucket: float | None = None) -> DataFrame:
     """``value`` and ``slope`` of the parabolas through knots (0, 1, 2), (2, 3, 4), ...; an odd number of knots."""
     order = Window.partitionBy("grp").orderBy("t")
     triples = knots.select("grp", "t", "y", F.lead("t").over(order).alias("t2"), F.lead("y").over(order).alias("y2"), F.lead("t", 2).over(order).alias("t3"), F.lead("y", 2).over(order).alias("y3"), F.row_number().over(order).alias("i"))
     starts = triples.where("i % 2 = 1")
-    out = bracket(starts, queries, values=("y", "t2", "y2", "t3", "y3"))
+    out = bracket(starts, queries, values=("y", "t2", "y2", "t3", "y3"), bucket=bucket)
     base = F.when((F.col("t") >= F.col("hi.t")) & F.col("hi.t3").isNotNull(), F.col("hi")).otherwise(F.col("lo"))
     out = out.withColumn("b", base)
     value, slope = parabola(F.col("t"), *(F.col(f"b.{c}") for c in ("t", "y", "t2", "y2", "t3", "y3")))
@@ -109,11 +109,11 @@ def hermite_coefficients(knots: DataFrame) -> DataFrame:
     return rows.select("grp", "t", F.col("y").alias("c0"), F.col("slope").alias("c1"), ((delta - F.col("slope") - d3) / F.col("h")).alias("c2"), (d3 / (F.col("h") * F.col("h"))).alias("c3"))
 
 
-def hermite(knots: DataFrame, queries: DataFrame) -> DataFrame:
+def hermite(knots: DataFrame, queries: DataFrame, bucket: float | None = None) -> DataFrame:
     """``value`` and ``slope`` from knots (grp, t, y, slope)."""
     d, h = _u()
     value, slope = cubic_on_interval(d, h, F.col("lo.y"), F.col("hi.y"), F.col("lo.slope"), F.col("hi.slope"))
-    return bracket(knots, queries, values=("y", "slope")).select(*queries.columns, value.alias("value"), slope.alias("slope"))
+    return bracket(knots, queries, values=("y", "slope"), bucket=bucket).select(*queries.columns, value.alias("value"), slope.alias("slope"))
 
 
 def pchip_slopes(knots: DataFrame) -> DataFrame:
@@ -144,11 +144,11 @@ def pchip_slopes(knots: DataFrame) -> DataFrame:
     return x.select("grp", "t", "y", slope.alias("slope"))
 
 
-def pchip(knots: DataFrame, queries: DataFrame) -> DataFrame:
+def pchip(knots: DataFrame, queries: DataFrame, bucket: float | None = None) -> DataFrame:
     """Monotone piecewise cubic ``value`` and ``slope``, and whether the query lies outside the knots."""
     d, h = _u()
     value, slope = cubic_on_interval(d, h, F.col("lo.y"), F.col("hi.y"), F.col("lo.slope"), F.col("hi.slope"))
-    return bracket(pchip_slopes(knots), queries, values=("y", "slope")).select(*queries.columns, value.alias("value"), slope.alias("slope"), ((d < 0) | (d > h)).alias("outside"))
+    return bracket(pchip_slopes(knots), queries, values=("y", "slope"), bucket=bucket).select(*queries.columns, value.alias("value"), slope.alias("slope"), ((d < 0) | (d > h)).alias("outside"))
 
 
 def count_outside(evaluated: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def cubic_second_derivatives(knots: DataFrame, start: tuple[int, float] = (0, 0.
         t, y, n = pdf.t.to_numpy(), pdf.y.to_numpy(), len(pdf)
         mine = (pdf.own == pdf.part).to_numpy()
         if n == 1 or not mine.any():
-            return pd.DataFrame({"grp": pdf.grp[:0], "t": t[:0], "y": y[:0], "ypp": y[:0]})
+            return pd.DataFrame({"grp": pdf.grp[:0].astype(object), "t": t[:0], "y": y[:0], "ypp": y[:0]})
         h = np.diff(t)
         with np.errstate(all="ignore"):
             slope = np.diff(y) / h
@@ -258,9 +258,9 @@ def cubic_second_derivatives(knots: DataFrame, start: tuple[int, float] = (0, 0.
     return rows.groupBy("grp", "part").applyInPandas(solve, f"grp {kind}, t double, y double, ypp double")
 
 
-def cubic(knots: DataFrame, queries: DataFrame, start: tuple[int, float] = (0, 0.0), end: tuple[int, float] = (0, 0.0)) -> DataFrame:
+def cubic(knots: DataFrame, queries: DataFrame, start: tuple[int, float] = (0, 0.0), end: tuple[int, float] = (0, 0.0), bucket: float | None = None) -> DataFrame:
     """Cubic spline ``value``, ``slope`` and ``second`` derivative."""
-    out = bracket(cubic_second_derivatives(knots, start, end), queries, values=("y", "ypp"))
+    out = bracket(cubic_second_derivatives(knots, start, end), queries, values=("y", "ypp"), bucket=bucket)
     d, h = _u()
     y0, y1, p0, p1 = F.col("lo.y"), F.col("hi.y"), F.col("lo.ypp"), F.col("hi.ypp")
     delta = (y1 - y0) / F.nullif(h, F.lit(0.0))
@@ -296,10 +296,10 @@ def linear_from_integrals(cells: DataFrame) -> DataFrame:
 # splines over four neighbours
 
 
-def _four(knots: DataFrame, queries: DataFrame) -> DataFrame:
+def _four(knots: DataFrame, queries: DataFrame, bucket: float | None = None) -> DataFrame:
     """The bracket with the neighbours beyond it: t_a, y_a, t_d, y_d; phantom values where the data end."""
     near = with_neighbours(knots, values=("y",)).select("grp", "t", "y", F.col("_k.t_p").alias("tp"), F.col("_k.y_p").alias("yp"), F.col("_k.t_n").alias("tn"), F.col("_k.y_n").alias("yn"))
-    out = bracket(near, queries, values=("y", "tp", "yp", "tn", "yn"))
+    out = bracket(near, queries, values=("y", "tp", "yp", "tn", "yn"), bucket=bucket)
     return out.select(
         *queries.columns, "lo", "hi", F.col("lo.tp").alias("t_a"), F.coalesce(F.col("lo.yp"), 2 * F.col("lo.y") - F.col("hi.y")).alias("y_a"),
         F.col("hi.tn").alias("t_d"), F.coalesce(F.col("hi.yn"), 2 * F.col("hi.y") - F.col("lo.y")).alias("y_d"),
@@ -316,16 +316,16 @@ def beta_weights(u: Column, bias: float = 1.0, tension: float = 0.0) -> list[Col
     return [2 * b3 * v * v * v / delta, second / delta, third / delta, 2 * u * u * u / delta]
 
 
-def beta_spline(knots: DataFrame, queries: DataFrame, bias: float = 1.0, tension: float = 0.0) -> DataFrame:
+def beta_spline(knots: DataFrame, queries: DataFrame, bias: float = 1.0, tension: float = 0.0, bucket: float | None = None) -> DataFrame:
     """``value`` of the uniform beta spline approximation with phantom end values."""
     d, h = _u()
     w = beta_weights(d / F.nullif(h, F.lit(0.0)), bias, tension)
     value = w[0] * F.col("y_a") + w[1] * F.col("lo.y") + w[2] * F.col("hi.y") + w[3] * F.col("y_d")
-    return _four(knots, queries).select(*queries.columns, value.alias("value"))
+    return _four(knots, queries, bucket).select(*queries.columns, value.alias("value"))
 
 
-def b_spline(knots: DataFrame, queries: DataFrame) -> DataFrame:
-    return beta_spline(knots, queries)
+def b_spline(knots: DataFrame, queries: DataFrame, bucket: float | None = None) -> DataFrame:
+    return beta_spline(knots, queries, bucket=bucket)
 
 
 def beta_basis(t: Column, ts: list[float], bias: float = 1.0, tension: float = 0.0) -> Column:
@@ -337,7 +337,7 @@ def beta_basis(t: Column, ts: list[float], bias: float = 1.0, tension: float = 0
     return out
 
 
-def overhauser(knots: DataFrame, queries: DataFrame) -> DataFrame:
+def overhauser(knots: DataFrame, queries: DataFrame, bucket: float | None = None) -> DataFrame:
     """``value`` of the blend of the two parabolas around each interval (end intervals use one); any spacing, 3 knots or more."""
     t = F.col("t")
     left, _ = parabola(t, F.col("t_a"), F.col("y_a"), F.col("lo.t"), F.col("lo.y"), F.col("hi.t"), F.col("hi.y"))
@@ -345,7 +345,7 @@ def overhauser(knots: DataFrame, queries: DataFrame) -> DataFrame:
     d, h = _u()
     u = d / F.nullif(h, F.lit(0.0))
     value = F.when(F.col("t_a").isNull(), right).when(F.col("t_d").isNull(), left).otherwise((1 - u) * left + u * right)
-    return _four(knots, queries).select(*queries.columns, value.alias("value"))
+    return _four(knots, queries, bucket).select(*queries.columns, value.alias("value"))
 
 
 # basis matrices: value = (u^3, u^2, u, 1) M (y0, y1, y2, y3); fixed values

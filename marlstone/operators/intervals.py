@@ -8,6 +8,8 @@ the bins that cover it, so positions are first counted by cell (a stretch of
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +25,15 @@ def covering_bins(position: Column, low: int, high: int, spacing: int, size: int
 def bin_counts(points: DataFrame, position: str, low: int, high: int, spacing: int, size: int, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
     """``(*by, bin, start, n)``: points in each sliding bin that has any.
 
-    Points are summed by position first, so what is expanded into size /
-    spacing bins is at most one row for each distinct position and group.
+    All positions of a cell, a stretch of the greatest common divisor of spacing
+    and size, lie in the same bins. So points are summed by cell first, and what
+    is expanded into size / spacing bins is one row for each cell and group.
     """
     weight = F.lit(1) if weight is None else weight
-    cells = points.where(F.col(position).between(low, high + size)).groupBy(*by, position).agg(F.sum(weight).alias("n"))
-    spread = cells.select(*by, F.explode(covering_bins(F.col(position), low, high, spacing, size)).alias("bin"), "n")
+    width = gcd(spacing, size)
+    cell = F.floor((F.col(position) - low) / width).alias("_cell")
+    cells = points.where(F.col(position).between(low, high + size)).groupBy(*by, cell).agg(F.sum(weight).alias("n"))
+    spread = cells.select(*by, F.explode(covering_bins(low + F.col("_cell") * width, low, high, spacing, size)).alias("bin"), "n")
     return spread.groupBy(*by, "bin").agg(F.sum("n").alias("n")).select(*by, "bin", (low + F.col("bin") * spacing).alias("start"), "n")
 
 

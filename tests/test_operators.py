@@ -314,3 +314,55 @@ def test_g1_glasso_has_all_dimensions(spark, tmp_path):
     spark.createDataFrame(rows, "label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     found = catalogue.QUERIES["g1_glasso"](spark, str(tmp_path)).collect()
     assert len(found) == 2 * 2 * 64 * 64 and all(r["solved"] for r in found)
+
+
+def test_long_splines_in_blocks_equal_the_dense_solution(spark):
+    import numpy as np
+
+    from marlstone.operators import interp
+
+    rnd = np.random.default_rng(4)
+    n = 900
+    t, y = np.cumsum(rnd.uniform(0.01, 3.0, n)), rnd.normal(size=n)
+    knots = spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(t, y, strict=True)] + [("b", 0.0, 1.0), ("b", 2.0, 5.0), ("c", 1.0, 1.0)], "grp string, t double, y double")
+    h, d = np.diff(t), np.diff(y) / np.diff(t)
+    for start, end in (((0, 0.0), (1, 2.0)), ((2, 0.5), (0, 0.0))):
+        m, r = np.zeros((n, n)), np.zeros(n)
+        for i in range(1, n - 1):
+            m[i, i - 1 : i + 2], r[i] = (h[i - 1] / 6, (h[i - 1] + h[i]) / 3, h[i] / 6), d[i] - d[i - 1]
+        m[0, :2], r[0] = {0: ((1, -1), 0.0), 1: ((h[0] / 3, h[0] / 6), d[0] - start[1]), 2: ((1, 0), start[1])}[start[0]]
+        m[-1, -2:], r[-1] = {0: ((-1, 1), 0.0), 1: ((h[-1] / 6, h[-1] / 3), end[1] - d[-1]), 2: ((0, 1), end[1])}[end[0]]
+        want = np.linalg.solve(m, r)
+        got = {(x["grp"], x["t"]): x["ypp"] for x in interp.cubic_second_derivatives(knots, start, end, block=150).collect()}
+        assert len(got) == n + 2
+        assert np.allclose([got["a", float(a)] for a in t], want, rtol=1e-12, atol=1e-12)
+
+
+def test_cells_of_bins_for_any_spacing_and_size(spark):
+    from marlstone.operators import intervals
+
+    points = [float(x) for x in (0, 3, 7, 7.5, 12, 12, 29.9, 30, 41, 55)]
+    table = spark.createDataFrame([(x,) for x in points], "x double")
+    for spacing, size in ((10, 15), (6, 4), (7, 21), (5, 5)):
+        got = {r["bin"]: r["n"] for r in intervals.bin_counts(table, "x", 3, 45, spacing, size).collect()}
+        want = {k: n for k in range(42 // spacing) if (n := sum(3 + k * spacing <= x < 3 + k * spacing + size for x in points))}
+        assert got == want
+
+
+def test_paired_and_masked_solvers(spark):
+    import numpy as np
+
+    from marlstone.operators import glasso
+
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(60, 4))
+    s = np.cov((x + 0.8 * x[:, :1]).T)
+    best, gap, _ = glasso.solve(s, 0.1, "heavy_ball", tol=1e-10)
+    for method in glasso.METHODS:
+        p, gap, _ = glasso.solve(s, 0.1, method, tol=1e-9)
+        assert np.allclose(p, best, atol=2e-3), method
+    cells = lambda m: spark.createDataFrame([("a", i, j, float(m[i, j])) for i in range(4) for j in range(4)], "m string, i long, j long, v double")
+    rows = glasso.paired_lasso(cells(s), cells(s + np.eye(4)), 0.2).collect()
+    one, two, _ = glasso.solve_pair(s, s + np.eye(4), 0.2)
+    assert len(rows) == 16 and all(abs(r["v1"] - one[r["i"], r["j"]]) < 1e-9 and abs(r["v2"] - two[r["i"], r["j"]]) < 1e-9 for r in rows)
+    assert glasso.paired_lasso(cells(s), cells(s).where("false"), 0.2).count() == 0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only when it has been counted and has at most so many rows of ids or hashes.
 BROADCAST_ROWS = 2_000_000
 #: Rows and bytes of a batch that a Python worker gets while an intermediate table is written.
-ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ from marlstone.llm.tokens import text_slices
 CAPACITY = 2048
 END = b"\0\0\0\0"
 #: Words from which on a worker starts a new generation of its memory; there are two generations.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 150_000
 #: Words that one call of the library gets.
 WORDS_AT_ONCE = 500
 #: Pieces of one length for which one bucket for ranking is made.

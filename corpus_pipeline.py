@@ -10,7 +10,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm.common import read_table, written
+from marlstone.llm.common import ARROW_BATCH, read_table, written
 from marlstone.llm.decontamination import remove_contamination
 from marlstone.llm.ngram_join import keep_one_per_component
 from marlstone.llm.packing import pack, token_pieces
@@ -18,8 +18,15 @@ from marlstone.llm.pii import redact
 from marlstone.llm.quality_rules import keep_documents
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Python workers of this job get small batches, as their memory is an executor's too."""
+    for key, value in ARROW_BATCH.items():
+        spark.conf.set(key, value)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the default policy go."""
+    _small_batches(spark)
     return keep_documents(docs)
 
 
@@ -30,6 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that consist of them by half or more go."""
+    _small_batches(spark)
     return remove_contamination(docs, read_table(spark, sf_dir, "benchmark"))
 
 

@@ -8,8 +8,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A side of a join is broadcast only when it has been counted and has at most so many rows of ids or hashes.
 BROADCAST_ROWS = 2_000_000
@@ -54,6 +56,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+
+
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small table of rows that the driver has, handed over by Arrow: no Python worker takes part."""
+    fields = StructType.fromDDL(ddl).fields
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.table({f.name: pa.array(list(c), _ARROW[f.dataType.simpleString()]) for f, c in zip(fields, columns, strict=True)}))
+
+
 def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when the counted rows stay within ``limit``; otherwise leave the join to shuffle."""
     rows = df.count() if rows is None else rows

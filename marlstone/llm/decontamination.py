@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import maybe_broadcast, written
+from marlstone.llm.common import fresh, maybe_broadcast, written
 from marlstone.llm.tokens import ALNUM, Words, scan_column
 
 #: Words of the benchmark that may be broadcast at once (about 40 bytes each); larger benchmarks take several passes of so many.
@@ -246,8 +246,9 @@ def _remove_by_parts(docs: DataFrame, parts: list[Callable[[], WindowSet]], drop
             texts = [_without(t.encode(), s).decode() for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_row", "_new"])
 
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    now, gone, changed = rows.select("_row", F.col(text_col).alias("_new")), None, None
+    row, new = fresh(docs, "row"), fresh(docs, "new")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    now, gone, changed = rows.select(F.col(row).alias("_row"), F.col(f"`{text_col}`").alias("_new")), None, None
     while True:
         hit = written(_scan(now, parts, "_row", "_new").where("n_hit > 0").select("_row", "spans", (F.col("n_hit") / F.col("n_words")).alias("share")), "hit")
         if not (n := hit.count()):
@@ -257,9 +258,9 @@ def _remove_by_parts(docs: DataFrame, parts: list[Callable[[], WindowSet]], drop
         now = written(now.join(maybe_broadcast(hit, n), "_row").select("_row", "_new", "spans").mapInArrow(cut, "_row long, _new string"), "cut")
         changed = now if changed is None else written(changed.join(maybe_broadcast(now.select("_row"), n), "_row", "left_anti").unionByName(now), "changed")
     if gone is None:
-        return rows.drop("_row")
-    left = rows.join(maybe_broadcast(gone), "_row", "left_anti").join(changed, "_row", "left")
-    return left.select(*(F.coalesce("_new", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+        return rows.drop(row)
+    left = rows.join(maybe_broadcast(gone.withColumnRenamed("_row", row)), row, "left_anti").join(changed.select(F.col("_row").alias(row), F.col("_new").alias(new)), row, "left")
+    return left.select(*(F.coalesce(new, F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
 def remove_contamination(docs: DataFrame, items: DataFrame, n: int = 10, drop_from: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -268,6 +269,8 @@ def remove_contamination(docs: DataFrame, items: DataFrame, n: int = 10, drop_fr
     Hit runs of words are cut out of a document; one with at least
     ``drop_from`` of its words hit is dropped. Clean rows pass unchanged. A
     benchmark over the bound is scanned part by part with the same results.
+    Null and empty texts pass; ids are not read, repeated rows are treated each;
+    columns may have any name; an empty table stays empty.
     """
     at = docs.columns.index(text_col)
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import maybe_broadcast, written
+from marlstone.llm.common import fresh, maybe_broadcast, written
 from marlstone.llm.graph import connected_components
 from marlstone.llm.tokens import NOT_SPACE, Words, mix, scan_column
 
@@ -366,17 +366,18 @@ def keep_one_per_component(docs: DataFrame, n: int = 5, threshold: float | Fract
     of its own and goes where its component has a row with an id, or an earlier
     one.
     """
-    slim = lambda df, *more: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    slim = lambda df, *more: df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *more)
     if _all_differ(slim(docs), allow_null=False):
         members, _ = ngram_jaccard_join(docs, n, threshold, id_col, text_col)
         gone = members.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
         gone = written(gone, "gone")
         return docs.join(maybe_broadcast(gone), id_col, "left_anti")
-    whole = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    numbered = slim(whole, "_row")
+    row = fresh(docs, "row")
+    whole = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    numbered = slim(whole, F.col(row).alias("_row"))
     _, copies, links = _join_keyed(numbered.select(F.col("_row").alias("doc_id"), "text"), n, Fraction(threshold).limit_denominator(10_000))
     found = _row_components(numbered, copies, links).join(numbered.select("_row", "doc_id"), "_row")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
     first = found.groupBy("component").agg(F.min(order).alias("first"))
     gone = written(found.join(first.select("component", F.col("first._row").alias("stays")), "component").where("_row != stays").select("_row"), "gone")
-    return whole.join(maybe_broadcast(gone), "_row", "left_anti").drop("_row")
+    return whole.join(maybe_broadcast(gone.withColumnRenamed("_row", row)), row, "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import maybe_broadcast, written
+from marlstone.llm.common import local_table, maybe_broadcast, written
 from marlstone.llm.tokens import text_slices
 
 CAPACITY = 2048
@@ -444,9 +444,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, patience: int = PATIENCE)
     lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     groups, _ = packed_groups(lengths, capacity, patience)
     plan = groups.plan()
-    places = spark.createDataFrame(plan, "length long, first_rank long, end_rank long, first_sequence long, offset long")
+    places = local_table(spark, plan, "length long, first_rank long, end_rank long, first_sequence long, offset long")
     buckets = {k: -(-n // ROWS_PER_BUCKET) for k, n in lengths.items()}
-    dealt = spark.createDataFrame([*buckets.items()], "length long, _buckets long")  # a row a length: at most ``capacity``
+    dealt = local_table(spark, [*buckets.items()], "length long, _buckets long")  # a row a length: at most ``capacity``
     ranked = pieces.join(F.broadcast(dealt), "length").withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.col("_buckets"))).drop("_buckets")
     before = F.sum("count").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = ranked.groupBy("length", "_bucket").count().select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))

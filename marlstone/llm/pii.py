@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fresh, maybe_broadcast, written
+from marlstone.llm.common import fresh, local_table, maybe_broadcast, written
 
 #: The base kinds, and one that only the method finds.
 KINDS = ("email", "ip", "card", "phone")
@@ -272,7 +272,7 @@ def labelled_findings(n: int = LABELLED_FINDINGS, seed: int = 23) -> list[tuple[
 
 def fit(spark: SparkSession, findings: list[tuple[int, str, int, int, str]] | None = None) -> Trees:
     """Train on labelled findings; only the counts of feature combinations reach the driver."""
-    table = spark.createDataFrame(findings or labelled_findings(), "doc_id long, text string, true_start long, true_end long, true_kind string").repartition(4, "doc_id")
+    table = local_table(spark, findings or labelled_findings(), "doc_id long, text string, true_start long, true_end long, true_kind string").repartition(4, "doc_id")
     found = candidates(table).join(F.broadcast(table.drop("text")), "doc_id")
     label = ((F.col("kind") == F.col("true_kind")) & (F.col("start") < F.col("true_end")) & (F.col("end") > F.col("true_start"))).cast("int")
     names = [f"f_{x}" for x in FEATURES]

@@ -122,7 +122,12 @@ def verdict(policy: tuple[str, int] = DEFAULT_POLICY, bits: str = "failure_bits"
 
 
 def keep_documents(docs: DataFrame, policy: tuple[str, int] = DEFAULT_POLICY, text_col: str = "text") -> DataFrame:
-    """The documents, all columns unchanged, that pass the policy."""
+    """The documents, all columns unchanged, that pass the policy.
+
+    Null and empty texts have no words and go under any policy that asks for
+    some; ids are not read, repeated rows are judged each and columns may have any
+    name; an empty table stays empty.
+    """
     at, enforced = docs.columns.index(text_col), POLICIES[policy]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fresh, maybe_broadcast, written
+from marlstone.llm.common import fresh, local_table, maybe_broadcast, written
 
 #: Rows for which one block of an old shard and size class is made.
 ROWS_PER_BLOCK = 20_000
@@ -156,14 +156,14 @@ def reshard(docs: DataFrame, old_shard: Column, capacities: int | list[int], cos
             at += x
     block = ["old_shard", "level", "bucket"]
     spark = docs.sparkSession
-    dealt = spark.createDataFrame([(r["old_shard"], r["level"], -(-r["n"] // ROWS_PER_BLOCK)) for r in classes], "old_shard int, level int, buckets int")
+    dealt = local_table(spark, [(r["old_shard"], r["level"], -(-r["n"] // ROWS_PER_BLOCK)) for r in classes], "old_shard int, level int, buckets int")
     n_blocks = sum(-(-r["n"] // ROWS_PER_BLOCK) for r in classes)
     rows = rows.join(maybe_broadcast(dealt, len(classes)), ["old_shard", "level"]).withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets")).cast("int"))
     earlier = Window.partitionBy("old_shard").orderBy("level", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(*block).agg(F.sum("size").alias("bytes")).select(*block, F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy(*block).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2
-    ranges = spark.createDataFrame(cuts, "cut_shard int, low long, high long, shard int")
+    ranges = local_table(spark, cuts, "cut_shard int, low long, high long, shard int")
     placed = rows.join(maybe_broadcast(blocks, n_blocks), block).withColumn("middle", middle)
     fits = (F.col("old_shard") == F.col("cut_shard")) & (F.col("middle") > F.col("low")) & (F.col("middle") <= F.col("high"))
     placed = written(placed.join(maybe_broadcast(ranges, len(cuts)), fits).select("doc_id", "size", "text_crc32", "row", "shard", *block), "placed")
@@ -209,5 +209,5 @@ def rewrite_affected(docs: DataFrame, assignment: DataFrame, path: str, id_col:
         if k not in filled:
             rows.drop("shard").limit(0).write.mode("overwrite").parquet(f"{path}/shard={k}")
     moved_in = change.groupBy("shard").agg(F.sum("size").alias("bytes_in"))
-    table = docs.sparkSession.createDataFrame([(k,) for k in affected], "shard int")
+    table = local_table(docs.sparkSession, [(k,) for k in affected], "shard int")
     return table.join(moved_in, "shard", "left").select("shard", F.coalesce("bytes_in", F.lit(0)).alias("bytes_in"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import maybe_broadcast, written
+from marlstone.llm.common import local_table, maybe_broadcast, written
 from marlstone.llm.graph import connected_components
 
 #: Rules up to this number become a literal of the plan; more are joined by host.
@@ -56,7 +56,7 @@ def split_rule(rule: str) -> tuple[str, str]:
 
 def rule_table(spark, rules: list[tuple[str, str]]) -> DataFrame:
     """Rules ``(verdict, "host/path")`` as a table of host, path, rule, verdict."""
-    return spark.createDataFrame([(*split_rule(r), r, v) for v, r in rules], "host string, path string, rule string, verdict string")
+    return local_table(spark, [(*split_rule(r), r, v) for v, r in rules], "host string, path string, rule string, verdict string")
 
 
 def _rank(rule: Column, host: Column, verdict: Column) -> list[Column]:

@@ -77,3 +77,29 @@ def test_stages(spark, tmp_path):
     direct = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in direct) == Counter((r["doc_id"], r["ids_crc32"]) for r in packed)
     assert all(re.fullmatch("[a-z_]+", name) for name, _ in corpus_pipeline.STAGES)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null and repeated ids, repeated rows, columns with the names that the stages use, a very long text, and an empty table."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(3, 9)))
+    plain = [" ".join(word() for _ in range(80)) for _ in range(6)]
+    long = " ".join(word() for _ in range(60_000)) + " mail some.one@host.org"
+    schema = "doc_id long, text string, _row string, _id int, _key string, _new string, component double"
+    more = ("r", 1, "k", "n", 0.5)
+    rows = [(1, plain[0], *more), (1, plain[0], *more), (1, plain[1], *more), (None, plain[2], *more), (None, plain[2], *more), (None, None, *more), (5, long, *more), (6, plain[3], None, None, None, None, None), (7, "", *more)]
+    spark.createDataFrame([(0, plain[3][:40])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+            assert docs.columns == ["doc_id", "text", "_row", "_id", "_key", "_new", "component"], name
+        got = docs.collect()
+        if given:
+            assert Counter(r["doc_id"] for r in got) == Counter([1, None, 5, 6])
+            assert next(r["text"] for r in got if r["doc_id"] == 5) == long.replace("some.one@host.org", "[email]")
+            assert all(tuple(r)[2:] == (more if r["doc_id"] != 6 else (None,) * 5) for r in got)
+        else:
+            assert got == []
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in got}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import expr, vectors
 from marlstone.operators import assoc, glasso, interp, linalg
-from marlstone.plans.catalogue import BRACKET, FOUR, MONTHLY, PARABOLA, monthly, query, table
+from marlstone.plans import segment_scan
+from marlstone.plans.catalogue import BINS, BRACKET, EV, FOUR, HIGH, MONTHLY, PARABOLA, SIZE, SPACING, events, monthly, query, table
 from marlstone.plans.folders import shared_folder
 from marlstone.sources import text
 
@@ -429,3 +430,21 @@ def a2_cosine_and_counts(spark, sf_dir):
     tax, discount = F.col("l_tax"), F.col("l_discount")
     cosine = F.sum(tax * discount) / F.sqrt(F.sum(tax * tax)) / F.sqrt(F.sum(discount * discount))
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count_if(discount == 0.05).alias("n_equal"), F.max(F.abs(tax - 0.04)).alias("worst"), F.round(cosine, 8).alias("cosine"))
+
+
+@query(f"""WITH {EV}, {BINS}, u AS (SELECT DISTINCT user_id, user_id % 3 AS dosage FROM ev WHERE user_id % 7 > 0),
+c AS (SELECT user_id, bin, count(*) AS n FROM bins JOIN ev ON minute >= start AND minute < start + {SIZE} GROUP BY ALL),
+full_grid AS (SELECT b.bin, u.dosage::DOUBLE AS x, 2 * coalesce(n, 0)::DOUBLE AS y FROM bins b CROSS JOIN u LEFT JOIN c ON c.bin = b.bin AND c.user_id = u.user_id),
+s AS (SELECT bin, avg(y) AS mean, sum(x * x) - sum(x) * sum(x) / count(*) AS sxx, sum(y * y) - sum(y) * sum(y) / count(*) AS syy, sum(x * y) - sum(x) * sum(y) / count(*) AS sxy FROM full_grid GROUP BY bin),
+r AS (SELECT bin, mean, CASE WHEN sxx <= 1e-12 OR syy <= 1e-12 THEN 1.0 ELSE sqrt(syy / (syy - sxy * sxy / sxx)) END AS ratio, CASE WHEN sxx > 1e-12 THEN abs(sxy / sxx) ELSE 0 END AS effect FROM s),
+f AS (SELECT * FROM r, (VALUES (1.0101::DOUBLE), (1.0203::DOUBLE)) AS a(l1), (VALUES (0.0507::DOUBLE), (0.1009::DOUBLE)) AS b(l2) WHERE ratio >= l1 AND effect >= l2),
+g AS (SELECT *, bin - row_number() OVER (PARTITION BY l1, l2 ORDER BY bin) AS island FROM f)
+SELECT l1, l2, '7' AS chrom, (min(bin) * {SPACING})::BIGINT AS start, (max(bin) * {SPACING} + {SPACING})::BIGINT AS "end", count(*) AS n, round(max(ratio), 5) AS ratio, round(max(effect), 5) AS threshold, round(avg(mean), 5) AS mean FROM g GROUP BY l1, l2, island""")
+def t1_segment_scan(spark, sf_dir):
+    """The tool's scan over two by two floors: users as samples, their events as cut sites."""
+    ev = events(spark, sf_dir)
+    genotypes = ev.select(F.lit("rs1").alias("rsid"), F.col("user_id").cast("string").alias("sample"), F.when(F.col("user_id") % 7 > 0, F.col("user_id") % 3).alias("dosage")).distinct()
+    cuts = ev.select(F.col("user_id").cast("string").alias("sample"), F.lit("7").alias("chr"), F.col("minute").alias("start"), F.col("minute").alias("end"))
+    _, o = segment_scan.parse(f"-rsid:rs1 -chr:7 -minbp:0 -maxbp:{HIGH} -binspacing:{SPACING} -binsize:{SIZE} -l1:1.0101,1.0203 -l2:0.0507,0.1009 -seg".split())
+    found = segment_scan.find_segments(genotypes, cuts, o)
+    return found.select("l1", "l2", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n", *(F.round(c, 5).alias(c) for c in ("ratio", "threshold", "mean")))

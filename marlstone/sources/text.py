@@ -41,11 +41,9 @@ def cell(fields: Column, k: int) -> Column:
 
 
 def scan_table(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """A table with a header line; all columns are strings and ragged rows are filled with the empty string."""
-    lines = scan_lines(spark, path, sep)
-    header = lines.first()["fields"]
-    body = lines.where(F.col("fields") != F.array(*map(F.lit, header)))
-    return body.select(*(cell(F.col("fields"), k).alias(name) for k, name in enumerate(header)))
+    """A table with a header line in every file; all columns are strings without outer spaces, and missing cells are empty strings."""
+    read = spark.read.csv(path, sep=sep, header=True, quote="", escape="")
+    return read.select(*(F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.strip(" ")) for c in read.columns))
 
 
 def unpivot_samples(table: DataFrame, ids: list[str], name: str = "sample", value: str = "gt") -> DataFrame:

@@ -27,6 +27,14 @@ def test_lines(spark, put):
     assert fields(text.scan_lines(spark, multi, ",", " ", multi=True)) == [["a", "b", "c"]]
 
 
+def test_tables_of_several_files_and_rows_like_the_header(spark, put, tmp_path):
+    (tmp_path / "t").mkdir()
+    put("t/a.txt", b"k\tv\r\nk\tv\r\n1\t\"x\r\n")
+    put("t/b.txt", b"k\tv\n2\n\n3\t y \tz")
+    got = {tuple(r) for r in text.scan_table(spark, str(tmp_path / "t")).collect()}
+    assert got == {("k", "v"), ("1", '"x'), ("2", ""), ("3", "y")}
+
+
 def test_genotypes_and_sites(spark, put, tmp_path):
     g = text.genotypes(spark, put("g.txt", b"RSID\tA1\tA2\ts1\ts2\ts3\r\nrs1\tG\tA\tGA\tNA\tAA\r\nrs2\tC\tT\tCC\r\n"))
     got = {(r["rsid"], r["sample"]): r["dosage"] for r in g.collect()}

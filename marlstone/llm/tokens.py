@@ -7,8 +7,6 @@ operators on words need no Python object per word.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,19 +17,6 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 
-#: glibc's option for the size from which on a block of memory is its own mapping, which goes back to the system when it is freed.
-_MAPPED_FROM = (-3, 1 << 20)
-
-
-def free_at_once() -> None:
-    """Let freed arrays go back to the system: Python workers live on between stages and share their executor's memory."""
-    pa.set_memory_pool(pa.system_memory_pool())
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such option
-        ctypes.CDLL(None).mallopt(*_MAPPED_FROM)
-
-
-free_at_once()
-
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 _S29, _S32 = _U(29), _U(32)

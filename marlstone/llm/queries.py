@@ -8,8 +8,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import compression_classifier, language_id
-from marlstone.llm.common import held_out, read_table
+from marlstone.llm import centroid_clusters, chat_format, compression_classifier, language_id, phrase_mining
+from marlstone.llm.common import held_out, local_table, read_table
 from marlstone.llm.decontamination import scan_documents
 from marlstone.llm.ngram_join import ngram_jaccard_join
 from marlstone.llm.packing import pack, token_pieces
@@ -90,6 +90,22 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"), path_col="source")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine(read_table(spark, sf_dir, "documents"))
+
+
+def op12_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = centroid_clusters.cluster(read_table(spark, sf_dir, "embeddings"))
+    return found
+
+
+def op13_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as the log of a chat server (:func:`chat_format.log_of_rows`), folded, rendered and read back."""
+    more = local_table(spark, [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(["user", "assistant"])], "conv_id bigint, turn bigint, role string, text string")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.read_back(chat_format.format_conversations(chat_format.log_of_rows(rows)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flow_resharding": op1_flow_resharding,
     "op2_swap_packing": op2_swap_packing,
@@ -102,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_forest": op10_secret_forest,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_annulus_clusters": op12_annulus_clusters,
+    "op13_event_sourced_chat": op13_event_sourced_chat,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -174,3 +193,50 @@ SQL["linked_pages_redirect_equivalence"] = SQL["op3_redirect_equivalence"].repla
     """linked AS (SELECT a.page_id, a.url, '<link rel="canonical" href="' || b.url || '">' AS html FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id - a.page_id % 3),
 p AS (SELECT page_id, url, html, split_part(url, '#', 1) AS node FROM linked)""",
 )
+
+SQL["op11_phrase_collocations"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+f AS (SELECT lang, w[i : i + k - 1] AS ph, k, count(*) AS f FROM starts, range(1, 6) AS s(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+inside AS (SELECT lang, unnest([ph[1 : k - 1], ph[2 : k]]) AS ph, f AS b FROM f WHERE k > 2),
+c AS (SELECT lang, ph, k, f AS a FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = f.lang AND inside.ph = f.ph AND 100 * b >= 100 * f.f)),
+cuts AS (SELECT lang, ph, a, j, ph[1 : j] AS x, ph[j + 1 : k] AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+scored AS (SELECT cuts.lang, cuts.ph, a, j, fx.f AS l, fy.f AS r, n, ((1000::HUGEINT * a * n) // (fx.f::HUGEINT * fy.f))::BIGINT AS score
+           FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.ph = x JOIN f fy ON fy.lang = cuts.lang AND fy.ph = y JOIN totals ON totals.lang = cuts.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, j) = 1),
+ranked AS (SELECT *, array_to_string(ph, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ph, ' ')) AS rank FROM worst)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """The fixed rounds one after another."""
+    steps = [rf"""
+WITH kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, 'null')), v) - 1 AS k, v AS c FROM kept ORDER BY k LIMIT {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (SELECT r, vec_id, v, min(struct_pack(d := list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, k := k)) AS m FROM kept, c{i} GROUP BY ALL)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT k, list(x ORDER BY i) AS c FROM (SELECT m.k AS k, i, floor(sum(v[i]) / count(*))::BIGINT AS x FROM a{i}, range(1, 65) AS t(i) GROUP BY ALL) GROUP BY k)""")
+            steps.append(f"""c{i + 1} AS (SELECT c{i}.k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, m.k::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.k))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.k = m.k
+"""
+
+
+SQL["op12_annulus_clusters"] = _clusters_sql()
+
+SQL["op13_event_sourced_chat"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)),
+e AS (SELECT *, length(regexp_replace(role, '([<\[])(\\*(?:\|turn\|>|\|text\|>|\|end\|>|s>|/s>|INST\]|/INST\]|\|endoftext\|>))', '\1\\\2', 'g'))
+    + length(regexp_replace(text, '([<\[])(\\*(?:\|turn\|>|\|text\|>|\|end\|>|s>|/s>|INST\]|/INST\]|\|endoftext\|>))', '\1\\\2', 'g')) + 8 + 8 + 8 AS chars FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -64,9 +64,11 @@ CODES = r"(?i)\b(?:hash|sha1|md5|checksum|version|commit|id|isbn|order|serial|in
 FEATURES = {"gen": len(GENERATORS), "digits": 8, "groups": 5, "left": 6, "right": 6, "cue": 3, "luhn": 2, "few": 2, "mixed": 2}
 #: Labelled findings that are generated for the fit, and of the trees: rounds, rate, least weight behind the threshold.
 LABELLED_FINDINGS = 6000
-ROUNDS, RATE, LEAF_WEIGHT = 40, 0.3, 5.0
+ROUNDS, RATE, LEAF_WEIGHT = 60, 0.3, 5.0
 #: Documents with spans whose lists may be broadcast.
 LISTS_ROWS = 200_000
+#: Code points of a stretch of text for the replacement of spans.
+STRETCH = 4096
 #: Share of right spans that the threshold must reach among the held-out labelled candidates.
 PRECISION = 0.97
 
@@ -98,17 +100,20 @@ def _side(c: Column) -> Column:
 
 
 def _matches(text: Column, number: int, gen: str, kind: str, pattern: str) -> Column:
-    """A generator's matches with the length of the gap before each and what stands next to it."""
-    gaps = F.split(text, pattern, -1)
+    """A generator's matches with the length and the ends of the gap before each; behind the last gap stands no match.
 
-    def one(match: Column, i: Column) -> Column:
-        before = F.get(gaps, i)
+    Matches and gaps are found once a text and zipped, so the work is linear in
+    the text and its matches.
+    """
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+
+    def one(z: Column, i: Column) -> Column:
         return F.struct(
-            F.lit(gen).alias("gen"), F.lit(number).alias("gen_no"), F.lit(kind).alias("kind"), i.alias("i"), match.alias("match"),
-            F.length(before).alias("gap"), F.right(before, F.lit(40)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"),
+            F.lit(gen).alias("gen"), F.lit(number).alias("gen_no"), F.lit(kind).alias("kind"), i.alias("i"), z["match"].alias("match"),
+            F.length(z["gap"]).alias("gap"), F.right(z["gap"], F.lit(40)).alias("before"), F.left(z["gap"], F.lit(1)).alias("first"),
         )
 
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one)
+    return F.transform(zipped, one)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,10 +129,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = [F.when(may(gen, pattern), _matches(text, k, gen, kind, pattern)) for k, (gen, (kind, pattern)) in enumerate(GENERATORS.items())]
     some = rows.select("doc_id", "text_key", F.explode(F.flatten(F.filter(F.array(*found), lambda a: a.isNotNull()))).alias("c")).select("doc_id", "text_key", "c.*")
     some = some.dropDuplicates(["doc_id", "text_key", "gen", "i"])
-    order = Window.partitionBy("doc_id", "text_key", "gen").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("doc_id", "text_key", "gen").orderBy("i")
     length = F.length("match")
-    end = F.sum((F.col("gap") + length).cast("long")).over(order)
-    some = some.withColumn("end", end).withColumn("start", F.col("end") - length).withColumn("number", _digits(F.col("match")))
+    end = F.sum((F.col("gap") + length).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    some = some.select("*", end.alias("end"), F.lead("first").over(order).alias("after")).where("match is not null")
+    some = some.withColumn("start", F.col("end") - length).withColumn("number", _digits(F.col("match")))
     n = F.length("number")
     some = some.where((F.col("gen") != "card") | n.between(12, 19)).withColumn("luhn", n.between(12, 19) & _luhn(F.when(n.between(12, 19), F.col("number")).otherwise("")))
     digits = F.when(n == 0, 0).when(n < 9, 1).when(n == 9, 2).when(n < 12, 3).when(n < 15, 4).when(n == 16, 5).when(n < 20, 6).otherwise(7)
@@ -296,7 +302,7 @@ def select_spans(found: DataFrame, model: Trees) -> DataFrame:
     rows = found.withColumn("p", model.probability()).where(F.col("accepted") | (F.col("p") >= model.threshold))
     doc = Window.partitionBy("doc_id", "text_key")
     before = doc.orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    after = doc.orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    after = doc.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)  # a running minimum from the end, linear in the spans
     rows = rows.withColumn("base_end", F.max(F.when(F.col("accepted"), F.col("end"))).over(before)).withColumn("base_start", F.min(F.when(F.col("accepted"), F.col("start"))).over(after))
     free = (F.coalesce("base_end", F.lit(-1)) <= F.col("start")) & (F.coalesce("base_start", F.col("end")) >= F.col("end"))
     rows = rows.where(F.col("accepted") | free | (F.col("kind") == "secret"))
@@ -330,6 +336,26 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.select("doc_id", *counts[:-1], F.coalesce("base", F.lit("")).alias("base"), F.coalesce("spans", F.lit("")).alias("spans"), counts[-1])
 
 
+def _without(text: Column, cuts: Column) -> Column:
+    """The text's parts ``from`` to ``start`` of each cut with its kind behind them.
+
+    The text is taken apart into stretches first, so that a part is looked for in
+    two stretches and not from the text's beginning.
+    """
+    def join(acc: Column, stretches: Column) -> Column:
+        def one(c: Column) -> Column:
+            a, b = F.floor(c["from"] / STRETCH).cast("int"), F.floor(c["start"] / STRETCH).cast("int")
+            at = lambda k, first, n: F.coalesce(F.substring(F.get(stretches, k), first.cast("int"), n.cast("int")), F.lit(""))
+            head, tail = c["from"] % STRETCH + 1, c["start"] % STRETCH
+            far = F.concat(at(a, head, F.lit(STRETCH)), F.array_join(F.slice(stretches, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), at(b, F.lit(1), tail))
+            return F.concat(F.when(a == b, at(a, head, c["start"] - c["from"])).otherwise(far), F.coalesce(F.concat(F.lit("["), c["kind"], F.lit("]")), F.lit("")))
+
+        return F.concat(acc, F.array_join(F.transform(cuts, one), ""))
+
+    # a fold over one element makes the stretches once and hands them to the inner function
+    return F.aggregate(F.array(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{STRETCH}}}"), F.lit(0))), F.lit(""), join)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, with every selected span replaced by its kind in brackets (overlapping spans by one)."""
     found = written(candidates(docs, id_col, text_col), "candidates")
@@ -343,9 +369,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     own_id, own_key, own_cuts = fresh(docs, "id"), fresh(docs, "key"), fresh(docs, "cuts")
     cuts = written(cut.groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).agg(F.sort_array(F.collect_list(F.struct("from", "start", "end", "kind"))).alias(own_cuts)), "cuts")
     text = F.col(f"`{text_col}`")
-    part = lambda a, n: F.substring(text, (a + 1).cast("int"), n.cast("int"))
-    pieces = F.transform(own_cuts, lambda c: F.concat(part(c["from"], c["start"] - c["from"]), F.lit("["), c["kind"], F.lit("]")))
-    last = F.element_at(own_cuts, -1)["end"]
-    clean = F.concat(F.array_join(pieces, ""), part(last, F.length(text)))
+    every = F.concat(own_cuts, F.array(F.struct(F.element_at(own_cuts, -1)["end"].alias("from"), F.length(text).cast("long").alias("start"), F.length(text).cast("long").alias("end"), F.lit(None).cast("string").alias("kind"))))
+    clean = _without(text, every)
     joined = docs.join(maybe_broadcast(cuts), F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_key)), "left")
     return joined.select(*(F.when(F.col(own_cuts).isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -183,9 +183,15 @@ def rewrite_affected(docs: DataFrame, assignment: DataFrame, path: str, id_col:
     ``shard`` and ``slot`` of ``docs`` give way to the new ones. Returns the
     affected shards with the bytes that move in.
 
+    Every row of an affected folder must be in the assignment, as a rewritten
+    folder holds nothing else: where rows of ``docs`` are missing from it, or it
+    has rows that ``docs`` has not, nothing is written and a ``ValueError`` says
+    how many.
+
     Defined results: rows without id and rows with one id and equal texts are
     told apart by their order (as many as the assignment has go to each shard);
-    an empty assignment rewrites nothing; other columns are kept.
+    an empty assignment of empty documents rewrites nothing; other columns are
+    kept.
     """
     change = assignment.where("old_shard != shard")
     ends = change.select(F.col("old_shard").alias("s")).union(change.select("shard"))
@@ -199,8 +205,14 @@ def rewrite_affected(docs: DataFrame, assignment: DataFrame, path: str, id_col:
     left, right = ranked(left, F.monotonically_increasing_id()), ranked(right, F.struct("old_shard", "shard", "slot")).drop("old_shard")
     names = [f"`{c}`" for c in docs.columns]
     same = left[own_id].eqNullSafe(right[own_id]) & (left[own_crc] == right[own_crc]) & (left[own_rank] == right[own_rank])
-    rows = left.join(right.where(F.col("shard").isin(affected)), same).select(*names, "shard", "slot")
-    rows = written(rows, "rewritten")
+    own_has, new_has = fresh(docs, "has"), fresh(docs, "assigned")
+    both = left.withColumn(own_has, F.lit(1)).join(right.withColumn(new_has, F.lit(1)), same, "full").select(*names, "shard", "slot", own_has, new_has)
+    lone = F.col(own_has).isNull() | F.col(new_has).isNull()
+    rows = written(both.where(lone | F.col("shard").isin(affected)), "rewritten")
+    odd = rows.agg(F.count_if(F.col(new_has).isNull()), F.count_if(F.col(own_has).isNull())).first()
+    if any(odd):
+        raise ValueError(f"{odd[0]} rows are not in the assignment, {odd[1]} of the assignment are not among the rows")
+    rows = rows.drop(own_has, new_has)
     dealt = rows.repartition("shard", F.floor(F.col("slot") / ROWS_PER_BLOCK))
     if affected:
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)

@@ -212,6 +212,18 @@ def test_rewrite_in_place_keeps_unaffected_shards(spark, tmp_path):
     assert sorted(r["slot"] for r in again.collect()) == list(range(40))
 
 
+def test_rewrite_refuses_to_lose_rows(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = [(k, "t" * k, k % 4) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(path)
+    docs = spark.read.parquet(path)
+    for seen, changed in ((docs.where("doc_id < 30"), docs), (docs, docs.where("doc_id < 30"))):
+        plan = resharding.written(resharding.reshard(seen, F.col("shard"), 5), "plan")
+        with pytest.raises(ValueError, match="10 of the assignment|10 rows are not"):
+            resharding.rewrite_affected(changed, plan, path)
+    assert sorted(map(tuple, spark.read.parquet(path).select("doc_id", "text", "shard").collect())) == rows
+
+
 def test_resharding_of_long_texts(spark):
     docs = spark.createDataFrame([(k, "w" * (3_000_000 if k == 3 else k)) for k in range(40)], "doc_id long, text string")
     got = resharding.reshard(docs, F.lit(1), 3).collect()

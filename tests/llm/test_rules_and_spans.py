@@ -106,6 +106,20 @@ def test_pii(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
+def test_many_matches_of_one_text(spark):
+    text = " ".join(f"é user{k}@mail{k % 7}.example.org, 10.0.{k % 300}.7 or +1 (555) 010-{k % 10000:04d}" for k in range(7000))
+    docs = spark.createDataFrame([(1, text), (2, "𝒳" * 4095 + " a@b.cc " + "y" * 5000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
+    assert got[1]["base"] == brute_spans(text) and got[1]["n_email"] == 7000
+    spans = sorted((int(b), int(c), a) for a, b, c in (x.split(":") for x in got[1]["spans"].split(",")))
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+    at, out = 0, ""
+    for b, c, kind in spans:
+        out, at = out + text[at:b] + f"[{kind}]", c
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert clean[1] == out + text[at:] and clean[2] == "𝒳" * 4095 + " [email] " + "y" * 5000
+
+
 @pytest.fixture(scope="module")
 def trees(spark):
     return pii.fit(spark)

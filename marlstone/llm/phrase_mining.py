@@ -4,14 +4,16 @@ Documents are put into blocks of about a million words. A block numbers its
 words, leaving a hole at every border of a piece or document, and holds for
 each word the sorted list of its positions. The list of a longer phrase comes
 from merge-joining the phrase's positions with the postings of the words that
-stand right behind it; its length is the phrase's exact frequency in the block,
-and the blocks' frequencies are summed by Spark. What is frequent is told back
-to the blocks as numbers of their own lists, level by level, so that only
-frequent phrases are extended: no part of a frequent phrase is less frequent.
+stand right behind it; its length is the phrase's exact frequency in the block.
+Spark sums these by chunks of the candidates: a block sends a chunk its
+candidates and counts as one packed row, and gets back which of them are
+frequent over all blocks, under numbers that are unique in the corpus. So only
+frequent phrases are extended, level by level: no part of a frequent phrase is
+less frequent. From the second level on the words behind a phrase are taken
+from the frequent pairs alone.
 
-From the second level on, the words behind a phrase are taken from the frequent
-pairs alone. Nothing is broadcast that grows with the corpus. A word
-is known by a 64-bit hash of its label and bytes; two words of one hash are an error.
+Nothing is broadcast that grows with the corpus. Words are told apart by their
+label and bytes; where two have one 64-bit hash, that is an error.
 
 Defined results: a null text is empty and a null label ``und``; a document
 without words adds nothing; repeated rows count each; an empty table gives an
@@ -22,7 +24,8 @@ block holds whole documents, so a document longer than a block is one by itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,10 @@ from marlstone.llm.tokens import byte_class, mix, scan_column
 
 #: Words of a block; its arrays take some 100 bytes a word while it is worked on.
 BLOCK_WORDS = 1 << 20
+#: Candidates' counts are summed in chunks of their keys, one for so many words of the corpus.
+CHUNK_WORDS = 1 << 20
+#: Words are numbered in so many buckets of their hashes; numbers of words and phrases are below the second.
+BUCKETS, NUMBERS = 1 << 14, 1 << 31
 #: Blocks are wide rows: few of them are decoded at once.
 WIDE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "4", "spark.sql.parquet.compression.codec": "zstd"}
 
@@ -44,12 +51,15 @@ IN_WORD = ~(BORDER | byte_class(b" \t"))
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers below 2^31 as compressed differences."""
-    return pa.compress(np.diff(numbers, prepend=0).astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+    """Whole numbers as compressed differences, of 4 bytes where these suffice."""
+    steps = np.diff(numbers.astype(np.int64), prepend=0)
+    small = not len(steps) or (-1 << 31) <= steps.min() <= steps.max() < 1 << 31
+    return (b"4" if small else b"8") + pa.compress(steps.astype(np.int32 if small else np.int64).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.int32), dtype=np.int64) if n else np.zeros(0, np.int64)
+    kind = np.dtype(np.int32 if data[:1] == b"4" else np.int64)
+    return np.cumsum(np.frombuffer(pa.decompress(data[1:], kind.itemsize * n, codec="zstd", asbytes=True), kind), dtype=np.int64) if n else np.zeros(0, np.int64)
 
 
 def _lists(columns: dict[str, np.ndarray | pa.Array]) -> dict[str, pa.Array]:
@@ -70,7 +80,7 @@ def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array
 
 
 def postings(docs: DataFrame, label: str = "lang", text: str = "text") -> DataFrame:
-    """One row a block: ``block``, its words' ``w`` (hash), ``n`` (occurrences) and ``name`` (label, tab, word), ``positions``, and the words by label."""
+    """One row a block: its ``m`` words' ``w`` (hash), ``occurrences`` (also packed as ``sizes``) and ``name`` (label, tab, word), the ``n`` positions by word, and the words by label."""
 
     def block_of(number: int, parts: list, labels: list[str]) -> pa.RecordBatch:
         bases = np.cumsum([0, *(len(p[0].data) for p in parts)])
@@ -95,7 +105,8 @@ def postings(docs: DataFrame, label: str = "lang", text: str = "text") -> DataFr
         starts = np.column_stack([len(data) + at[which[one]], start[one]])
         sizes = np.column_stack([long[which[one]], size[one]])
         name = _gathered(np.concatenate([data, joined]), starts, sizes)
-        columns = {"block": pa.array([number], pa.int64()), **_lists({"w": key[one].view(np.int64), "n": n.astype(np.int32), "name": name}), "positions": pa.array([_packed(position[order])], pa.binary())}
+        columns = {"block": pa.array([number], pa.int64()), **_lists({"w": key[one].view(np.int64), "occurrences": n.astype(np.int32), "name": name})}
+        columns |= {"m": pa.array([len(n)], pa.int32()), "n": pa.array([len(key)], pa.int64()), "sizes": pa.array([_packed(n)], pa.binary()), "positions": pa.array([_packed(position[order])], pa.binary())}
         columns |= _lists({"labels": pa.array(labels, pa.string()), "label_words": np.bincount(which, minlength=len(labels)).astype(np.int64)})
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -121,130 +132,180 @@ def postings(docs: DataFrame, label: str = "lang", text: str = "text") -> DataFr
             yield block_of(number, parts, list(known))
 
     slim = docs.select(F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{text}`").alias("text"))
-    return slim.mapInArrow(run, "block long, w array<long>, n array<int>, name array<string>, positions binary, labels array<string>, label_words array<long>")
+    return slim.mapInArrow(run, "block long, w array<long>, occurrences array<int>, name array<string>, m int, n long, sizes binary, positions binary, labels array<string>, label_words array<long>")
 
 
+@dataclass
 class Lists:
-    """Some phrases of a block: their words' hashes (an array for each place), and of every occurrence the phrase and the start."""
+    """The phrases of ``k`` words of a block: their keys, ascending, and of every occurrence the phrase's place among them and the start."""
 
-    def __init__(self, words: list[np.ndarray], phrase: np.ndarray, start: np.ndarray):
-        self.words, self.phrase, self.start = words, phrase, start
+    k: int
+    keys: np.ndarray
+    phrase: np.ndarray
+    start: np.ndarray
 
-    def only(self, numbers: np.ndarray) -> Lists:
-        """The lists of some phrases, numbered anew."""
-        numbers = np.sort(numbers)
-        keep = np.zeros(len(self.words[0]), bool)
-        keep[numbers] = True
-        here = keep[self.phrase]
-        return Lists([w[numbers] for w in self.words], (np.cumsum(keep) - 1)[self.phrase[here]], self.start[here])
+    def only(self, places: np.ndarray, numbers: np.ndarray) -> Lists:
+        """The lists of the phrases at some places, under new keys."""
+        order = np.argsort(numbers)
+        new = np.full(len(self.keys), -1)
+        new[places[order]] = np.arange(len(places))
+        phrase = new[self.phrase]
+        return Lists(self.k, numbers[order], phrase[phrase >= 0], self.start[phrase >= 0])
+
+    def by_position(self) -> Lists:
+        order = np.argsort(self.start)
+        return Lists(self.k, self.keys, self.phrase[order], self.start[order])
 
     def extended(self, tail: Lists) -> Lists:
-        """Every phrase with each word that stands right behind it; ``tail`` are postings of one word each, sorted by position."""
-        behind = self.start + len(self.words)
+        """Every phrase with each word that stands right behind it; the keys name both. ``tail`` are postings of words by position."""
+        behind = self.start + self.k
         at = np.searchsorted(tail.start, behind)
         at[at == len(tail.start)] = 0
         met = tail.start[at] == behind if len(tail.start) else np.zeros(len(behind), bool)
-        kinds = max(1, len(tail.words[0]))
-        code, phrase = np.unique(self.phrase[met] * kinds + tail.phrase[at[met]], return_inverse=True)
-        return Lists([w[code // kinds] for w in self.words] + [tail.words[0][code % kinds]], phrase, self.start[met])
+        keys, phrase = np.unique((self.keys[self.phrase[met]] << 32) | tail.keys[tail.phrase[at[met]]], return_inverse=True)
+        return Lists(self.k + 1, keys, phrase, self.start[met])
 
     def sizes(self) -> np.ndarray:
-        return np.bincount(self.phrase, minlength=len(self.words[0]))
+        return np.bincount(self.phrase, minlength=len(self.keys))
 
+    def packed(self) -> list:
+        order = np.argsort(self.phrase, kind="stable")
+        return [len(self.keys), _packed(self.keys), len(self.start), _packed(self.sizes()), _packed(self.start[order])]
+
+    @staticmethod
+    def unpacked(k: int, m: int, keys: bytes, n: int, sizes: bytes, positions: bytes) -> Lists:
+        return Lists(k, _unpacked(keys, m), np.repeat(np.arange(m), _unpacked(sizes, m)), _unpacked(positions, n))
 
-def _pairs(w: np.ndarray, n: np.ndarray, positions: bytes, frequent: np.ndarray) -> Lists:
-    """The pairs of frequent words of a block."""
-    words = Lists([w], np.repeat(np.arange(len(n)), n), _unpacked(positions, int(n.sum()))).only(frequent)
-    order = np.argsort(words.start)
-    words = Lists(words.words, words.phrase[order], words.start[order])
-    return words.extended(words)
 
+#: What a level hands on: of a block (chunk null) the lists to be extended and the words behind them, and for each chunk of keys the candidates' counts.
+LEVEL = "block long, chunk int, m int, keys binary, n long, sizes binary, positions binary, tail_m int, tail_keys binary, tail_n long, tail_sizes binary, tail_positions binary"
+_LEVEL = pa.schema([("block", pa.int64()), ("chunk", pa.int32())] + [(f"{t}{name}", kind) for t in ("", "tail_") for name, kind in (("m", pa.int32()), ("keys", pa.binary()), ("n", pa.int64()), ("sizes", pa.binary()), ("positions", pa.binary()))])
+ANSWER = "block long, m int, keys binary, numbers binary, key array<long>, number array<long>, a array<long>"
+_ANSWER = pa.schema([("block", pa.int64()), ("m", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary()), *((name, pa.list_(pa.int64())) for name in ("key", "number", "a"))])
 
-def _array(column: pa.Array, row: int) -> np.ndarray:
-    return column[row].values.to_numpy(zero_copy_only=False)
 
+def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Wide rows one by one, lists of numbers as arrays."""
     for batch in batches:
         for r in range(batch.num_rows):
-            found = _pairs(_array(batch.column(1), r), _array(batch.column(2), r), batch.column(3)[r].as_py(), _array(batch.column(4), r))
-            n = found.sizes()
-            rows = [pa.array(np.full(len(n), batch.column(0)[r].as_py())), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, found.words)]
-            yield pa.RecordBatch.from_arrays(rows, names=["block", "c", "n", "w1", "w2"])
+            get = lambda c: c[r].values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) and not pa.types.is_struct(c.type.value_type) else c[r].as_py()  # noqa: B023, E731
+            yield {name: get(c) for name, c in zip(batch.schema.names, batch.columns, strict=True)}
 
 
-def _list_row(block: int, found: Lists, tail: Lists) -> pa.RecordBatch:
-    order = np.argsort(found.phrase, kind="stable")
-    columns = {"block": pa.array([block], pa.int64()), **_lists({f"w{k + 1}": w for k, w in enumerate(found.words)}), **_lists({"n": found.sizes().astype(np.int32)})}
-    columns |= {"positions": pa.array([_packed(found.start[order])], pa.binary()), **_lists({"tail_w": tail.words[0]}), "tail_n": pa.array([len(tail.start)])}
-    columns |= {"tail_positions": pa.array([_packed(tail.start)], pa.binary()), "tail_words": pa.array([_packed(tail.phrase)], pa.binary())}
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def _counts(block: int, found: Lists, chunks: int) -> Iterator[list]:
+    """The candidates of a block with their counts, a row for each chunk that has some."""
+    chunk = (mix(found.keys.astype(np.uint64)) % np.uint64(chunks)).astype(np.int64)
+    order, sizes = np.argsort(chunk, kind="stable"), found.sizes()
+    for here in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1) if len(order) else []:
+        yield [block, int(chunk[here[0]]), len(here), _packed(found.keys[here]), None, _packed(sizes[here]), *[None] * 6]
 
 
-def _list_schema(k: int) -> str:
-    return "block long, " + ", ".join(f"w{i + 1} array<long>" for i in range(k)) + ", n array<int>, positions binary, tail_w array<long>, tail_n long, tail_positions binary, tail_words binary"
+def _pairs(row: dict) -> Lists:
+    """The pairs of frequent words of a block."""
+    every = np.arange(row["m"])
+    words = Lists(1, every, np.repeat(every, _unpacked(row["sizes"], row["m"])), _unpacked(row["positions"], row["n"]))
+    words = words.only(row["c"].astype(np.int64), row["id"]).by_position()
+    return words.extended(words)
 
 
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lists of three words: frequent pairs, extended by the second words of frequent pairs."""
-    for batch in batches:
-        for r in range(batch.num_rows):
-            pairs = _pairs(*(_array(batch.column(k), r) for k in (1, 2)), batch.column(3)[r].as_py(), _array(batch.column(4), r)).only(_array(batch.column(5), r))
-            kinds, word = np.unique(pairs.words[1], return_inverse=True)
-            order = np.argsort(pairs.start)
-            pairs = Lists(pairs.words, pairs.phrase[order], pairs.start[order])
-            tail = Lists([kinds], word[pairs.phrase], pairs.start + 1)
-            yield _list_row(batch.column(0)[r].as_py(), pairs.extended(tail), tail)
+def _frequent(found: Lists, told: list[dict]) -> tuple[Lists, np.ndarray]:
+    """The lists of the frequent candidates and the last word of each."""
+    keys, numbers = (np.concatenate([_unpacked(x[name], x["m"]) for x in told]) for name in ("keys", "numbers"))
+    return found.only(np.searchsorted(found.keys, keys), numbers), (keys & 0xFFFFFFFF)[np.argsort(numbers)]
 
 
-def _longer(k: int):
-    """The lists of k + 1 words from those of k words of which some are frequent."""
+def _step(k: int, longest: int, chunks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From the frequent phrases of k words of each block to its candidates of k + 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = {name: i for i, name in enumerate(batch.schema.names)}
-            for r in range(batch.num_rows):
-                get = lambda name: _array(batch.column(at[name]), r)  # noqa: B023, E731
-                one = lambda name: batch.column(at[name])[r].as_py()  # noqa: B023, E731
-                n, tail_n = get("n"), one("tail_n")
-                tail = Lists([get("tail_w")], _unpacked(one("tail_words"), tail_n), _unpacked(one("tail_positions"), tail_n))
-                found = Lists([get(f"w{i + 1}") for i in range(k)], np.repeat(np.arange(len(n)), n), _unpacked(one("positions"), int(n.sum()))).only(get("frequent"))
-                yield _list_row(one("block"), found.extended(tail), tail)
+        for row in _rows(batches):
+            tail = None
+            if k == 1:
+                found = _pairs(row)
+            elif k == 2:
+                pairs, last = _frequent(_pairs(row), row["told"])
+                pairs = pairs.by_position()
+                keys, word = np.unique(last, return_inverse=True)
+                tail = Lists(1, keys, word[pairs.phrase], pairs.start + 1)
+                found = pairs.extended(tail)
+            else:
+                names = ("m", "keys", "n", "sizes", "positions")
+                tail = Lists.unpacked(1, *(row[f"tail_{x}"] for x in names)).by_position()
+                found, _ = _frequent(Lists.unpacked(k, *(row[x] for x in names)), row["told"])
+                found = found.extended(tail)
+            rows = list(_counts(row["block"], found, chunks))
+            if tail is not None and k + 1 < longest:
+                rows.append([row["block"], None, *found.packed(), *tail.packed()])
+            yield _batch(rows, _LEVEL)
+
+    return run
+
+
+def _answers(least: int, chunks: int) -> Callable[[pa.Table], pa.Table]:
+    """The sums of one chunk: which candidates are frequent, with their new numbers, for each block and as a whole."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["block", "chunk", "m", "keys", "sizes"]).to_pylist()
+        keys = np.concatenate([_unpacked(r["keys"], r["m"]) for r in rows])
+        every, at = np.unique(keys, return_inverse=True)
+        total = np.bincount(at, np.concatenate([_unpacked(r["sizes"], r["m"]) for r in rows])).astype(np.int64)
+        frequent = total >= least
+        number = (np.cumsum(frequent) - 1) * chunks + rows[0]["chunk"]
+        if frequent.any() and number[-1] >= NUMBERS:
+            raise ValueError("more frequent phrases than numbers")
+        out, end = [], 0
+        for r in rows:
+            here = at[end : end + r["m"]]
+            here, end = here[frequent[here]], end + r["m"]
+            if len(here):
+                out.append([r["block"], len(here), _packed(every[here]), _packed(number[here]), None, None, None])
+        out.append([None, 0, None, None, every[frequent], number[frequent], total[frequent]])
+        return pa.Table.from_batches([_batch(out, _ANSWER)])
 
     return run
 
 
 def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, label: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All frequent phrases ``(words, a)`` with the words' hashes, the words ``(w, label, word)``, and the words by label ``(label, n)``."""
+    """All frequent phrases ``(words, a)`` with the words' numbers, the words ``(id, label, word)``, and the words by label ``(label, n)``."""
     spark = docs.sparkSession
     with settings(spark, WIDE_ROWS):
         blocks = written(postings(docs, label, text), "postings")
-        by_label = blocks.select(F.inline(F.arrays_zip("labels", "label_words"))).groupBy(F.col("labels").alias("label")).agg(F.sum("label_words").alias("n"))
-        each = blocks.select("block", F.posexplode(F.arrays_zip("w", "n", "name")).alias("c", "z")).select("block", "c", "z.n", F.col("z.w").alias("w1"), "z.name")
-        same = Window.partitionBy("w1")
+        by_label = written(blocks.select(F.inline(F.arrays_zip("labels", "label_words"))).groupBy(F.col("labels").alias("label")).agg(F.sum("label_words").alias("n")), "labels")
+        chunks = 1 + (by_label.agg(F.sum("n")).first()[0] or 0) // CHUNK_WORDS
+        each = blocks.select("block", F.posexplode(F.arrays_zip("w", "occurrences", "name")).alias("c", "z")).select("block", "c", F.col("z.occurrences").alias("n"), "z.w", "z.name", F.pmod("z.w", F.lit(BUCKETS)).alias("bucket"))
+        same, bucket = Window.partitionBy("bucket", "w"), Window.partitionBy("bucket").orderBy("w")
         total = F.when(F.min("name").over(same) == F.max("name").over(same), F.sum("n").over(same)).otherwise(F.raise_error(F.lit("two words of one hash")).cast("long"))
-        found = written(each.select("block", "c", "w1", "name", total.alias("a")).where(F.col("a") >= least), "frequent-1")
-        words = found.groupBy(F.col("w1").alias("w")).agg(F.first("name").alias("name"))
-        words = words.select("w", F.expr("left(name, length(name) - length(substring_index(name, '\t', -1)) - 1)").alias("label"), F.substring_index("name", "\t", -1).alias("word"))
-        told = lambda found, name: found.groupBy("block").agg(F.collect_list("c").alias(name))
-        levels = [found.groupBy("w1").agg(F.first("a").alias("a")).select(F.array("w1").alias("words"), "a")]
-        slim = blocks.select("block", "w", "n", "positions").join(told(found, "f1"), "block")
-        lists = None
-        for k in range(2, longest + 1):
-            names = [f"w{i + 1}" for i in range(k)]
-            if k == 2:
-                each = slim.mapInArrow(_count_pairs, "block long, c int, n int, w1 long, w2 long")
-            else:
-                wide = slim.join(told(found, "f2"), "block") if k == 3 else lists.join(told(found, "frequent"), "block")
-                lists = written(wide.mapInArrow(_triples if k == 3 else _longer(k - 1), _list_schema(k)), f"lists-{k}")
-                each = lists.select("block", F.posexplode(F.arrays_zip("n", *names)).alias("c", "z")).select("block", "c", "z.*")
-            total = F.sum("n").over(Window.partitionBy(*names))
-            found = written(each.select("block", "c", *names, total.alias("a")).where(F.col("a") >= least), f"frequent-{k}")
-            levels.append(found.groupBy(*names).agg(F.first("a").alias("a")).select(F.array(*names).alias("words"), "a"))
+        each = each.repartition("bucket").select("block", "c", "bucket", "w", "name", total.alias("a")).where(F.col("a") >= least)
+        number = (F.dense_rank().over(bucket) - 1).cast("long") * BUCKETS + F.col("bucket")
+        number = F.when(number < NUMBERS, number).otherwise(F.raise_error(F.lit("more frequent words than numbers")).cast("long"))
+        found = written(each.select("block", "c", number.alias("id"), "name", "a"), "frequent-1")
+        words = found.groupBy("id").agg(F.first("name").alias("name"), F.first("a").alias("a"))
+        words = words.select("id", F.expr("left(name, length(name) - length(substring_index(name, '\t', -1)) - 1)").alias("label"), F.substring_index("name", "\t", -1).alias("word"), "a")
+        words = written(words, "words")
+        levels = [words.select("id", F.array("id").alias("words"), "a")]
+        mine = found.groupBy("block").agg(F.collect_list(F.struct("c", "id")).alias("z")).select("block", "z.c", "z.id")
+        slim = blocks.select("block", "m", "n", "sizes", "positions").join(mine, "block")
+        lists = slim
+        for k in range(1, longest):
+            counts = lists.mapInArrow(_step(k, longest, chunks), LEVEL)
+            if k > 1:
+                counts = written(counts, f"lists-{k + 1}")
+            answers = written(counts.where("chunk is not null").groupBy("chunk").applyInArrow(_answers(least, chunks), ANSWER), f"frequent-{k + 1}")
+            told = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("m", "keys", "numbers")).alias("told"))
+            lists = (slim if k == 1 else counts.where("chunk is null")).join(told, "block")
+            new = answers.where("block is null").select(F.inline(F.arrays_zip("key", "number", "a")))
+            new = new.select(F.shiftright("key", 32).alias("parent"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("last"), F.col("number").alias("id"), "a")
+            before = levels[-1].select(F.col("id").alias("parent"), "words")
+            levels.append(written(new.join(before, "parent").select("id", F.concat("words", F.array("last")).alias("words"), "a"), f"phrases-{k + 1}"))
         phrases = levels[0]
         for level in levels[1:]:
             phrases = phrases.unionByName(level)
-        return written(phrases, "phrases"), written(words, "words"), written(by_label, "labels")
+        return phrases.select("words", "a"), words, by_label
 
 
 def mine(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, absorbed: int = 100, label: str = "lang", text: str = "text") -> DataFrame:
@@ -259,7 +320,7 @@ def mine(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, a
     long = phrases.where(F.size("words") > 1)
     inside = long.where(F.size("words") > 2).select(F.explode(F.array(F.expr("slice(words, 1, size(words) - 1)"), F.expr("slice(words, 2, size(words) - 1)"))).alias("words"), F.col("a").alias("b"))
     kept = long.join(inside.groupBy("words").agg(F.max("b").alias("b")), "words", "left").where(F.col("b").isNull() | (100 * F.col("b") < absorbed * F.col("a"))).select("words", "a")
-    spelled = kept.select("words", F.posexplode("words").alias("i", "w")).join(words, "w").groupBy("words").agg(F.first("label").alias("label"), F.array_join(F.sort_array(F.collect_list(F.struct("i", "word")))["word"], " ").alias("phrase"))
+    spelled = kept.select("words", F.posexplode("words").alias("i", "w")).join(words.select(F.col("id").alias("w"), "label", "word"), "w").groupBy("words").agg(F.first("label").alias("label"), F.array_join(F.sort_array(F.collect_list(F.struct("i", "word")))["word"], " ").alias("phrase"))
     cuts = kept.select("words", "a", F.explode(F.expr("sequence(1, size(words) - 1)")).alias("k")).select("*", F.expr("slice(words, 1, k)").alias("left"), F.expr("slice(words, k + 1, size(words) - k)").alias("right"))
     part = lambda name, to: phrases.select(F.col("words").alias(name), F.col("a").alias(to))
     cuts = cuts.join(part("left", "l"), "left").join(part("right", "r"), "right").join(spelled, "words").join(maybe_broadcast(totals), "label")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.asof import bracket, with_neighbours
+from marlstone.operators.ranges import ROWS, cut, running, stored
 
 
 def bad_knots(knots: DataFrame, least: int = 2) -> DataFrame:
@@ -31,26 +32,29 @@ def _u() -> tuple[Column, Column]:
 # linear
 
 
-def linear(knots: DataFrame, queries: DataFrame, bucket: float | None = None) -> DataFrame:
+def linear(knots: DataFrame, queries: DataFrame, bucket: float | None = None, size: int | None = None) -> DataFrame:
     """``value`` and ``slope``; the end intervals extend beyond the knots."""
     d, h = _u()
     slope = (F.col("hi.y") - F.col("lo.y")) / F.nullif(h, F.lit(0.0))
-    out = bracket(knots, queries, bucket=bucket)
+    out = bracket(knots, queries, bucket=bucket, size=size)
     return out.select(*queries.columns, F.coalesce(F.col("lo.y") + d * slope, F.col("lo.y")).alias("value"), slope.alias("slope"))
 
 
-def linear_integral(knots: DataFrame, limits: DataFrame, bucket: float | None = None) -> DataFrame:
+def linear_integral(knots: DataFrame, limits: DataFrame, bucket: float | None = None, size: int | None = None) -> DataFrame:
     """``limits`` (grp, a, b) with the signed ``integral`` of the linear interpolant from a to b.
 
     F(b) - F(a) with F the running trapezoid sum at the bracketing knot plus a
-    part of its interval, so each limit costs one as-of lookup.
+    part of its interval, so each limit costs one as-of lookup. With ``size``
+    groups of more knots are cut into ranges.
     """
-    order = Window.partitionBy("grp").orderBy("t")
-    area = (F.col("t") - F.lag("t").over(order)) * (F.col("y") + F.lag("y").over(order)) / 2
-    areas = knots.select("grp", "t", "y", F.coalesce(area, F.lit(0.0)).alias("part"))
-    areas = areas.withColumn("area", F.sum("part").over(order)).drop("part")
+    area = (F.col("_k.t") - F.col("_k.t_p")) * (F.col("_k.y") + F.col("_k.y_p")) / 2
+    areas = with_neighbours(knots.select("grp", "t", "y"), size=size).select("grp", "t", "y", F.coalesce(area, F.lit(0.0)).alias("part"))
+    if size:
+        areas = stored(running(stored(areas), "grp", "t", {"area": F.col("part")}, size).drop("part"))
+    else:
+        areas = areas.withColumn("area", F.sum("part").over(Window.partitionBy("grp").orderBy("t"))).drop("part")
     q = limits.withColumn("_id", F.struct("grp", "a", "b")).select("grp", "_id", F.explode(F.array(F.struct(F.col("a").cast("double").alias("t"), F.lit(-1).alias("sign")), F.struct(F.col("b").cast("double").alias("t"), F.lit(1).alias("sign")))).alias("e")).select("grp", "_id", "e.*")
-    found = bracket(areas, q, values=("y", "area"), bucket=bucket)
+    found = bracket(areas, q, values=("y", "area"), bucket=bucket, size=size)
     d, h = _u()
     slope = (F.col("hi.y") - F.col("lo.y")) / F.nullif(h, F.lit(0.0))
     upto = F.col("lo.area") + d * F.col("lo.y") + slope * d * d / 2

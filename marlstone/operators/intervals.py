@@ -4,6 +4,9 @@ Bin k covers ``[low + k * spacing, low + k * spacing + size)`` for k from 0 to
 ``(high - low) // spacing - 1``. A range join is avoided: every position knows
 the bins that cover it, so positions are first counted by cell (a stretch of
 ``spacing``) with partial aggregation and cells, not rows, are expanded.
+
+Intervals meet intervals in a hierarchy of bins, in which each lies in at most
+two bins of the level that suits its length (:func:`overlaps`).
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators import ranges
+
 
 def covering_bins(position: Column, low: int, high: int, spacing: int, size: int) -> Column:
     """The numbers of the bins that cover a position, an array (empty outside the grid)."""
@@ -72,3 +77,86 @@ def segments(bins: DataFrame, spacing: int, by: tuple[str, ...] = (), start: str
     merged = linked.groupBy(*by, "_run").agg(F.max("end").alias("end"), *merge(F.sum("n").alias("n"))).drop("_run")
     out = [*by, "start", "end", "n", *how]
     return parts.where(~at_border).select(*out).unionByName(merged.select(*out))
+
+
+#: Each level's bins are so many times as wide as those of the level below; 16 levels of 4 span lengths from 1 to 10^9 widths.
+FANOUT, LEVELS = 4, 16
+
+
+def _level(length: Column, width: float) -> Column:
+    """The lowest level whose bins are at least as wide as an interval; the highest for all that are longer."""
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(length <= width * FANOUT**k, F.lit(k)).otherwise(level)
+    return level
+
+
+def _bins(start: Column, end: Column, level: Column, width: float) -> Column:
+    """The bins of a level that ``[start, end)`` touches."""
+    wide = F.element_at(F.array(*(F.lit(float(width * FANOUT**k)) for k in range(LEVELS))), level + 1)
+    first = F.floor(start / wide)
+    return F.sequence(first, F.greatest(first, F.ceil(end / wide) - 1))
+
+
+def overlaps(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], width: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Every pair of rows of ``a`` and ``b`` that are equal in ``by`` and whose intervals ``[start, end)`` overlap.
+
+    An interval's own level is the lowest whose bins are as wide as the interval,
+    where it lies in one or two bins. A pair meets at the higher of its two
+    levels: there the longer interval is in its own bins, and the shorter one in
+    the bins above its own. So every interval is expanded once for each level
+    that the other table has at or above its own (for ``a``: above), in one or
+    two bins. Of the bins that a pair shares only the one with the later of the
+    two starts emits it, so no pair comes twice and none is deduplicated.
+
+    ``width`` is the bin width of the lowest level, about the usual length of
+    short intervals; results do not depend on it. Columns of both tables are
+    kept (those of ``by`` once), other names must differ. Null ends, empty
+    intervals and null keys have no pairs.
+    """
+    def own(df: DataFrame, span: tuple[str, str], name: str) -> DataFrame:
+        start, end = F.col(span[0]), F.col(span[1])
+        return df.where(start < end).withColumn(f"_{name}", _level(end - start, width))
+
+    def lifted(df: DataFrame, span: tuple[str, str], name: str, levels: list[int], strict: bool) -> DataFrame:
+        fits = lambda k: F.col(f"_{name}") < k if strict else F.col(f"_{name}") <= k
+        up = df.withColumn("_level", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), fits)))
+        return up.withColumn("_bin", F.explode(_bins(F.col(span[0]), F.col(span[1]), F.col("_level"), width)))
+
+    a, b = own(a, a_span, "la"), own(b, b_span, "lb")
+    levels = lambda df, name: sorted(r[0] for r in df.select(name).distinct().collect())  # no more than LEVELS
+    in_a, in_b = levels(a, "_la"), levels(b, "_lb")
+    begin = F.greatest(a_span[0], b_span[0])
+    meets = (F.col(a_span[0]) < F.col(b_span[1])) & (F.col(b_span[0]) < F.col(a_span[1]))
+    names = [*by, *(c for c in a.columns if c not in by and c != "_la"), *(c for c in b.columns if c not in by and c != "_lb")]
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        first = _bins(begin, begin, F.col("_level"), width)[0]
+        return x.join(y, [*by, "_level", "_bin"]).where(meets & (F.col("_bin") == first)).select(*names)
+
+    at_home = lambda df, span, name: lifted(df.withColumn("_here", F.col(f"_{name}")), span, name, list(range(LEVELS)), False).where("_level = _here").drop("_here")
+    shorter_b = met(at_home(a, a_span, "la"), lifted(b, b_span, "lb", in_a, False))
+    shorter_a = met(lifted(a, a_span, "la", in_b, True), at_home(b, b_span, "lb"))
+    return shorter_b.unionByName(shorter_a)
+
+
+def overlap_counts(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], group: str, size: int = ranges.ROWS) -> DataFrame:
+    """``a`` with ``n``, the number of rows of ``b`` of its group that overlap ``[start, end)``, without making pairs.
+
+    Those are the ones that start before the end, less those that end at or
+    before the start; both are running counts over all ends in order, in ranges
+    where a group is long. Null ends and empty intervals count 0.
+    """
+    keyed = ranges.stored(a.withColumn("_a", F.monotonically_increasing_id()))  # rows keep their numbers in both places
+    valid = lambda span: F.col(span[0]) < F.col(span[1])
+    # at one position: ends of b count before starts of a, starts of b after ends of a
+    point = lambda df, c, rank, sign, *more: df.select(F.col(group).alias("_grp"), F.struct(F.col(c).alias("t"), F.lit(rank).alias("rank")).alias("_o"), F.col(c).cast("double").alias("_t"), F.lit(sign).alias("_sign"), *more)
+    b = b.where(valid(b_span))
+    asks = keyed.where(valid(a_span)).select("_a", group, *a_span)
+    none = F.lit(None).cast("long").alias("_a")
+    rows = point(b, b_span[1], 0, 0, none, F.lit(1).alias("_ended"), F.lit(0).alias("_begun")).unionByName(point(b, b_span[0], 2, 0, none, F.lit(0).alias("_ended"), F.lit(1).alias("_begun")))
+    for c, rank, sign in ((a_span[0], 1, -1), (a_span[1], 1, 1)):
+        rows = rows.unionByName(point(asks, c, rank, sign, F.col("_a"), F.lit(0).alias("_ended"), F.lit(0).alias("_begun")))
+    counted = ranges.running(rows, "_grp", "_t", {"ended": F.col("_ended"), "begun": F.col("_begun")}, size, order=["_o"])
+    found = counted.where("_a is not null").groupBy("_a").agg(F.sum(F.when(F.col("_sign") > 0, F.col("begun")).otherwise(-F.col("ended"))).alias("n"))
+    return keyed.join(found, "_a", "left").select(*a.columns, F.coalesce("n", F.lit(0)).alias("n"))

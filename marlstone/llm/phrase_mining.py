@@ -13,7 +13,7 @@ less frequent. From the second level on the words behind a phrase are taken
 from the frequent pairs alone.
 
 Nothing is broadcast that grows with the corpus. Words are told apart by their
-label and bytes; where two have one 64-bit hash, that is an error.
+label and bytes; where two of one block have one 64-bit hash, that is an error.
 
 Defined results: a null text is empty and a null label ``und``; a document
 without words adds nothing; repeated rows count each; an empty table gives an
@@ -41,8 +41,8 @@ from marlstone.llm.tokens import byte_class, mix, scan_column
 BLOCK_WORDS = 1 << 20
 #: Candidates' counts are summed in chunks of their keys, one for so many words of the corpus.
 CHUNK_WORDS = 1 << 20
-#: Words are numbered in so many buckets of their hashes; numbers of words and phrases are below the second.
-BUCKETS, NUMBERS = 1 << 14, 1 << 31
+#: Numbers of frequent words and phrases are below this.
+NUMBERS = 1 << 31
 #: Blocks are wide rows: few of them are decoded at once.
 WIDE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "4", "spark.sql.parquet.compression.codec": "zstd"}
 
@@ -73,14 +73,8 @@ def _bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-    """A string column: the byte runs ``data[start : start + size]``, those of one row joined."""
-    offsets = np.concatenate([[0], np.cumsum(size.sum(1))]).astype(np.int32)
-    return pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(_bytes(data, start.ravel(), size.ravel()))])
-
-
 def postings(docs: DataFrame, label: str = "lang", text: str = "text") -> DataFrame:
-    """One row a block: its ``m`` words' ``w`` (hash), ``occurrences`` (also packed as ``sizes``) and ``name`` (label, tab, word), the ``n`` positions by word, and the words by label."""
+    """One row a block: of its ``m`` words the hashes ``w``, the spelling, the place of their label and the occurrences (``sizes``), the ``n`` positions by word, and the words by label."""
 
     def block_of(number: int, parts: list, labels: list[str]) -> pa.RecordBatch:
         bases = np.cumsum([0, *(len(p[0].data) for p in parts)])
@@ -98,15 +92,10 @@ def postings(docs: DataFrame, label: str = "lang", text: str = "text") -> DataFr
         again = np.repeat(one, n)
         if (which[order] != which[again]).any() or (size[order] != size[again]).any() or (_bytes(data, start[order], size[order]) != _bytes(data, start[again], size[again])).any():
             raise ValueError("two words of one hash")
-        heads = [f"{x}\t".encode() for x in labels]
-        joined = np.frombuffer(b"".join(heads), np.uint8)
-        long = np.array(list(map(len, heads)))
-        at = np.cumsum(long) - long
-        starts = np.column_stack([len(data) + at[which[one]], start[one]])
-        sizes = np.column_stack([long[which[one]], size[one]])
-        name = _gathered(np.concatenate([data, joined]), starts, sizes)
-        columns = {"block": pa.array([number], pa.int64()), **_lists({"w": key[one].view(np.int64), "occurrences": n.astype(np.int32), "name": name})}
-        columns |= {"m": pa.array([len(n)], pa.int32()), "n": pa.array([len(key)], pa.int64()), "sizes": pa.array([_packed(n)], pa.binary()), "positions": pa.array([_packed(position[order])], pa.binary())}
+        spelled = np.insert(_bytes(data, start[one], size[one]), np.cumsum(size[one])[:-1], 0x0A).tobytes()  # no word has a line feed
+        packed = {"w": key[one].tobytes(), "words": pa.compress(spelled, codec="zstd", asbytes=True), "label": _packed(which[one]), "sizes": _packed(n), "positions": _packed(position[order])}
+        columns = {"block": pa.array([number], pa.int64()), "m": pa.array([len(n)], pa.int32()), "n": pa.array([len(key)], pa.int64()), "bytes": pa.array([len(spelled)], pa.int64())}
+        columns |= {k: pa.array([v], pa.binary()) for k, v in packed.items()}
         columns |= _lists({"labels": pa.array(labels, pa.string()), "label_words": np.bincount(which, minlength=len(labels)).astype(np.int64)})
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -132,7 +121,7 @@ def postings(docs: DataFrame, label: str = "lang", text: str = "text") -> DataFr
             yield block_of(number, parts, list(known))
 
     slim = docs.select(F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{text}`").alias("text"))
-    return slim.mapInArrow(run, "block long, w array<long>, occurrences array<int>, name array<string>, m int, n long, sizes binary, positions binary, labels array<string>, label_words array<long>")
+    return slim.mapInArrow(run, "block long, m int, n long, bytes long, w binary, words binary, label binary, sizes binary, positions binary, labels array<string>, label_words array<long>")
 
 
 @dataclass
@@ -184,17 +173,22 @@ ANSWER = "block long, m int, keys binary, numbers binary, key array<long>, numbe
 _ANSWER = pa.schema([("block", pa.int64()), ("m", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary()), *((name, pa.list_(pa.int64())) for name in ("key", "number", "a"))])
 
 
+WORD = "block long, chunk int, m int, keys binary, sizes binary, bytes long, words binary, label binary, labels array<string>"
+_WORD = pa.schema([("block", pa.int64()), ("chunk", pa.int32()), ("m", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.int64()), ("words", pa.binary()), ("label", pa.binary()), ("labels", pa.list_(pa.string()))])
+WORD_ANSWER = "block long, m int, keys binary, numbers binary, number array<long>, label array<string>, word array<string>, a array<long>"
+_WORD_ANSWER = pa.schema([("block", pa.int64()), ("m", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary()), ("number", pa.list_(pa.int64())), ("label", pa.list_(pa.string())), ("word", pa.list_(pa.string())), ("a", pa.list_(pa.int64()))])
+
+
 def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Wide rows one by one, lists of numbers as arrays."""
+    """Wide rows one by one."""
     for batch in batches:
         for r in range(batch.num_rows):
-            get = lambda c: c[r].values.to_numpy(zero_copy_only=False) if pa.types.is_list(c.type) and not pa.types.is_struct(c.type.value_type) else c[r].as_py()  # noqa: B023, E731
-            yield {name: get(c) for name, c in zip(batch.schema.names, batch.columns, strict=True)}
+            yield {name: c[r].as_py() for name, c in zip(batch.schema.names, batch.columns, strict=True)}
 
 
 def _counts(block: int, found: Lists, chunks: int) -> Iterator[list]:
@@ -209,10 +203,56 @@ def _pairs(row: dict) -> Lists:
     """The pairs of frequent words of a block."""
     every = np.arange(row["m"])
     words = Lists(1, every, np.repeat(every, _unpacked(row["sizes"], row["m"])), _unpacked(row["positions"], row["n"]))
-    words = words.only(row["c"].astype(np.int64), row["id"]).by_position()
+    places, numbers = (np.concatenate([_unpacked(x[name], x["m"]) for x in row["known"]]) for name in ("keys", "numbers"))
+    words = words.only(places, numbers).by_position()
     return words.extended(words)
 
 
+def _count_words(chunks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The words of a block with their counts, a row for each chunk that has some; ``keys`` are their places in the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words = np.array(pa.decompress(row["words"], row["bytes"], codec="zstd", asbytes=True).split(b"\n"), object)
+            sizes, label = _unpacked(row["sizes"], row["m"]), _unpacked(row["label"], row["m"])
+            chunk = (np.frombuffer(row["w"], np.uint64) % np.uint64(chunks)).astype(np.int64)
+            order, out = np.argsort(chunk, kind="stable"), []
+            for here in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1):
+                spelled = b"\n".join(words[here])
+                out.append([row["block"], int(chunk[here[0]]), len(here), _packed(here), _packed(sizes[here]), len(spelled), pa.compress(spelled, codec="zstd", asbytes=True), _packed(label[here]), row["labels"]])
+            yield _batch(out, _WORD)
+
+    return run
+
+
+def _word_answers(least: int, chunks: int) -> Callable[[pa.Table], pa.Table]:
+    """The sums of one chunk of words: the frequent ones, with new numbers, for each block and as a whole."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(_WORD.names).to_pylist()
+        known: dict[str, int] = {}
+        label = np.concatenate([np.array([known.setdefault(x, len(known)) for x in r["labels"]], np.int64)[_unpacked(r["label"], r["m"])] for r in rows])
+        spelled = pa.chunked_array([pa.array(pa.decompress(r["words"], r["bytes"], codec="zstd", asbytes=True).split(b"\n"), pa.binary()) for r in rows]).combine_chunks().dictionary_encode()
+        words = spelled.dictionary
+        every, at = np.unique(spelled.indices.to_numpy().astype(np.int64) * len(known) + label, return_inverse=True)
+        total = np.bincount(at, np.concatenate([_unpacked(r["sizes"], r["m"]) for r in rows])).astype(np.int64)
+        frequent = total >= least
+        number = (np.cumsum(frequent) - 1) * chunks + rows[0]["chunk"]
+        if frequent.any() and number[-1] >= NUMBERS:
+            raise ValueError("more frequent words than numbers")
+        out, end = [], 0
+        for r in rows:
+            here = at[end : end + r["m"]]
+            own, end = frequent[here], end + r["m"]
+            if own.any():
+                out.append([r["block"], int(own.sum()), _packed(_unpacked(r["keys"], r["m"])[own]), _packed(number[here[own]]), None, None, None, None])
+        names = list(known)
+        out.append([None, 0, None, None, number[frequent], [names[k] for k in every[frequent] % len(names)], words.take(pa.array(every[frequent] // len(names))).cast(pa.string()).to_pylist(), total[frequent]])
+        return pa.Table.from_batches([_batch(out, _WORD_ANSWER)])
+
+    return run
+
+
 def _frequent(found: Lists, told: list[dict]) -> tuple[Lists, np.ndarray]:
     """The lists of the frequent candidates and the last word of each."""
     keys, numbers = (np.concatenate([_unpacked(x[name], x["m"]) for x in told]) for name in ("keys", "numbers"))
@@ -277,19 +317,12 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, label:
         blocks = written(postings(docs, label, text), "postings")
         by_label = written(blocks.select(F.inline(F.arrays_zip("labels", "label_words"))).groupBy(F.col("labels").alias("label")).agg(F.sum("label_words").alias("n")), "labels")
         chunks = 1 + (by_label.agg(F.sum("n")).first()[0] or 0) // CHUNK_WORDS
-        each = blocks.select("block", F.posexplode(F.arrays_zip("w", "occurrences", "name")).alias("c", "z")).select("block", "c", F.col("z.occurrences").alias("n"), "z.w", "z.name", F.pmod("z.w", F.lit(BUCKETS)).alias("bucket"))
-        same, bucket = Window.partitionBy("bucket", "w"), Window.partitionBy("bucket").orderBy("w")
-        total = F.when(F.min("name").over(same) == F.max("name").over(same), F.sum("n").over(same)).otherwise(F.raise_error(F.lit("two words of one hash")).cast("long"))
-        each = each.repartition("bucket").select("block", "c", "bucket", "w", "name", total.alias("a")).where(F.col("a") >= least)
-        number = (F.dense_rank().over(bucket) - 1).cast("long") * BUCKETS + F.col("bucket")
-        number = F.when(number < NUMBERS, number).otherwise(F.raise_error(F.lit("more frequent words than numbers")).cast("long"))
-        found = written(each.select("block", "c", number.alias("id"), "name", "a"), "frequent-1")
-        words = found.groupBy("id").agg(F.first("name").alias("name"), F.first("a").alias("a"))
-        words = words.select("id", F.expr("left(name, length(name) - length(substring_index(name, '\t', -1)) - 1)").alias("label"), F.substring_index("name", "\t", -1).alias("word"), "a")
-        words = written(words, "words")
+        counts = blocks.select(*(c for c in blocks.columns if c not in ("positions", "label_words"))).mapInArrow(_count_words(chunks), WORD)
+        answers = written(counts.groupBy("chunk").applyInArrow(_word_answers(least, chunks), WORD_ANSWER), "frequent-1")
+        words = answers.where("block is null").select(F.inline(F.arrays_zip(F.col("number").alias("id"), "label", "word", "a")))
         levels = [words.select("id", F.array("id").alias("words"), "a")]
-        mine = found.groupBy("block").agg(F.collect_list(F.struct("c", "id")).alias("z")).select("block", "z.c", "z.id")
-        slim = blocks.select("block", "m", "n", "sizes", "positions").join(mine, "block")
+        known = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("m", "keys", "numbers")).alias("known"))
+        slim = blocks.select("block", "m", "n", "sizes", "positions").join(known, "block")
         lists = slim
         for k in range(1, longest):
             counts = lists.mapInArrow(_step(k, longest, chunks), LEVEL)

@@ -274,27 +274,29 @@ def cubic(knots: DataFrame, queries: DataFrame, start: tuple[int, float] = (0, 0
     return out.select(*queries.columns, value.alias("value"), slope.alias("slope"), (p0 + d * third).alias("second"))
 
 
-def linear_from_integrals(cells: DataFrame) -> DataFrame:
+def linear_from_integrals(cells: DataFrame, size: int = ROWS) -> DataFrame:
     """``(grp, t, y)``: the linear interpolant whose integral over each cell (grp, t0, t1, area) is given.
 
-    Cells adjoin; the solution minimises the jumps of the slope over the one
-    degree of freedom that the areas leave. One small dense solve a group.
+    Cells adjoin. With heights h the areas give y1 = 2 area / h - y0, so with the
+    sign of every second knot turned y is a running sum of 2 area / h and one
+    number that is free; it is chosen to minimise the jumps of the slope, from
+    two sums a group. Groups of more than ``size`` cells are cut into ranges.
     """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t0")
-        h, area = (pdf.t1 - pdf.t0).to_numpy(float), pdf.area.to_numpy(float)
-        n = len(h)
-        base, free = np.zeros(n + 1), np.ones(n + 1)
-        for i in range(n):
-            base[i + 1] = 2 * area[i] / h[i] - base[i]
-            free[i + 1] = -free[i]
-        jump = lambda y: np.diff(np.diff(y) / h)
-        a, b = jump(base), jump(free)
-        s = -(a @ b) / (b @ b) if n > 1 and (b @ b) > 0 else area[0] / h[0]
-        return pd.DataFrame({"grp": pdf.grp.iloc[0], "t": np.append(pdf.t0.to_numpy(float), pdf.t1.iloc[-1]), "y": base + s * free})
-
-    return cells.groupBy("grp").applyInPandas(solve, f"grp {cells.schema['grp'].dataType.simpleString()}, t double, y double")
+    h = F.col("t1").cast("double") - F.col("t0").cast("double")
+    rows = cells.select("grp", F.col("t0").cast("double").alias("t0"), F.col("t1").cast("double").alias("t1"), F.col("area").cast("double").alias("area"), h.alias("h"))
+    rows = stored(running(rows, "grp", "t0", {"i": F.lit(1)}, size))
+    sign = F.when(F.col("i") % 2 == 0, 1.0).otherwise(-1.0)  # of the cell's right knot
+    rows = running(rows, "grp", "t0", {"turned": sign * 2 * F.col("area") / F.col("h")}, size)
+    rows = rows.withColumn("right", sign * F.col("turned")).withColumn("left", 2 * F.col("area") / F.col("h") - F.col("right")).withColumn("free", -sign)
+    rows = rows.withColumn("base_slope", (F.col("right") - F.col("left")) / F.col("h")).withColumn("free_slope", -2 * F.col("free") / F.col("h"))
+    rows = stored(with_neighbours(rows, t="t0", values=("base_slope", "free_slope"), size=size))
+    base, free = (F.col(f"_k.{c}_n") - F.col(f"_k.{c}") for c in ("base_slope", "free_slope"))
+    sums = rows.groupBy("grp").agg(F.sum(base * free).alias("ab"), F.sum(free * free).alias("bb"), F.min_by(F.col("area") / F.col("h"), "t0").alias("only"))
+    sums = sums.select(F.col("grp").alias("_g"), F.when(F.col("bb") > 0, -F.col("ab") / F.col("bb")).otherwise(F.col("only")).alias("s"))
+    joined = rows.join(sums, F.col("grp").eqNullSafe(F.col("_g")))
+    knot = lambda t, y, sign: F.struct(F.col(t).alias("t"), (F.col(y) + sign * F.col("s") * F.col("free")).alias("y"))
+    ends = F.when(F.col("_k.t_n").isNull(), F.array(knot("t0", "left", 1), knot("t1", "right", -1))).otherwise(F.array(knot("t0", "left", 1)))
+    return joined.select("grp", F.inline(ends))
 
 
 # splines over four neighbours
@@ -451,7 +453,12 @@ def newton_value(ts: Column, coefficients: Column, x: Column) -> Column:
 
 
 def least_squares(points: DataFrame, degree: int) -> DataFrame:
-    """``(grp, b, c, d, rms)``: least squares of a degree by orthogonal polynomials, one small solve a group; degree 1 needs no Python."""
+    """``(grp, b, c, d, rms)``: least squares of a degree by orthogonal polynomials.
+
+    Each degree is one round: the recurrence so far gives the next polynomial of
+    every row, and three sums a group its coefficients. Groups are never
+    gathered. A degree beyond a group's distinct positions gets the coefficient 0.
+    """
     if degree < 1:
         raise ValueError("the degree must be 1 or more")
     if degree == 1:
@@ -462,24 +469,52 @@ def least_squares(points: DataFrame, degree: int) -> DataFrame:
         rms = F.sqrt(F.greatest(F.col("syy") - slope * F.col("sxy"), F.lit(0.0)) / F.col("n"))
         return sums.select("grp", F.array(F.col("mx")).alias("b"), F.array("my", slope).alias("c"), F.array().cast("array<double>").alias("d"), rms.alias("rms"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf.t.to_numpy(float), pdf.y.to_numpy(float)
-        b, c, d = [], [], []
-        previous, p = np.zeros_like(x), np.ones_like(x)
-        for k in range(degree + 1):
-            norm = p @ p
-            c.append((p @ y) / norm if norm > 0 else 0.0)
-            if k == degree:
-                break
-            b.append((x * p) @ p / norm if norm > 0 else 0.0)
-            if k:
-                d.append(norm / (previous @ previous) if previous.any() else 0.0)
-            previous, p = p, (x - b[k]) * p - (d[-1] * previous if k else 0.0)
-        fitted = evaluate_orthogonal(x, b, c, d)
-        return pd.DataFrame({"grp": [pdf.grp.iloc[0]], "b": [b], "c": [c], "d": [d], "rms": [float(np.sqrt(np.mean((fitted - y) ** 2)))]})
-
-    kind = points.schema["grp"].dataType.simpleString()
-    return points.groupBy("grp").applyInPandas(solve, f"grp {kind}, b array<double>, c array<double>, d array<double>, rms double")
+    rows = points.select("grp", F.col("t").cast("double").alias("t"), F.col("y").cast("double").alias("y"))
+    none = F.array().cast("array<double>")
+    fit = rows.groupBy("grp").agg(F.avg("t").alias("centre"), F.avg("y").alias("mean"), F.count("*").cast("double").alias("norm"))
+    fit = stored(fit.select(F.col("grp").alias("_g"), F.array("centre").alias("b"), F.array("mean").alias("c"), none.alias("d"), "norm"))
+    for k in range(1, degree + 1):
+        p = orthogonal_polynomial(F.col("t"), F.col("b"), F.col("d"), k)
+        with_p = _joined(rows, fit).withColumn("p", p)
+        sums = with_p.groupBy("_g").agg(F.sum(F.col("p") * F.col("p")).alias("pp"), F.sum(F.col("p") * F.col("y")).alias("py"), F.sum(F.col("t") * F.col("p") * F.col("p")).alias("tpp"), F.first("b").alias("b"), F.first("c").alias("c"), F.first("d").alias("d"), F.first("norm").alias("norm"))
+        share = lambda x: F.when(F.col("pp") > 0, x / F.nullif(F.col("pp"), F.lit(0.0))).otherwise(0.0)
+        ratio = F.when(F.col("norm") > 0, F.col("pp") / F.nullif(F.col("norm"), F.lit(0.0))).otherwise(0.0)
+        # the next polynomial is (t - b_k) p_k - d_k p_(k-1) with d_k the ratio of the two norms
+        more_b, more_d = (F.array(share(F.col("tpp"))), F.array(ratio)) if k < degree else (none, none)
+        fit = stored(sums.select("_g", F.concat("b", more_b).alias("b"), F.concat("c", F.array(share(F.col("py")))).alias("c"), F.concat("d", more_d).alias("d"), F.col("pp").alias("norm")))
+    joined = _joined(rows, fit)
+    off = clenshaw(F.col("t"), F.col("b"), F.col("c"), F.col("d")) - F.col("y")
+    rms = joined.groupBy("_g").agg(F.sqrt(F.avg(off * off)).alias("rms"), *(F.first(x).alias(x) for x in "bcd"))
+    return rms.select(F.col("_g").alias("grp"), "b", "c", "d", "rms")
+
+
+#: Groups whose coefficients may be broadcast.
+BROADCAST_FITS = 100_000
+
+
+def _joined(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """Rows beside the coefficients of their group, which are broadcast where they are few: no group is gathered."""
+    few = F.broadcast(fit) if fit.count() <= BROADCAST_FITS else fit
+    return rows.join(few, F.col("grp").eqNullSafe(F.col("_g")))
+
+
+def orthogonal_polynomial(t: Column, b: Column, d: Column, k: int) -> Column:
+    """The k-th orthogonal polynomial at t by its three-term recurrence; a group's d starts with the factor of the third one."""
+    before, p = F.lit(0.0), F.lit(1.0)
+    for j in range(k):
+        before, p = p, (t - F.get(b, F.lit(j))) * p - (F.get(d, F.lit(j - 1)) * before if j else F.lit(0.0))
+    return p
+
+
+def clenshaw(t: Column, b: Column, c: Column, d: Column) -> Column:
+    """Sum of c_k times the k-th orthogonal polynomial at t."""
+    zero = F.struct(F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))
+
+    def step(acc: Column, k: Column) -> Column:
+        u = F.get(c, k) + F.coalesce((t - F.get(b, k)) * acc["u"], F.lit(0.0)) - F.coalesce(F.get(d, k) * acc["v"], F.lit(0.0))
+        return F.struct(u.alias("u"), acc["u"].alias("v"))
+
+    return F.aggregate(F.sequence(F.size(c) - 1, F.lit(0), F.lit(-1)), zero, step, lambda a: a["u"])
 
 
 def evaluate_orthogonal(x, b, c, d):
@@ -492,12 +527,5 @@ def evaluate_orthogonal(x, b, c, d):
 
 def least_squares_value(fit: DataFrame, queries: DataFrame) -> DataFrame:
     """``queries`` (grp, t) with ``value`` of the fitted polynomial, by Clenshaw's recurrence over the arrays."""
-    n = F.size("c")
-    zero = F.struct(F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))
-
-    def step(acc: Column, k: Column) -> Column:
-        u = F.get(F.col("c"), k) + F.coalesce((F.col("t") - F.get(F.col("b"), k)) * acc["u"], F.lit(0.0)) - F.coalesce(F.get(F.col("d"), k) * acc["v"], F.lit(0.0))
-        return F.struct(u.alias("u"), acc["u"].alias("v"))
-
-    value = F.aggregate(F.sequence(n - 1, F.lit(0), F.lit(-1)), zero, step, lambda a: a["u"])
+    value = clenshaw(F.col("t"), F.col("b"), F.col("c"), F.col("d"))
     return queries.join(fit, "grp").select(*queries.columns, value.alias("value"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators import asof, interp, intervals
-from marlstone.plans.catalogue import EV, events, query, table
+from marlstone.operators import asof, banded, interp, intervals, tiles
+from marlstone.plans.catalogue import EV, MONTHLY, events, monthly, query, table
 
 # one group of all events, in ranges
 
@@ -93,3 +93,69 @@ def j2_overlap_counts(spark, sf_dir):
     a, b = _shipped_and_open(spark, sf_dir)
     counts = intervals.overlap_counts(a, b, ("a0", "a1"), ("b0", "b1"), "nation", size=RANGE)
     return counts.groupBy("nation", "l_returnflag").agg(F.sum("n").alias("n"))
+
+
+# matrices in tiles
+
+
+@query("""WITH x AS (SELECT o_orderkey AS r, o_custkey % 4 AS c, (o_orderkey % 9)::DOUBLE AS v FROM orders)
+SELECT x.r AS i, sum(x.v * y.v) AS total, max(x.v * y.v) AS largest FROM x JOIN x y ON x.c = y.c GROUP BY x.r""")
+def l12_gram_of_all_rows(spark, sf_dir):
+    """Sum and largest cell of every row of A A^T over all orders, from tiles of its lower half."""
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), (F.col("o_custkey") % 4).alias("j"), (F.col("o_orderkey") % 9).cast("double").alias("v"))
+    m = tiles.from_cells(a, rows=512, cols=4)
+    parts = tiles.gram_rows(m, tiles.row_summary(m), "i long, total double, largest double").groupBy("i").agg(F.sum("total").alias("total"), F.max("largest").alias("largest"))
+    return parts.join(a.select("i"), "i", "left_semi")  # numbers that no order has are rows of zeros
+
+
+@query("""WITH a AS (SELECT l_suppkey AS i, ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1)::BIGINT AS k, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
+b AS (SELECT ((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1)::BIGINT AS k, o_custkey % 50 AS j, count(*)::DOUBLE AS v FROM orders GROUP BY ALL)
+SELECT a.i, b.j, sum(a.v * b.v) AS v FROM a JOIN b ON a.k = b.k GROUP BY ALL""")
+def l11_tiled_product(spark, sf_dir):
+    """Quantities by supplier and month times orders by month and customer class."""
+    month = lambda c: ((F.year(c) - 1995) * 12 + F.month(c) - 1).cast("long")
+    a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("i"), month("l_shipdate").alias("j")).agg(F.sum("l_quantity").alias("v"))
+    b = table(spark, sf_dir, "orders").groupBy(month("o_orderdate").alias("i"), (F.col("o_custkey") % 50).alias("j")).agg(F.count("*").cast("double").alias("v"))
+    return tiles.matmul(a, b, rows=32, cols=16).where("v != 0")
+
+
+# systems and fits over long groups
+
+
+@query("SELECT event_id, round(value, 5) + 0.0 AS rhs FROM events")
+def i38_blocked_tridiagonal(spark, sf_dir):
+    """A system over all events whose diagonal is far from dominant, solved in blocks and multiplied out again."""
+    ev = table(spark, sf_dir, "events").select(F.lit(1).alias("grp"), F.col("event_id"), "value")
+    first = ev.agg(F.min("event_id")).first()[0]
+    i = F.col("event_id") - first
+    system = ev.select("grp", i.alias("i"), F.lit(-1.0).alias("sub"), F.when(i % 5 == 0, 0.0).otherwise(0.3).alias("diag"), F.lit(1.0).alias("sup"), F.col("value").alias("rhs"))
+    found = banded.solve(system, block=700)
+    side = lambda k, c: found.select("grp", (F.col("i") + k).alias("i"), F.col("x").alias(c))
+    joined = system.join(side(0, "x"), ["grp", "i"], "left").join(side(1, "before"), ["grp", "i"], "left").join(side(-1, "behind"), ["grp", "i"], "left")
+    rhs = F.coalesce(F.col("sub") * F.col("before"), F.lit(0.0)) + F.col("diag") * F.col("x") + F.coalesce(F.col("sup") * F.col("behind"), F.lit(0.0))
+    return joined.select((F.col("i") + first).alias("event_id"), (F.round(rhs, 5) + 0.0).alias("rhs"))
+
+
+@query("""WITH x AS (SELECT l_returnflag AS grp, l_discount * 10 AS t, l_quantity + pow(l_discount * 10, 3) AS y FROM lineitem),
+m AS (SELECT grp, t, count(*) AS n, avg(y) AS y FROM x GROUP BY ALL),
+s AS (SELECT grp, sum(n) AS s0, sum(n * t) AS s1, sum(n * t ** 2) AS s2, sum(n * t ** 3) AS s3, sum(n * t ** 4) AS s4, sum(n * t ** 5) AS s5, sum(n * t ** 6) AS s6, sum(n * y) AS r0, sum(n * y * t) AS r1, sum(n * y * t ** 2) AS r2, sum(n * y * t ** 3) AS r3 FROM m GROUP BY grp),
+e1 AS (SELECT grp, s1 / s0 AS a1, s2 / s0 AS a2, s3 / s0 AS a3, r0 / s0 AS a4, s2 - s1 * s1 / s0 AS b1, s3 - s1 * s2 / s0 AS b2, s4 - s1 * s3 / s0 AS b3, r1 - s1 * r0 / s0 AS b4,
+  s3 - s2 * s1 / s0 AS c1, s4 - s2 * s2 / s0 AS c2, s5 - s2 * s3 / s0 AS c3, r2 - s2 * r0 / s0 AS c4, s4 - s3 * s1 / s0 AS d1, s5 - s3 * s2 / s0 AS d2, s6 - s3 * s3 / s0 AS d3, r3 - s3 * r0 / s0 AS d4 FROM s),
+e2 AS (SELECT *, c2 - c1 * b2 / b1 AS f2, c3 - c1 * b3 / b1 AS f3, c4 - c1 * b4 / b1 AS f4, d2 - d1 * b2 / b1 AS g2, d3 - d1 * b3 / b1 AS g3, d4 - d1 * b4 / b1 AS g4 FROM e1),
+e3 AS (SELECT *, (g4 - g2 * f4 / f2) / (g3 - g2 * f3 / f2) AS z3 FROM e2), e4 AS (SELECT *, (f4 - f3 * z3) / f2 AS z2 FROM e3), e5 AS (SELECT *, (b4 - b2 * z2 - b3 * z3) / b1 AS z1 FROM e4)
+SELECT m.grp, m.t, round(a4 - a1 * z1 - a2 * z2 - a3 * z3 + t * (z1 + t * (z2 + t * z3)), 4) AS value FROM m JOIN e5 ON e5.grp = m.grp""")
+def i36_cubic_least_squares(spark, sf_dir):
+    """Quantity over discount by flag, degree 3, over all line items: three groups of a third of the rows each."""
+    t = F.col("l_discount") * 10
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("grp"), t.alias("t"), (F.col("l_quantity") + t * t * t).alias("y"))
+    return interp.least_squares_value(interp.least_squares(points, 3), points.select("grp", "t").distinct()).select("grp", "t", F.round("value", 4).alias("value"))
+
+
+@query(f"WITH {MONTHLY} SELECT grp, t AS t0, round(y, 4) AS area FROM k")
+def i4_areas_of_all_months(spark, sf_dir):
+    """The linear interpolant made from every month's area, integrated again over each month."""
+    knots, _ = monthly(spark, sf_dir)
+    cells = knots.select("grp", F.col("t").alias("t0"), (F.col("t") + 1).alias("t1"), F.col("y").alias("area"))
+    made = interp.linear_from_integrals(cells, size=30)
+    over = interp.linear_integral(made, cells.select("grp", F.col("t0").alias("a"), F.col("t1").alias("b")))
+    return over.select("grp", F.col("a").alias("t0"), F.round("integral", 4).alias("area"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import asof, interp, intervals, linalg, ranges
+from marlstone.operators import asof, banded, interp, intervals, ranges, tiles
 
 
 def test_a_group_in_two_hundred_tasks(spark):
@@ -92,3 +92,91 @@ def test_overlaps(spark):
     far = spark.createDataFrame([(1, 0, 10**15)], "i long, a0 long, a1 long")
     near = spark.createDataFrame([(2, 10**15 - 1, 10**15), (3, 10**15, 10**15 + 1)], "j long, b0 long, b1 long")
     assert [r["j"] for r in intervals.overlaps(far, near, ("a0", "a1"), ("b0", "b1"), width=1).collect()] == [2]
+
+
+def test_tiled_products(spark):
+    rnd = np.random.default_rng(4)
+    a, b = rnd.integers(-3, 4, (23, 41)), rnd.integers(-3, 4, (41, 17))
+    a[rnd.random(a.shape) < 0.7] = 0
+    a[:, 5] = 1  # a busy inner index
+    cells = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i long, j long, v double")
+    for rows, cols in ((4, 2), (64, 64), (5, 3)):
+        x, y = tiles.from_cells(cells(a), rows, cols, a.shape), tiles.from_cells(cells(b), cols, rows, b.shape)
+        made = tiles.product(x, y)
+        out = np.zeros((23, 17))
+        for r in made.df.collect():
+            t = made.tile(r["bi"], r["bj"], bytes(r["v"]))
+            out[r["bi"] * rows :, r["bj"] * rows :][: t.shape[0], : t.shape[1]] = t
+        assert (out == a @ b).all()
+        gram = {(r["i"], r["j"]): r["v"] for r in tiles.gram_rows(x).collect()}
+        assert len(gram) == 23 * 23 and all(v == (a @ a.T)[k] for k, v in gram.items())
+        total = {r["i"]: r["t"] for r in tiles.gram_rows(x, tiles.row_summary(x), "i long, total double, largest double").groupBy("i").agg(F.sum("total").alias("t")).collect()}
+        assert [total[i] for i in range(23)] == (a @ a.T).sum(1).tolist()
+    got = {(r["i"], r["j"]): r["v"] for r in tiles.matmul(cells(a), cells(b), 4, 3).collect()}
+    assert all(got.get((i, j), 0.0) == (a @ b)[i, j] for i in range(23) for j in range(17))
+    with pytest.raises(ValueError, match="inner sizes"):
+        tiles.product(x, x)
+
+
+def test_parts_of_tiles_are_summed_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "SIDE", 1)
+    monkeypatch.setattr(tiles, "SUMMED", 3)
+    a = np.arange(60).reshape(3, 20) % 7
+    cells = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(3) for j in range(20)], "i long, j long, v double")
+    got = {(r["i"], r["j"]): r["v"] for r in tiles.gram_rows(tiles.from_cells(cells, 2, 1)).collect()}
+    assert got == {(i, j): float((a @ a.T)[i, j]) for i in range(3) for j in range(3)}
+
+
+def test_blocked_tridiagonal(spark):
+    rnd = random.Random(6)
+    systems = {"plain": [rnd.gauss(0, 1) for _ in range(57)], "zero diagonal": [0.0] * 58, "one": [4.0], "two": [0.0, 3.0], None: [1e-3] * 40}
+    rows, want = [], {}
+    for name, diag in systems.items():
+        n = len(diag)
+        sub, sup, rhs = ([rnd.gauss(0, 1) for _ in range(n)] for _ in range(3))
+        m = np.diag(diag) + np.diag(sub[1:], -1) + np.diag(sup[:-1], 1)
+        want |= {(name, i): v for i, v in enumerate(np.linalg.solve(m, rhs))}
+        rows += [(name, i, sub[i], diag[i], sup[i], rhs[i]) for i in range(n)]
+    rows += [("singular", i, 1.0, 1.0 if i else 0.0, 0.0, 1.0) for i in range(9)]
+    table = spark.createDataFrame(rows, "grp string, i long, sub double, diag double, sup double, rhs double").repartition(4)
+    for block in (1, 2, 7, 20_000):
+        got = {(r["grp"], r["i"]): r["x"] for r in banded.solve(table, block=block).collect()}
+        assert len(got) == len(rows) and all(got["singular", i] is None for i in range(9))
+        for k, v in want.items():
+            assert got[k] == pytest.approx(v, rel=1e-7, abs=1e-7), (block, k)
+    assert banded.solve(table.limit(0)).count() == 0
+
+
+def test_least_squares_of_any_degree(spark):
+    rnd = random.Random(7)
+    points = [(g, rnd.uniform(-2, 3), rnd.gauss(0, 2)) for g, n in (("a", 60), ("b", 9), (None, 30)) for _ in range(n)] + [("few", 1.0, 5.0), ("few", 2.0, 7.0), ("few", 2.0, 9.0)]
+    table = spark.createDataFrame(points, "grp string, t double, y double").repartition(3)
+    for degree in (2, 5):
+        fit = interp.least_squares(table, degree)
+        assert fit.count() == 4
+        values = {(r["grp"], r["t"]): r["value"] for r in interp.least_squares_value(fit, table.where("grp is not null").select("grp", "t")).collect()}
+        for g in ("a", "b"):
+            x, y = np.array([p[1:] for p in points if p[0] == g]).T
+            fitted = np.polyval(np.polyfit(x, y, degree), x)
+            assert [values[g, t] for t in x] == pytest.approx(fitted, abs=1e-6)
+            assert fit.where(F.col("grp") == g).first()["rms"] == pytest.approx(np.sqrt(np.mean((fitted - y) ** 2)), abs=1e-8)
+        assert values["few", 1.0] == pytest.approx(5) and values["few", 2.0] == pytest.approx(8)
+
+
+@pytest.mark.parametrize("size", [25, 10**6])
+def test_areas_to_knots_in_ranges(spark, size):
+    rnd = random.Random(8)
+    cells, want = [], {}
+    for g, n in (("a", 101), ("b", 2), ("c", 1)):
+        t = np.cumsum([rnd.uniform(0.5, 2) for _ in range(n + 1)])
+        h, area = np.diff(t), np.array([rnd.gauss(3, 1) for _ in range(n)])
+        base, free = np.zeros(n + 1), (-1.0) ** np.arange(n + 1)
+        for i in range(n):
+            base[i + 1] = 2 * area[i] / h[i] - base[i]
+        x, z = (np.diff(np.diff(v) / h) for v in (base, free))
+        s = -(x @ z) / (z @ z) if n > 1 else area[0] / h[0]
+        want |= {(g, round(a, 9)): b for a, b in zip(t, base + s * free, strict=True)}
+        cells += [(g, float(t[i]), float(t[i + 1]), float(area[i])) for i in range(n)]
+    table = spark.createDataFrame(cells, "grp string, t0 double, t1 double, area double").repartition(3)
+    got = {(r["grp"], round(r["t"], 9)): r["y"] for r in interp.linear_from_integrals(table, size=size).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-7) for k, v in want.items())

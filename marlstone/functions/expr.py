@@ -260,9 +260,21 @@ def with_expression(df: DataFrame, name: str, source: str, strict: bool = False)
 def columns_where(df: DataFrame, key: str, source: str) -> DataFrame:
     """The columns whose transposed row satisfies the expression; ``key`` holds the row names and always stays.
 
-    The table is transposed by Spark, so this is for tables with few rows.
+    Only the rows that the expression names are read: they are made long, one
+    aggregate a column brings their values side by side, and the names of the
+    columns that pass are all that is fetched. Of rows of one name the largest
+    value counts. An expression that uses row positions (``@2``) has the whole
+    table transposed, which is for few rows.
     """
-    turned = df.transpose(key)
-    kept = rows_where(turned, source).select(turned.columns[0])
-    names = {r[0] for r in kept.collect()}
+    if "@" in source:
+        turned = df.transpose(key)
+        name = turned.columns[0]
+    else:
+        used = set(re.findall(r"[A-Za-z_][A-Za-z0-9_.]*", source)) | {x for pair in re.findall(r"\"([^\"]*)\"|'([^']*)'", source) for x in pair if x}
+        some = df.where(F.col(f"`{key}`").cast("string").isin(*used))
+        name = "_column"
+        long = some.select(F.col(f"`{key}`").cast("string").alias("_row"), *(f"`{c}`" for c in df.columns if c != key)).unpivot(["_row"], [f"`{c}`" for c in df.columns if c != key], name, "_value")
+        rows = sorted(r[0] for r in some.select(F.col(f"`{key}`").cast("string").alias("_row")).distinct().collect())  # no more than the expression names
+        turned = long.groupBy(name).agg(*(F.max(F.when(F.col("_row") == r, F.col("_value"))).alias(r) for r in rows)) if rows else df.sparkSession.createDataFrame([(c,) for c in df.columns if c != key], f"{name} string")
+    names = {r[0].strip("`") for r in rows_where(turned, source).select(name).collect()}
     return df.select(key, *(f"`{c}`" for c in df.columns if c in names))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the multiplicative generator: multiplier, modulus and scale.
@@ -63,6 +63,25 @@ def lcg_uniforms(seed: Column, n: Column) -> Column:
     return F.aggregate(ones_up(n), start, step, lambda a: a["u"])
 
 
+def lcg_state(seed: Column, k: Column, bits: int = 40) -> Column:
+    """The generator's state k steps (below 2^bits) after a seed, without the states between.
+
+    k steps multiply by the k-th power of the factor, put together from its
+    squares by the bits of k; all products stay below 2^62.
+    """
+    state, power = seed.cast("long") % LCG_M, LCG_A
+    for bit in range(bits):
+        step = F.when(F.shiftright(k.cast("long"), bit).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(power).cast("long")).otherwise(F.lit(1).cast("long"))
+        state, power = (state * step) % LCG_M, power * power % LCG_M
+    return state
+
+
+def lcg_sequence(spark: SparkSession, seed: int, n: int, low: float = 0.0, high: float = 1.0, parts: int | None = None) -> DataFrame:
+    """``(k, u)``: uniforms 1 to n of one sequence; every task starts where its numbers do."""
+    u = lcg_state(F.lit(seed), F.col("id")) * LCG_SCALE
+    return spark.range(1, n + 1, 1, parts).select(F.col("id").alias("k"), (low + (high - low) * u).alias("u"))
+
+
 def lcg_between(seed: Column, n: Column, low: Column, high: Column) -> Column:
     return F.transform(lcg_uniforms(seed, n), lambda u: low + (high - low) * u)
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators import asof, banded, interp, intervals, tiles
-from marlstone.plans.catalogue import EV, MONTHLY, events, monthly, query, table
+from marlstone.functions import expr, vectors
+from marlstone.operators import asof, assoc, banded, interp, intervals, tiles
+from marlstone.plans.catalogue import COUNTS, EV, MONTHLY, QUERIES, SPACING, events, monthly, query, table
+from marlstone.plans.folders import shared_folder
+from marlstone.sources import annotated, single_file, text
 
 # one group of all events, in ranges
 
@@ -159,3 +162,75 @@ def i4_areas_of_all_months(spark, sf_dir):
     made = interp.linear_from_integrals(cells, size=30)
     over = interp.linear_integral(made, cells.select("grp", F.col("t0").alias("a"), F.col("t1").alias("b")))
     return over.select("grp", F.col("a").alias("t0"), F.round("integral", 4).alias("area"))
+
+
+# generators and permutations by number
+
+
+@query("""WITH RECURSIVE p(i, c) AS (SELECT 0, 16807::BIGINT UNION ALL SELECT i + 1, (c * c) % 2147483647 FROM p WHERE i < 39), f AS (SELECT list(c ORDER BY i) AS c FROM p)
+SELECT l_orderkey, l_linenumber, list_reduce(list_transform(range(0, 40), lambda i: CASE WHEN ((l_orderkey * 8 + l_linenumber) >> i) & 1 = 1 THEN c[i + 1] ELSE 1 END), lambda a, b: (a * b) % 2147483647)::DOUBLE * 4.656612875e-10 AS u FROM lineitem, f""")
+def v7_jump_ahead(spark, sf_dir):
+    """One sequence over all line items, the k-th number for line item k, none made from the one before."""
+    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (vectors.lcg_state(F.lit(1), k) * vectors.LCG_SCALE).alias("u"))
+
+
+def _mixed_sql(x: str, key: str) -> str:
+    return f"(((((({x}) * 16807 + ({key})) % 2147483647) * 48271 + ({key})) % 2147483647) * 69621 % 2147483647)"
+
+
+_PARTNER = f"(({_mixed_sql('key + r * 7919', 'r + 1')} % n) - x + n) % n"
+
+
+@query(f"""WITH s AS (SELECT c_custkey, c_nationkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer),
+e AS (SELECT *, (rep + 1000003) % 2147483647 AS key FROM s, range(1, 5) AS t(rep)),
+m AS (SELECT rep, c_custkey, list_reduce(list_prepend(i::BIGINT, range(0, 48)), lambda x, r: CASE WHEN ({_mixed_sql(f"greatest(x, {_PARTNER})", "key + r * 104729")} >> 11) & 1 = 1 THEN {_PARTNER} ELSE x END) AS j FROM e)
+SELECT m.rep::INTEGER AS rep, m.c_custkey, s.c_nationkey FROM m JOIN s ON s.i = m.j""")
+def a17_keyed_permutation(spark, sf_dir):
+    """Four permutations of all customers' nations, each value found by its number."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    first = customers.agg(F.min("c_custkey")).first()[0]
+    return assoc.permuted_by_key(customers.withColumn("number", F.col("c_custkey") - first), 4, sample="c_custkey", value="c_nationkey").select("rep", "c_custkey", "c_nationkey")
+
+
+# tables as text
+
+
+@query("""WITH c AS (SELECT vec_id, i AS component, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(0, 64) AS t(i))
+SELECT vec_id, component, round(v, 6) + 0.0 AS v FROM c WHERE component IN (SELECT component FROM c WHERE vec_id = 3 AND v > 0) AND component IN (SELECT component FROM c WHERE vec_id = 5 AND v <= 0.05)""")
+def f2_columns_by_mask(spark, sf_dir):
+    """The components, as columns, that are positive in one vector and small in another, of all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    wide = e.select(F.concat(F.lit("V_"), F.col("vec_id")).alias("vec"), *(F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(64)))
+    kept = expr.columns_where(wide, "vec", "V_3 > 0 AND V_5 <= 0.05")
+    long = kept.unpivot(["vec"], [c for c in kept.columns if c != "vec"], "component", "v")
+    return long.select(F.substring("vec", 3, 20).cast("long").alias("vec_id"), F.substring("component", 2, 9).cast("long").alias("component"), (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query(f"""WITH {COUNTS}, kept AS (SELECT * FROM counts WHERE 100 * n * (SELECT count(*) FROM counts) >= 125 * (SELECT sum(n) FROM counts)),
+g AS (SELECT *, bin - row_number() OVER (ORDER BY bin) AS island FROM kept), w AS (SELECT min(start) AS a, max(start) + {SPACING} AS b, count(*) AS n, max(n) AS ratio FROM g GROUP BY island)
+SELECT row_number() OVER (ORDER BY ratio DESC, a) - 1 AS line, a::VARCHAR AS loc_start, b::VARCHAR AS loc_end, n::VARCHAR AS marks, ratio::VARCHAR AS ratio FROM w""")
+def s10_segment_file(spark, sf_dir):
+    """The segments of all events written as one file, and its lines."""
+    prefix = f"{shared_folder(spark)}/scan"
+    text.save_segment_file(QUERIES["w3_segments"](spark, sf_dir).withColumn("chrom", F.lit("all")), prefix)
+    rows = annotated.read_annotated(spark, f"{prefix}.seg").body()
+    return rows.select(F.col("row").alias("line"), *(text.cell(F.col("fields"), k).alias(c) for k, c in ((2, "loc_start"), (3, "loc_end"), (4, "marks"), (5, "ratio"))))
+
+
+@query("""WITH c AS (SELECT p_brand AS brand, p_size % 5 AS k, count(*) AS n, sum(p_retailprice) AS total FROM part GROUP BY ALL), o AS (SELECT brand, row_number() OVER (ORDER BY brand DESC) - 1 AS rank FROM (SELECT DISTINCT brand FROM c))
+SELECT o.rank, c.brand, 'class ' || k AS class, 'sizes ' || k || ' of 5' AS about, n::DOUBLE AS v FROM c JOIN o ON o.brand = c.brand WHERE n > 12""")
+def s11_annotated_table(spark, sf_dir):
+    """Counts by brand and size class as an annotated text table: written as one file, read, and joined by its keys and annotations."""
+    counts = table(spark, sf_dir, "part").groupBy("p_brand").agg(*(F.count_if(F.col("p_size") % 5 == k).alias(f"n{k}") for k in range(5)))
+    shown = [F.when(F.col(f"n{k}") > 12, F.col(f"n{k}").cast("string")).otherwise("few") for k in range(5)]
+    lines = counts.orderBy(F.desc("p_brand")).select(F.concat_ws("\t", F.lit("row"), "p_brand", *shown).alias("line"))
+    header = "\n".join("\t".join(x) for x in (["kind", "brand", *(f"class {k}" for k in range(5))], ["", "", *(f"sizes {k} of 5" for k in range(5))]))
+    path = f"{shared_folder(spark)}/counts.txt"
+    single_file.save_lines(lines, path, header)
+    read = annotated.read_annotated(spark, path, rows=2, cols=2)
+    names = read.header().select((F.col("column") - 2).cast("long").alias("j"), F.col("name").alias("class"))
+    about = read.column_annotations().select((F.col("column") - 2).cast("long").alias("j"), F.col("text").alias("about"))
+    keys = read.index("brand").select("row", F.col("key").alias("brand"))
+    cells = read.scores().join(names, "j").join(about, "j").join(keys, F.col("i") == F.col("row"))
+    return cells.select(F.col("i").alias("rank"), "brand", "class", "about", "v")

@@ -102,7 +102,7 @@ def main(arguments: list[str]) -> None:
     (genotype_file, cut_folder, prefix), o = parse(arguments)
     spark = SparkSession.builder.getOrCreate()
     found = find_segments(text.genotypes(spark, genotype_file), text.cut_sites(spark, cut_folder), o)
-    text.save_segments(found, f"{prefix}.seg")
+    text.save_segment_file(found, prefix)
 
 
 if __name__ == "__main__":

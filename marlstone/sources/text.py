@@ -65,8 +65,12 @@ def dosage(gt: Column, a2: Column) -> Column:
 
 
 def cut_sites(spark: SparkSession, path: str) -> DataFrame:
-    """``(sample, chr, start, end)`` of every ``<sample>_*`` file below ``path``."""
-    sample = F.regexp_extract(F.input_file_name(), r"([^/_]+)_[^/]*$", 1)
+    """``(sample, chr, start, end)`` of every ``<sample>_*`` file below ``path``.
+
+    The sample comes from the files' metadata, so a filter on it is applied to
+    the list of files and files of other samples are not opened.
+    """
+    sample = F.regexp_extract("_metadata.file_name", r"^([^_]+)_", 1)
     read = spark.read.csv(path, sep="\t", header=True, schema="chr string, start int, end int")
     return read.select(sample.alias("sample"), "chr", "start", "end")
 
@@ -114,11 +118,26 @@ def number_text(x: Column) -> Column:
 SEGMENT_COLUMNS = ["ID", "chrom", "loc.start", "loc.end", "num.mark", "L2norm_ratio", "Lambda2_threshold", "seg.mean"]
 
 
+def _segment_columns(segments: DataFrame, tool: str) -> list[Column]:
+    optional = lambda c: number_text(F.col(c).cast("double")) if c in segments.columns else F.lit("NA")
+    values = [F.lit(tool), F.col("chrom"), F.col("start"), F.col("end"), F.col("n"), number_text(F.col("ratio").cast("double")), optional("threshold"), optional("mean")]
+    return [v.cast("string").alias(c) for v, c in zip(values, SEGMENT_COLUMNS, strict=True)]
+
+
+def save_segment_file(segments: DataFrame, prefix: str, tool: str = "marlstone") -> None:
+    """Write segments (chrom, start, end, n, ratio[, threshold, mean]) as the one file ``<prefix>.seg``, largest ratio first.
+
+    Tasks sort and write ranges of the ratio; only the commit joins their files.
+    """
+    from marlstone.sources.single_file import save_lines
+
+    lines = segments.orderBy(F.desc("ratio"), "chrom", "start").select(F.concat_ws("\t", *_segment_columns(segments, tool)).alias("line"))
+    save_lines(lines, f"{prefix}.seg", "\t".join(SEGMENT_COLUMNS))
+
+
 def save_segments(segments: DataFrame, path: str, tool: str = "marlstone") -> None:
-    """Write segments (chrom, start, end, n, ratio[, threshold, mean]) as one tab-separated file with header, largest ratio first."""
-    optional = lambda c: number_text(F.col(c)) if c in segments.columns else F.lit("NA")
-    values = [F.lit(tool), F.col("chrom"), F.col("start"), F.col("end"), F.col("n"), number_text(F.col("ratio")), optional("threshold"), optional("mean")]
-    named = [v.cast("string").alias(c) for v, c in zip(values, SEGMENT_COLUMNS, strict=True)]
+    """Write segments as :func:`save_segment_file` does, in a folder of one part file by Spark's own writer."""
+    named = _segment_columns(segments, tool)
     segments.orderBy(F.desc("ratio")).select(*named).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 

@@ -1,10 +1,10 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built from good and from bad labelled text. A
-text is compressed with each; the difference of the two sizes, divided by the
-larger, says which it resembles more. A logistic calibration over that
-difference and the compression ratio, fitted on labelled rows that built no
-dictionary, turns it into a score.
+text is compressed with each; the difference of the two sizes says which it
+resembles more. It is a sum over the text, whose chance part grows as the root
+of its length, so it is divided by that root. A logistic calibration of this one
+number, fitted on labelled rows that built no dictionary, is the score.
 
 Defined results: null and empty texts get the calibrated score of a text of no
 bytes; without labelled rows of both classes every score is the labels' mean
@@ -50,32 +50,27 @@ class _Compressors:
         make = lambda raw: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=kind(raw)) if raw else None, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.bad, self.good = make(bad).compress, make(good).compress
 
-    def features(self, text: bytes) -> tuple[float, float]:
-        bad, good = len(self.bad(text)), len(self.good(text))
-        return (bad - good) / max(bad, good), float(np.log((good + 8) / (len(text) + 8)))
+    def difference(self, text: bytes) -> float:
+        """The normalised difference of the compressed sizes, above 0 where the good dictionary serves better."""
+        return (len(self.bad(text)) - len(self.good(text))) / float(np.sqrt(len(text) + 8))
 
 
 @dataclass
 class CompressionModel:
     bad: bytes
     good: bytes
-    centre: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    #: Of the logistic function over the difference.
+    intercept: float
+    slope: float
     constant: float | None = None
 
     def compressors(self) -> _Compressors:
         return _Compressors(self.bad, self.good)
 
-    def score(self, features: np.ndarray) -> np.ndarray:
+    def score(self, difference: np.ndarray) -> np.ndarray:
         if self.constant is not None:
-            return np.full(len(features), self.constant)
-        return 1 / (1 + np.exp(-np.clip(_terms(features, self.centre, self.scale) @ self.weights, -30, 30)))
-
-
-def _terms(features: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    x, r = ((features - centre) / scale).clip(-8, 8).T
-    return np.stack([np.ones_like(x), x, r, x * r, x * x, r * r], axis=1)
+            return np.full(len(difference), self.constant)
+        return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * difference, -30, 30)))
 
 
 def _logistic(terms: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -102,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_c
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     total = sum(sizes.values())
-    rest = dict(centre=np.zeros(2), scale=np.ones(2), weights=np.zeros(6))
+    rest = dict(intercept=0.0, slope=0.0)
     if len(sizes) < 2:
         return CompressionModel(b"", b"", **rest, constant=float(next(iter(sizes), 0.5)))
     drawn = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(11)), F.lit(1 << 30))
@@ -121,14 +116,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_c
     bad, good = (_dictionary(by[k][::2]) for k in (0, 1))
     both = _Compressors(bad, good)
     fit = [(raw, k) for k in (0, 1) for raw in (by[k][1::2] or by[k])]
-    features = np.array([both.features(raw) for raw, _ in fit])
+    difference = np.array([both.difference(raw) for raw, _ in fit])
     y = np.array([k for _, k in fit], float)
-    centre, scale = features.mean(0), features.std(0) + 1e-6
-    weights = _logistic(_terms(features, centre, scale), y)
+    centre, scale = difference.mean(), difference.std() + 1e-6
+    level, slope = _logistic(np.stack([np.ones_like(difference), (difference - centre) / scale], axis=1), y)
     # the sample has the classes in other proportions than the labels: the odds are set back
     drawn_odds, true_odds = y.mean() / (1 - y.mean()), sizes[1] / sizes[0]
-    weights[0] += np.log(true_odds / drawn_odds)
-    return CompressionModel(bad, good, centre, scale, weights)
+    level += np.log(true_odds / drawn_odds)
+    return CompressionModel(bad, good, float(level - slope * centre / scale), float(slope / scale))
 
 
 def score(docs: DataFrame, model: CompressionModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -139,9 +134,8 @@ def score(docs: DataFrame, model: CompressionModel, text_col: str = "text", id_c
         model = shared.value
         both = model.compressors()
         for batch in batches:
-            found = [both.features(data[a:b].tobytes()) for _, _, data, at in text_slices(batch.column(1)) for a, b in zip(at[:-1], at[1:], strict=True)]
-            features = np.array(found).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features[:, 0]), pa.array(model.score(features))], names=["doc_id", "difference", "score"])
+            found = np.array([both.difference(data[a:b].tobytes()) for _, _, data, at in text_slices(batch.column(1)) for a, b in zip(at[:-1], at[1:], strict=True)], float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array(model.score(found))], names=["doc_id", "difference", "score"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, difference double, score double")

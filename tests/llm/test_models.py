@@ -228,13 +228,75 @@ def test_compression_scores_against_brute_force(spark):
     for k, t in enumerate(texts):
         raw = (t or "").encode()
         bad, good = size(raw, model.bad), size(raw, model.good)
-        features = [(bad - good) / max(bad, good), math.log((good + 8) / (len(raw) + 8))]
-        x, r = (max(-8, min(8, (f - c) / s)) for f, c, s in zip(features, model.centre, model.scale, strict=True))
-        z = sum(w * v for w, v in zip(model.weights, [1, x, r, x * r, x * x, r * r], strict=True))
-        assert got[k]["difference"] == pytest.approx(features[0], abs=1e-12)
+        difference = (bad - good) / math.sqrt(len(raw) + 8)
+        z = model.intercept + model.slope * difference
+        assert got[k]["difference"] == pytest.approx(difference, abs=1e-12)
         assert got[k]["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
 
 
+def slow_candidates(text):
+    """All matches of all rules, and greedily by rule and place those that touch none taken before."""
+    names = r"token|secret|password|passwd|api[_-]?key|access[_-]?key|auth|credential"
+    rules = [(k, re.compile(v.decode()), 0) for k, v in secret_scan.FORMATS.items()]
+    found = []
+    at = 0
+    while at <= len(text):  # the formats are one alternation: at each place the first that fits
+        hit = next(((m, k) for k, p, _ in rules if (m := p.match(text, at))), None)
+        if hit:
+            found.append((*hit[0].span(), hit[1]))
+        at = hit[0].end() if hit else at + 1
+    found += [(*m.span(1), "assigned") for m in re.finditer(rf"(?:{names})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([A-Za-z0-9+/_.=-]{{8,}})", text, re.I | re.A)]
+    found += [(*m.span(), "run") for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text) if re.search("[0-9]", m[0])]
+    order, taken = [*secret_scan.FORMATS, "assigned", "run"], []
+    for x in sorted(found, key=lambda c: (order.index(c[2]), c[0])):
+        if all(x[1] <= y[0] or y[1] <= x[0] for y in taken):
+            taken.append(x)
+    return sorted(taken)
+
+
+def slow_features(value, before, path, rule, lexicon):
+    kind = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "-" for c in value]
+    n, at, known = len(value), 0, 0
+    while at < n:
+        word = next((value[at : at + k].lower() for k in range(12, 2, -1) if at + k <= n and value[at : at + k].lower().encode() in lexicon), None)
+        known, at = (known + len(word), at + len(word)) if word else (known, at + 1)
+    near = lambda pattern: next((1 / (1 + len(before) - m.end()) for m in reversed(list(re.finditer(pattern, before, re.I | re.A)))), 0.0)
+    share = [value.count(c) / n for c in set(value)]
+    names = r"token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth|credential"
+    return [
+        min(n, 512), sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / (n - 1) if n > 1 else 0.0, -sum(x * math.log2(x) for x in share), kind.count("0") / n, kind.count("A") / n,
+        float(not value.lower().strip("0123456789abcdef")), known / n, len(set(value)) / n, near(rf"(?<![a-z])(?:{names}|key|private|bearer)(?![a-z])"),
+        near(r"\b(?:sha\d*|md5|hash|checksum|digest|commit|revision|uuid|guid|id|etag|example|sample|dummy|placeholder|version|isbn|image|data)\b"),
+        float(before[-1:] in ("'", '"', "`")), float(rule == "assigned"), float(rule in secret_scan.FORMATS),
+        float(bool(re.search(r"test|example|sample|mock|fixture|doc|vendor|\.lock|\.sum|\.svg|\.min\.", path or "", re.I))), float(bool(re.search(r"\.env|config|settings|\.ya?ml|\.toml|\.ini|\.properties|\.pem|deploy", path or "", re.I))),
+    ]
+
+
+def test_secret_candidates_and_features_against_brute_force(spark, forest):
+    from pyspark.ml.linalg import Vectors
+
+    lex, model = forest
+    rnd = random.Random(21)
+    parts = ["token", " = ", '"', "AKIA", "ABCDEFGH12345678", "ghp_", "a1B2" * 10, "xoxb-", "password:", "deadbeef" * 4, "report", "-", "/", " ", "\n", "é", "日本", "sk_live_", "eyJabcdefghij1.", "0123456789", "commit ", "id ", "api_key=", "'", "alpha", "=" * 9, "AUTH: ", "-----BEGIN RSA PRIVATE KEY-----"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(40))) for _ in range(250)]
+    paths = [rnd.choice(["src/a.py", "test/x.json", "config/app.yaml", None]) for _ in texts]
+    docs = spark.createDataFrame([(k, t, p, 1) for k, (t, p) in enumerate(zip(texts, paths, strict=True))], "doc_id long, text string, path string, score int").repartition(3)
+    got = defaultdict(list)
+    for r in secret_scan.scan_secrets(docs, model, lex, path_col="path").collect():
+        got[r["doc_id"]].append((r["start"], r["end"], r["rule"], r["score"]))
+    total = 0
+    for k, t in enumerate(texts):
+        want = slow_candidates(t)
+        assert [x[:3] for x in sorted(got[k])] == want, t
+        for (a, b, rule), (*_, score) in zip(want, sorted(got[k]), strict=True):
+            before = t[:a].encode()[-60:]
+            mine = slow_features(t[a:b], before.decode("latin-1"), paths[k], rule, lex)  # the context is bytes
+            assert mine == pytest.approx(secret_scan.features(t[a:b].encode(), before, paths[k], rule, lex), abs=1e-12)
+            assert score == pytest.approx(model.predictProbability(Vectors.dense(mine))[1], abs=2e-6)
+            total += 1
+    assert total > 200
+
+
 def test_labels_alternate_and_are_reproducible():
     lex = frozenset([b"alpha", b"beta"])
     a, b = secret_scan.labelled_findings(lex, 200), secret_scan.labelled_findings(lex, 200)

@@ -452,6 +452,22 @@ def newton_value(ts: Column, coefficients: Column, x: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, p: s * (x - p["t"]) + p["c"])
 
 
+def newton_local(knots: DataFrame, queries: DataFrame, n: int, bucket: float | None = None) -> DataFrame:
+    """``value`` of the polynomial through the ``n`` knots around each query (at the ends the outermost ones), by Newton's form.
+
+    A group of fewer knots has the polynomial through all of them.
+    """
+    order = Window.partitionBy("grp").orderBy("t")
+    some = order.rowsBetween(0, n - 1)
+    first = knots.select("grp", (F.row_number().over(order) - 1).alias("_s"), F.count("*").over(Window.partitionBy("grp")).alias("_n"), F.collect_list(F.col("t").cast("double")).over(some).alias("_ts"), F.collect_list(F.col("y").cast("double")).over(some).alias("_ys"))
+    stencils = first.where(F.col("_s") <= F.greatest(F.col("_n") - n, F.lit(0))).select(F.col("grp").alias("_g"), "_s", "_n", "_ts", divided_differences(F.col("_ts"), F.col("_ys")).alias("_c"))
+    sizes = knots.groupBy(F.col("grp").alias("_h")).agg(F.count("*").alias("_m"))
+    found = bracket(knots, queries, bucket=bucket).join(sizes, F.col("grp").eqNullSafe(F.col("_h")))
+    place = F.greatest(F.least(F.col("lo.i") - (n // 2 - 1), F.col("_m") - n), F.lit(0)).cast("int")
+    joined = found.withColumn("_at", place).join(stencils, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("_at") == F.col("_s")))
+    return joined.select(*queries.columns, newton_value(F.col("_ts"), F.col("_c"), F.col("t")).alias("value"))
+
+
 def least_squares(points: DataFrame, degree: int) -> DataFrame:
     """``(grp, b, c, d, rms)``: least squares of a degree by orthogonal polynomials.
 

@@ -293,14 +293,14 @@ def i33_bernstein(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", *(F.round(F.get(b, F.lit(k)), 8).alias(f"b{k}") for k in range(4)))
 
 
-@query(f"""WITH {MONTHLY}, p AS (SELECT grp, list(t ORDER BY t) AS ts, list(y ORDER BY t) AS ys FROM k WHERE i <= 4 GROUP BY grp)
-SELECT grp, round(ys[1] * (2.5 - ts[2]) * (2.5 - ts[3]) * (2.5 - ts[4]) / ((ts[1] - ts[2]) * (ts[1] - ts[3]) * (ts[1] - ts[4])) + ys[2] * (2.5 - ts[1]) * (2.5 - ts[3]) * (2.5 - ts[4]) / ((ts[2] - ts[1]) * (ts[2] - ts[3]) * (ts[2] - ts[4]))
-+ ys[3] * (2.5 - ts[1]) * (2.5 - ts[2]) * (2.5 - ts[4]) / ((ts[3] - ts[1]) * (ts[3] - ts[2]) * (ts[3] - ts[4])) + ys[4] * (2.5 - ts[1]) * (2.5 - ts[2]) * (2.5 - ts[3]) / ((ts[4] - ts[1]) * (ts[4] - ts[2]) * (ts[4] - ts[3])), 6) AS value FROM p""")
+@query(f"""WITH {MONTHLY}, {BRACKET}, s AS (SELECT grp, i, [t, lead(t) OVER w, lead(t, 2) OVER w, lead(t, 3) OVER w] AS ts, [y, lead(y) OVER w, lead(y, 2) OVER w, lead(y, 3) OVER w] AS ys FROM k WINDOW w AS (PARTITION BY grp ORDER BY t))
+SELECT b.grp, b.t, round(ys[1] * (b.t - ts[2]) * (b.t - ts[3]) * (b.t - ts[4]) / ((ts[1] - ts[2]) * (ts[1] - ts[3]) * (ts[1] - ts[4])) + ys[2] * (b.t - ts[1]) * (b.t - ts[3]) * (b.t - ts[4]) / ((ts[2] - ts[1]) * (ts[2] - ts[3]) * (ts[2] - ts[4]))
+ + ys[3] * (b.t - ts[1]) * (b.t - ts[2]) * (b.t - ts[4]) / ((ts[3] - ts[1]) * (ts[3] - ts[2]) * (ts[3] - ts[4])) + ys[4] * (b.t - ts[1]) * (b.t - ts[2]) * (b.t - ts[3]) / ((ts[4] - ts[1]) * (ts[4] - ts[2]) * (ts[4] - ts[3])), 4) AS value
+FROM b JOIN s ON s.grp = b.grp AND s.i = greatest(1, least(b.n - 3, b.i - 1))""")
 def i34_newton(spark, sf_dir):
-    knots, _ = monthly(spark, sf_dir)
-    arrays = interp.knot_arrays(knots).select("grp", F.slice("ts", 1, 4).alias("ts"), F.slice("ys", 1, 4).alias("ys"))
-    coefficients = arrays.withColumn("c", interp.divided_differences(F.col("ts"), F.col("ys")))
-    return coefficients.select("grp", F.round(interp.newton_value(F.col("ts"), F.col("c"), F.lit(2.5)), 6).alias("value"))
+    """The cubic through the four knots around each place, by Newton's form."""
+    knots, q = monthly(spark, sf_dir)
+    return interp.newton_local(knots, q, 4).select("grp", "t", F.round("value", 4).alias("value"))
 
 
 @query(f"WITH {MONTHLY} SELECT q.grp, q.t, round(f.a + f.b * q.t, 5) AS value FROM q JOIN (SELECT grp, regr_intercept(y, t) AS a, regr_slope(y, t) AS b FROM k GROUP BY grp) f ON f.grp = q.grp")

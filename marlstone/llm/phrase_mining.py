@@ -8,9 +8,9 @@ stand right behind it; its length is the phrase's exact frequency in the block.
 Spark sums these by chunks of the candidates: a block sends a chunk its
 candidates and counts as one packed row, and gets back which of them are
 frequent over all blocks, under numbers that are unique in the corpus. So only
-frequent phrases are extended, level by level: no part of a frequent phrase is
-less frequent. From the second level on the words behind a phrase are taken
-from the frequent pairs alone.
+frequent phrases are extended, level by level, and from the second level on only
+by the last words of frequent phrases that start one place on: no part of a
+frequent phrase is less frequent.
 
 Nothing is broadcast that grows with the corpus. Words are told apart by their
 label and bytes; where two of one block have one 64-bit hash, that is an error.
@@ -166,9 +166,9 @@ class Lists:
         return Lists(k, _unpacked(keys, m), np.repeat(np.arange(m), _unpacked(sizes, m)), _unpacked(positions, n))
 
 
-#: What a level hands on: of a block (chunk null) the lists to be extended and the words behind them, and for each chunk of keys the candidates' counts.
-LEVEL = "block long, chunk int, m int, keys binary, n long, sizes binary, positions binary, tail_m int, tail_keys binary, tail_n long, tail_sizes binary, tail_positions binary"
-_LEVEL = pa.schema([("block", pa.int64()), ("chunk", pa.int32())] + [(f"{t}{name}", kind) for t in ("", "tail_") for name, kind in (("m", pa.int32()), ("keys", pa.binary()), ("n", pa.int64()), ("sizes", pa.binary()), ("positions", pa.binary()))])
+#: What a level hands on: of a block (chunk null) the candidates' lists, and for each chunk of keys their counts.
+LEVEL = "block long, chunk int, m int, keys binary, n long, sizes binary, positions binary"
+_LEVEL = pa.schema([("block", pa.int64()), ("chunk", pa.int32()), ("m", pa.int32()), ("keys", pa.binary()), ("n", pa.int64()), ("sizes", pa.binary()), ("positions", pa.binary())])
 ANSWER = "block long, m int, keys binary, numbers binary, key array<long>, number array<long>, a array<long>"
 _ANSWER = pa.schema([("block", pa.int64()), ("m", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary()), *((name, pa.list_(pa.int64())) for name in ("key", "number", "a"))])
 
@@ -196,7 +196,7 @@ def _counts(block: int, found: Lists, chunks: int) -> Iterator[list]:
     chunk = (mix(found.keys.astype(np.uint64)) % np.uint64(chunks)).astype(np.int64)
     order, sizes = np.argsort(chunk, kind="stable"), found.sizes()
     for here in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1) if len(order) else []:
-        yield [block, int(chunk[here[0]]), len(here), _packed(found.keys[here]), None, _packed(sizes[here]), *[None] * 6]
+        yield [block, int(chunk[here[0]]), len(here), _packed(found.keys[here]), None, _packed(sizes[here]), None]
 
 
 def _pairs(row: dict) -> Lists:
@@ -264,23 +264,18 @@ def _step(k: int, longest: int, chunks: int) -> Callable[[Iterator[pa.RecordBatc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            tail = None
             if k == 1:
                 found = _pairs(row)
-            elif k == 2:
-                pairs, last = _frequent(_pairs(row), row["told"])
-                pairs = pairs.by_position()
-                keys, word = np.unique(last, return_inverse=True)
-                tail = Lists(1, keys, word[pairs.phrase], pairs.start + 1)
-                found = pairs.extended(tail)
             else:
-                names = ("m", "keys", "n", "sizes", "positions")
-                tail = Lists.unpacked(1, *(row[f"tail_{x}"] for x in names)).by_position()
-                found, _ = _frequent(Lists.unpacked(k, *(row[x] for x in names)), row["told"])
-                found = found.extended(tail)
+                lists = _pairs(row) if k == 2 else Lists.unpacked(k, *(row[x] for x in ("m", "keys", "n", "sizes", "positions")))
+                phrases, last = _frequent(lists, row["told"])
+                phrases = phrases.by_position()
+                keys, word = np.unique(last, return_inverse=True)
+                # the word behind a phrase ends the phrase that starts one place on, which is frequent too or the longer one is not
+                found = phrases.extended(Lists(1, keys, word[phrases.phrase], phrases.start + k - 1))
             rows = list(_counts(row["block"], found, chunks))
-            if tail is not None and k + 1 < longest:
-                rows.append([row["block"], None, *found.packed(), *tail.packed()])
+            if 1 < k < longest - 1:
+                rows.append([row["block"], None, *found.packed()])
             yield _batch(rows, _LEVEL)
 
     return run

@@ -1,6 +1,6 @@
 """Collocations mined by vertical positional inverted lists.
 
-Documents are put into blocks of about a million words. A block numbers its
+Documents are put into blocks of about half a million words. A block numbers its
 words, leaving a hole at every border of a piece or document, and holds for
 each word the sorted list of its positions. The list of a longer phrase comes
 from merge-joining the phrase's positions with the postings of the words that
@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import maybe_broadcast, settings, written
 from marlstone.llm.tokens import byte_class, mix, scan_column
 
-#: Words of a block; its arrays take some 100 bytes a word while it is worked on.
-BLOCK_WORDS = 1 << 20
+#: Words of a block; its arrays take some 200 bytes a word while it is made.
+BLOCK_WORDS = 1 << 19
+#: Words whose bytes are compared at once.
+COMPARED = 1 << 16
 #: Candidates' counts are summed in chunks of their keys, one for so many words of the corpus.
 CHUNK_WORDS = 1 << 20
 #: Numbers of frequent words and phrases are below this.
@@ -70,7 +72,10 @@ def _lists(columns: dict[str, np.ndarray | pa.Array]) -> dict[str, pa.Array]:
 def _bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs ``data[start : start + size]`` one after another."""
     ends = np.cumsum(size)
-    return data[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+    small = np.int32 if len(data) < 1 << 31 else np.int64
+    at = np.repeat((start - (ends - size)).astype(small), size)
+    at += np.arange(len(at), dtype=small)
+    return data[at]
 
 
 def postings(docs: DataFrame, label: str = "lang", text: str = "text") -> DataFrame:
@@ -90,7 +95,11 @@ def postings(docs: DataFrame, label: str = "lang", text: str = "text") -> DataFr
         n = np.diff(np.append(first, len(order)))
         one = order[first]
         again = np.repeat(one, n)
-        if (which[order] != which[again]).any() or (size[order] != size[again]).any() or (_bytes(data, start[order], size[order]) != _bytes(data, start[again], size[again])).any():
+        alike = (which[order] == which[again]).all() and (size[order] == size[again]).all()
+        for a in range(0, len(order) if alike else 0, COMPARED):
+            x, y = order[a : a + COMPARED], again[a : a + COMPARED]
+            alike = alike and (_bytes(data, start[x], size[x]) == _bytes(data, start[y], size[y])).all()
+        if not alike:
             raise ValueError("two words of one hash")
         spelled = np.insert(_bytes(data, start[one], size[one]), np.cumsum(size[one])[:-1], 0x0A).tobytes()  # no word has a line feed
         packed = {"w": key[one].tobytes(), "words": pa.compress(spelled, codec="zstd", asbytes=True), "label": _packed(which[one]), "sizes": _packed(n), "positions": _packed(position[order])}
@@ -115,8 +124,9 @@ def postings(docs: DataFrame, label: str = "lang", text: str = "text") -> DataFr
                 parts.append((words, mix(words.hashes ^ salt[label]), hole, label))
                 held += len(doc)
                 if held >= BLOCK_WORDS:
-                    yield block_of(number, parts, list(known))
-                    number, parts, held = number + 1, [], 0
+                    full, parts, held = parts, [], 0
+                    yield block_of(number, full, list(known))
+                    number += 1
         if parts:
             yield block_of(number, parts, list(known))
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import maybe_broadcast, settings, written
-from marlstone.llm.tokens import byte_class, mix, scan_column
+from marlstone.llm.tokens import byte_class, mix, scan_column, word_hashes
 
 #: Words of a block; its arrays take some 200 bytes a word while it is made.
 BLOCK_WORDS = 1 << 19
@@ -78,8 +78,13 @@ def _bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[at]
 
 
+def _spelled(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    """Words joined by line feeds, which no word has."""
+    return np.insert(_bytes(data, start, size), np.cumsum(size)[:-1], 0x0A).tobytes()
+
+
 def postings(docs: DataFrame, label: str = "lang", text: str = "text") -> DataFrame:
-    """One row a block: of its ``m`` words the hashes ``w``, the spelling, the place of their label and the occurrences (``sizes``), the ``n`` positions by word, and the words by label."""
+    """One row a block: of its ``m`` words the spelling, the place of their label and the occurrences (``sizes``), the ``n`` positions by word, and the words by label."""
 
     def block_of(number: int, parts: list, labels: list[str]) -> pa.RecordBatch:
         bases = np.cumsum([0, *(len(p[0].data) for p in parts)])
@@ -101,8 +106,8 @@ def postings(docs: DataFrame, label: str = "lang", text: str = "text") -> DataFr
             alike = alike and (_bytes(data, start[x], size[x]) == _bytes(data, start[y], size[y])).all()
         if not alike:
             raise ValueError("two words of one hash")
-        spelled = np.insert(_bytes(data, start[one], size[one]), np.cumsum(size[one])[:-1], 0x0A).tobytes()  # no word has a line feed
-        packed = {"w": key[one].tobytes(), "words": pa.compress(spelled, codec="zstd", asbytes=True), "label": _packed(which[one]), "sizes": _packed(n), "positions": _packed(position[order])}
+        spelled = _spelled(data, start[one], size[one])
+        packed = {"words": pa.compress(spelled, codec="zstd", asbytes=True), "label": _packed(which[one]), "sizes": _packed(n), "positions": _packed(position[order])}
         columns = {"block": pa.array([number], pa.int64()), "m": pa.array([len(n)], pa.int32()), "n": pa.array([len(key)], pa.int64()), "bytes": pa.array([len(spelled)], pa.int64())}
         columns |= {k: pa.array([v], pa.binary()) for k, v in packed.items()}
         columns |= _lists({"labels": pa.array(labels, pa.string()), "label_words": np.bincount(which, minlength=len(labels)).astype(np.int64)})
@@ -131,7 +136,7 @@ def postings(docs: DataFrame, label: str = "lang", text: str = "text") -> DataFr
             yield block_of(number, parts, list(known))
 
     slim = docs.select(F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{text}`").alias("text"))
-    return slim.mapInArrow(run, "block long, m int, n long, bytes long, w binary, words binary, label binary, sizes binary, positions binary, labels array<string>, label_words array<long>")
+    return slim.mapInArrow(run, "block long, m int, n long, bytes long, words binary, label binary, sizes binary, positions binary, labels array<string>, label_words array<long>")
 
 
 @dataclass
@@ -223,12 +228,14 @@ def _count_words(chunks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            words = np.array(pa.decompress(row["words"], row["bytes"], codec="zstd", asbytes=True).split(b"\n"), object)
+            data = np.frombuffer(pa.decompress(row["words"], row["bytes"], codec="zstd", asbytes=True), np.uint8)
+            ends = np.append(np.flatnonzero(data == 0x0A), len(data))
+            starts = np.append(0, ends[:-1] + 1)
             sizes, label = _unpacked(row["sizes"], row["m"]), _unpacked(row["label"], row["m"])
-            chunk = (np.frombuffer(row["w"], np.uint64) % np.uint64(chunks)).astype(np.int64)
+            chunk = (word_hashes(data, starts, ends) % np.uint64(chunks)).astype(np.int64)
             order, out = np.argsort(chunk, kind="stable"), []
             for here in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1):
-                spelled = b"\n".join(words[here])
+                spelled = _spelled(data, starts[here], (ends - starts)[here])
                 out.append([row["block"], int(chunk[here[0]]), len(here), _packed(here), _packed(sizes[here]), len(spelled), pa.compress(spelled, codec="zstd", asbytes=True), _packed(label[here]), row["labels"]])
             yield _batch(out, _WORD)
 

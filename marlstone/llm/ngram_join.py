@@ -18,6 +18,9 @@ one whose smaller document leads.
 
 m depends on the size band (floor of log2 |x|) that two documents share, and
 a document near the upper end of its band is indexed for the next band too.
+A document whose first 1 + |y| - ceil(2t/(1+t) |y|) tokens are all rare leads
+by rare tokens alone: documents of one template that differ in more words than
+a link allows meet nowhere, however many they are.
 Any order and any choice of "frequent" gives the same links; they only decide
 how many candidates there are. Candidates whose parity sketches differ in more
 bits than their sets may differ are refused (the sketch of a symmetric
@@ -30,7 +33,9 @@ one of them (a star), the one whose tokens are the most frequent: in a group
 of near copies that is the text they were copied from, or the one closest to
 it. After the components of the verified links only pairs from different
 components under one key remain, and of those only the ones that the sketches
-let pass leave the join. No group of copies is expanded into all of its pairs.
+let pass leave the join. A key of many such documents is cut into cells by
+size class and by a hash of the larger document, so no task has all of it. No
+group of copies is expanded into all of its pairs.
 """
 
 from __future__ import annotations
@@ -53,6 +58,8 @@ MAX_FREQUENT = 1 << 20
 MIN_FREQUENT = 4
 #: Pairs of texts whose shingles a Python worker holds at once.
 PAIRS_AT_ONCE = 500
+#: A key of more documents than this is cut into cells; results do not depend on it.
+CELL_ROWS = 500
 
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -154,7 +161,7 @@ def prefix_keys(tokens: np.ndarray, t: Fraction, level: np.ndarray) -> tuple[np.
     for band in bands:
         m = min(_ceil(1 - t, 1 << band), _ceil(t, 1 << band) - 1)
         some = ordered[: max(0, prefix + max(m, 0) - len(rare))]
-        first = np.arange(len(some)) < lead + max(m, 0) - len(rare)
+        first = np.arange(len(some)) < (lead + max(m, 0) - len(rare) if len(rare) < lead else 0)
         if m < 1:
             leading.append(some[first])
             others.append(some[~first])
@@ -247,10 +254,15 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
+    def sets_by_pair(ids: pa.Array, texts: pa.Array) -> Iterator[np.ndarray]:
+        _, first, place = np.unique(ids.to_numpy(), return_index=True, return_inverse=True)
+        sets = list(_sets_of(texts.take(pa.array(first)), n))
+        return (sets[k] for k in place)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, PAIRS_AT_ONCE) for b in batches for k in range(0, b.num_rows, PAIRS_AT_ONCE)):
             common, total = [], []
-            for x, y in zip(_sets_of(batch.column(2), n), _sets_of(batch.column(3), n), strict=True):
+            for x, y in zip(sets_by_pair(batch.column(0), batch.column(2)), sets_by_pair(batch.column(1), batch.column(3)), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 common.append(both)
                 total.append(len(x) + len(y) - both)
@@ -262,6 +274,27 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     return written(joined.mapInArrow(run, "a long, b long, common long, total long"), "links")
 
 
+def _cells(t: Fraction, lead: bool) -> Column:
+    """The cells of its key, which has ``n`` documents, that a row of ``size`` shingles goes to as the smaller (``lead``) or the larger one of a pair.
+
+    Size classes are a factor of 1 / t wide, so a partner lies in the smaller
+    document's class or the next. A larger document goes to one part of its
+    class, the smaller one to all of them. A key that is not hot is one cell.
+    """
+    size_class = lambda size: F.floor(F.log(size.cast("double")) / F.lit(float(np.log(t.denominator / t.numerator))))
+    if t == 1:
+        size_class = lambda size: size.cast("long")
+    parts = F.ceil(F.col("n") / CELL_ROWS)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("class"), F.lit(0).cast("long").alias("part")))
+    if lead:
+        most = F.floor(F.col("size").cast("long") * t.denominator / t.numerator + 1e-6)
+        classes = F.sequence(size_class(F.col("size")), size_class(most))
+        cut = F.flatten(F.transform(classes, lambda c: F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(c.alias("class"), p.alias("part")))))
+    else:
+        cut = F.array(F.struct(size_class(F.col("size")).alias("class"), F.pmod(F.xxhash64("rep"), parts).alias("part")))
+    return F.when(parts > 1, cut).otherwise(whole)
+
+
 def _join_keyed(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(index, copies, links)`` of documents whose ids differ; null ids are in the index only.
 
@@ -282,7 +315,7 @@ def _join_keyed(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFr
     shared = written(entries.join(repeated, "key"), "shared")
     middle = shared.groupBy("key").agg(F.max(F.struct("centre", (-F.col("rep")).alias("neg"), "size", "lead")).alias("p"))
     stars = middle.select("key", (-F.col("p.neg")).alias("p_rep"), F.col("p.size").alias("p_size"), F.col("p.lead").alias("p_lead"))
-    fits = lambda small, large: small * t.denominator >= large * t.numerator
+    fits = lambda small, large: small.cast("long") * t.denominator >= large.cast("long") * t.numerator
     smaller = F.struct("size", "rep") < F.struct(F.col("p_size").alias("size"), F.col("p_rep").alias("rep"))
     meets = F.when(smaller, F.col("lead") & fits(F.col("size"), F.col("p_size"))).otherwise(F.col("p_lead") & fits(F.col("p_size"), F.col("size")))
     near = shared.join(stars, "key").where((F.col("rep") != F.col("p_rep")) & meets).select(F.greatest("rep", "p_rep").alias("a"), F.least("rep", "p_rep").alias("b")).distinct()
@@ -292,14 +325,15 @@ def _join_keyed(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFr
 
     label = F.coalesce(F.col("component"), F.col("rep"))
     labelled = shared.join(maybe_broadcast(found), shared["rep"] == found["node"], "left").select("key", "rep", "size", "lead", label.alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rest = written(labelled.join(mixed, "key", "left_semi"), "mixed")
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.min(F.when(F.col("lead"), F.col("size"))).alias("least")).where("low < high and least is not null").select("key", "n", "least")
+    rest = written(labelled.join(mixed, "key").where("size >= least").drop("least"), "mixed")
     drawn = written(sketches.join(maybe_broadcast(rest.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sketch"), "drawn")
     longs = drawn.agg(F.coalesce(F.sum(F.size("sketch") + 1), F.lit(0))).first()[0]
     rest = rest.join(maybe_broadcast(drawn, longs), "rep")
-    x, y = rest.alias("x"), rest.where("lead").alias("y")
+    x = rest.withColumn("cell", F.explode(_cells(t, lead=False))).alias("x")
+    y = rest.where("lead").withColumn("cell", F.explode(_cells(t, lead=True))).alias("y")
     larger = F.struct("x.size", "x.rep") > F.struct("y.size", "y.rep")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & larger & (F.col("x.c") != F.col("y.c")) & fits(F.col("y.size"), F.col("x.size")) & may_link(F.col("x.sketch"), F.col("y.sketch"), F.col("x.size"), F.col("y.size"), t))
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cell.class") == F.col("y.cell.class")) & (F.col("x.cell.part") == F.col("y.cell.part")) & larger & (F.col("x.c") != F.col("y.c")) & fits(F.col("y.size"), F.col("x.size")) & may_link(F.col("x.sketch"), F.col("y.sketch"), F.col("x.size"), F.col("y.size"), t))
     across = across.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
     across = written(across.join(near, ["a", "b"], "left_anti"), "across")
     more = verify(across, docs, n, t)

@@ -195,6 +195,7 @@ def near_texts(seed, n_groups=14):
 @pytest.mark.parametrize("n, t, seed", [(4, Fraction(85, 100), 1), (3, Fraction(1, 2), 3)])
 def test_ngram_join(spark, monkeypatch, n, t, seed):
     monkeypatch.setattr(ngram_join, "MIN_FREQUENT", 2)
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 3)
     texts = near_texts(seed)
     ids = [3 * k + 7 for k in range(len(texts))]
     docs = spark.createDataFrame([(i, x, 1, 2) for i, x in zip(ids, texts, strict=True)], "doc_id long, text string, key int, rep int").repartition(3)
@@ -230,6 +231,36 @@ def test_prefix_keys_meet_for_every_similar_pair():
         assert len(np.intersect1d(leading, other))
 
 
+def template_texts(counts, seed=5):
+    """Texts of one 100-word template and some words of their own at the end."""
+    rnd = random.Random(seed)
+    template = " ".join(f"t{k}" for k in range(100))
+    return [template + "".join(f" o{rnd.getrandbits(40)}" for _ in range(k)) for k in counts]
+
+
+def test_template_documents_lead_by_rare_tokens_alone():
+    t = Fraction(4, 5)
+    sets = [next(ngram_join._sets_of(pa.array([x]), 5)) for x in template_texts([13] * 6)]
+    often = np.unique(np.concatenate([np.intersect1d(sets[0], s) for s in sets[1:]]))
+    levels = np.full(len(often), 2, np.uint8)
+    keyed = [ngram_join.prefix_keys(s, t, ngram_join.token_levels(s, often, levels)) for s in sets]
+    for a, (_, _) in enumerate(keyed):
+        for keys, n_lead in keyed[:a]:
+            assert not len(np.intersect1d(keys[:n_lead], keyed[a][0]))
+
+
+def test_template_documents_of_all_lengths_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 7)
+    texts = template_texts([k % 40 for k in range(160)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    members, links = ngram_join.ngram_jaccard_join(docs, 5, Fraction(4, 5))
+    sets = brute_sets(texts, 5)
+    expected = brute_components(list(range(len(texts))), sets, Fraction(4, 5))
+    assert {r["doc_id"]: r["component_id"] for r in members.collect()} == expected
+    for r in links.collect():
+        assert (r["common"], r["total"]) == (len(sets[r["a"]] & sets[r["b"]]), len(sets[r["a"]] | sets[r["b"]]))
+
+
 def test_join_of_repeated_and_null_ids(spark):
     text = "one two three four five six seven"
     rows = [(1, text), (1, text), (2, text), (None, text), (5, None), (5, "a b c d e f"), (9, "a b c d e f"), (5, text)]

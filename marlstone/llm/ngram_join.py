@@ -19,8 +19,13 @@ one whose smaller document leads.
 m depends on the size band (floor of log2 |x|) that two documents share, and
 a document near the upper end of its band is indexed for the next band too.
 A document whose first 1 + |y| - ceil(2t/(1+t) |y|) tokens are all rare leads
-by rare tokens alone: documents of one template that differ in more words than
-a link allows meet nowhere, however many they are.
+by rare tokens alone. Under a key of frequent tokens it also matters how many
+frequent tokens a document has at all: where these are fewer than the overlap
+that a link to a partner needs, the two share a rare token and meet there. So
+each entry has a reach, the greatest partner it needs, and entries that reach
+no leading document of their key are left out at once: documents of one
+template that differ in more words than a link allows meet nowhere, however
+many they are.
 Any order and any choice of "frequent" gives the same links; they only decide
 how many candidates there are. Candidates whose parity sketches differ in more
 bits than their sets may differ are refused (the sketch of a symmetric
@@ -61,6 +66,7 @@ PAIRS_AT_ONCE = 500
 #: A key of more documents than this is cut into cells; results do not depend on it.
 CELL_ROWS = 500
 
+_ONE = np.uint64(1)
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -141,21 +147,31 @@ def token_levels(tokens: np.ndarray, frequent: np.ndarray, levels: np.ndarray) -
     return np.where(frequent[place] == tokens, levels[place], 0)
 
 
+def reach(size: int, n_frequent: int, t: Fraction) -> tuple[int, int]:
+    """The greatest partner of a document under keys of rare tokens and under those of frequent ones (see the module's text)."""
+    most = min(size * t.denominator // t.numerator, (1 << 31) - 1)
+    return most, max(0, min(most, n_frequent * (t.numerator + t.denominator) // t.numerator - size))
+
+
 def prefix_keys(tokens: np.ndarray, t: Fraction, level: np.ndarray) -> tuple[np.ndarray, int]:
-    """The index keys of one document, leading ones first, and the number of those (see the module's text)."""
+    """The index keys of one document, leading ones first, and the number of those (see the module's text).
+
+    The lowest bit of a key says whether it is of frequent tokens.
+    """
     size = len(tokens)
     if not size:
         return tokens, 0
     prefix = size - _ceil(t, size) + 1
     lead = size - _ceil(2 * t / (1 + t), size) + 1
-    if size <= int(1 / t):  # such sets may share a single token only
-        return tokens, size
-    rare = tokens[level == 0][:prefix]
-    if len(rare) >= prefix:
-        return rare, lead
+    marked = (tokens & ~_ONE) | (level > 0).astype(np.uint64)
+    small = size <= int(1 / t)  # such sets may share a single token only
+    rare = marked[level == 0][:prefix]
+    if len(rare) >= prefix and not small:
+        first = np.unique(rare[:lead])
+        return np.concatenate([first, np.setdiff1d(rare[lead:], first)]), len(first)
     own = size.bit_length() - 1
     bands = [own] + [own + 1] * (size >= t * (1 << (own + 1)))
-    leading, others, often = [rare[:lead]], [rare[lead:]], level > 0
+    leading, others, often = [marked if small else rare[:lead]], [rare[lead:]], level > 0
     order = np.lexsort((tokens[often], level[often]))
     ordered = tokens[often][order]
     for band in bands:
@@ -163,8 +179,8 @@ def prefix_keys(tokens: np.ndarray, t: Fraction, level: np.ndarray) -> tuple[np.
         some = ordered[: max(0, prefix + max(m, 0) - len(rare))]
         first = np.arange(len(some)) < (lead + max(m, 0) - len(rare) if len(rare) < lead else 0)
         if m < 1:
-            leading.append(some[first])
-            others.append(some[~first])
+            leading.append(some[first] | _ONE)
+            others.append(some[~first] | _ONE)
             continue
         group = ((some * _K1) >> np.uint64(33)) % np.uint64(m)
         by = np.lexsort((some, group))
@@ -175,7 +191,7 @@ def prefix_keys(tokens: np.ndarray, t: Fraction, level: np.ndarray) -> tuple[np.
             if not same.any():
                 break
             a, b = some[:-gap][same], some[gap:][same]
-            keys = mix((mix(a * _K1) + b) * _K2 + np.uint64(band))
+            keys = mix((mix(a * _K1) + b) * _K2 + np.uint64(band)) | _ONE
             both = (first[:-gap] & first[gap:])[same]
             leading.append(keys[both])
             others.append(keys[~both])
@@ -192,7 +208,7 @@ def parity_sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def index_documents(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """``(doc_id, n_shingles, s1, s2, centre, sketch, n_lead, keys)``; s1 and s2 sign the set, centre is its tokens' mean level."""
+    """``(doc_id, n_shingles, s1, s2, centre, sketch, n_lead, often, keys)``; s1 and s2 sign the set, centre is its tokens' mean level, often its reach under frequent tokens."""
     sc = docs.sparkSession.sparkContext
     common = sc.broadcast(frequent_tokens(docs, n))
 
@@ -205,7 +221,7 @@ def index_documents(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
         frequent, levels = common.value
         for batch in batches:
             for first, stop, w in scan_column(batch.column(1), NOT_SPACE, lower=True):
-                size, s1, s2, centre, sketch, n_lead, keys = [], [], [], [], [], [], []
+                size, s1, s2, centre, sketch, n_lead, often, keys = [], [], [], [], [], [], [], []
                 for one in shingle_sets(w, n):
                     size.append(len(one))
                     s1.append(int(np.bitwise_xor.reduce(mix(one * _K1)).view(np.int64)) if len(one) else 0)
@@ -216,12 +232,13 @@ def index_documents(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
                     found, leading = prefix_keys(one, t, level)
                     keys.append(found)
                     n_lead.append(leading)
+                    often.append(reach(len(one), int((level > 0).sum()), t)[1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, stop - first), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(centre, pa.int32()), lists(sketch), pa.array(n_lead, pa.int32()), lists(keys)],
-                    names=["doc_id", "n_shingles", "s1", "s2", "centre", "sketch", "n_lead", "keys"],
+                    [batch.column(0).slice(first, stop - first), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(centre, pa.int32()), lists(sketch), pa.array(n_lead, pa.int32()), pa.array(often, pa.int32()), lists(keys)],
+                    names=["doc_id", "n_shingles", "s1", "s2", "centre", "sketch", "n_lead", "often", "keys"],
                 )
 
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, centre int, sketch array<long>, n_lead int, keys array<long>"
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, centre int, sketch array<long>, n_lead int, often int, keys array<long>"
     index = written(docs.select("doc_id", "text").mapInArrow(run, schema), "index")
     common.unpersist()
     return index
@@ -295,11 +312,11 @@ def _cells(t: Fraction, lead: bool) -> Column:
     return F.when(parts > 1, cut).otherwise(whole)
 
 
-def _join_keyed(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(index, copies, links)`` of documents whose ids differ; null ids are in the index only.
+def _join_keyed(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """``(index, copies, links, components)`` of documents whose ids differ; null ids are in the index only.
 
     ``copies`` have the smallest id with an equal set as ``rep``; ``links`` are
-    the verified pairs of those.
+    the verified pairs of those, ``components`` theirs where already known.
     """
     index = index_documents(docs, n, t)
     sets = index.where("n_shingles > 0 and doc_id is not null")
@@ -307,38 +324,38 @@ def _join_keyed(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFr
     copied = classes.where("last > rep")
     others = written(sets.select("doc_id", "s1", "s2", "n_shingles").join(maybe_broadcast(copied), ["s1", "s2", "n_shingles"]).where("doc_id > rep").select("doc_id", "rep"), "copies")
     first = sets.join(maybe_broadcast(others.select("doc_id").distinct()), "doc_id", "left_anti")
-    entries = first.select(F.posexplode("keys").alias("pos", "key"), F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("size"), "n_lead", "centre")
-    entries = entries.select("key", "rep", "size", (F.col("pos") < F.col("n_lead")).alias("lead"), "centre")
+    entries = first.select(F.posexplode("keys").alias("pos", "key"), F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("size"), "n_lead", "often", "centre")
+    most = F.least(F.floor(F.col("size").cast("long") * t.denominator / t.numerator + 1e-6), F.lit((1 << 31) - 1).cast("long")).cast("int")
+    entries = entries.select("key", "rep", "size", (F.col("pos") < F.col("n_lead")).alias("lead"), F.when(F.col("key").bitwiseAND(1) == 1, F.col("often")).otherwise(most).alias("reach"), "centre")
     sketches = first.select("doc_id", "n_shingles", "sketch")
 
-    repeated = entries.groupBy("key").agg(F.count("*").alias("n"), F.max("lead").alias("any_lead")).where("n > 1 and any_lead").select("key")
-    shared = written(entries.join(repeated, "key"), "shared")
-    middle = shared.groupBy("key").agg(F.max(F.struct("centre", (-F.col("rep")).alias("neg"), "size", "lead")).alias("p"))
-    stars = middle.select("key", (-F.col("p.neg")).alias("p_rep"), F.col("p.size").alias("p_size"), F.col("p.lead").alias("p_lead"))
-    fits = lambda small, large: small.cast("long") * t.denominator >= large.cast("long") * t.numerator
+    repeated = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("lead"), F.col("size"))).alias("least")).where("n > 1 and least is not null").select("key", "least")
+    shared = written(entries.join(repeated, "key").where("size >= least and reach >= least").drop("least"), "shared")
+    middle = shared.groupBy("key").agg(F.max(F.struct("centre", (-F.col("rep")).alias("neg"), "size", "lead", "reach")).alias("p"))
+    stars = middle.select("key", (-F.col("p.neg")).alias("p_rep"), F.col("p.size").alias("p_size"), F.col("p.lead").alias("p_lead"), F.col("p.reach").alias("p_reach"))
     smaller = F.struct("size", "rep") < F.struct(F.col("p_size").alias("size"), F.col("p_rep").alias("rep"))
-    meets = F.when(smaller, F.col("lead") & fits(F.col("size"), F.col("p_size"))).otherwise(F.col("p_lead") & fits(F.col("p_size"), F.col("size")))
+    meets = F.when(smaller, F.col("lead")).otherwise(F.col("p_lead")) & (F.col("p_size") <= F.col("reach")) & (F.col("size") <= F.col("p_reach"))
     near = shared.join(stars, "key").where((F.col("rep") != F.col("p_rep")) & meets).select(F.greatest("rep", "p_rep").alias("a"), F.least("rep", "p_rep").alias("b")).distinct()
     near = written(near, "near")
     links = verify(possible(near, sketches, t), docs, n, t)
     found = connected_components(links, "a", "b")
 
     label = F.coalesce(F.col("component"), F.col("rep"))
-    labelled = shared.join(maybe_broadcast(found), shared["rep"] == found["node"], "left").select("key", "rep", "size", "lead", label.alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.min(F.when(F.col("lead"), F.col("size"))).alias("least")).where("low < high and least is not null").select("key", "n", "least")
-    rest = written(labelled.join(mixed, "key").where("size >= least").drop("least"), "mixed")
+    labelled = shared.join(maybe_broadcast(found), shared["rep"] == found["node"], "left").select("key", "rep", "size", "lead", "reach", label.alias("c"))
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.max("lead").alias("any_lead")).where("low < high and any_lead").select("key", "n")
+    rest = written(labelled.join(mixed, "key"), "mixed")
     drawn = written(sketches.join(maybe_broadcast(rest.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sketch"), "drawn")
     longs = drawn.agg(F.coalesce(F.sum(F.size("sketch") + 1), F.lit(0))).first()[0]
     rest = rest.join(maybe_broadcast(drawn, longs), "rep")
     x = rest.withColumn("cell", F.explode(_cells(t, lead=False))).alias("x")
     y = rest.where("lead").withColumn("cell", F.explode(_cells(t, lead=True))).alias("y")
     larger = F.struct("x.size", "x.rep") > F.struct("y.size", "y.rep")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cell.class") == F.col("y.cell.class")) & (F.col("x.cell.part") == F.col("y.cell.part")) & larger & (F.col("x.c") != F.col("y.c")) & fits(F.col("y.size"), F.col("x.size")) & may_link(F.col("x.sketch"), F.col("y.sketch"), F.col("x.size"), F.col("y.size"), t))
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cell.class") == F.col("y.cell.class")) & (F.col("x.cell.part") == F.col("y.cell.part")) & larger & (F.col("x.c") != F.col("y.c")) & (F.col("x.size") <= F.col("y.reach")) & (F.col("y.size") <= F.col("x.reach")) & may_link(F.col("x.sketch"), F.col("y.sketch"), F.col("x.size"), F.col("y.size"), t))
     across = across.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
     across = written(across.join(near, ["a", "b"], "left_anti"), "across")
-    more = verify(across, docs, n, t)
-    links = links.unionByName(more)
-    return index, others, links
+    if across.isEmpty():
+        return index, others, links, found
+    return index, others, links.unionByName(verify(across, docs, n, t)), None
 
 
 def _all_differ(ids: DataFrame, allow_null: bool) -> bool:
@@ -374,13 +391,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float | Fraction
     t = Fraction(threshold).limit_denominator(10_000)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if _all_differ(docs, allow_null=True):
-        index, copies, links = _join_keyed(docs, n, t)
-        found = connected_components(links, "a", "b")
+        index, copies, links, found = _join_keyed(docs, n, t)
+        found = connected_components(links, "a", "b") if found is None else found
         rows = index.select("doc_id", "n_shingles").join(copies, "doc_id", "left").withColumn("representative", F.coalesce("rep", "doc_id")).drop("rep")
         members = rows.join(maybe_broadcast(found), rows["representative"] == found["node"], "left").select("doc_id", "n_shingles", "representative", F.coalesce("component", "representative").alias("component_id"))
         return members, links
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    index, copies, links = _join_keyed(numbered.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text"), n, t)
+    index, copies, links, _ = _join_keyed(numbered.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text"), n, t)
     rows = index.select(F.col("doc_id").alias("_row"), "n_shingles").join(numbered.where("doc_id is not null").select("_row", "doc_id"), "_row", "left")
     rows = rows.join(copies.withColumnRenamed("doc_id", "_row"), "_row", "left").join(_row_components(numbered, copies, links), "_row", "left")
     rows = written(rows.select("doc_id", "n_shingles", F.coalesce("rep", "_row").alias("rep"), F.coalesce("component", "_row").alias("component")), "rows")
@@ -409,7 +426,7 @@ def keep_one_per_component(docs: DataFrame, n: int = 5, threshold: float | Fract
     row = fresh(docs, "row")
     whole = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     numbered = slim(whole, F.col(row).alias("_row"))
-    _, copies, links = _join_keyed(numbered.select(F.col("_row").alias("doc_id"), "text"), n, Fraction(threshold).limit_denominator(10_000))
+    _, copies, links, _ = _join_keyed(numbered.select(F.col("_row").alias("doc_id"), "text"), n, Fraction(threshold).limit_denominator(10_000))
     found = _row_components(numbered, copies, links).join(numbered.select("_row", "doc_id"), "_row")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
     first = found.groupBy("component").agg(F.min(order).alias("first"))

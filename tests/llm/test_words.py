@@ -228,7 +228,16 @@ def test_prefix_keys_meet_for_every_similar_pair():
         (kx, nx), (ky, ny) = (ngram_join.prefix_keys(z, t, ngram_join.token_levels(z, often, levels)) for z in (x, y))
         leading = ky[:ny] if len(y) <= len(x) else kx[:nx]
         other = kx if len(y) <= len(x) else ky
-        assert len(np.intersect1d(leading, other))
+        met = np.intersect1d(leading, other)
+        rx, ry = (ngram_join.reach(len(z), int(np.isin(z, often).sum()), t) for z in (x, y))
+        assert any(len(x) <= ry[k] and len(y) <= rx[k] for k in (met & np.uint64(1)).astype(int))
+
+
+def test_small_sets_of_frequent_tokens_meet_larger_ones():
+    x, y = np.array([16, 32, 48, 64], np.uint64), np.array([16, 32], np.uint64)
+    kx, _ = ngram_join.prefix_keys(x, Fraction(1, 2), np.ones(4, np.uint8))
+    ky, ny = ngram_join.prefix_keys(y, Fraction(1, 2), np.ones(2, np.uint8))
+    assert len(np.intersect1d(ky[:ny], kx))
 
 
 def template_texts(counts, seed=5):

@@ -6,7 +6,8 @@ the bins that cover it, so positions are first counted by cell (a stretch of
 ``spacing``) with partial aggregation and cells, not rows, are expanded.
 
 Intervals meet intervals in a hierarchy of bins, in which each lies in at most
-two bins of the level that suits its length (:func:`overlaps`).
+two bins of the level that suits its length (:func:`overlaps`). Where sums over
+the pairs are wanted, no pairs are made (:func:`overlap_counts`, :func:`overlap_totals`).
 """
 
 from __future__ import annotations
@@ -140,6 +141,34 @@ def overlaps(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[
     return shorter_b.unionByName(shorter_a)
 
 
+def _valid(span: tuple[str, str], keys: tuple[str, ...]) -> Column:
+    """Whether an interval is not empty and no key of it is null."""
+    ok = F.col(span[0]) < F.col(span[1])
+    for k in keys:
+        ok &= F.col(k).isNotNull()
+    return ok
+
+
+def _ends(b: DataFrame, span: tuple[str, str], keys: tuple[str, ...], length: bool) -> DataFrame:
+    """``(*keys, _t, _rank, _begun, _ended, _edge)``: how many intervals start and end at each position, a row for each that has any; stored."""
+    edge = lambda c, sign: (F.col(c) * sign if length else F.lit(0)).alias("edge")
+    end = lambda c, rank, begun, ended, sign: F.struct(F.col(c).alias("t"), F.lit(rank).alias("rank"), F.lit(begun).alias("begun"), F.lit(ended).alias("ended"), edge(c, sign))
+    # at one position: ends count before what is asked there, starts after it
+    both = b.select(*keys, F.explode(F.array(end(span[1], 0, 0, 1, 1), end(span[0], 2, 1, 0, -1))).alias("_e"))
+    return ranges.stored(both.groupBy(*keys, F.col("_e.t").alias("_t"), F.col("_e.rank").alias("_rank")).agg(*(F.sum(f"_e.{c}").alias(f"_{c}") for c in ("begun", "ended", "edge"))))
+
+
+def _counted_at(asked: DataFrame, ends: DataFrame, keys: tuple[str, ...], size: int) -> DataFrame:
+    """``asked`` (*keys, _t) with the sums of ``_ends`` there: starts before the position, ends at or before it."""
+    order = F.struct("_t", "_rank").alias("_o")
+    group = F.struct(F.lit(0).alias("_"), *keys).alias("_grp")
+    none = F.lit(0).cast("long")
+    rows = ends.unionByName(asked.select(*keys, "_t", F.lit(1).alias("_rank"), *(none.alias(c) for c in ("_begun", "_ended", "_edge"))))
+    rows = ranges.stored(rows.select("*", group, order, F.col("_t").cast("double").alias("_d")))
+    counted = ranges.running(rows, "_grp", "_d", {c: F.col(f"_{c}") for c in ("begun", "ended", "edge")}, size, order=["_o"])
+    return counted.where("_rank = 1").select(*keys, "_t", "begun", "ended", "edge")
+
+
 def overlap_counts(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], group: str, size: int = ranges.ROWS) -> DataFrame:
     """``a`` with ``n``, the number of rows of ``b`` of its group that overlap ``[start, end)``, without making pairs.
 
@@ -160,3 +189,29 @@ def overlap_counts(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span:
     counted = ranges.running(rows, "_grp", "_t", {"ended": F.col("_ended"), "begun": F.col("_begun")}, size, order=["_o"])
     found = counted.where("_a is not null").groupBy("_a").agg(F.sum(F.when(F.col("_sign") > 0, F.col("begun")).otherwise(-F.col("ended"))).alias("n"))
     return keyed.join(found, "_a", "left").select(*a.columns, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def overlap_totals(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], by: tuple[str, ...] = (), a_by: tuple[str, ...] = (), b_by: tuple[str, ...] = (), size: int = ranges.ROWS) -> DataFrame:
+    """``(*by, *a_by, *b_by, n, length)``: the pairs that :func:`overlaps` has, and the length that both last, summed, without making pairs.
+
+    What intervals of ``b`` cover before a position t, each counted, is
+    ``t * (begun - ended)``, less their starts, plus the ends that have passed;
+    its growth over an interval of ``a`` is the length of all its overlaps. So
+    both sums need running sums at the ends of ``a`` only, of which equal ones
+    are counted first. Work is one row for each position of an end, times the
+    groups ``b_by`` for those of ``a``. Groups without pairs have no row; whole
+    positions give exact results.
+    """
+    end = lambda c, starts, ends: F.struct(F.col(c).alias("t"), F.lit(starts).alias("starts"), F.lit(ends).alias("ends"))
+    asks = a.where(_valid(a_span, by)).select(*by, *a_by, F.explode(F.array(end(a_span[0], 1, 0), end(a_span[1], 0, 1))).alias("_e"))
+    asks = ranges.stored(asks.groupBy(*by, *a_by, F.col("_e.t").alias("_t")).agg(F.sum("_e.starts").alias("_starts"), F.sum("_e.ends").alias("_ends")))
+    keys = (*by, *b_by)
+    ends = _ends(b.where(_valid(b_span, by)), b_span, keys, True)
+    asked = asks.select(*by, "_t").distinct()
+    if b_by:
+        kinds = ends.select(*keys).distinct()
+        asked = asked.join(kinds, [*by]) if by else asked.crossJoin(kinds)
+    met = asks.join(_counted_at(asked, ends, keys, size), [*by, "_t"])
+    covered = F.col("_t") * (F.col("begun") - F.col("ended")) + F.col("edge")
+    n = F.sum(F.col("_ends") * F.col("begun") - F.col("_starts") * F.col("ended"))
+    return met.groupBy(*by, *a_by, *b_by).agg(n.alias("n"), F.sum((F.col("_ends") - F.col("_starts")) * covered).alias("length")).where("n > 0")

@@ -84,9 +84,8 @@ FROM a JOIN b ON a.nation = b.nation AND a0 < b1 AND b0 < a1 GROUP BY ALL""")
 def j2_overlapping_intervals(spark, sf_dir):
     """Shipments from a nation and open orders of it that overlap: their number and the days that both last."""
     a, b = _shipped_and_open(spark, sf_dir)
-    pairs = intervals.overlaps(a, b, ("a0", "a1"), ("b0", "b1"), width=16, by=("nation",))
-    days = F.least("a1", "b1") - F.greatest("a0", "b0")
-    return pairs.groupBy("nation", "l_returnflag", "o_orderpriority").agg(F.count("*").alias("n"), F.sum(days).alias("days"))
+    totals = intervals.overlap_totals(a, b, ("a0", "a1"), ("b0", "b1"), ("nation",), ("l_returnflag",), ("o_orderpriority",), size=RANGE)
+    return totals.withColumnRenamed("length", "days")
 
 
 @query(f"""WITH {_SHIPPED}, {_OPEN}, x AS (SELECT *, row_number() OVER () AS r FROM a)

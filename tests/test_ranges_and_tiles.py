@@ -94,6 +94,33 @@ def test_overlaps(spark):
     assert [r["j"] for r in intervals.overlaps(far, near, ("a0", "a1"), ("b0", "b1"), width=1).collect()] == [2]
 
 
+def test_overlaps_summed_without_pairs(spark):
+    rnd = random.Random(10)
+    span = lambda: (s := rnd.randrange(-50, 400), s + int(rnd.choice([0, 1, 2, 5, 20, 90, 700]) * rnd.random()))
+    a = [(rnd.choice("xy"), rnd.choice(["p", "q", None]), *span()) for _ in range(150)] + [("x", "p", None, 3), (None, "p", 0, 500), ("x", "p", 5, 4)]
+    b = [(rnd.choice("xyz"), rnd.choice(["u", "v", None]), *span()) for _ in range(200)] + [("x", "u", 3, None), (None, "u", 0, 500)]
+    ta = spark.createDataFrame(a, "g string, f string, a0 long, a1 long").repartition(3)
+    tb = spark.createDataFrame(b, "g string, k string, b0 long, b1 long").repartition(3)
+    ok = lambda x: None not in x[2:] and x[2] < x[3]
+    want, plain = {}, [0, 0]
+    for x in filter(ok, a):
+        for y in filter(ok, b):
+            if (both := min(x[3], y[3]) - max(x[2], y[2])) > 0:
+                plain = [plain[0] + 1, plain[1] + both]
+                if x[0] is not None and x[0] == y[0]:
+                    n, length = want.get((x[0], x[1], y[1]), (0, 0))
+                    want[x[0], x[1], y[1]] = n + 1, length + both
+    for size in (30, 10**6):
+        got = intervals.overlap_totals(ta, tb, ("a0", "a1"), ("b0", "b1"), ("g",), ("f",), ("k",), size=size)
+        assert got.columns == ["g", "f", "k", "n", "length"]
+        assert {tuple(r)[:3]: tuple(r)[3:] for r in got.collect()} == want
+    assert [list(r) for r in intervals.overlap_totals(ta, tb, ("a0", "a1"), ("b0", "b1")).collect()] == [plain]
+    assert intervals.overlap_totals(ta.limit(0), tb, ("a0", "a1"), ("b0", "b1"), ("g",)).count() == 0
+    many = spark.range(300_000).select((F.col("id") % 50).alias("s"), (F.col("id") % 50 + 100).alias("e"))  # 9 * 10^10 pairs
+    far = intervals.overlap_totals(many.toDF("a0", "a1"), many.toDF("b0", "b1"), ("a0", "a1"), ("b0", "b1")).first()
+    assert far["n"] == 300_000**2 and far["length"] == 6000**2 * sum(100 - abs(i - j) for i in range(50) for j in range(50))
+
+
 def test_tiled_products(spark):
     rnd = np.random.default_rng(4)
     a, b = rnd.integers(-3, 4, (23, 41)), rnd.integers(-3, 4, (41, 17))

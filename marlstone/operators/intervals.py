@@ -174,21 +174,19 @@ def overlap_counts(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span:
 
     Those are the ones that start before the end, less those that end at or
     before the start; both are running counts over all ends in order, in ranges
-    where a group is long. Null ends and empty intervals count 0.
+    where a group is long. The counts run over distinct positions, from which
+    every row looks its two numbers up. Null ends, null groups and empty
+    intervals count 0.
     """
-    keyed = ranges.stored(a.withColumn("_a", F.monotonically_increasing_id()))  # rows keep their numbers in both places
-    valid = lambda span: F.col(span[0]) < F.col(span[1])
-    # at one position: ends of b count before starts of a, starts of b after ends of a
-    point = lambda df, c, rank, sign, *more: df.select(F.col(group).alias("_grp"), F.struct(F.col(c).alias("t"), F.lit(rank).alias("rank")).alias("_o"), F.col(c).cast("double").alias("_t"), F.lit(sign).alias("_sign"), *more)
-    b = b.where(valid(b_span))
-    asks = keyed.where(valid(a_span)).select("_a", group, *a_span)
-    none = F.lit(None).cast("long").alias("_a")
-    rows = point(b, b_span[1], 0, 0, none, F.lit(1).alias("_ended"), F.lit(0).alias("_begun")).unionByName(point(b, b_span[0], 2, 0, none, F.lit(0).alias("_ended"), F.lit(1).alias("_begun")))
-    for c, rank, sign in ((a_span[0], 1, -1), (a_span[1], 1, 1)):
-        rows = rows.unionByName(point(asks, c, rank, sign, F.col("_a"), F.lit(0).alias("_ended"), F.lit(0).alias("_begun")))
-    counted = ranges.running(rows, "_grp", "_t", {"ended": F.col("_ended"), "begun": F.col("_begun")}, size, order=["_o"])
-    found = counted.where("_a is not null").groupBy("_a").agg(F.sum(F.when(F.col("_sign") > 0, F.col("begun")).otherwise(-F.col("ended"))).alias("n"))
-    return keyed.join(found, "_a", "left").select(*a.columns, F.coalesce("n", F.lit(0)).alias("n"))
+    keys = (group,)
+    asked = a.where(_valid(a_span, keys)).select(group, F.explode(F.array(*a_span)).alias("_t")).distinct()
+    at = ranges.stored(_counted_at(asked, _ends(b.where(_valid(b_span, keys)), b_span, keys, False), keys, size))
+    found = a
+    for k, (c, what) in enumerate(zip(a_span, ("ended", "begun"), strict=True)):
+        side = at.select(F.col(group).alias(f"_g{k}"), F.col("_t").alias(f"_t{k}"), F.col(what).alias(f"_{what}"))
+        found = found.join(side, (F.col(group) == F.col(f"_g{k}")) & (F.col(c) == F.col(f"_t{k}")), "left")
+    n = F.when(_valid(a_span, keys), F.col("_begun") - F.col("_ended"))
+    return found.select(*a.columns, F.coalesce(n, F.lit(0)).alias("n"))
 
 
 def overlap_totals(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], by: tuple[str, ...] = (), a_by: tuple[str, ...] = (), b_by: tuple[str, ...] = (), size: int = ranges.ROWS) -> DataFrame:

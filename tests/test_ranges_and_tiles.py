@@ -121,6 +121,18 @@ def test_overlaps_summed_without_pairs(spark):
     assert far["n"] == 300_000**2 and far["length"] == 6000**2 * sum(100 - abs(i - j) for i in range(50) for j in range(50))
 
 
+def test_overlap_counts_order_positions_only(spark, monkeypatch):
+    seen, running = [], ranges.running
+    monkeypatch.setattr(ranges, "running", lambda rows, *more, **named: seen.append(rows.count()) or running(rows, *more, **named))
+    a = spark.range(6000).select(F.when(F.col("id") % 3 < 2, F.col("id") % 3).alias("g"), (F.col("id") % 7).alias("a0"), (F.col("id") % 7 + 2).alias("a1"))
+    b = spark.range(9000).select(F.when(F.col("id") % 3 < 2, F.col("id") % 3).alias("g"), (F.col("id") % 5).alias("b0"), (F.col("id") % 5 + 1).alias("b1"))
+    got = intervals.overlap_counts(a, b, ("a0", "a1"), ("b0", "b1"), "g")
+    found = Counter(tuple(r) for r in got.collect())
+    each = {s: 600 * sum(s < k + 1 and k < s + 2 for k in range(5)) for s in range(7)}
+    assert found == Counter((g if g < 2 else None, i % 7, i % 7 + 2, each[i % 7] if g < 2 else 0) for i in range(6000) for g in [i % 3])  # null keys meet nothing
+    assert seen and max(seen) < 100
+
+
 def test_tiled_products(spark):
     rnd = np.random.default_rng(4)
     a, b = rnd.integers(-3, 4, (23, 41)), rnd.integers(-3, 4, (41, 17))

@@ -30,6 +30,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df``, stored, with a number from 0 up without gaps: its place in its part, behind the rows of the parts before."""
+    kept = stored(df.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = kept.groupBy(part.alias("_p")).count().select("_p", before.alias("_before"))  # a row a part
+    return kept.join(F.broadcast(starts), part == F.col("_p")).withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_p", "_before")
+
+
 def borders(rows: DataFrame, group: str, t: str, size: int = ROWS) -> tuple[DataFrame, int]:
     """``(_g, _cuts)`` of each group of more than ``size`` rows, and the number of all cuts."""
     parts = F.least(F.ceil(F.col("_n") / size), F.lit(PARTS)).cast("int")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators import linalg
+from marlstone.operators import linalg, ranges
 
 TILE = "bi long, bj long, v binary"
 #: Tiles of a side of a super-block, and partial tiles that are summed at once.
@@ -180,3 +180,29 @@ def row_summary(tiles: Tiles) -> Callable[[int, int, np.ndarray], pa.Table]:
 
     return finish
 
+
+def gram_summary(cells: DataFrame, rows: int = 256, cols: int = 256) -> DataFrame:
+    """``(i, total, largest)``: sum and largest cell of the row of A A^T of every i that has cells (i, j, v) in A.
+
+    Equal rows of A have equal rows in A A^T, so each distinct row is multiplied
+    once, and the sums, being linear, come from the sums of A's columns. The work
+    is one pass over the cells and the square of the number of distinct rows.
+    """
+    cell = F.when(F.col("v") != 0, F.struct(F.col("j").cast("long").alias("j"), "v"))
+    known = cells.where("i is not null and j is not null").repartition("i").groupBy("i", "j").agg(F.sum(F.col("v").cast("double")).alias("v"))
+    every = ranges.stored(known.groupBy("i").agg(F.sort_array(F.collect_list(cell)).alias("row")))
+    distinct = ranges.stored(ranges.numbered(every.groupBy("row").agg(F.count("*").alias("_n")), "d"))
+    zero = F.array(F.struct(F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("v")))  # rows of zeros are rows too
+    kept = ranges.stored(distinct.select(F.col("d").alias("i"), "_n", F.inline(F.when(F.size("row") == 0, zero).otherwise(F.col("row")))))
+    height, width = distinct.count(), linalg.dims(kept).first()["width"]
+    sums = kept.groupBy("j").agg(F.sum(F.col("_n") * F.col("v")).alias("_sum"))
+    total = kept.join(sums, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("_sum")).alias("total"))
+
+    def finish(bi: int, bj: int, v: np.ndarray) -> pa.Table:
+        sides = [(bi, v)] + ([(bj, v.T)] if bi != bj else [])
+        return pa.concat_tables([pa.table({"i": np.arange(len(m), dtype=np.int64) + b * rows, "seen": np.full(len(m), m.shape[1]), "largest": m.max(1)}) for b, m in sides])
+
+    made = gram_rows(from_cells(kept, rows, cols, (height, width)), finish, "i long, seen long, largest double").groupBy("i").agg(F.sum("seen").alias("_seen"), F.max("largest").alias("_most"))
+    largest = F.when(F.col("_seen") < height, F.greatest("_most", F.lit(0.0))).otherwise(F.col("_most"))  # tiles that were not made are 0
+    found = ranges.stored(distinct.join(total, F.col("d") == total["i"]).drop("i").join(made, F.col("d") == made["i"]).select("row", "total", largest.alias("largest")))
+    return every.join(found, "row").select("i", "total", "largest")

@@ -157,6 +157,23 @@ def test_tiled_products(spark):
         tiles.product(x, x)
 
 
+def test_gram_summary_multiplies_distinct_rows_only(spark, monkeypatch):
+    heights, product = [], tiles.product
+    monkeypatch.setattr(tiles, "product", lambda a, *more, **named: heights.append(a.height) or product(a, *more, **named))
+    rnd = np.random.default_rng(12)
+    kinds = rnd.integers(-3, 4, (7, 5)) * (rnd.random((7, 5)) < 0.6)
+    kinds[0], kinds[1, :], kinds[2, :] = 0, [-2, 0, 0, 0, 0], [0, 0, 0, 0, -1]
+    for which, rows, cols in ((rnd.integers(0, 7, 400), 64, 4), (np.arange(7), 1, 1), (np.array([1, 2, 2]), 1, 1), (np.array([1, 1]), 4, 4)):
+        heights.clear()
+        m = kinds[which]
+        cells = [(int(9 * i), int(j), float(m[i, j])) for i in range(len(m)) for j in range(5) if m[i, j] or j == 0]
+        got = {r["i"]: (r["total"], r["largest"]) for r in tiles.gram_summary(spark.createDataFrame(cells, "i long, j long, v double").repartition(3), rows, cols).collect()}
+        g = m @ m.T
+        assert got == {9 * i: (float(g[i].sum()), float(g[i].max())) for i in range(len(m))}
+        assert heights == [len({tuple(r) for r in m.tolist()})]
+    assert tiles.gram_summary(spark.createDataFrame([], "i long, j long, v double")).count() == 0
+
+
 def test_parts_of_tiles_are_summed_in_steps(spark, monkeypatch):
     monkeypatch.setattr(tiles, "SIDE", 1)
     monkeypatch.setattr(tiles, "SUMMED", 3)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import asof, banded, interp, intervals, ranges, tiles
+from marlstone.operators import asof, banded, interp, intervals, linalg, ranges, tiles
 
 
 def test_a_group_in_two_hundred_tasks(spark):
@@ -174,6 +174,26 @@ def test_gram_summary_multiplies_distinct_rows_only(spark, monkeypatch):
     assert tiles.gram_summary(spark.createDataFrame([], "i long, j long, v double")).count() == 0
 
 
+@pytest.mark.parametrize(("narrow", "broadcast"), [(64, 10**6), (64, 0), (2, 10**6)])
+def test_gram_of_narrow_rows_makes_cells_in_one_place(spark, monkeypatch, narrow, broadcast):
+    for name, value in (("NARROW", narrow), ("BROADCAST_CELLS", broadcast), ("PAIRS", 100)):
+        monkeypatch.setattr(linalg, name, value)
+    rnd = random.Random(13)
+    cells = [(i, j, float(rnd.randrange(-4, 5))) for i in range(40) for j in (3, 70, 900) if rnd.random() < 0.6]
+    table = spark.createDataFrame([*cells, cells[0]], "i long, j long, v double")  # one cell twice
+    found = linalg.gram_rows(table)
+    want = Counter()
+    for i, j, x in [*cells, cells[0]]:
+        for k, l, y in [*cells, cells[0]]:  # noqa: E741
+            if j == l:
+                want[i, k] += x * y
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r["i"], r["j"]): r["v"] for r in rows} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert narrow == 2 or ("Aggregate" not in plan and "SortMergeJoin" not in plan)
+    assert linalg.gram_rows(table.limit(0)).count() == 0
+
+
 def test_parts_of_tiles_are_summed_in_steps(spark, monkeypatch):
     monkeypatch.setattr(tiles, "SIDE", 1)
     monkeypatch.setattr(tiles, "SUMMED", 3)

@@ -7,6 +7,8 @@ needs five sums a bin, so bins are scored by one partial aggregation.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,40 +81,45 @@ def permuted(samples: DataFrame, reps: int, seed: int = 1, sample: str = "sample
     return ranked.alias("a").join(ranked.alias("b"), (F.col("a.rep") == F.col("b.rep")) & (F.col("a.k") == F.col("b.h"))).select("a.rep", f"a.{sample}", f"b.{value}")
 
 
-#: Rounds of a keyed permutation, and the modulus of its keys.
-PERMUTATION_ROUNDS, PERMUTATION_MODULUS = 48, (1 << 31) - 1
+#: Rounds of a keyed permutation, the modulus of its keys, and the numbers that one task sends on, about.
+PERMUTATION_ROUNDS, PERMUTATION_MODULUS, PERMUTED_ROWS = 48, (1 << 31) - 1, 200_000
 
 
-def _mixed(x: Column, key: Column) -> Column:
+def _mixed(x: np.ndarray, key: np.ndarray | int) -> np.ndarray:
     """A number below the modulus from two, by multiplications modulo a prime."""
     return ((((x * 16807 + key) % PERMUTATION_MODULUS) * 48271 + key) % PERMUTATION_MODULUS) * 69621 % PERMUTATION_MODULUS
 
 
+def _permuted_numbers(number: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
+    """All rounds for a batch of numbers at once."""
+    known = (number.notna() & n.notna() & key.notna()).to_numpy()
+    x, n, key = (s.to_numpy()[known].astype(np.int64) for s in (number, n, key))
+    for r in range(PERMUTATION_ROUNDS):
+        k = _mixed(key + r * 7919, r + 1) % n
+        partner = (k - x + n) % n
+        bit = (_mixed(np.maximum(x, partner), key + r * 104729) >> 11) & 1
+        x = np.where(bit == 1, partner, x)
+    return pd.Series(x, number.index[known], "Int64").reindex(number.index)
+
+
 def keyed_permutation(number: Column, n: Column, key: Column) -> Column:
     """Where the permutation of 0..n-1 with some key (0 to 2^31 - 2) sends a number; a bijection for every n.
 
     Each round pairs x with (k - x) mod n, its partner in both directions, and a
     bit of the larger of the two decides for both whether they change places.
     """
-    n, key = n.cast("long"), key.cast("long")
-
-    def swap(x: Column, r: Column) -> Column:
-        k = _mixed(key + r * 7919, r + 1) % n
-        partner = (k - x + n) % n
-        bit = F.shiftright(_mixed(F.greatest(x, partner), key + r * 104729), 11).bitwiseAND(F.lit(1).cast("long"))
-        return F.when(bit == 1, partner).otherwise(x)
-
-    rounds = F.sequence(F.lit(0).cast("long"), F.lit(PERMUTATION_ROUNDS - 1).cast("long"))
-    return F.aggregate(rounds, number.cast("long"), swap)
+    return F.pandas_udf(_permuted_numbers, "long")(*(c.cast("long") for c in (number, n, key)))
 
 
 def permuted_by_key(samples: DataFrame, reps: int, seed: int = 1, sample: str = "sample", value: str = "dosage", number: str = "number") -> DataFrame:
     """``(rep, sample, value)`` as :func:`permuted` gives, by one lookup a row: no replicate is sorted.
 
-    ``number`` counts the samples from 0 without gaps.
+    ``number`` counts the samples from 0 without gaps. Small tables come in few
+    parts, so samples are dealt to as many tasks as their replicates need.
     """
     n = samples.count()
-    each = samples.select(F.col(sample).alias("_s"), F.col(number).alias("_i")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    each = samples.select(F.col(sample).alias("_s"), F.col(number).alias("_i")).repartition(max(1, -(-n * reps // PERMUTED_ROWS)))
+    each = each.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     each = each.withColumn("_to", keyed_permutation(F.col("_i"), F.lit(max(n, 1)), (F.col("rep") + seed * 1_000_003) % PERMUTATION_MODULUS))
     values = samples.select(F.col(number).alias("_to"), value)
     return each.join(values, "_to").select("rep", F.col("_s").alias(sample), value)

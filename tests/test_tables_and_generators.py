@@ -107,3 +107,23 @@ def test_keyed_permutations(spark):
     assert len({tuple(sorted(v)) for v in by.values()}) > 190
     share = plain.count(0) / 60
     assert abs(first.count(0) / 200 - share) < 0.15
+
+
+def test_keyed_permutations_in_batches_and_tasks(spark, monkeypatch):
+    def plain(x, n, key):
+        mixed = lambda x, key: ((((x * 16807 + key) % 2147483647) * 48271 + key) % 2147483647) * 69621 % 2147483647
+        for r in range(48):
+            partner = (mixed(key + r * 7919, r + 1) % n - x + n) % n
+            x = partner if mixed(max(x, partner), key + r * 104729) >> 11 & 1 else x
+        return x
+
+    asked = [(x, n, key) for n in (1, 5, 2147483646) for key in (0, 77, 2147483646) for x in (0, n // 2, n - 1)]
+    table = spark.createDataFrame([*asked, (None, 5, 1)], "x long, n long, key long").coalesce(1)
+    found = table.select("*", assoc.keyed_permutation(F.col("x"), F.col("n"), F.col("key")).alias("to"))
+    assert [tuple(r) for r in found.collect()] == [*((*a, plain(*a)) for a in asked), (None, 5, 1, None)]
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()  # rounds row by row
+    monkeypatch.setattr(assoc, "PERMUTED_ROWS", 10, raising=False)
+    samples = spark.range(50).coalesce(1).select(F.col("id").alias("sample"), F.col("id").alias("number"), (F.col("id") * 3).alias("dosage"))
+    dealt = assoc.permuted_by_key(samples, 4, seed=2)
+    assert "Repartition 20" in dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["rep"], r["sample"]): r["dosage"] for r in dealt.collect()} == {(rep, x): 3 * plain(x, 50, rep + 2 * 1_000_003) for rep in range(1, 5) for x in range(50)}

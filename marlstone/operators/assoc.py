@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators import ranges
+
 
 def additive_ratio(x: Column, y: Column) -> Column:
     """sqrt(Syy / (Syy - Sxy^2 / Sxx)) as an aggregate; 1 where x or y does not vary, infinite for an exact fit."""
@@ -49,10 +51,21 @@ def score_counts(counts: DataFrame, samples: DataFrame, bins: DataFrame, by: tup
     grid of bins and samples is made.
     """
     x, y = F.col("dosage").cast("double"), F.col("n").cast("double")
-    known = samples.where(x.isNotNull()).select(*by, "sample", x.alias("dosage"))
-    totals = known.groupBy(*by).agg(F.count("*").alias("_k"), F.sum(x).alias("_sx"), F.sum(x * x).alias("_sxx")).where("_k > 0")
+    known, totals = _known(samples, by)
     found = counts.join(known, "sample").groupBy(*by, "bin").agg(F.sum(y).alias("_sy"), F.sum(y * y).alias("_syy"), F.sum(x * y).alias("_sxy"))
     table = bins.select("bin").distinct().join(F.broadcast(totals)).join(found, [*by, "bin"], "left").na.fill(0.0, ["_sy", "_syy", "_sxy"])
+    return _scored(table, by)
+
+
+def _known(samples: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The samples with a dosage, and their number and sums."""
+    x = F.col("dosage").cast("double")
+    known = samples.where(x.isNotNull()).select(*by, "sample", x.alias("dosage"))
+    return known, known.groupBy(*by).agg(F.count("*").alias("_k"), F.sum(x).alias("_sx"), F.sum(x * x).alias("_sxx")).where("_k > 0")
+
+
+def _scored(table: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The scores of each bin from its sums."""
     n, sx, sy = F.col("_k"), F.col("_sx"), F.col("_sy")
     sxx, syy, sxy = F.col("_sxx") - sx * sx / n, F.col("_syy") - sy * sy / n, F.col("_sxy") - sx * sy / n
     left = syy - sxy * sxy / F.when(sxx > 1e-12, sxx)
@@ -61,6 +74,25 @@ def score_counts(counts: DataFrame, samples: DataFrame, bins: DataFrame, by: tup
     return table.select(*by, "bin", ratio.alias("ratio"), effect.alias("effect"), (sy / n).alias("mean"))
 
 
+def score_steps(steps: DataFrame, samples: DataFrame, bins: DataFrame, by: tuple[str, ...] = (), size: int = ranges.ROWS) -> DataFrame:
+    """What :func:`score_counts` gives, from the changes of the counts (sample, bin, step), as of ``intervals.bin_steps``.
+
+    A sample's count is the running sum of its changes; how each changes the
+    three sums over all samples is added up by bin, and the sums themselves are
+    running sums over the bins. So no row is made for a sample in each bin that
+    covers its points, and no task aggregates by sample and bin.
+    """
+    known, totals = _known(samples, by)
+    y = F.sum("step").over(Window.partitionBy("sample").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    moved = steps.select("sample", "bin", "step", y.alias("_y")).join(known, "sample")
+    grown = moved.groupBy(*by, "bin").agg(F.sum("step").alias("_dy"), F.sum(F.col("step") * (2 * F.col("_y") - F.col("step"))).alias("_dyy"), F.sum(F.col("dosage") * F.col("step")).alias("_dxy"))
+    asked = bins.select("bin").distinct().join(F.broadcast(totals)).select("*", F.lit(1).alias("_ask"))
+    rows = grown.withColumn("_ask", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    rows = ranges.stored(rows.select("*", F.struct(F.lit(0).alias("_"), *by).alias("_grp"), F.col("bin").cast("double").alias("_at")))
+    table = ranges.running(rows, "_grp", "_at", {f"_s{c}": F.col(f"_d{c}") for c in ("y", "yy", "xy")}, size, order=["bin", "_ask"]).where("_ask = 1")
+    return _scored(table.select(*by, "bin", "_k", "_sx", "_sxx", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("_sy", "_syy", "_sxy"))), by)
+
+
 def complete(counts: DataFrame, samples: DataFrame, bins: DataFrame, keys: tuple[str, ...] = ("bin", "sample")) -> DataFrame:
     """Every bin of ``bins`` for every sample, with 0 where nothing was counted: a product, for output only (``score_counts`` needs no grid)."""
     grid = bins.select("bin").distinct().crossJoin(samples.select("sample").distinct())

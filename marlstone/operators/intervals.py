@@ -20,12 +20,23 @@ from pyspark.sql import functions as F
 from marlstone.operators import ranges
 
 
-def covering_bins(position: Column, low: int, high: int, spacing: int, size: int) -> Column:
-    """The numbers of the bins that cover a position, an array (empty outside the grid)."""
+def _first_and_last(position: Column, low: int, high: int, spacing: int, size: int) -> tuple[Column, Column, Column]:
+    """The first and the last bin that cover a position, and whether any does."""
     off = position - low
     last = F.least(F.floor(off / spacing), F.lit((high - low) // spacing - 1))
     first = F.greatest(F.floor((off - size) / spacing) + 1, F.lit(0))
-    return F.when((off >= 0) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    return first, last, (off >= 0) & (first <= last)
+
+
+def covering_bins(position: Column, low: int, high: int, spacing: int, size: int) -> Column:
+    """The numbers of the bins that cover a position, an array (empty outside the grid)."""
+    first, last, some = _first_and_last(position, low, high, spacing, size)
+    return F.when(some, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _cells(points: DataFrame, position: str, low: int, high: int, width: int, size: int, by: tuple[str, ...], weight: Column) -> DataFrame:
+    cell = F.floor((F.col(position) - low) / width).alias("_cell")
+    return points.where(F.col(position).between(low, high + size)).groupBy(*by, cell).agg(F.sum(weight).alias("n"))
 
 
 def bin_counts(points: DataFrame, position: str, low: int, high: int, spacing: int, size: int, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
@@ -37,12 +48,23 @@ def bin_counts(points: DataFrame, position: str, low: int, high: int, spacing: i
     """
     weight = F.lit(1) if weight is None else weight
     width = gcd(spacing, size)
-    cell = F.floor((F.col(position) - low) / width).alias("_cell")
-    cells = points.where(F.col(position).between(low, high + size)).groupBy(*by, cell).agg(F.sum(weight).alias("n"))
+    cells = _cells(points, position, low, high, width, size, by, weight)
     spread = cells.select(*by, F.explode(covering_bins(low + F.col("_cell") * width, low, high, spacing, size)).alias("bin"), "n")
     return spread.groupBy(*by, "bin").agg(F.sum("n").alias("n")).select(*by, "bin", (low + F.col("bin") * spacing).alias("start"), "n")
 
 
+def bin_steps(points: DataFrame, position: str, low: int, high: int, spacing: int, size: int, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
+    """``(*by, bin, step)``: by how much the counts of :func:`bin_counts` change at a bin; a bin may have several rows, which add up.
+
+    A cell is two rows, however many bins cover it.
+    """
+    width = gcd(spacing, size)
+    cells = _cells(points, position, low, high, width, size, by, F.lit(1) if weight is None else weight)
+    first, last, some = _first_and_last(low + F.col("_cell") * width, low, high, spacing, size)
+    ends = F.array(F.struct(first.alias("bin"), F.col("n").alias("step")), F.struct((last + 1).alias("bin"), (-F.col("n")).alias("step")))
+    return cells.where(some).select(*by, F.inline(ends)).where(F.col("bin") < (high - low) // spacing)
+
+
 def bin_grid(spark, low: int, high: int, spacing: int) -> DataFrame:
     """All bins of a grid, ``(bin, start)``."""
     return spark.range((high - low) // spacing).select(F.col("id").alias("bin"), (low + F.col("id") * spacing).alias("start"))

@@ -83,8 +83,8 @@ SELECT bin, round(CASE WHEN sxx <= 1e-12 OR syy <= 1e-12 THEN 1.0 ELSE sqrt(syy
 def t10_association(spark, sf_dir):
     ev = events(spark, sf_dir)
     samples = ev.select(F.col("user_id").alias("sample")).distinct()
-    counts = intervals.bin_counts(ev.withColumnRenamed("user_id", "sample"), "minute", 0, HIGH, SPACING, SIZE, by=("sample",))
-    scored = assoc.score_counts(counts, samples.withColumn("dosage", F.col("sample") % 3), intervals.bin_grid(spark, 0, HIGH, SPACING))
+    steps = intervals.bin_steps(ev.withColumnRenamed("user_id", "sample"), "minute", 0, HIGH, SPACING, SIZE, by=("sample",))
+    scored = assoc.score_steps(steps, samples.withColumn("dosage", F.col("sample") % 3), intervals.bin_grid(spark, 0, HIGH, SPACING))
     return scored.select("bin", F.round("ratio", 6).alias("ratio"))
 
 

@@ -62,13 +62,18 @@ def parse(arguments: list[str]) -> tuple[list[str], Options]:
     return positional, options
 
 
-def bin_counts(genotypes: DataFrame, cuts: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(counts, calls, grid)``: counts of both interval ends by bin and sample, the samples with a call and a file, all bins."""
+def _called_ends(genotypes: DataFrame, cuts: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(ends, calls, grid)``: both interval ends of the samples with a call and a file, these samples, all bins."""
     calls = genotypes.where((F.col("rsid") == o.rsid) & F.col("dosage").isNotNull()).select("sample", "dosage")
     calls = calls.join(cuts.select("sample").distinct(), "sample", "left_semi")
     ends = intervals.interval_ends(cuts.where(text.in_region(o.chr, o.minbp, o.maxbp)).select("sample", "start", "end"))
-    counts = intervals.bin_counts(ends.join(calls.select("sample"), "sample", "left_semi"), "position", o.minbp, o.maxbp, o.binspacing, o.binsize, by=("sample",))
-    return counts, calls, intervals.bin_grid(genotypes.sparkSession, o.minbp, o.maxbp, o.binspacing)
+    return ends.join(calls.select("sample"), "sample", "left_semi"), calls, intervals.bin_grid(genotypes.sparkSession, o.minbp, o.maxbp, o.binspacing)
+
+
+def bin_counts(genotypes: DataFrame, cuts: DataFrame, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(counts, calls, grid)``: counts of both interval ends by bin and sample, the samples with a call and a file, all bins."""
+    ends, calls, grid = _called_ends(genotypes, cuts, o)
+    return intervals.bin_counts(ends, "position", o.minbp, o.maxbp, o.binspacing, o.binsize, by=("sample",)), calls, grid
 
 
 def bin_table(genotypes: DataFrame, cuts: DataFrame, o: Options) -> DataFrame:
@@ -79,11 +84,12 @@ def bin_table(genotypes: DataFrame, cuts: DataFrame, o: Options) -> DataFrame:
 
 def find_segments(genotypes: DataFrame, cuts: DataFrame, o: Options) -> DataFrame:
     """``(l1, l2, chrom, start, end, n, ratio, threshold, mean[, p, q])`` for every pair of floors."""
-    counts, calls, grid = bin_counts(genotypes, cuts, o)
-    bins = assoc.score_counts(counts, calls.distinct(), grid).where((F.col("ratio") >= min(o.l1)) & (F.col("effect") >= min(o.l2)))
+    ends, calls, grid = _called_ends(genotypes, cuts, o)
+    steps = intervals.bin_steps(ends, "position", o.minbp, o.maxbp, o.binspacing, o.binsize, by=("sample",))
+    bins = assoc.score_steps(steps, calls.distinct(), grid).where((F.col("ratio") >= min(o.l1)) & (F.col("effect") >= min(o.l2)))
     extra = []
     if o.p:
-        drawn = assoc.score_counts(counts, assoc.permuted(calls.distinct(), o.p), bins, by=("rep",)).select("bin", "ratio")
+        drawn = assoc.score_steps(steps, assoc.permuted(calls.distinct(), o.p), bins, by=("rep",)).select("bin", "ratio")
         tested = assoc.benjamini_hochberg(assoc.permutation_p(bins.select("bin", "ratio"), drawn).select("bin", "p"))
         bins = bins.join(tested, "bin").where(F.col("q") <= o.fdr)
         extra = ["p", "q"]

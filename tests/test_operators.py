@@ -292,6 +292,21 @@ def test_scores_of_counts_need_no_grid(spark):
     assert assoc.score_counts(counts, many, bins).count() == 6
 
 
+@pytest.mark.parametrize("size", [40, 10**6])
+def test_scores_of_steps_make_no_row_for_sample_and_bin(spark, size):
+    rnd = random.Random(3)
+    points = spark.createDataFrame([(k % 30, rnd.randrange(-20, 1200)) for k in range(900)], "sample long, x long").repartition(3)
+    bins = intervals.bin_grid(spark, 0, 1000, 10)
+    named = {"low": 0, "high": 1000, "spacing": 10, "size": 150, "by": ("sample",)}
+    counts, steps = intervals.bin_counts(points, "x", **named), intervals.bin_steps(points, "x", **named)
+    assert steps.count() <= 2 * points.count() < counts.count()
+    samples = spark.createDataFrame([(rep, s, None if s == 7 else (s * rep) % 3) for rep in (1, 2) for s in range(33)], "rep int, sample long, dosage int")
+    for by, who, where in (((), samples.where("rep = 2").drop("rep"), bins), (("rep",), samples, bins.where("bin % 3 = 1 or bin > 90"))):
+        got, want = ({tuple(r)[: len(by) + 1]: tuple(r)[len(by) + 1 :] for r in x.select(*by, "bin", "ratio", "effect", "mean").collect()} for x in (assoc.score_steps(steps, who, where, by, size), assoc.score_counts(counts, who, where, by)))
+        assert got.keys() == want.keys() and len(want) == where.count() * max(1, 2 * len(by))
+        assert all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9) for k in want)
+
+
 def test_covariance_of_arrays(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 12)) + 3

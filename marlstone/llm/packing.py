@@ -36,7 +36,7 @@ from marlstone.llm.tokens import text_slices
 CAPACITY = 2048
 END = b"\0\0\0\0"
 #: Words from which on a worker starts a new generation of its memory; there are two generations.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 500_000
 #: Words that one call of the library gets.
 WORDS_AT_ONCE = 500
 #: Pieces of one length for which one bucket for ranking is made.
@@ -128,11 +128,17 @@ class WordEncoder:
             yield b"".join(map(of, some))
 
 
+@cache
+def _encoder(path: str | None) -> WordEncoder:
+    """A worker's encoder, whose words stay known from one of its tasks to the next."""
+    return WordEncoder(path)
+
+
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])`` of every document's ids and end token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = _encoder(vocabulary)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for first, stop, data, at in text_slices(batch.column(1), 1 << 20):

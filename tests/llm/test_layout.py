@@ -260,3 +260,12 @@ def test_resharding(spark, tmp_path):
     written = resharding.rewrite_affected(unique.drop("shard"), plan, str(tmp_path / "some"))
     assert {r["shard"]: r["bytes_in"] > 0 for r in written.collect()} == {0: False, 1: True}
     assert spark.read.parquet(str(tmp_path / "some")).count() == unique.count()
+
+
+def test_a_worker_keeps_its_words_between_tasks(monkeypatch):
+    texts = [b"several words, some twice: words", b"and others"]
+    packing._encoder.cache_clear()
+    first = list(packing._encoder(None).ids(texts))
+    asked = []
+    monkeypatch.setattr(packing.WordEncoder, "_encode", lambda self, words: asked.extend(words))
+    assert list(packing._encoder(None).ids(texts)) == first and not asked

@@ -194,6 +194,42 @@ def test_gram_of_narrow_rows_makes_cells_in_one_place(spark, monkeypatch, narrow
     assert linalg.gram_rows(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_gram_of_narrow_rows_comes_in_blocks_that_files_hold_in_little_space(spark, monkeypatch, tmp_path, broadcast):
+    monkeypatch.setattr(linalg, "BROADCAST_CELLS", broadcast)
+    rnd = np.random.default_rng(14)
+    m = rnd.integers(100, 400, (60, 3))[rnd.integers(0, 60, 1200)]
+    cells = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(len(m)) for j in range(3)], "i long, j long, v double").repartition(3)
+    path = tmp_path / "cells"
+    linalg.gram_rows(cells).write.parquet(str(path))
+    written = sum(f.stat().st_size for f in path.glob("*.parquet"))
+    assert written < 0.3 * len(m) ** 2
+    got = spark.read.parquet(str(path)).toPandas()
+    g = np.full((len(m), len(m)), np.nan)
+    g[got.i, got.j] = got.v
+    assert len(got) == len(m) ** 2 and (g == m @ m.T).all()
+
+
+def test_gram_of_narrow_rows_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "FLAT", 7)
+    monkeypatch.setattr(linalg, "PAIRS", 150)
+    cells = [(i, j, float((i * 37 + j) % 5)) for i in range(100) for j in range(2) if (i + j) % 3]
+    for broadcast in (10**6, 0):
+        monkeypatch.setattr(linalg, "BROADCAST_CELLS", broadcast)
+        found = linalg.gram_rows(spark.createDataFrame(cells, "i long, j long, v double")).withColumn("task", F.spark_partition_id()).collect()
+        want = Counter()
+        for i, j, x in cells:
+            for k, l, y in cells:  # noqa: E741
+                if j == l:
+                    want[i, k] += x * y
+        assert len(found) == len(want) and {(r["i"], r["j"]): r["v"] for r in found} == want
+        if broadcast:
+            right = {}
+            for r in found:
+                right.setdefault(r["task"], set()).add(r["j"])
+            assert len(right) == 75 and max(map(len, right.values())) == 7
+
+
 def test_parts_of_tiles_are_summed_in_steps(spark, monkeypatch):
     monkeypatch.setattr(tiles, "SIDE", 1)
     monkeypatch.setattr(tiles, "SUMMED", 3)
